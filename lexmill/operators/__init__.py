@@ -1,0 +1 @@
+"""operators of the retrieval and corpus engine."""

@@ -1,0 +1 @@
+"""plans of the retrieval and corpus engine."""

@@ -1,0 +1 @@
+"""sources of the retrieval and corpus engine."""

@@ -1,0 +1 @@
+"""streaming of the retrieval and corpus engine."""
