@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, token_counts, token_files
+from . import bpe_codec, token_counts, token_files, url_filters, winnowing
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,62 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     folder, manifest = token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return token_files.read(folder, manifest, docs.schema["doc_id"].dataType)
+
+
+#: The rules that the contract fixes.
+URL_RULES = [
+    url_filters.Rule("com", "/", "allow"),
+    url_filters.Rule("example.com", "/en/", "block"),
+    url_filters.Rule("www.example.com", "/en/", "allow"),
+    url_filters.Rule("net", "/es/", "block"),
+    url_filters.Rule("net", "/fr/", "block"),
+]
+
+_URL_SQL = r"""
+WITH RECURSIVE parsed AS (
+  SELECT page_id, url, html,
+         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path
+  FROM pages),
+rules(r_host, r_path, r_verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+nodes AS (
+  SELECT page_id, host, path, html, regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') AS origin,
+         translate(regexp_extract(regexp_replace(trim(url), '#.*$', '', 's'), '^(.*?://[^/?]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+           || substr(regexp_replace(trim(url), '#.*$', '', 's'), length(regexp_extract(regexp_replace(trim(url), '#.*$', '', 's'), '^(.*?://[^/?]*)', 1, 's')) + 1) AS node
+  FROM parsed),
+targets AS (
+  SELECT node, origin, regexp_extract(regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'), '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is') AS target FROM nodes
+  UNION ALL
+  SELECT node, origin, regexp_extract(regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), '\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'is') FROM nodes),
+linked AS (
+  SELECT node AS a, regexp_replace(CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN split_part(origin, '//', 1) || target
+         WHEN starts_with(target, '/') THEN origin || target END, '#.*$', '', 's') AS b
+  FROM targets WHERE target <> ''),
+edges AS (SELECT a, b FROM linked WHERE b IS NOT NULL UNION SELECT b, a FROM linked WHERE b IS NOT NULL),
+reach(node, other) AS (SELECT a, b FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other),
+known AS (
+  SELECT DISTINCT other, translate(regexp_extract(other, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(other, '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path FROM reach),
+decided AS (
+  SELECT k.other, arg_max(r.r_verdict, length(r.r_host || r.r_path)) AS verdict
+  FROM known k JOIN rules r ON (k.host = r.r_host OR ends_with(k.host, '.' || r.r_host)) AND starts_with(k.path, r.r_path) GROUP BY k.other),
+shared AS (
+  SELECT r.node, CASE WHEN bool_or(d.verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict
+  FROM (SELECT node, other FROM reach UNION SELECT node, node FROM reach) r JOIN decided d ON d.other = r.other GROUP BY r.node),
+own AS (
+  SELECT n.page_id, arg_max(r.r_host || r.r_path, length(r.r_host || r.r_path)) AS rule, arg_max(r.r_verdict, length(r.r_host || r.r_path)) AS verdict
+  FROM nodes n JOIN rules r ON (n.host = r.r_host OR ends_with(n.host, '.' || r.r_host)) AND starts_with(n.path, r.r_path) GROUP BY n.page_id)
+SELECT n.page_id, n.host, n.path, o.rule, coalesce(o.verdict, s.verdict, 'allow') AS verdict
+FROM nodes n LEFT JOIN own o ON o.page_id = n.page_id LEFT JOIN shared s ON s.node = n.node
+"""
+
+
+@query("op6_url_filters", _URL_SQL)
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op9_winnowing")
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.with_neighbours(read_table(spark, sf_dir, "documents"))
