@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, token_counts, token_files, url_filters, winnowing
+from . import bpe_codec, token_counts, token_files, url_filters, warc, winnowing
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,20 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_winnowing")
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.with_neighbours(read_table(spark, sf_dir, "documents"))
+
+
+_WARC_SQL = """
+WITH bodies AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+sized AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest, sha256(body) AS same FROM bodies),
+kept AS (SELECT same, max(page_id) AS keeper FROM sized WHERE payload_bytes >= 1000 GROUP BY same)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM sized LEFT JOIN kept ON kept.same = sized.same AND payload_bytes >= 1000
+"""
+
+
+@query("op5_warc", _WARC_SQL)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = warc.write(read_table(spark, sf_dir, "pages"))
+    return warc.read(folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
