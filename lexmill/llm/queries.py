@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, token_counts, token_files, url_filters, warc, winnowing
+from . import bpe_codec, mixing, token_counts, token_files, url_filters, warc, winnowing
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,14 @@ FROM sized LEFT JOIN kept ON kept.same = sized.same AND payload_bytes >= 1000
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = warc.write(read_table(spark, sf_dir, "pages"))
     return warc.read(folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Weights that sources take in turn, what the mix holds of all words, and the most of one source.
+MIX_WEIGHTS, MIX_SHARE, MIX_MOST = [3, 1, 2], 1.5, 2.0
+
+
+@query("op1_source_mix")
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    mixed = mixing.mix_plan(docs, MIX_WEIGHTS, share=MIX_SHARE, most=MIX_MOST)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d.shard).alias("shards"))
