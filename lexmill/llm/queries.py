@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, mixing, token_counts, token_files, url_filters, warc, winnowing
+from . import bpe_codec, mixing, token_counts, token_files, url_filters, vector_search, warc, winnowing
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,9 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     mixed = mixing.mix_plan(docs, MIX_WEIGHTS, share=MIX_SHARE, most=MIX_MOST)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d.shard).alias("shards"))
+
+
+@query("op8_vector_search")
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return vector_search.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
