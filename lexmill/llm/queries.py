@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, mixing, token_counts, token_files, url_filters, vector_search, warc, winnowing
+from . import bpe_codec, language_id, mixing, token_counts, token_files, url_filters, vector_search, warc, winnowing
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,15 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return vector_search.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def held_out(doc_id="doc_id"):
+    """The fold that language identification never learns from; rows without an id can be learned from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    net = language_id.train(docs.where(~held_out()))
+    return language_id.predict(docs, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
