@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, mixing, token_counts, token_files, url_filters, vector_search, warc, winnowing
+from . import bpe_codec, language_id, mixing, ngram_join, token_counts, token_files, url_filters, vector_search, warc, winnowing
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,23 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     net = language_id.train(docs.where(~held_out()))
     return language_id.predict(docs, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+_JOIN_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) END) AS s FROM worded),
+sized AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM shingled x JOIN shingled y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sized p ON p.doc_id = a JOIN sized q ON q.doc_id = b WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+reach(doc_id, other) AS (SELECT a, b FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, (SELECT min(other) FROM reach r WHERE r.doc_id = d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sized s ON s.doc_id = d.doc_id
+"""
+
+
+@query("op10_ngram_join", _JOIN_SQL)
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(read_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
