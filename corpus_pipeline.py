@@ -1,4 +1,86 @@
-"""A corpus pipeline over the documents table, built from the training-data operators."""
+"""A corpus pipeline over the documents table, built from the training-data operators.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and all that its predecessor kept; all but
+the last return the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.llm import bpe_codec, language_id, mixing, ngram_join
+from lexmill.llm.common import small, store
+from lexmill.llm.queries import MIX_MOST, MIX_SHARE, MIX_WEIGHTS
+
+#: The language of a text is accepted from this mean probability on.
+LEAST_SCORE = 0.35
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the rows whose text has a recognised language.
+
+    The network learns from the labelled rows of its own input. Rows go if the text is
+    null or has no letter (``und``), or if no language reaches LEAST_SCORE; where no row
+    has a label nothing can be recognised and only ``und`` by its text goes. Rows and
+    columns are otherwise unchanged, repeated rows included.
+    """
+    columns = docs.columns
+    net = language_id.train(docs)
+    if net is None:
+        return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    whole = docs.select(F.struct(*[docs[c] for c in columns]).alias("doc"), docs["text"].alias("text"))
+    judged = language_id.predict(whole, net, keep=("doc",))
+    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc.*")
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of 5-word shingles at similarity 0.8 join, keep the smallest doc_id.
+
+    Rows repeated under the kept id stay once if they are equal in text and only one of
+    several texts under one id stays if they are linked; rows with a null id can't be
+    told apart and stay.
+    """
+    linked = ngram_join.link(docs.select("doc_id", "text"), words=5, num=80, den=100)
+    gone = store(linked.where("component_id <> doc_id").select("doc_id").distinct(), "pipeline-gone")
+    kept = docs.join(small(gone, gone.count(), 32), "doc_id", "left_anti").select(*docs.columns)
+    ids = linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not ids.limit(1).count():
+        return kept
+    repeated = store(ids.select("doc_id"), "pipeline-repeated")
+    side = small(repeated, repeated.count(), 32)
+    single = kept.join(side, "doc_id", "left_anti").select(*docs.columns)
+    return single.unionByName(kept.join(side, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: a row as often as the mix takes it, dealt out by output shard."""
+    return mixing.mix(docs, MIX_WEIGHTS, share=MIX_SHARE, most=MIX_MOST)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, n_tokens, ids (packed little-endian unsigned 32-bit integers) and the decoded text."""
+    coded = bpe_codec.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"))
+    return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_join", keep_one_of_each_group),
+    ("source_mix", mix_sources),
+    ("bpe_codec", encode_tokens),
+]
+
+#: The learned language filter and the hashed draws of the mix can't be said in SQL.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each stored and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = store(docs, f"pipeline-{name}")
+    return docs

@@ -173,3 +173,10 @@ FROM documents d LEFT JOIN sized s ON s.doc_id = d.doc_id
 @query("op10_ngram_join", _JOIN_SQL)
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(read_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module for the shared parameters
+
+    return corpus_pipeline.run(spark, sf_dir)
