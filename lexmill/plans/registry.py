@@ -21,3 +21,6 @@ def register(name: str, sql: str | None = None):
         return fn
 
     return put
+
+
+from . import management, preparation, retrieval  # noqa: E402, F401  they register their queries
