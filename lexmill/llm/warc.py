@@ -130,7 +130,7 @@ def keepers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     return groups.where("n > 1").select("digest", F.col("m.k").alias("keeper"), F.col("m.u").alias("keeper_url"))
 
 
-def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", folder: str | None = None) -> tuple[str, DataFrame]:
+def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", folder: str | None = None, segment_bytes: int = SEGMENT_BYTES) -> tuple[str, DataFrame]:
     """Write one record per row as gzipped WARC files; the folder and the manifest (name, n_records).
 
     Of rows with equal payloads of at least LEAST_REVISIT_BYTES bytes (UTF-8; null is
@@ -160,7 +160,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
         count = 0
         with new_file(folder, "pages", ".warc.gz") as (name, out):
             for row in chain([first], rows):
-                for x in records(*row):
+                for x in records(*row, segment_bytes):
                     out.write(x)
                     count += 1
         yield arrow_batch(listed, {"name": [name], "n_records": [count]})
