@@ -19,8 +19,30 @@ TOP_K_DEFAULT, TOP_K_MOST = 5, 20
 MAX_SUB_QUESTIONS, MAX_REPHRASINGS = 3, 1
 
 
+_SIMPLE = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "float": T.FloatType(), "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType()}
+
+
+def _fields(text: str, between: str) -> T.StructType:
+    parts, depth, at = [], 0, 0
+    for i, c in enumerate(text + ","):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            parts.append(text[at:i].strip())
+            at = i + 1
+    return T.StructType([T.StructField(name, _type(kind)) for name, kind in (p.split(between, 1) for p in parts)])
+
+
+def _type(text: str) -> T.DataType:
+    if text.startswith("array<"):
+        return T.ArrayType(_type(text[6:-1]))
+    if text.startswith("struct<"):
+        return _fields(text[7:-1], ":")
+    return _SIMPLE[text]
+
+
 def schema(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)  # type: ignore[return-value]
+    """A schema from "name type, ..."; needs no session, so workers can import this module."""
+    return _fields(text, " ")
 
 
 SECTIONS = schema("document_id string, category string, section_index int, section_number string, section_title string, text string")
