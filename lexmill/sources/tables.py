@@ -16,7 +16,8 @@ class SnapshotTable:
 
     A new snapshot is written beside the old one and becomes current by one rename of
     a pointer, so readers see the old or the new rows and a failed write changes
-    nothing. One writer at a time.
+    nothing. The snapshot before the current one stays until the next change, for
+    readers that have begun and for frames derived from it. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, partition_by: tuple[str, ...] = ()):
@@ -48,8 +49,10 @@ class SnapshotTable:
         self._fs.delete(self._path("_current"), True)
         if not self._fs.rename(self._path(staged), self._path("_current")):
             raise OSError(f"could not make {name} current")
-        if old:
-            self._fs.delete(self._path(old), True)
+        for status in self._fs.listStatus(self._path("")):
+            found = status.getPath().getName()
+            if found.startswith("snapshot-") and found not in (name, old):
+                self._fs.delete(status.getPath(), True)
 
 
 class LogTable:

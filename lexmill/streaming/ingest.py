@@ -23,12 +23,7 @@ def ingest_stream(documents: DataFrame, build: Callable[[DataFrame], tuple[DataF
             return
         new_points, new_rows = build(batch)
         after, rows, _report = ingest_documents(points.read(), registry.read(), new_points, new_rows)
-        after, rows = after.persist(), rows.persist()
-        try:
-            points.replace(after)
-            registry.replace(rows)
-        finally:
-            after.unpersist()
-            rows.unpersist()
+        points.replace(after)  # the registry's new rows still read the snapshot before it
+        registry.replace(rows)
 
     return documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
