@@ -31,8 +31,8 @@ FREQUENT = 16
 #: Sets whose prefix may lack more tokens than this index every token singly: pairs
 #: would be too many. Sets near the limit are indexed both ways.
 PAIR_SLACK = 8
-#: All pairs of unsettled buckets are verified once they are so few, or after so many
-#: rounds of checks against one class per bucket.
+#: All pairs of unsettled buckets are verified once they are so few, or once a round of
+#: checks against one class per bucket settles less than half of them, or after so many rounds.
 FEW_PAIRS, HUB_ROUNDS = 200_000, 6
 
 _SPACE = np.zeros(256, bool)
@@ -106,7 +106,7 @@ class Threshold:
 
     def extra(self, n):
         """Tokens by which the first prefix is longer than the slack: so many of it are shared."""
-        return max(1, min(self.slack(n) // 2, self.overlap(n)))
+        return max(1, min(self.slack(n), self.overlap(n)))
 
     def overlap_sql(self, n: str) -> str:
         return f"(({n} * {self.num} + {self.den - 1}) div {self.den})"
@@ -156,7 +156,7 @@ def signatures(tokens: list[tuple[int, int]], n: int, limit: Threshold, frequent
         if len(pairs) > 1:
             values = np.array([t for _, t in pairs], np.int64).view(np.uint64)
             for a in range(len(pairs) - 1):
-                hashes += (_mix(values[a] * np.uint64(3) + _mix(values[a + 1 :]))).view(np.int64).tolist()
+                hashes += (_mix(values[a : a + 1] * np.uint64(3) + _mix(values[a + 1 :]))).view(np.int64).tolist()
                 places += [rare + pairs[a][0]] * (len(pairs) - 1 - a)
     return hashes, places
 
@@ -165,14 +165,14 @@ def _name(tokens: np.ndarray) -> int | None:
     return int(np.bitwise_xor.reduce(_mix(tokens + np.uint64(len(tokens)))).view(np.int64)) if len(tokens) else None
 
 
-def _classes(docs: DataFrame, words: int, limit: Threshold, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Stored rows (id, n, k, twin, prefix) and the seed of their hashes.
+def _classes(docs: DataFrame, words: int, limit: Threshold, id_col: str, text_col: str, tag: Column) -> tuple[DataFrame, int]:
+    """Stored rows (id, tag, n, k, twin, prefix) and the seed of their hashes.
 
     k names the set; twin is a second hash of it, and if one name has several, all are
     named again with another seed. prefix: the set's first tokens in order of hash.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = struct(id=rows.schema["id"].dataType, n="long", k="long", twin="long", prefix="array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), tag.cast("long").alias("tag"), F.col(text_col).alias("text"))
+    schema = struct(id=rows.schema["id"].dataType, tag="long", n="long", k="long", twin="long", prefix="array<long>")
     for seed in range(8):
 
         def run(batch, seed=seed):
@@ -183,7 +183,7 @@ def _classes(docs: DataFrame, words: int, limit: Threshold, id_col: str, text_co
                 out["k"].append(_name(s))
                 out["twin"].append(int(np.add.reduce(_mix(s ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)) if n else None)
                 out["prefix"].append([] if limit.alone(n) else s[: limit.slack(n) + limit.extra(n)].view(np.int64).tolist())
-            yield arrow_batch(schema, out | {"id": batch.column("id")})
+            yield arrow_batch(schema, out | {c: batch.column(c) for c in ("id", "tag")})
 
         got = store(map_batches(rows, run, schema), "join-classes")
         if not got.where("k is not null").groupBy("k").agg((F.min("twin") != F.max("twin")).alias("x")).where("x").limit(1).count():
@@ -207,8 +207,8 @@ def _possible(limit: Threshold, x: str, y: str) -> Column:
     return limit.reachable(F.least(rest(x), rest(y)), F.col(f"{x}.n"), F.col(f"{y}.n"))
 
 
-def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """(id, n_shingles, component_id) of every row of ``docs``.
+def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, tag: Column | None = None) -> DataFrame:
+    """(id, n_shingles, component_id[, tag]) of every row of ``docs``.
 
     Documents link where the Jaccard similarity of their sets of ``words``-word shingles
     is at least num / den; component_id is the smallest id that links lead to, the
@@ -216,13 +216,14 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     on 64-bit hashes of the shingles, candidates come from an index that misses none.
     A null or empty text, or one without words, has an empty set and no links; fewer
     words than a shingle make one shingle of all. Equal sets link (repeated rows
-    too). A null id takes no part in links: its component_id is null. Other
-    columns aren't read; an empty table gives no rows.
+    too). A null id takes no part in links: its component_id is null. ``tag`` is passed
+    through as a long, to tell rows of one id apart. Other columns aren't read; an
+    empty table gives no rows.
     """
     if 2 * num <= den or num > den:
         raise ValueError("the similarity must be over 1/2 and at most 1")
     limit = Threshold(num, den)
-    slim, seed = _classes(docs, words, limit, id_col, text_col)
+    slim, seed = _classes(docs, words, limit, id_col, text_col, F.lit(None) if tag is None else tag)
     linked = slim.where("id is not null and n > 0")
     classes = store(linked.groupBy("k").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "join-sets")
     copies = linked.select("id", "k").join(classes.where("copies > 1").select("k", "rep"), "k").where("id <> rep").select("id", "k")
@@ -230,32 +231,29 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     first = linked.join(small(copies, copies.count(), 40), ["id", "k"], "left_anti")
 
     # (2) classes that share enough of their first prefix with other classes
-    postings = first.select("k", F.explode("prefix").alias("t"))
+    # (by id, which is shorter to shuffle; an id with several texts has the hits of all of them)
+    postings = first.select("id", F.explode("prefix").alias("t"))
     common = postings.groupBy("t").count().where("count > 1").select("t")
-    hits = postings.join(common, "t").groupBy("k").agg(F.count(F.lit(1)).alias("hits"))
+    hits = postings.join(common, "t").groupBy("id").agg(F.count(F.lit(1)).alias("hits"))
     overlap = F.expr(limit.overlap_sql("n"))
-    extra = F.greatest(F.lit(1), F.least(F.floor((F.col("n") - overlap) / 2), overlap))
-    kept = store(hits.join(classes, "k").where(F.col("hits") >= extra).select("k", F.col("rep").alias("id")), "join-kept")
+    extra = F.greatest(F.lit(1), F.least(F.col("n") - overlap, overlap))
+    kept = store(hits.join(classes.withColumnRenamed("rep", "id"), "id").where(F.col("hits") >= extra).select("k", "id"), "join-kept")
     n_kept = kept.count()
     discard(copies)
-    edges: list[DataFrame] = []
+    label = None
     if n_kept:
         sets = _shared_tokens(docs, kept, n_kept, words, seed, limit, id_col, text_col)
-        entries = _index(sets, limit, frequent)
-        edges = _edges(entries, sets, limit)
-    comps = None
-    for e in edges:
-        comps = e if comps is None else comps.unionByName(e)
-    if comps is None:
+        label = _components(_index(sets, limit, frequent), sets, limit)
+    if label is None:
         named = classes.select("k", F.col("rep").alias("component"))
     else:
-        found = connected_components(comps)
-        # the component's name among classes is a set's name; the smallest id is what counts
-        whole = classes.join(found.select(F.col("node").alias("k"), F.col("component").alias("c")), "k", "left").withColumn("c", F.coalesce("c", "k"))
+        # a component is named by one of its sets; the smallest id is what counts
+        whole = classes.join(label, "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
         names = whole.groupBy("c").agg(F.min("rep").alias("component"))
         named = whole.join(names, "c").select("k", "component")
-    out = slim.select("id", "n", "k").join(named, "k", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    out = slim.select("id", "tag", "n", "k").join(named, "k", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component, *([] if tag is None else ["tag"]))
 
 
 def _shared_tokens(docs: DataFrame, kept: DataFrame, n_kept: int, words: int, seed: int, limit: Threshold, id_col: str, text_col: str) -> DataFrame:
@@ -273,15 +271,16 @@ def _shared_tokens(docs: DataFrame, kept: DataFrame, n_kept: int, words: int, se
                 out["tokens"].append(s.view(np.int64).tolist())
         yield arrow_batch(schema, out)
 
-    full = store(map_batches(rows, run, schema), "join-tokens")
+    number = F.monotonically_increasing_id()  # written with the rows; shorter to shuffle than k
+    full = store(map_batches(rows, run, schema).withColumn("c", number), "join-tokens")
     if full.count() != n_kept:  # repeated rows
-        once = store(full.dropDuplicates(["k"]), "join-tokens")
+        once = store(full.drop("c").dropDuplicates(["k"]).withColumn("c", number), "join-tokens")
         discard(full)
         full = once
-    flat = full.select("k", F.explode("tokens").alias("t"))
+    flat = full.select("c", F.explode("tokens").alias("t"))
     counts = flat.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = flat.join(counts, "t").groupBy("k").agg(F.array_sort(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "t"))).alias("x"))
-    sets = shared.join(full.select("k", "n"), "k").where(F.size("x") >= F.expr(limit.overlap_sql("n")))
+    shared = flat.join(counts, "t").groupBy("c").agg(F.array_sort(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "t"))).alias("x"))
+    sets = shared.join(full.select("c", "k", "n"), "c").where(F.size("x") >= F.expr(limit.overlap_sql("n")))
     out = store(sets.select("k", "n", F.col("x.t").alias("tokens"), F.col("x.df").alias("counts")), "join-shared")
     discard(full)
     return out
@@ -303,15 +302,14 @@ def _index(sets: DataFrame, limit: Threshold, frequent: int) -> DataFrame:
     return store(flat.select(F.col("x.hashes").alias("s"), "k", "n", F.col("x.places").alias("place"), "rare"), "join-index")
 
 
-def _edges(entries: DataFrame, sets: DataFrame, limit: Threshold) -> list[DataFrame]:
-    """(5), (6) Stored edges (a, b) between classes that link; their components are those of all links.
+def _components(entries: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame | None:
+    """(5), (6) Stored (k, component) of the sets that link with another; None where none does.
 
     In each round a bucket's hub, of those left the class with the fewest unshared tokens, is
     verified against the bucket's classes of other components and then leaves the
     bucket. A bucket whose classes are all in one component is settled.
     """
-    edges: list[DataFrame] = []
-    rest, label = entries, None
+    edges, label, rest, before = None, None, entries, None
     for turn in range(HUB_ROUNDS + 1):
         now = rest.withColumn("c", F.col("k"))
         if label is not None:
@@ -322,17 +320,21 @@ def _edges(entries: DataFrame, sets: DataFrame, limit: Threshold) -> list[DataFr
         by_component = work.groupBy("s", "c").agg(F.count(F.lit(1)).alias("x"))
         left = by_component.groupBy("s").agg(((F.sum("x") * F.sum("x") - F.sum(F.col("x") * F.col("x"))) / 2).alias("p")).agg(F.sum("p")).first()[0]
         if not left:
-            break
-        if turn == HUB_ROUNDS or left <= FEW_PAIRS:
+            return label
+        stuck = before is not None and 2 * left > before
+        before = left
+        last = turn == HUB_ROUNDS or left <= FEW_PAIRS or stuck
+        if last:
             x, y = work.drop("h").alias("x"), work.drop("h").alias("y")
-            pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.c") != F.col("y.c")) & _possible(limit, "x", "y"))
-            edges.append(store(_verified(pairs.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct(), sets, limit), "join-edges"))
-            break
-        pairs = work.alias("x").where((F.col("x.c") != F.col("h.c")) & _possible(limit, "x", "h")).select(F.col("h.k").alias("a"), F.col("x.k").alias("b"))
-        edges.append(store(_verified(pairs.distinct(), sets, limit), "join-edges"))
-        whole = edges[0]
-        for e in edges[1:]:
-            whole = whole.unionByName(e)
-        label = store(connected_components(whole).select(F.col("node").alias("k"), "component"), "join-labels")
+            both = (F.col("x.s") == F.col("y.s")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.c") != F.col("y.c"))
+            pairs = x.join(y, both & _possible(limit, "x", "y")).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"))
+        else:
+            pairs = work.alias("x").where((F.col("x.c") != F.col("h.c")) & _possible(limit, "x", "h")).select(F.col("h.k").alias("a"), F.col("x.k").alias("b"))
+        found = store(_verified(pairs.distinct(), sets, limit), "join-edges")
+        if found.take(1):
+            edges = found if edges is None else edges.unionByName(found)
+            label = store(connected_components(edges).select(F.col("node").alias("k"), "component"), "join-labels")
+        if last:
+            return label
         rest = work.where("k <> h.k").select("s", "k", "n", "place", "rare")
-    return edges
+    return label
