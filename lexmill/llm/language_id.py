@@ -56,15 +56,15 @@ class ByteNet:
         pair = single[:, :-1] * 256 + single[:, 1:]
         features = []
         for t, steps, bias in zip(self.tables, self._pairs, self.biases):
-            width, n = len(t), windows.shape[1] - len(t) + 1
-            total = None
+            n, total = windows.shape[1] - len(t) + 1, None
             for s, step in enumerate(steps):
                 at = (pair if len(step) == 65536 else single)[:, 2 * s : 2 * s + n]
                 got = np.take(step, at, axis=0)
                 total = got if total is None else np.add(total, got, out=total)
-            assert width
             features.append(np.maximum(total.max(axis=1) + bias, 0))
-        return _softmax(np.concatenate(features, axis=1) @ self.dense + self.dense_bias)
+        # summed in one order, so that a window's result does not depend on its batch
+        joined = np.concatenate(features, axis=1)
+        return _softmax((joined[:, :, None] * self.dense[None]).sum(axis=1) + self.dense_bias)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
