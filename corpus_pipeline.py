@@ -38,20 +38,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of 5-word shingles at similarity 0.8 join, keep the smallest doc_id.
 
-    Rows repeated under the kept id stay once if they are equal in text and only one of
-    several texts under one id stays if they are linked; rows with a null id can't be
-    told apart and stay.
+    Rows are judged by id and text, so an id with several texts keeps those that stay; of
+    rows equal in both one stays. Rows with a null id take no part in links and stay.
     """
-    linked = ngram_join.link(docs.select("doc_id", "text"), words=5, num=80, den=100)
-    gone = store(linked.where("component_id <> doc_id").select("doc_id").distinct(), "pipeline-gone")
-    kept = docs.join(small(gone, gone.count(), 32), "doc_id", "left_anti").select(*docs.columns)
-    ids = linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not ids.limit(1).count():
-        return kept
-    repeated = store(ids.select("doc_id"), "pipeline-repeated")
-    side = small(repeated, repeated.count(), 32)
-    single = kept.join(side, "doc_id", "left_anti").select(*docs.columns)
-    return single.unionByName(kept.join(side, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    text = F.xxhash64("text")
+    linked = ngram_join.link(docs.select("doc_id", "text"), words=5, num=80, den=100, tag=text)
+    gone = store(linked.where("component_id <> doc_id").select("doc_id", F.col("tag").alias("__tag")).distinct(), "pipeline-gone")
+    tagged = docs.withColumn("__tag", text)
+    kept = tagged.join(small(gone, gone.count(), 40), ["doc_id", "__tag"], "left_anti")
+    again = store(linked.where("doc_id is not null").groupBy("doc_id", "tag").count().where("count > 1").select("doc_id", F.col("tag").alias("__tag")), "pipeline-repeated")
+    n_again = again.count()
+    if not n_again:
+        return kept.select(*docs.columns)
+    again = small(again, n_again, 40)
+    once = kept.join(again, ["doc_id", "__tag"], "left_anti")
+    several = kept.join(again, ["doc_id", "__tag"], "left_semi").dropDuplicates(["doc_id", "__tag"])
+    return once.unionByName(several).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
