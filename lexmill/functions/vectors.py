@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Up to so many components a product is one generated expression, beyond it a fold.
-UNROLL = 128
+UNROLL = 16
 
 
 def dot(a: Column, b: Column, dims: int | None = None) -> Column:
