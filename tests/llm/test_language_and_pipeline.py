@@ -147,7 +147,7 @@ def test_stages_take_odd_and_no_rows(spark):
     import corpus_pipeline
 
     docs = spark.createDataFrame(documents(), COLUMNS)
-    for rows in (docs, docs.limit(0), docs.withColumn("lang", F.lit(None).cast("string"))):
+    for rows in (docs.withColumn("lang", F.lit(None).cast("string")), docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, rows, "unused")
             assert out.count() <= 2 * rows.count()
