@@ -19,7 +19,8 @@ def retrieval_quality(vectors: DataFrame, dims: int | None = None) -> DataFrame:
     asked = unit.where("ordinal >= 0").select("chunk_id", "ordinal", "v", "n")
     cosine = F.round(dot(F.col("v"), F.col("w"), dims) / (F.col("n") * F.col("m")), 9)
     target = asked.join(own, F.col("chunk_id") == F.col("found")).select("chunk_id", "ordinal", "v", "n", cosine.alias("s"))
-    ahead = target.join(own, (cosine > F.col("s")) | ((cosine == F.col("s")) & (F.col("found") < F.col("chunk_id"))), "left")
-    ranked = ahead.groupBy("chunk_id", "ordinal").agg((F.count("found") + 1).alias("rank"))
+    # an inner join, so that without a small side it runs by pairs of partitions; the chunk itself is its rank's one
+    ahead = (cosine > F.col("s")) | ((cosine == F.col("s")) & (F.col("found") <= F.col("chunk_id"))) | (F.col("found") == F.col("chunk_id"))
+    ranked = target.join(own, ahead).groupBy("chunk_id", "ordinal").agg(F.count(F.lit(1)).alias("rank"))
     share = lambda k: F.round(F.avg((F.col("rank") <= k).cast("int")), 6)
     return ranked.agg(F.count(F.lit(1)).alias("questions"), share(1).alias("recall_1"), share(5).alias("recall_5"), F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr"))

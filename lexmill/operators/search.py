@@ -62,7 +62,7 @@ def sparse_scores(points: DataFrame, terms: DataFrame, weights: DataFrame, queri
     """Sum of tf(query) * tf(chunk) * idf over shared terms, for admitted chunks that share one."""
     keys = [c for c in ("query_id", "variant_id") if c in queries.columns]
     wanted = queries.select(*keys, F.explode(tokens("query")).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).cast("double").alias("q_tf"))
-    weighted = _bounded(wanted.join(weights.select("token", "idf"), "token"), n_queries and n_queries * 64, 64)
+    weighted = wanted.join(weights.select("token", "idf"), "token")
     hits = terms.join(weighted, "token").groupBy("chunk_id", *keys).agg(F.sum(F.col("q_tf") * F.col("tf") * F.col("idf")).alias("score"))
     meta = points.where(filters.actual()).select("chunk_id", "category", "audience", "topics")
     filtered = hits.join(meta, "chunk_id").join(_bounded(_asked(queries), n_queries, 200), keys)
