@@ -17,8 +17,8 @@ from heapq import heapify, heappop, heappush
 
 import regex
 
-#: Words kept per cache, and the longest word that is kept.
-CACHE_WORDS = 500_000
+#: Words kept per cache (their counts; their encoded bytes), and the longest word that is kept.
+CACHE_WORDS, CACHE_CHUNKS = 500_000, 300_000
 CACHE_LENGTH = 64
 
 
@@ -136,53 +136,48 @@ class WordBpe:
         self.suffix = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
+        names = {i: t for t, i in (self.vocab | self.special).items()}
+        self.tokens = [names.get(i) for i in range(max(names) + 1)]
         self.ranks = {f"{a} {b}": r for r, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern).findall
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.letters = byte_alphabet()
-        self.words = WordCache(self._word, CACHE_WORDS // 3)
-        self.chunks = WordCache(self._chunk)
+        self.words = WordCache(self._word, CACHE_CHUNKS // 5)
+        self.chunks = WordCache(self._chunk, CACHE_CHUNKS)
 
-    def _word(self, word: str) -> tuple[bytes, str]:
+    def _word(self, word: str) -> bytes:
         symbols = [self.letters[b] for b in word.encode()]
         symbols[-1] += self.suffix
         merge(symbols, self.ranks, " ")
-        ids = [i for s in symbols if s and (i := self.vocab.get(s)) is not None]
-        return array("I", ids).tobytes(), " ".join(self.tokens[i] for i in ids)
+        return array("I", [i for s in symbols if s and (i := self.vocab.get(s)) is not None]).tobytes()
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        found = [self.words[w] for w in self.split(chunk)]
-        return b"".join(x for x, _ in found), " ".join(x for _, x in found if x)
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join([self.words[w] for w in self.split(chunk)])
 
-    def _plain(self, text: str, out: list[tuple[bytes, str]]) -> None:
+    def _plain(self, text: str) -> bytes:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # each character is lower-cased by itself: no final sigma
         text = text.lower()
         chunks = text.split() if _ODD_SPACE.search(text) is None else regex.split(r"\s+", text)
-        out.extend(map(self.chunks.__getitem__, chunks))
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """The ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        out: list[tuple[bytes, str]] = []
-        if "<|" in text:
-            for part in self.specials.split(text):
-                if part in self.special:
-                    out.append((array("I", [self.special[part]]).tobytes(), part))
-                else:
-                    self._plain(part, out)
-        else:
-            self._plain(text, out)
-        return b"".join([x for x, _ in out]), " ".join([x for _, x in out if x])
+        return b"".join(map(self.chunks.__getitem__, chunks))
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        if "<|" not in text:
+            return self._plain(text)
+        return b"".join([array("I", [self.special[part]]).tobytes() if part in self.special else self._plain(part) for part in self.specials.split(text)])
 
     def decode(self, ids: bytes) -> str:
         """The vocabulary strings of packed ids, one space between; ids outside the vocabulary are left out."""
         got = array("I")
         got.frombytes(ids)
-        return " ".join([t for i in got if (t := self.tokens.get(i)) is not None])
+        try:
+            return " ".join(map(self.tokens.__getitem__, got))
+        except (IndexError, TypeError):
+            return " ".join([t for i in got if i < len(self.tokens) and (t := self.tokens[i]) is not None])
 
 
 #: Separators that str.split() takes for white space and the tokenizers' patterns don't.

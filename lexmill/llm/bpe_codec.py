@@ -26,8 +26,8 @@ def encode(docs: DataFrame, vocab_file: str, text_col: str = "text", keep: tuple
 
     def run(batch):
         codec = bpe.word_bpe(vocab_file)
-        out = [codec.encode(t) for t in texts_of(batch, "__text")]
-        columns = {c: batch.column(c) for c in kept} | {"ids": [x for x, _ in out], "decoded": [x for _, x in out]}
+        ids = [codec.encode(t) for t in texts_of(batch, "__text")]
+        columns = {c: batch.column(c) for c in kept} | {"ids": ids} | ({"decoded": [codec.decode(x) for x in ids]} if with_text else {})
         yield arrow_batch(schema, columns)
 
     return map_batches(rows, run, schema)

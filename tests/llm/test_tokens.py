@@ -40,10 +40,10 @@ def test_counts_as_sentencepiece(library, text):
 @given(TEXTS)
 def test_encodes_and_decodes_as_tokenizers(library, text):
     codec = bpe.word_bpe(P.path("word_bpe_49k.json"))
-    ids, decoded = codec.encode(text)
+    ids = codec.encode(text)
     want = library["word"].encode(text, add_special_tokens=False).ids
     assert np.frombuffer(ids, "<u4").tolist() == want
-    assert decoded == codec.decode(ids) == library["word"].decode(want, skip_special_tokens=False)
+    assert codec.decode(ids) == library["word"].decode(want, skip_special_tokens=False)
 
 
 @settings(max_examples=300, deadline=None)
