@@ -15,6 +15,7 @@ A reader takes the tail, then only the frames of the documents it wants.
 from __future__ import annotations
 
 import os
+import re
 import struct as pack
 import zlib
 from array import array
@@ -42,9 +43,17 @@ WITH_CHECKSUMS = 0x80
 LEVEL = 3
 
 
+# Letters, numbers and white space below U+0250, for the fast split.
+_L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+#: Words that a worker keeps encoded.
+KEPT_WORDS = 750_000
+
+
 class ByteLevelEncoder:
     """Ids of a byte-level tokenizers file; the library encodes each distinct word once per worker."""
 
+    LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
+    BEYOND = re.compile(r"[^\x00-\u024f]").search
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
 
     def __init__(self, file: str):
@@ -58,7 +67,7 @@ class ByteLevelEncoder:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.width = 2 if max([self.library.get_vocab_size(), *self.special.values()]) <= 0xFFFF else 4
         self.code = "H" if self.width == 2 else "I"
-        self.words = WordCache(self._word)
+        self.words = WordCache(self._word, KEPT_WORDS)
 
     def _word(self, word: str) -> bytes:
         return array(self.code, self.library.encode(word, add_special_tokens=False).ids).tobytes()
@@ -73,9 +82,10 @@ class ByteLevelEncoder:
 
     def _parts(self, text: str) -> list[str]:
         """Words and special strings, in order."""
+        split = self.LATIN if text.isascii() or self.BEYOND(text) is None else self.WORDS
         if not (self.specials and any(s in text for s in self.special)):
-            return self.WORDS(text)
-        return [w for part in self.specials.split(text) for w in ([part] if part in self.special else self.WORDS(part))]
+            return split(text)
+        return [w for part in self.specials.split(text) for w in ([part] if part in self.special else split(part))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text; the words that are new go to the library together."""
