@@ -8,16 +8,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import embedding_text, strip, strip_code_fence, strip_emphasis
-from ..providers import Embedder, Enricher, Expander, ProviderError, Reranker, Resilient
+from ..providers import CircuitOpen, ContentError, Embedder, Enricher, Expander, ProviderError, Reranker, Resilient
 from ..schemas import LEAST_QUESTIONS, QUESTIONS
 
 ENRICHMENT = "struct<synthetic_title:string,hypothetical_questions:array<string>>"
 
 
+def _text(value) -> str:
+    if not isinstance(value, str):
+        raise ContentError("no text")
+    return value
+
+
 def _provided(df: DataFrame, column: str, kind: T.DataType, ask, partitions: int | None) -> DataFrame:
     """``df`` plus ``column`` and ``error``: the provider's answer per row, or why there is none.
 
-    ``partitions`` bounds how many calls run at once.
+    ``partitions`` bounds how many calls run at once. A row's error is always its own: while
+    the circuit is open a task waits, and a circuit that a provider keeps itself fails the task.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(column, kind), T.StructField("error", T.StringType())])
 
@@ -29,6 +36,8 @@ def _provided(df: DataFrame, column: str, kind: T.DataType, ask, partitions: int
                 try:
                     answers.append(guard.call(ask, row))
                     errors.append(None)
+                except CircuitOpen:
+                    raise
                 except ProviderError as e:
                     answers.append(None)
                     errors.append(str(e))
@@ -61,7 +70,7 @@ def whole_documents(df: DataFrame, failed: str) -> tuple[DataFrame, DataFrame]:
 
 def enrich_chunks(chunks: DataFrame, provider: Enricher, partitions: int | None = 5) -> tuple[DataFrame, DataFrame]:
     """Chunks with synthetic_title and hypothetical_questions, and the failed documents."""
-    answered = _provided(chunks, "answer", T.StringType(), lambda row: provider.enrich(row.text), partitions)
+    answered = _provided(chunks, "answer", T.StringType(), lambda row: provider.enrich(_text(row.text)), partitions)
     parsed = parse_enrichment(answered).withColumn("failure", F.coalesce("error", "problem")).drop("error", "problem", "answer")
     return whole_documents(parsed, "failure")
 
@@ -72,9 +81,11 @@ def embed_chunks(chunks: DataFrame, provider: Embedder, partitions: int | None =
     kind = T._parse_datatype_string("array<array<float>>")
 
     def ask(row):
-        vectors = provider.embed([str(t) for t in row[-1]])
+        if row[-1] is None:
+            raise ContentError("no questions")
+        vectors = provider.embed([_text(t) for t in row[-1]])
         if any(len(v) != provider.dims for v in vectors):
-            raise ProviderError("a vector has another size")
+            raise ContentError("a vector has another size")
         return vectors
 
     done = _provided(listed, "__vectors", kind, ask, partitions).drop("__texts")
@@ -85,13 +96,13 @@ def embed_chunks(chunks: DataFrame, provider: Embedder, partitions: int | None =
 def embed_queries(queries: DataFrame, provider: Embedder, partitions: int | None = None) -> DataFrame:
     kind = T.ArrayType(T.FloatType())
     asked = queries.select(*[c for c in queries.columns if c != "query"], "query")
-    return _provided(asked, "vector", kind, lambda row: provider.embed([row[-1]])[0], partitions)
+    return _provided(asked, "vector", kind, lambda row: provider.embed([_text(row[-1])])[0], partitions)
 
 
 def expand_queries(queries: DataFrame, provider: Expander, partitions: int | None = None) -> DataFrame:
     """Queries with the provider's JSON answer; null where it failed."""
     asked = queries.select(*[c for c in queries.columns if c != "query"], "query")
-    return _provided(asked, "answer", T.StringType(), lambda row: provider.expand(row[-1]), partitions).drop("error")
+    return _provided(asked, "answer", T.StringType(), lambda row: provider.expand(_text(row[-1])), partitions).drop("error")
 
 
 def rerank_candidates(queries: DataFrame, candidates: DataFrame, provider: Reranker, partitions: int | None = None) -> DataFrame:
@@ -99,4 +110,4 @@ def rerank_candidates(queries: DataFrame, candidates: DataFrame, provider: Reran
     listed = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate"))).alias("c"))
     asked = queries.select("query_id", "top_k", "query").join(listed, "query_id", "left").select("query_id", "top_k", "query", F.transform(F.coalesce("c", F.expr("cast(array() as array<struct<rank:int,candidate:string>>)")), lambda x: x.candidate).alias("texts"))
     kind = T.ArrayType(T.IntegerType())
-    return _provided(asked, "indices", kind, lambda row: provider.rerank(row.query, list(row.texts), int(row.top_k)), partitions).select("query_id", "top_k", "indices")
+    return _provided(asked, "indices", kind, lambda row: provider.rerank(_text(row.query), list(row.texts), int(row.top_k)), partitions).select("query_id", "top_k", "indices")

@@ -185,12 +185,24 @@ def parse_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.parse_enrichment(rows).select("doc_id", "synthetic_title", "hypothetical_questions", "problem")
 
 
-@register("enrich_and_embed")
-def enrich_and_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks enriched and embedded by the offline providers; documents with a failure are left out whole."""
+def _embedded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Embedded chunks, and the documents that failed at either stage."""
     from ..providers import HashEmbedder, LeadEnricher
 
     rows = c.points(spark, sf_dir, vectors=False).select("chunk_id", "document_id", "chunk_index", "text")
-    enriched, _ = enrichment.enrich_chunks(rows, LeadEnricher(), None)
-    embedded, _ = enrichment.embed_chunks(enriched, HashEmbedder(c.DIMS), None)
+    enriched, unanswered = enrichment.enrich_chunks(rows, LeadEnricher(), None)
+    embedded, unplaced = enrichment.embed_chunks(enriched, HashEmbedder(c.DIMS), None)
+    return embedded, unanswered.withColumn("stage", F.lit("enrich")).unionByName(unplaced.withColumn("stage", F.lit("embed")))
+
+
+@register("enrich_and_embed")
+def enrich_and_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks enriched and embedded by the offline providers; documents with a failure are left out whole (``enrichment_failures``)."""
+    embedded, _ = _embedded(spark, sf_dir)
     return embedded.select("chunk_id", "synthetic_title", F.size("hypothetical_questions").alias("questions"), F.size("chunk_vector").alias("dims"), F.size("question_vectors").alias("vectors"))
+
+
+@register("enrichment_failures")
+def enrichment_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that ``enrich_and_embed`` leaves out, with their failed chunks and the first error."""
+    return _embedded(spark, sf_dir)[1]

@@ -2,6 +2,7 @@
 
 A provider object is shipped to the executors and used there for one partition at
 a time. ``Resilient`` adds retries, a circuit breaker and a rate limit to any call.
+What is wrong with a row itself is a ``ContentError``, which says nothing of the provider.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ class ProviderError(RuntimeError):
     """A provider could not answer."""
 
 
+class ContentError(ProviderError):
+    """A row that no provider can answer, or an answer of another form: asking again would not help."""
+
+
 class CircuitOpen(ProviderError):
     """Too many failures in a row; calls are refused for a while."""
 
@@ -55,8 +60,12 @@ class CircuitBreaker:
     failures: int = 0
     opened: float | None = None
 
+    def rest(self) -> float:
+        """Seconds until a call is let through again; 0 where the circuit is not open."""
+        return 0.0 if self.opened is None else max(0.0, self.opened + self.recovery - self.clock())
+
     def before(self) -> None:
-        if self.opened is not None and self.clock() - self.opened < self.recovery:
+        if self.rest():
             raise CircuitOpen("the circuit is open")
 
     def after(self, ok: bool) -> None:
@@ -93,7 +102,12 @@ def backoff(attempt: int, base: float = 0.5, most: float = 10.0, jitter: float =
 
 @dataclass
 class Resilient:
-    """Runs a call with retries, within a circuit breaker and a rate limit; the check is part of an attempt."""
+    """Runs a call with retries, within a circuit breaker and a rate limit; the check is part of an attempt.
+
+    The breaker counts one failure per call, after its last attempt. An open circuit is
+    waited for, so that no call is refused for the failures of others. A ``ContentError``
+    is raised at once: it isn't tried again and the breaker doesn't count it.
+    """
 
     retries: int = 3
     breaker: CircuitBreaker = field(default_factory=CircuitBreaker)
@@ -101,18 +115,19 @@ class Resilient:
     sleep: Callable[[float], None] = time.sleep
 
     def call(self, fn: Callable, *args, check: Callable | None = None):
+        if rest := self.breaker.rest():
+            self.sleep(rest)
         for attempt in range(1, self.retries + 1):
-            self.breaker.before()
             if self.limiter:
                 self.limiter.wait()
             try:
                 answer = fn(*args)
                 answer = check(answer) if check else answer
-            except CircuitOpen:
+            except (ContentError, CircuitOpen):
                 raise
             except Exception as e:
-                self.breaker.after(False)
                 if attempt == self.retries:
+                    self.breaker.after(False)
                     raise ProviderError(str(e)) from e
                 self.sleep(backoff(attempt))
             else:
@@ -138,7 +153,7 @@ class HashEmbedder:
                 v[h % self.dims] += 1.0 if h >> 63 else -1.0
             size = math.sqrt(sum(x * x for x in v))
             if not size:
-                raise ProviderError("empty vector")
+                raise ContentError("empty vector")
             out.append([x / size for x in v])
         return out
 

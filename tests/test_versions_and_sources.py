@@ -212,6 +212,47 @@ def test_breaker_limiter_and_retries():
     assert providers.backoff(20, rng=lambda: 0) == 10
 
 
+def test_the_breaker_counts_calls_and_is_waited_for():
+    now, pauses, asked = [0.0], [], []
+
+    def sleep(seconds):
+        pauses.append(seconds)
+        now[0] += seconds
+
+    guard = providers.Resilient(breaker=providers.CircuitBreaker(clock=lambda: now[0]), sleep=sleep)
+
+    def ask(x):
+        asked.append(x)
+        if x == "down":
+            raise ValueError(x)
+        if x == "odd":
+            raise providers.ContentError(x)
+        return x
+
+    for x in ["down"] * 4 + ["odd"] * 9:
+        with pytest.raises(providers.ProviderError, match=x):
+            guard.call(ask, x)
+    assert asked == ["down"] * 12 + ["odd"] * 9 and guard.breaker.failures == 4 and not guard.breaker.rest()
+    with pytest.raises(providers.ProviderError, match="down"):
+        guard.call(ask, "down")
+    assert guard.breaker.rest() == pytest.approx(30) and guard.call(ask, "good") == "good" and pauses[-1] == pytest.approx(30)
+    assert not guard.breaker.failures and not guard.breaker.rest()
+
+
+def test_bad_rows_spoil_no_good_ones(spark):
+    rows = [("a", None), ("b", None), ("c", "one two"), ("d", "—"), ("e", "…"), ("f", "three"), ("g", "!")] + [(f"h{i}", f"word {i}") for i in range(3)]
+    df = spark.createDataFrame([(d, 0, t) for d, t in rows], "document_id string, chunk_index int, text string").coalesce(1)
+    enriched, unanswered = enrichment.enrich_chunks(df, providers.LeadEnricher(), None)
+    embedded, unplaced = enrichment.embed_chunks(enriched, providers.HashEmbedder(8), None)
+    assert sorted(r.document_id for r in embedded.collect()) == ["c", "f", "h0", "h1", "h2"]
+    assert sorted((r.document_id, r.error) for r in unanswered.collect()) == [("a", "no text"), ("b", "no text")]
+    assert sorted((r.document_id, r.error) for r in unplaced.collect()) == [(d, "empty vector") for d in "deg"]
+    twice = spark.createDataFrame([(d, 0, "bad" if d in "ab" else "ok") for d in "abcd"], "document_id string, chunk_index int, text string").coalesce(1)
+    kept, report = enrichment.enrich_chunks(twice, Failing(), None)  # errors of the provider, two in a row
+    assert sorted(r.document_id for r in kept.collect()) == ["c", "d"]
+    assert sorted((r.document_id, r.error) for r in report.collect()) == [("a", "no answer"), ("b", "no answer")]
+
+
 def test_offline_providers():
     embedder = providers.HashEmbedder(8)
     a, b = embedder.embed(["one two", "one two"])
