@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from .components import connected_components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+#: What the named character references of HTML stand for.
+_NAMED = json.dumps({name[:-1]: text for name, text in html5.items() if name.endswith(";")})
 #: Up to so many rules are tested inside the scan; more go through a join on host suffixes.
 INLINE_RULES = 256
 
@@ -64,18 +69,55 @@ def node_of(url: Column) -> Column:
     return F.concat(F.translate(head, _UPPER, _LOWER), F.substr(bare, F.length(head) + 1))
 
 
+def unescaped(text: Column) -> Column:
+    """HTML character references, named or by number and closed by a semicolon, as what they stand for."""
+    named = F.from_json(F.lit(_NAMED), "map<string,string>")
+
+    def piece(x: Column) -> Column:
+        ref = F.regexp_extract(x, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        code = F.when(ref.rlike("^#[xX]"), F.conv(F.substr(ref, F.lit(3)), 16, 10)).when(ref.startswith("#"), F.substr(ref, F.lit(2))).cast("int")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(ref != "", F.try_element_at(named, ref))
+        return F.coalesce(F.concat(char, F.substr(x, F.length(ref) + 2)), F.concat(F.lit("&"), x))
+
+    parts = F.split(text, "&")
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(piece(x))), "")).otherwise(text)
+
+
+def _undotted(path: Column) -> Column:
+    """A path that starts with a slash, without its ``.`` and ``..`` segments."""
+    parts = F.split(F.concat(path, F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x))))
+    return F.when(path.contains("/."), F.array_join(kept, "/")).otherwise(path)
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """The url that ``target`` names on the page ``base``, without fragment; null where it names none."""
+    bare = F.regexp_replace(F.trim(target), r"(?s)#.*$", "")
+    origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path, query = F.regexp_extract(bare, r"(?s)^([^?]*)", 1), F.regexp_extract(bare, r"(?s)^[^?]*(.*)$", 1)
+    folder = F.when(path_of(base) == "", "/").otherwise(F.regexp_replace(path_of(base), r"[^/]*$", ""))
+    within = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
+    return (
+        F.when(bare.rlike(_SCHEME + "//"), bare)
+        .when((bare == "") | bare.rlike(_SCHEME) | (origin == ""), F.lit(None).cast("string"))
+        .when(bare.startswith("//"), F.concat(F.regexp_extract(origin, r"(?s)^(.*?:)//", 1), bare))
+        .when(bare.startswith("?"), F.concat(origin, path_of(base), bare))
+        .otherwise(F.concat(origin, _undotted(within), query))
+    )
+
+
 def alias_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): a page's url and the target of its canonical link or of its refresh redirect."""
-    tag = F.regexp_extract(html_col, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    canonical = F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    meta = F.regexp_extract(html_col, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    refresh = F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
+    """(a, b): a page's url and the targets of all its canonical links and refresh redirects."""
+    tags = F.regexp_extract_all(html_col, F.lit(r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), F.lit(0))
+    canonical = F.transform(tags, lambda x: F.regexp_extract(x, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
+    metas = F.regexp_extract_all(html_col, F.lit(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), F.lit(0))
+    refresh = F.transform(metas, lambda x: F.regexp_extract(x, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
     url = F.col(url_col)
-    origin = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    found = pages.where(url.isNotNull() & F.col(html_col).isNotNull()).select(url.alias("__url"), origin.alias("__origin"), F.explode(F.array(canonical, refresh)).alias("__to")).where("__to <> ''")
-    scheme = F.regexp_extract("__origin", r"(?s)^(.*?:)//", 1)
-    full = F.when(F.col("__to").contains("://"), F.col("__to")).when(F.col("__to").startswith("//"), F.concat(scheme, "__to")).when(F.col("__to").startswith("/"), F.concat("__origin", "__to"))
-    return found.select(node_of(F.col("__url")).alias("a"), node_of(full).alias("b")).where("b is not null")
+    # two passes in the generator: each step is planned once, however often the next one names it
+    targets = F.transform(F.transform(F.concat(canonical, refresh), unescaped), lambda x: resolve(F.trim(url), x))
+    found = pages.where(url.isNotNull() & F.col(html_col).isNotNull()).select(url.alias("__url"), F.explode(targets).alias("__to")).where("__to is not null")
+    return found.select(node_of(F.col("__url")).alias("a"), node_of(F.col("__to")).alias("b"))
 
 
 def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, url_col: str = "url", html_col: str | None = "html", id_col: str = "page_id", default: str = "allow") -> DataFrame:
@@ -86,7 +128,8 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     redirects join urls into classes of aliases, also by way of urls that are no
     page. Where no rule fits a page, its class decides: an explicit allow of any
     member wins, else an explicit block of any member blocks, else ``default``.
-    Relative targets other than ``/...`` and ``//...`` are not links. A url that is
+    Relative targets are resolved against the page's url (``base`` tags aren't read) and
+    their character references decoded; targets of schemes without ``//`` are not links. A url that is
     null or has no ``://`` has an empty host and path and the default verdict;
     repeated rows are judged each; other columns aren't read; empty tables give no rows.
     """

@@ -133,3 +133,27 @@ def test_block_decisions_reach_aliases_and_allow_takes_precedence(spark):
     assert verdicts == [(1, "block"), (2, "block"), (3, "allow"), (4, "block"), (5, "allow"), (6, "allow"), (7, "allow"), (8, "allow"), (9, "allow"), (10, "block"), (10, "block"), (11, "allow")]
     assert url_filters.judge(df.limit(0), RULES).count() == 0
     assert url_filters.judge(df, RULES, html_col=None).where("verdict = 'block'").count() == 1
+
+
+def test_all_forms_of_link_targets(spark):
+    cases = [
+        ("es/home", "http://x.net/a/es/home"), ("../page.html", "http://x.net/page.html"), ("../../../p", "http://x.net/p"), ("./c/./d/..", "http://x.net/a/c/"), ("?id=1", "http://x.net/a/b?id=1"),
+        ("/r/../s?u=../t", "http://x.net/s?u=../t"), ("//Y.org/z", "http://y.org/z"), ("HTTPS://Y.org/Z#top", "https://y.org/Z"), ("go?to=http://y.org/", "http://x.net/a/go?to=http://y.org/"),
+        ("?a=1&amp;b=2&#38;c=&#x1F642;&eacute;&amp;lt;&none;&d", "http://x.net/a/b?a=1&b=2&c=🙂é&lt;&none;&d"), ("&#0;&#xD800;", None), ("mailto:a@b", None), ("#top", None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    base = url_filters.F.lit("http://x.net/a/b?q=/1#f")
+    got = [r.u for r in df.orderBy("i").select(url_filters.node_of(url_filters.resolve(base, url_filters.unescaped(df.t))).alias("u")).collect()]
+    assert got == ["http://x.net/a/" + t.split("#")[0] if u is None and t.startswith("&") else u for t, u in cases]
+
+
+def test_relative_escaped_and_repeated_links_carry_decisions(spark):
+    link = lambda to: f'<link rel="canonical" href="{to}">'
+    fresh = lambda to: f'<meta http-equiv="refresh" content="0; url={to}">'
+    rows = [
+        (1, "http://b.net", fresh("es/home")), (2, "http://b.net/fr/x", link("../es/")),
+        (3, "http://c.org/3", link("http://c.org/none") + link("http://b.net/es/3")), (4, "http://c.org/4", fresh("#") + fresh("//b.net/es/4")),
+        (5, "http://d.org/5", link("/m?a=1&amp;b=2")), (6, "http://d.org/m?a=1&b=2", link("http://b.net/es/6")), (7, "http://e.org/7", link("es/")),
+    ]
+    got = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES)
+    assert {r.page_id: r.verdict for r in got.collect()} == {i: "block" if i < 7 else "allow" for i in range(1, 8)}
