@@ -20,7 +20,7 @@ _OPEN, _MIDDLE, _CLOSE = "\x01", "\x02", "\x03"
 
 def _pieces(text: Column, pattern: str, keep: str) -> Column:
     """The text after each match, each piece led by ``keep`` in marks; what precedes the first match is dropped."""
-    return F.slice(F.split(F.regexp_replace(F.translate(text, _OPEN + _MIDDLE + _CLOSE, ""), pattern, _OPEN + keep + _CLOSE), _OPEN), 2, 1_000_000)
+    return F.filter(F.split(F.regexp_replace(F.translate(text, _OPEN + _MIDDLE + _CLOSE, ""), pattern, _OPEN + keep + _CLOSE), _OPEN), lambda _, i: i > 0)
 
 
 def _exploded(docs: DataFrame, pattern: str, keep: str) -> DataFrame:

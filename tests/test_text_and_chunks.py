@@ -73,6 +73,11 @@ def test_heading_sections(spark):
     assert cut(spark, sections.heading_sections, "") == [(0, None, "d", "")]
 
 
+def test_sections_have_no_most(spark):
+    pieces = sections._pieces(F.repeat(F.lit("# a\n"), 1_000_002), sections.HEADING, "$1")
+    assert spark.range(1).select(F.size(pieces)).first()[0] == 1_000_002
+
+
 def test_preprocess_takes_the_category_s_structure(spark):
     rows = [("a", "federal_law", LAW), ("b", "case_law", "1. Пункт"), ("c", "authorial", "# Раздел\nт"), ("e", "other_npa", "без пунктов")]
     got = sections.preprocess(spark.createDataFrame(rows, "document_id string, category string, raw_text string"))
