@@ -129,17 +129,18 @@ def has_letter(text: str) -> bool:
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", per_label: int = LABEL_TEXTS, per_text: int = TEXT_WINDOWS) -> ByteNet | None:
     """A network trained on a bounded sample of the labelled rows; None where there are none.
 
-    About ``per_label`` texts of each label at most (chosen by a hash of the text, so
-    reruns agree), ``per_text`` evenly spaced windows of each. Rows whose label is null
+    About ``per_label`` distinct texts of each label at most (chosen by a hash of the text,
+    so reruns agree; copies count once), ``per_text`` evenly spaced windows of each. Rows whose label is null
     or whose text is null or has no letter are not used.
     """
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    mark = F.xxhash64(F.lit(17), "text")
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count_distinct(mark).alias("n")).collect()}
     if not counts:
         return None
     shares = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, per_label / n))])
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit(17), "text"), 11) / F.lit(float(1 << 53))
-    picked = rows.where(chance < F.element_at(shares, F.col("label")))
+    chance = F.shiftrightunsigned(mark, 11) / F.lit(float(1 << 53))
+    picked = rows.where(chance < F.element_at(shares, F.col("label"))).distinct()
     schema = struct(label="string", window="binary")
 
     def cut(batches):

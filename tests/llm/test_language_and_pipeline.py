@@ -94,6 +94,16 @@ def test_the_sample_is_bounded(spark):
     assert 100 < seen[0] < 300
 
 
+def test_copies_count_once_in_the_sample(spark, monkeypatch):
+    texts = spark.range(1000).select(F.concat(F.lit("the text "), F.col("id")).alias("text"))
+    drawn = texts.orderBy(F.shiftrightunsigned(F.xxhash64(F.lit(17), "text"), 11)).first().text
+    docs = texts.unionByName(spark.range(3000).select(F.lit(drawn).alias("text"))).withColumn("lang", F.lit("en"))
+    seen = []
+    monkeypatch.setattr(lid, "fit", lambda windows, *a, **k: seen.append([w.tobytes() for w in windows]))
+    lid.train(docs, per_label=100)
+    assert 50 < len(seen[0]) < 150 and len(set(seen[0])) == len(seen[0])
+
+
 # the pipeline
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
