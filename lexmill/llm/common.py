@@ -1,4 +1,4 @@
-"""Shared plumbing: the shared folder, stored tables, Arrow row mapping and size-checked broadcasts."""
+"""Shared plumbing: the shared folder, stored tables, Arrow row mapping, size-checked broadcasts, joins on hot keys."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Largest estimated size of a table that is broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Rows of a piece that a heavy key is dealt out in, at least, and heavy keys of a table at most.
+PIECE_ROWS, MOST_HEAVY = 512, 1 << 18
 #: Rows and text bytes handed back to the JVM in one Arrow batch.
 BATCH_ROWS = 512
 BATCH_BYTES = 4 << 20
@@ -66,6 +68,28 @@ def small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+def heavy_keys(counts: DataFrame, key: str, rows: int, count: str = "count") -> DataFrame:
+    """(key, __pieces) of the keys with very many of a table's ``rows``, from its counts by key: at most MOST_HEAVY of them."""
+    most = max(PIECE_ROWS, -(-rows // MOST_HEAVY))
+    return counts.where(F.col(count) > most).select(key, F.ceil(F.col(count) / most).cast("int").alias("__pieces"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, by: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, the keys of ``heavy`` dealt over several tasks.
+
+    A heavy key's rows in ``left`` go to pieces by a hash of the columns ``by``, and each piece
+    meets a copy of the key's rows in ``right``. Rows of ``left`` with a null key meet
+    nothing and are dealt out likewise. ``how`` is inner or left.
+    """
+    few = F.broadcast(heavy)
+    dealt = F.xxhash64(*by)
+    piece = F.when(F.col(key).isNull(), F.pmod(dealt, F.lit(1 << 16))).otherwise(F.pmod(dealt, F.coalesce("__pieces", F.lit(1)))).cast("int")
+    one = left.join(few, key, "left").withColumn("__piece", piece).drop("__pieces")
+    copies = F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1)
+    other = right.join(few, key, "left").withColumn("__piece", F.explode(copies)).drop("__pieces")
+    return one.join(other, [key, "__piece"], how).drop("__piece")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,8 +1,9 @@
 """Distributed connected components by alternating large-star and small-star steps.
 
 Each step is one aggregate (combined before its shuffle, so a node with very many
-edges costs one row per task) and one join; edges are stored between steps, so lost
-executors cost one step. Nodes may be of any ordered type. O(log n) rounds.
+edges costs one row per task) and one join, in which such a node's edges are dealt over
+several tasks; edges are stored between steps, so lost executors cost one step. Nodes
+may be of any ordered type. O(log n) rounds.
 """
 
 from __future__ import annotations
@@ -10,17 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, store
+from .common import discard, heavy_keys, spread_join, store
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over edges (u > v): link the neighbours on one side of a node to its smallest neighbour."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select("u", "v")
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    if large:
-        moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        moved = both.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    counted = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("count"))
+    heavy, least = heavy_keys(counted, "u", 2 * edges.count()), counted.drop("count")
+    joined = spread_join(both.where("v > u") if large else both, least, "u", heavy, ("v",))
+    moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if not large:
+        moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
     return moved.where("u <> v").distinct()
 
 

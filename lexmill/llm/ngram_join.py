@@ -1,39 +1,42 @@
 """Jaccard self-join of documents on word n-grams, as components of linked documents.
 
 Token-combination prefixes: the tokens (hashes of n-grams) of a set are put in one
-global order, rarest first. Two sets that link share, within a prefix of each, a rare
-token, or two tokens of the frequent class; so rare tokens are indexed singly and
-frequent ones in pairs, over a prefix extended by what pairs need. Candidates from
-the index are verified by exact intersection.
+global order, rarest first. Where two sets link, their first common token is rare and within a
+prefix of both, or all their common tokens are of the frequent class and, within a
+prefix extended for it, two of them stand next to each other in both sets: what only one
+of the sets holds can part only so many neighbours. So rare tokens are indexed
+singly, and frequent ones in combinations of two neighbours, as many as the prefix is long.
+Candidates from the index are verified by exact intersection.
 
 Steps: (1) equal sets become one class; (2) a first prefix in order of hash leaves out
 classes that share too little of it with any other class; (3) document frequencies of
-the remaining tokens, combined before their shuffle; (4) the index; (5) candidates: in
-each bucket of the index the class with the fewest unshared tokens is verified against
-the others, which joins a group of near copies by as many checks as it has
-members; (6) pairs of a bucket that are still in different components are
-verified, all of them.
+the remaining tokens, combined before their shuffle; (4) the index; (5) rounds over the
+buckets of the index: some hubs of a bucket, eight times as many in each round, are
+verified against its other classes and leave the bucket. So does what is linked to a hub
+that has no set of another component within twice the linking distance: Jaccard distance
+is a metric, so what is near to the hub can't link with what is farther away. A group of near
+copies costs about one check a member, several groups in one bucket about one round each of
+them. A bucket whose classes are in one component is settled; the rounds end with the last open one.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, discard, map_batches, small, store, struct, texts_of
+from .common import BROADCAST_BYTES, arrow_batch, discard, heavy_keys, map_batches, small, spread_join, store, struct, texts_of
 from .components import connected_components
 
-#: A token that more classes hold is of the frequent class and indexed in pairs.
+#: A token that more classes hold is of the frequent class and indexed in combinations.
 FREQUENT = 16
-#: Sets whose prefix may lack more tokens than this index every token singly: pairs
-#: would be too many. Sets near the limit are indexed both ways.
-PAIR_SLACK = 8
-#: All pairs of unsettled buckets are verified once they are so few, or once a round of
-#: checks against one class per bucket settles less than half of them, or after so many rounds.
-FEW_PAIRS, HUB_ROUNDS = 200_000, 6
+#: Hubs of a bucket in a round, as a multiple of those in the round before; the first has one.
+MORE_HUBS = 8
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -108,6 +111,22 @@ class Threshold:
         """Tokens by which the first prefix is longer than the slack: so many of it are shared."""
         return max(1, min(self.slack(n), self.overlap(n)))
 
+    def differing(self, n):
+        """The most tokens that only one of two linked sets holds, one of them of n tokens."""
+        union = n * self.den // self.num
+        return union - self.overlap(union)
+
+    @cached_property
+    def short(self) -> int:
+        """Sets of fewer tokens may link without two common tokens that are neighbours in both."""
+        sure = 2 * self.den // (2 * self.num - self.den) + 1
+        return 1 + max((u for u in range(1, sure + 1) if 2 * self.overlap(u) < u + 2), default=0)
+
+    @property
+    def twice(self) -> Threshold:
+        """The similarity at twice the distance of this one."""
+        return Threshold(2 * self.num - self.den, self.den)
+
     def overlap_sql(self, n: str) -> str:
         return f"(({n} * {self.num} + {self.den - 1}) div {self.den})"
 
@@ -123,42 +142,28 @@ class Threshold:
         return self.holds(F.least(shared, a, b), a, b)
 
 
-def signatures(tokens: list[tuple[int, int]], n: int, limit: Threshold, frequent: int) -> tuple[list[int], list[int]]:
-    """Index entries of a set: (hash, place of its first token in the order) lists.
+def signatures(tokens: np.ndarray, counts: np.ndarray, n: int, limit: Threshold, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index entries of a set of n: hashes, the place in the order of each one's first token, frequent tokens before it.
 
-    ``tokens`` are (frequency, token) of the tokens that other sets hold too, ascending;
-    the n - len(tokens) unshared ones stand before them. The prefix ends once
-    so many tokens are in it that a set lacking no more than the slack must share a rare
-    token or two frequent ones: one frequent token does not count.
+    ``tokens`` are those that other sets hold too, ascending by (count, token); the
+    n - len(tokens) unshared ones stand before them. At most slack tokens are not common, so
+    the first common one is among the first slack + 1. If it is rare it is indexed. If not, no
+    rare token is common, and of the common ones in order c1, c2, ... the first two with
+    nothing between them in either set are at most as many gaps on as tokens differ:
+    in this set the second of them stands at or before slack + differing - rare ones + 1.
     """
-    slack, rare = limit.slack(n), n - len(tokens)
-    need = slack + 1 - rare
-    if need <= 0 or limit.alone(n):
-        return [], []
-    low = slack * limit.num // limit.den - 1  # a linked set's slack may be this much smaller or larger
-    high = -(-(slack + 1) * limit.den // limit.num)
-    alone = len(tokens[:need]) if high > PAIR_SLACK else 0
-    hashes, places = [t for _, t in tokens[:alone]], list(range(rare, rare + alone))
-    if low <= PAIR_SLACK:
-        pairs, got, seen = [], 0, 0
-        for i, (df, t) in enumerate(tokens):
-            if df <= frequent:
-                if i >= alone:
-                    hashes.append(t)
-                    places.append(rare + i)
-                got += 1
-            else:
-                pairs.append((i, t))
-                seen += 1
-                got += seen > 1
-            if got >= need:
-                break
-        if len(pairs) > 1:
-            values = np.array([t for _, t in pairs], np.int64).view(np.uint64)
-            for a in range(len(pairs) - 1):
-                hashes += (_mix(values[a : a + 1] * np.uint64(3) + _mix(values[a + 1 :]))).view(np.int64).tolist()
-                places += [rare + pairs[a][0]] * (len(pairs) - 1 - a)
-    return hashes, places
+    slack, unshared = limit.slack(n), n - len(tokens)
+    if unshared > slack or limit.alone(n):
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    first = slack + 1 - unshared
+    n_rare = int(np.searchsorted(counts, frequent, side="right"))
+    alone = first if n < limit.short else min(n_rare, first)
+    ahead = unshared + n_rare
+    chain = tokens[n_rare : n_rare + max(0, slack + limit.differing(n) - 2 * ahead + 2)].view(np.uint64) if ahead <= slack else tokens[:0].view(np.uint64)
+    pairs = _mix(chain[:-1] * np.uint64(3) + _mix(chain[1:])).view(np.int64)
+    steps = np.arange(len(pairs), dtype=np.int32)
+    singles = tokens[:alone]
+    return np.concatenate([singles, pairs]), np.concatenate([unshared + np.arange(len(singles), dtype=np.int32), ahead + steps]), np.concatenate([np.zeros(len(singles), np.int32), steps])
 
 
 def _name(tokens: np.ndarray) -> int | None:
@@ -192,19 +197,30 @@ def _classes(docs: DataFrame, words: int, limit: Threshold, id_col: str, text_co
     raise RuntimeError("set names keep clashing")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
-    """Those (a, b) whose sets are similar enough, by exact intersection."""
-    left = sets.select(F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
+def _compared(pairs: DataFrame, sets: DataFrame, hubs: DataFrame, limit: Threshold) -> DataFrame:
+    """Stored (a, b, linked) of those pairs of a hub a and a class b that are within twice the linking distance, by exact intersection."""
+    n_hubs, tokens = hubs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    left = sets.join(small(hubs.select("k"), n_hubs, 24), "k", "left_semi").select(F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
     right = sets.select(F.col("k").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    both = pairs.join(right, "b")
+    if 8 * tokens + 64 * n_hubs <= BROADCAST_BYTES:
+        both = both.join(F.broadcast(left), "a")
+    else:
+        both = spread_join(both, left, "a", heavy_keys(pairs.groupBy("a").count(), "a", pairs.count()), ("b",))
     shared = F.size(F.array_intersect("t_a", "t_b"))
-    return both.where(limit.holds(shared, F.col("n_a"), F.col("n_b"))).select("a", "b")
+    close = both.select("a", "b", "n_a", "n_b", shared.alias("shared")).where(limit.twice.holds(F.col("shared"), F.col("n_a"), F.col("n_b")))
+    return store(close.select("a", "b", limit.holds(F.col("shared"), F.col("n_a"), F.col("n_b")).alias("linked")), "join-compared")
+
 
+def _possible(limit: Threshold) -> Column:
+    """Of two entries of a bucket: can their sets link if this is the first entry that they share?
 
-def _possible(limit: Threshold, x: str, y: str) -> Column:
-    """Of two entries of a bucket: can their sets link if this is the first token that they share?"""
-    rest = lambda s: F.col(f"{s}.n") - F.col(f"{s}.place")
-    return limit.reachable(F.least(rest(x), rest(y)), F.col(f"{x}.n"), F.col(f"{y}.n"))
+    Common tokens before a combination are frequent, and each of them is parted from the next
+    by a token of one set only: at most a third of the frequent tokens before it in both.
+    """
+    rest = F.least(F.col("n") - F.col("place"), F.col("h_n") - F.col("h_place"))
+    missed = F.least(F.col("before"), F.col("h_before"), F.expr("(before + h_before) div 3"))
+    return limit.reachable(rest + missed, F.col("n"), F.col("h_n"))
 
 
 def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, tag: Column | None = None) -> DataFrame:
@@ -226,7 +242,9 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     slim, seed = _classes(docs, words, limit, id_col, text_col, F.lit(None) if tag is None else tag)
     linked = slim.where("id is not null and n > 0")
     classes = store(linked.groupBy("k").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "join-sets")
-    copies = linked.select("id", "k").join(classes.where("copies > 1").select("k", "rep"), "k").where("id <> rep").select("id", "k")
+    # a set that very many documents hold is dealt over several tasks
+    heavy = heavy_keys(classes, "k", slim.count(), "copies")
+    copies = spread_join(linked.select("id", "k"), classes.where("copies > 1").select("k", "rep"), "k", heavy, ("id",)).where("id <> rep").select("id", "k")
     copies = store(copies, "join-copies")
     first = linked.join(small(copies, copies.count(), 40), ["id", "k"], "left_anti")
 
@@ -251,7 +269,7 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
         whole = classes.join(label, "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
         names = whole.groupBy("c").agg(F.min("rep").alias("component"))
         named = whole.join(names, "c").select("k", "component")
-    out = slim.select("id", "tag", "n", "k").join(named, "k", "left")
+    out = spread_join(slim.select("id", "tag", "n", "k"), named, "k", heavy, ("id", "tag"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component, *([] if tag is None else ["tag"]))
 
@@ -286,55 +304,70 @@ def _shared_tokens(docs: DataFrame, kept: DataFrame, n_kept: int, words: int, se
     return out
 
 
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column as arrays."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+
+
 def _index(sets: DataFrame, limit: Threshold, frequent: int) -> DataFrame:
-    """(4) Stored index entries (s, k, n, place, rare) of buckets with several sets."""
-    schema = struct(k="long", n="long", rare="long", hashes="array<long>", places="array<int>")
+    """(4) Stored index entries (s, k, n, place, before, rare)."""
+    schema = struct(k="long", n="long", rare="long", hashes="array<long>", places="array<int>", befores="array<int>")
 
     def run(batch):
-        out: dict[str, list] = {c: [] for c in schema.fieldNames()}
-        for k, n, tokens, counts in zip(*[batch.column(c).to_pylist() for c in ("k", "n", "tokens", "counts")]):
-            hashes, places = signatures(list(zip(counts, tokens)), n, limit, frequent)
-            for c, x in zip(schema.fieldNames(), (k, n, n - len(tokens), hashes, places)):
-                out[c].append(x)
-        yield arrow_batch(schema, out)
+        sizes = batch.column("n").to_pylist()
+        found = [(n - len(t), *signatures(t, c, n, limit, frequent)) for n, t, c in zip(sizes, _arrays(batch.column("tokens")), _arrays(batch.column("counts")))]
+        columns = zip(*found) if found else [[]] * 4
+        yield arrow_batch(schema, {"k": batch.column("k"), "n": batch.column("n")} | dict(zip(("rare", "hashes", "places", "befores"), map(list, columns))))
 
-    flat = map_batches(sets, run, schema).select("k", "n", "rare", F.explode(F.arrays_zip("hashes", "places")).alias("x"))
-    return store(flat.select(F.col("x.hashes").alias("s"), "k", "n", F.col("x.places").alias("place"), "rare"), "join-index")
+    flat = map_batches(sets, run, schema).select("k", "n", "rare", F.explode(F.arrays_zip("hashes", "places", "befores")).alias("x"))
+    return store(flat.select(F.col("x.hashes").alias("s"), "k", "n", F.col("x.places").alias("place"), F.col("x.befores").alias("before"), "rare"), "join-index")
 
 
 def _components(entries: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame | None:
-    """(5), (6) Stored (k, component) of the sets that link with another; None where none does.
-
-    In each round a bucket's hub, of those left the class with the fewest unshared tokens, is
-    verified against the bucket's classes of other components and then leaves the
-    bucket. A bucket whose classes are all in one component is settled.
-    """
-    edges, label, rest, before = None, None, entries, None
-    for turn in range(HUB_ROUNDS + 1):
+    """(5) Stored (k, component) of the sets that link with another; None where none does."""
+    edges, label, rest, each = None, None, entries, 1
+    while True:
         now = rest.withColumn("c", F.col("k"))
         if label is not None:
-            now = rest.join(label, "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
-        hub = F.min(F.struct("rare", "n", "k", "place", "c")).alias("h")
-        unsettled = now.groupBy("s").agg(hub, F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("s", "h")
-        work = store(now.join(unsettled, "s"), "join-open")
-        by_component = work.groupBy("s", "c").agg(F.count(F.lit(1)).alias("x"))
-        left = by_component.groupBy("s").agg(((F.sum("x") * F.sum("x") - F.sum(F.col("x") * F.col("x"))) / 2).alias("p")).agg(F.sum("p")).first()[0]
-        if not left:
+            now = rest.join(small(label, label.count(), 24), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+        # of each component in a bucket the class with the fewest unshared tokens; the largest components first
+        hub = F.min(F.struct("rare", F.xxhash64("k"), "k", "n", "place", "before")).alias("h")
+        per = now.groupBy("s", "c").agg(F.count(F.lit(1)).alias("size"), hub)
+        turn = F.row_number().over(Window.partitionBy("s").orderBy(F.col("size").desc(), "h"))
+        tops = store(per.withColumn("turn", turn).where(F.col("turn") <= each + 1).select("s", "turn", F.col("c").alias("h_c"), F.col("h.k").alias("h_k"), F.col("h.n").alias("h_n"), F.col("h.place").alias("h_place"), F.col("h.before").alias("h_before")), "join-hubs")
+        open_ = tops.where("turn = 2").select("s")
+        n_open = open_.count()
+        if not n_open:
             return label
-        stuck = before is not None and 2 * left > before
-        before = left
-        last = turn == HUB_ROUNDS or left <= FEW_PAIRS or stuck
-        if last:
-            x, y = work.drop("h").alias("x"), work.drop("h").alias("y")
-            both = (F.col("x.s") == F.col("y.s")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.c") != F.col("y.c"))
-            pairs = x.join(y, both & _possible(limit, "x", "y")).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"))
+        hubs = store(tops.where(F.col("turn") <= each).drop("turn").join(small(open_, n_open, 24), "s", "left_semi"), "join-open")
+        discard(tops)
+        open_, n_hubs = hubs.select("s").distinct(), hubs.count()
+        work = now.join(small(open_, n_open, 24), "s", "left_semi")
+        if n_hubs * 72 <= BROADCAST_BYTES:
+            met = work.join(F.broadcast(hubs), "s")
         else:
-            pairs = work.alias("x").where((F.col("x.c") != F.col("h.c")) & _possible(limit, "x", "h")).select(F.col("h.k").alias("a"), F.col("x.k").alias("b"))
-        found = store(_verified(pairs.distinct(), sets, limit), "join-edges")
+            met = spread_join(work, hubs, "s", heavy_keys(rest.groupBy("s").count(), "s", rest.count()), ("k",))
+        if each == 1:
+            met = met.where((F.col("c") != F.col("h_c")) & _possible(limit))
+        else:  # all that may be near, also of the hub's own component
+            met = met.where((F.col("k") != F.col("h_k")) & limit.twice.reachable(F.least("n", "h_n"), F.col("n"), F.col("h_n")))
+        met = met.select("s", F.col("h_k").alias("a"), F.col("k").alias("b"))
+        pairs = store(met.select("a", "b").distinct(), "join-pairs")
+        checked = _compared(pairs, sets, hubs.select(F.col("h_k").alias("k"), F.col("h_n").alias("n")).distinct(), limit)
+        discard(pairs)
+        found = checked.where("linked").select("a", "b")
         if found.take(1):
             edges = found if edges is None else edges.unionByName(found)
             label = store(connected_components(edges).select(F.col("node").alias("k"), "component"), "join-labels")
-        if last:
-            return label
-        rest = work.where("k <> h.k").select("s", "k", "n", "place", "rare")
-    return label
+        gone = hubs.select("s", F.col("h_k").alias("k"))
+        if each > 1 and label is not None:
+            of = lambda x: small(label, n_label, 24).select(F.col("k").alias(x), F.col("component").alias(f"c_{x}"))
+            n_label = label.count()
+            known = checked.join(of("a"), "a", "left").join(of("b"), "b", "left")
+            ringed = known.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a").distinct()
+            near = found.join(ringed, "a", "left_anti")
+            gone = gone.unionByName(met.join(near, ["a", "b"]).select("s", F.col("b").alias("k"))).distinct()
+        left = store(work.drop("c").join(gone, ["s", "k"], "left_anti").select(*entries.columns), "join-rest")
+        discard(rest)
+        rest, each = left, each * MORE_HUBS

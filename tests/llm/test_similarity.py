@@ -175,9 +175,9 @@ def near_corpus(seed, n=160):
     return rows
 
 
-@pytest.mark.parametrize("seed,few,frequent", [(1, 200_000, 16), (2, 0, 2), (3, 0, 16), (4, 5, 1)])
-def test_join_against_brute_force(spark, monkeypatch, seed, few, frequent):
-    monkeypatch.setattr(ngram_join, "FEW_PAIRS", few)
+@pytest.mark.parametrize("seed,more,frequent", [(1, 8, 16), (2, 2, 2), (3, 64, 4), (4, 8, 1)])
+def test_join_against_brute_force(spark, monkeypatch, seed, more, frequent):
+    monkeypatch.setattr(ngram_join, "MORE_HUBS", more)
     rows = near_corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for k, num, den in ((4, 85, 100), (5, 80, 100), (1, 60, 100))[: 3 if seed == 1 else 1]:
@@ -215,12 +215,50 @@ def test_index_misses_no_link(frequent):
                 s = [t for t in base if rng.random() > 0.06] + rng.sample(universe, 2)
                 sets.append(set(s))
             df = Counter(t for s in sets for t in s)
-            entries = [set(ngram_join.signatures(sorted((df[t], t) for t in s if df[t] > 1), len(s), limit, frequent)[0]) for s in sets]
+            entries = []
+            for s in sets:
+                held = sorted((df[t], t) for t in s if df[t] > 1)
+                found = ngram_join.signatures(np.array([t for _, t in held], np.int64), np.array([c for c, _ in held], np.int64), len(s), limit, frequent)
+                entries.append({h: (len(s), p, b) for h, p, b in zip(*(x.tolist() for x in found))})
+                assert len(found[0]) <= limit.slack(len(s)) * 2 + limit.differing(len(s)) + 3  # in proportion to the prefix
             for i in range(6):
                 for j in range(i):
                     both = len(sets[i] & sets[j])
                     if sets[i] != sets[j] and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
-                        assert entries[i] & entries[j]
+                        met = [(entries[i][h], entries[j][h]) for h in entries[i].keys() & entries[j].keys()]
+                        # an entry in common, and one at which the places allow for the link
+                        assert any(both <= min(n - p, m - q) + min(a, b, (a + b) // 3) for (n, p, a), (m, q, b) in met)
+
+
+def shared_passage(n, seed=9, groups=5):
+    """n documents with one passage, in groups of templates whose words still more documents hold."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(121)]
+    bodies = [[word() for _ in range(80)] for _ in range(groups)]
+    other = [[word() for _ in range(200)] for _ in range(groups)]
+    edit = lambda w: [word() if rng.random() < 0.004 else x for x in w]
+    rows = [edit(passage + bodies[i % groups]) for i in range(n)] + [edit(bodies[i % groups] + other[i % groups]) for i in range(2 * n)]
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_checked_pairs_grow_with_the_rows(spark, monkeypatch):
+    """Documents that share a frequent passage but do not link are not checked pair by pair."""
+    real, checked = ngram_join._compared, []
+
+    def counted(pairs, *rest):
+        checked[-1] += pairs.count()
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_compared", counted)
+    for n in (150, 600):
+        checked.append(0)
+        rows = shared_passage(n)
+        got = ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+        if n == 150:
+            assert Counter(map(tuple, got)) == brute_join(rows, 4, 85, 100)
+        assert len({r.component_id for r in got}) < n  # the templates' groups
+    assert checked[1] <= 6 * checked[0] and checked[1] < 600 * 600 / 4
 
 
 def test_shingle_sets_count_words_as_defined():
