@@ -21,6 +21,9 @@ CLEANING = (
 )
 # Spelled-out forms of common legal abbreviations.
 ABBREVIATIONS = ((r"(?U)\bст\.", "статья"), (r"(?U)\bтк\s+рф\b", "трудовой кодекс"), (r"(?U)\bфз\b", "федеральный закон"))
+# What is taken off a model's answer, a surrounding code fence and Markdown emphasis next to quotes.
+FENCE = r"^```[a-zA-Z]*\n?|```\s*$"
+EMPHASIS = r'(?<=")[_*]+|[_*]+(?=")'
 #: Characters per estimated token.
 CHARS_PER_TOKEN = 4
 #: Namespace of name-based UUIDs for URLs (RFC 4122).
@@ -77,12 +80,12 @@ def embedding_text(title: Column | str, text: Column | str) -> Column:
 
 def strip_code_fence(col: Column | str) -> Column:
     """A model's answer without a surrounding Markdown code fence."""
-    return strip(F.regexp_replace(strip(col), r"^```[a-zA-Z]*\n?|```\s*$", ""))
+    return strip(F.regexp_replace(strip(col), FENCE, ""))
 
 
 def strip_emphasis(col: Column | str) -> Column:
     """JSON without Markdown emphasis next to its quotes."""
-    return F.regexp_replace(col, r'(?<=")[_*]+|[_*]+(?=")', "")
+    return F.regexp_replace(col, EMPHASIS, "")
 
 
 def contains_text(columns: list[str], needle: Column | str) -> Column:

@@ -50,7 +50,7 @@ def _windows(target: int, overlap: int):
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: word_windows(t, target, overlap))
+            yield texts.map(lambda t: None if t is None else word_windows(t, target, overlap))
 
     return run
 
@@ -77,10 +77,10 @@ def atomic_units(sections: DataFrame, target: int = TARGET, overlap: int = OVERL
     """
     once = sections.select("*", F.posexplode(_cut(F.col("text"), target)).alias("p", "__u"))
     twice = once.select("*", F.posexplode(_cut(F.col("__u"), target)).alias("q", "__v")).drop("__u")
-    fits = estimated_tokens("__v") <= target
-    kept = twice.where(fits).select("*", F.lit(0).alias("w"), strip("__v").alias("unit")).where("unit <> ''")
-    long = twice.where(~fits).select("*", F.posexplode(_windows(target, overlap)("__v")).alias("w", "unit"))
-    return kept.unionByName(long).drop("__v")
+    long = F.when(estimated_tokens("__v") > target, F.col("__v"))  # null where there is nothing to cut
+    cut = twice.withColumn("__w", _windows(target, overlap)(long))
+    units = F.coalesce("__w", F.filter(F.array(strip("__v")), lambda x: x != ""))
+    return cut.select(*twice.columns, F.posexplode(units).alias("w", "unit")).drop("__v")
 
 
 def pack(units: Column, target: int = TARGET) -> Column:

@@ -2,39 +2,75 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import embedding_text, strip, strip_code_fence, strip_emphasis
-from ..providers import CircuitOpen, ContentError, Embedder, Enricher, Expander, ProviderError, Reranker, Resilient
+from ..functions.text import EMPHASIS, FENCE, embedding_text, strip, strip_code_fence, strip_emphasis
+from ..providers import CircuitOpen, ContentError, Embedder, Enricher, Expander, ProviderError, RateLimiter, Reranker, Resilient
 from ..schemas import LEAST_QUESTIONS, QUESTIONS
 
 ENRICHMENT = "struct<synthetic_title:string,hypothetical_questions:array<string>>"
 
 
 def _text(value) -> str:
-    if not isinstance(value, str):
+    if not isinstance(value, str) or not value.strip():
         raise ContentError("no text")
     return value
 
 
-def _provided(df: DataFrame, column: str, kind: T.DataType, ask, partitions: int | None) -> DataFrame:
+def _parsed(answer: str):
+    """A model's JSON answer without code fence and emphasis; ValueError where it is none."""
+    return json.loads(re.sub(EMPHASIS, "", re.sub(FENCE, "", answer.strip()).strip()))
+
+
+def checked_enrichment(answer: str) -> str:
+    """The answer itself; ValueError where it breaks the contract, so that the provider is asked again."""
+    got = _parsed(answer)
+    title, questions = got.get("synthetic_title"), got.get("hypothetical_questions")
+    if not isinstance(title, str) or not title:
+        raise ValueError("no title")
+    if not isinstance(questions, list) or not LEAST_QUESTIONS <= sum(isinstance(q, str) and bool(q.strip()) for q in questions) <= QUESTIONS:
+        raise ValueError("wrong number of questions")
+    return answer
+
+
+def checked_expansion(answer: str) -> str:
+    if not isinstance(_parsed(answer).get("variants"), list):
+        raise ValueError("no variants")
+    return answer
+
+
+#: The guard of each kind of provider in this worker process: tasks share its breaker.
+_guards: dict[str, Resilient] = {}
+
+
+def _provided(df: DataFrame, column: str, kind: T.DataType, provider, ask: Callable, partitions: int | None, check: Callable | None = None) -> DataFrame:
     """``df`` plus ``column`` and ``error``: the provider's answer per row, or why there is none.
 
-    ``partitions`` bounds how many calls run at once. A row's error is always its own: while
-    the circuit is open a task waits, and a circuit that a provider keeps itself fails the task.
+    ``partitions`` bounds how many calls run at once; a provider's ``rate`` (calls a second
+    of the whole job, or None) is divided among them. ``check`` runs within the retries. A
+    row's error is always its own: while the circuit is open a task waits, and a circuit that
+    a provider keeps itself fails the task.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(column, kind), T.StructField("error", T.StringType())])
+    rate, name = getattr(provider, "rate", None), f"{type(provider).__module__}.{type(provider).__qualname__}"
+    dealt = df.repartition(partitions) if partitions else df
+    share = rate / (partitions or dealt.rdd.getNumPartitions()) if rate else None
 
     def run(batches):
-        guard = Resilient()
+        guard = _guards.setdefault(name, Resilient())
+        guard.limiter = RateLimiter(share) if share else None
         for rows in batches:
             answers, errors = [], []
             for row in rows.itertuples(index=False):
                 try:
-                    answers.append(guard.call(ask, row))
+                    answers.append(guard.call(ask, row, check=check))
                     errors.append(None)
                 except CircuitOpen:
                     raise
@@ -43,7 +79,7 @@ def _provided(df: DataFrame, column: str, kind: T.DataType, ask, partitions: int
                     errors.append(str(e))
             yield rows.assign(**{column: pd.Series(answers, dtype=object, index=rows.index), "error": pd.Series(errors, dtype=object, index=rows.index)})
 
-    return (df.repartition(partitions) if partitions else df).mapInPandas(run, schema)
+    return dealt.mapInPandas(run, schema)
 
 
 def parse_enrichment(df: DataFrame, column: str = "answer") -> DataFrame:
@@ -70,7 +106,7 @@ def whole_documents(df: DataFrame, failed: str) -> tuple[DataFrame, DataFrame]:
 
 def enrich_chunks(chunks: DataFrame, provider: Enricher, partitions: int | None = 5) -> tuple[DataFrame, DataFrame]:
     """Chunks with synthetic_title and hypothetical_questions, and the failed documents."""
-    answered = _provided(chunks, "answer", T.StringType(), lambda row: provider.enrich(_text(row.text)), partitions)
+    answered = _provided(chunks, "answer", T.StringType(), provider, lambda row: provider.enrich(_text(row.text)), partitions, checked_enrichment)
     parsed = parse_enrichment(answered).withColumn("failure", F.coalesce("error", "problem")).drop("error", "problem", "answer")
     return whole_documents(parsed, "failure")
 
@@ -88,26 +124,26 @@ def embed_chunks(chunks: DataFrame, provider: Embedder, partitions: int | None =
             raise ContentError("a vector has another size")
         return vectors
 
-    done = _provided(listed, "__vectors", kind, ask, partitions).drop("__texts")
+    done = _provided(listed, "__vectors", kind, provider, ask, partitions).drop("__texts")
     good, report = whole_documents(done, "error")
     return good.withColumns({"chunk_vector": F.get("__vectors", F.lit(0)), "question_vectors": F.slice("__vectors", 2, QUESTIONS)}).drop("__vectors"), report
 
 
 def embed_queries(queries: DataFrame, provider: Embedder, partitions: int | None = None) -> DataFrame:
-    kind = T.ArrayType(T.FloatType())
+    """Queries with their vector, or null and the error."""
     asked = queries.select(*[c for c in queries.columns if c != "query"], "query")
-    return _provided(asked, "vector", kind, lambda row: provider.embed([_text(row[-1])])[0], partitions)
+    return _provided(asked, "vector", T.ArrayType(T.FloatType()), provider, lambda row: provider.embed([_text(row[-1])])[0], partitions)
 
 
 def expand_queries(queries: DataFrame, provider: Expander, partitions: int | None = None) -> DataFrame:
     """Queries with the provider's JSON answer; null where it failed."""
     asked = queries.select(*[c for c in queries.columns if c != "query"], "query")
-    return _provided(asked, "answer", T.StringType(), lambda row: provider.expand(_text(row[-1])), partitions).drop("error")
+    return _provided(asked, "answer", T.StringType(), provider, lambda row: provider.expand(_text(row[-1])), partitions, checked_expansion).drop("error")
 
 
 def rerank_candidates(queries: DataFrame, candidates: DataFrame, provider: Reranker, partitions: int | None = None) -> DataFrame:
     """(query_id, top_k, indices) for candidates (query_id, rank, candidate); null indices where the provider failed."""
-    listed = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate"))).alias("c"))
-    asked = queries.select("query_id", "top_k", "query").join(listed, "query_id", "left").select("query_id", "top_k", "query", F.transform(F.coalesce("c", F.expr("cast(array() as array<struct<rank:int,candidate:string>>)")), lambda x: x.candidate).alias("texts"))
-    kind = T.ArrayType(T.IntegerType())
-    return _provided(asked, "indices", kind, lambda row: provider.rerank(_text(row.query), list(row.texts), int(row.top_k)), partitions).select("query_id", "top_k", "indices")
+    listed = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "candidate"))).alias("c"))
+    texts = F.transform(F.coalesce("c", F.expr("cast(array() as array<struct<rank:int,candidate:string>>)")), lambda x: x.candidate)
+    asked = queries.select("query_id", "top_k", "query").join(listed, "query_id", "left").select("query_id", "top_k", "query", texts.alias("texts"))
+    return _provided(asked, "indices", T.ArrayType(T.IntegerType()), provider, lambda row: provider.rerank(_text(row.query), list(row.texts), int(row.top_k)), partitions).select("query_id", "top_k", "indices")

@@ -55,46 +55,82 @@ def mark_inactive(registry: DataFrame, replaced: DataFrame) -> DataFrame:
     return joined.withColumn("is_active", F.col("is_active") & F.col("__gone").isNull()).select(*registry.columns)
 
 
+def _updates(updates: DataFrame) -> DataFrame:
+    """(parent_id, __u): a section's updates in order of date and version, each version once with its last date."""
+    once = updates.groupBy("parent_id", "version").agg(F.max("effective_date").alias("effective_date"))
+    return once.groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("effective_date", "version"))).alias("__u"))
+
+
 def supersede_sections(points: DataFrame, updates: DataFrame) -> DataFrame:
     """Flag what section updates (parent_id, version, effective_date) replace.
 
-    Actual chunks of the parent in other versions stop being actual, until the update's date.
+    Actual chunks of the parent in other versions stop being actual, until the update's
+    date. Several updates of a section count in order of date and then version, as if
+    one came after the other: a chunk ends with the first update of another version.
     """
-    marks = updates.select("parent_id", F.col("version").alias("__version"), F.col("effective_date").alias("__from"))
-    joined = points.join(marks, "parent_id", "left")
-    hit = F.coalesce(F.col("is_actual") & (F.col("version") != F.col("__version")), F.lit(False))
+    joined = points.join(_updates(updates), "parent_id", "left")
+    first = F.get(F.filter("__u", lambda u: u["version"] != F.col("version")), F.lit(0))
+    hit = F.coalesce(F.col("is_actual"), F.lit(False)) & first.isNotNull()
     return joined.withColumns({
-        "effective_until": F.when(hit, F.col("__from")).otherwise(F.col("effective_until")),
+        "effective_until": F.when(hit, first["effective_date"]).otherwise(F.col("effective_until")),
         "is_actual": F.when(hit, F.lit(False)).otherwise(F.col("is_actual")),
     }).select(*points.columns)
 
 
-def ingest_documents(points: DataFrame, registry: DataFrame, new_points: DataFrame, new_rows: DataFrame, purge_same_version: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest_documents(points: DataFrame, registry: DataFrame, new_points: DataFrame, new_rows: DataFrame, purge_same_version: bool = False, order: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(points, registry, report) after whole documents are ingested.
 
     New chunks are put in by id; every other version of their documents is deleted,
-    and made inactive in the registry. Chunks of the same version that the new text no
-    longer has stay, unless ``purge_same_version``.
+    and made inactive in the registry. Of several versions of a document in ``new_rows``
+    the last by ``order`` (by version, if not given) is kept, as if they came one after the
+    other: the earlier ones are inactive rows of the registry without chunks, and
+    reported as replaced. Chunks of the same version that the new text no longer has stay,
+    unless ``purge_same_version``.
     """
-    arrived = new_rows.select("document_id", F.col("version").alias("__new"))
+    by = [F.col("version").desc()] if order is None else [order.desc(), F.col("version").desc()]
+    first = Window.partitionBy("document_id").orderBy(*by)
+    placed = new_rows.withColumn("__last", F.first_value("version").over(first)).withColumn("__n", F.row_number().over(Window.partitionBy("document_id", "version").orderBy(*by)))
+    placed = placed.where("__n = 1").drop("__n")
+    won = F.col("version") == F.col("__last")
+    arrived = placed.where(won).select("document_id", F.col("version").alias("__new"))
+
     current = points.join(arrived, "document_id", "left")
     stale = (F.col("version") != F.col("__new")) | F.lit(purge_same_version)
     kept = current.where(F.col("__new").isNull() | ~stale).select(*points.columns)
-    after = upsert(kept, new_points, "chunk_id", order=F.col("chunk_index"))
-    replaced = current.where(F.col("__new").isNotNull() & (F.col("version") != F.col("__new"))).select("document_id", "version").distinct()
-    rows = mark_inactive(upsert(registry, new_rows, "document_id", "version", keep=("created_at",)), replaced)
-    counts = new_points.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks_count"))
+    mine = new_points.join(arrived.select("document_id", F.col("__new").alias("version")), ["document_id", "version"], "left_semi")
+    after = upsert(kept, mine, "chunk_id", order=F.col("chunk_index"))
+
+    incoming = placed.withColumn("is_active", F.col("is_active") & won).drop("__last")
+    listed = upsert(registry, incoming, "document_id", "version", keep=("created_at",)).join(arrived, "document_id", "left")
+    in_force = F.col("__new").isNull() | (F.col("version") == F.col("__new"))
+    rows = listed.withColumn("is_active", F.col("is_active") & in_force).select(*registry.columns)
+
+    replaced = points.select("document_id", "version").join(arrived, "document_id").where("version <> __new").select("document_id", "version")
+    replaced = replaced.unionByName(placed.where(~won).select("document_id", "version"))
+    counts = mine.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks_count"))
     dropped = replaced.groupBy("document_id").agg(F.sort_array(F.collect_set("version")).alias("replaced_versions"))
-    report = new_rows.select("document_id", "version").join(counts, "document_id", "left").join(dropped, "document_id", "left")
+    report = arrived.withColumnRenamed("__new", "version").join(counts, "document_id", "left").join(dropped, "document_id", "left")
     return after, rows, report.withColumns({"chunks_count": F.coalesce("chunks_count", F.lit(0)), "replaced_versions": F.coalesce("replaced_versions", F.array().cast("array<string>"))})
 
 
 def ingest_sections(points: DataFrame, new_points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(points, report) after single sections are replaced; history stays, the registry is not touched."""
-    updates = new_points.groupBy("parent_id").agg(F.max("version").alias("version"), F.max("effective_date").alias("effective_date"))
-    old = points.join(updates.select("parent_id", F.col("version").alias("__v")), "parent_id").where("is_actual and version <> __v")
+    """(points, report) after single sections are replaced; history stays, the registry is not touched.
+
+    Of several updates of a section the last is actual, the earlier ones are history that
+    ends with the update after them.
+    """
+    updates = new_points.select("parent_id", "version", "effective_date")
+    listed = _updates(updates)
+    own = F.element_at(F.filter("__u", lambda u: u["version"] == F.col("version")), 1)
+    after_it = F.get(F.filter("__u", lambda u: u > F.col("__own")), F.lit(0))
+    dated = new_points.join(listed, "parent_id").withColumn("__own", own).withColumn("__next", after_it)
+    dated = dated.withColumns({
+        "effective_until": F.when(F.col("__next").isNotNull(), F.col("__next.effective_date")).otherwise(F.col("effective_until")),
+        "is_actual": F.col("is_actual") & F.col("__next").isNull(),
+    }).select(*new_points.columns)
+    old = points.where("is_actual").join(listed, "parent_id").where(F.exists("__u", lambda u: u["version"] != F.col("version")))
     report = old.groupBy("parent_id").agg(F.sort_array(F.collect_list("chunk_id")).alias("replaced_ids"))
-    return upsert(supersede_sections(points, updates), new_points, "chunk_id", order=F.col("chunk_index")), report
+    return upsert(supersede_sections(points, updates), dated, "chunk_id", order=F.col("chunk_index")), report
 
 
 def actual_chunk_counts(points: DataFrame) -> DataFrame:

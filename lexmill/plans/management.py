@@ -118,6 +118,32 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.ingest_documents(*_revisions(spark, sf_dir))[2]
 
 
+# Two new versions of every third document in one batch; the later one counts.
+_TWICE_SQL = "again AS (SELECT DISTINCT document_id FROM points WHERE (doc_id // 4) % 3 = 0)"
+
+
+def _two_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    stored, registry, new, rows = _revisions(spark, sf_dir)
+    later = new.withColumns({"chunk_id": F.concat("chunk_id", F.lit("x")), "version": F.lit("v3")})
+    return lifecycle.ingest_documents(stored, registry, new.unionByName(later), rows.unionByName(rows.withColumn("version", F.lit("v3"))))
+
+
+@register("ingest_two_versions", c.with_sql(c.POINTS_SQL, _TWICE_SQL) + """
+SELECT chunk_id, document_id, version FROM points WHERE document_id NOT IN (SELECT document_id FROM again)
+UNION ALL SELECT DISTINCT (doc_id + 1000000) || 'x', document_id, 'v3' FROM points WHERE document_id IN (SELECT document_id FROM again)""")
+def ingest_two_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points after a batch with two versions of a document."""
+    return _two_versions(spark, sf_dir)[0].select("chunk_id", "document_id", "version")
+
+
+@register("ingest_two_versions_registry", c.with_sql(c.POINTS_SQL, _REGISTRY_SQL, _TWICE_SQL) + """
+SELECT document_id, version, is_active AND document_id NOT IN (SELECT document_id FROM again) AS is_active FROM registry
+UNION ALL SELECT document_id, 'v2', false FROM again UNION ALL SELECT document_id, 'v3', true FROM again""")
+def ingest_two_versions_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry after it: the earlier of the two is there and inactive."""
+    return _two_versions(spark, sf_dir)[1].select("document_id", "version", "is_active")
+
+
 @register("upsert_registry", c.with_sql(c.POINTS_SQL, _REGISTRY_SQL) + """
 SELECT document_id, version, CASE WHEN version = 'v1' THEN 'Renamed' ELSE source_title END AS source_title, 'old' AS created_at FROM registry""")
 def upsert_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +169,16 @@ def supersede_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.supersede_sections(_points(spark, sf_dir), _updates(spark, sf_dir)).select("chunk_id", "is_actual", "effective_until")
 
 
+@register("supersede_twice", c.with_sql(c.POINTS_SQL, _UPDATES_SQL) + """
+SELECT chunk_id, p.is_actual AND u.parent_id IS NULL AS is_actual, CASE WHEN p.is_actual AND u.parent_id IS NOT NULL THEN CASE WHEN p.version <> 'v1' THEN u.since ELSE u.since + 30 END END AS effective_until
+FROM points p LEFT JOIN updates u USING (parent_id)""")
+def supersede_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two updates of a section in one batch: each chunk ends with the first of another version."""
+    one = _updates(spark, sf_dir)
+    two = one.withColumns({"version": F.lit("v2"), "effective_date": F.date_add("effective_date", 30)})
+    return lifecycle.supersede_sections(_points(spark, sf_dir), two.unionByName(one)).select("chunk_id", "is_actual", "effective_until")
+
+
 @register("as_of_points", c.with_sql(c.POINTS_SQL, _UPDATES_SQL) + """
 SELECT chunk_id FROM points p LEFT JOIN updates u USING (parent_id)
 WHERE p.effective_date <= DATE '2024-02-10' AND (NOT (p.is_actual AND coalesce(p.version <> u.version, false)) OR DATE '2024-02-10' < u.since)""")

@@ -23,7 +23,7 @@ for _rule in (r"(?m)^\s*-?\s*\d+\s*-?\s*$", r"(?m)^ЧАСТЬ\s+\S+\s*$", r"(?m)
 _CLEAN = _strip(f"regexp_replace({_CLEAN}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
 
 # Every third line of a document becomes a heading of the given form.
-_LINES = "WITH lines AS (SELECT doc_id, 'd' || doc_id AS document_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)"
+_LINES = "lines AS (SELECT doc_id, 'd' || doc_id AS document_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE {})"
 
 
 def _headed(docs: DataFrame, heading) -> DataFrame:
@@ -47,57 +47,82 @@ def normalized_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.table(spark, sf_dir, "documents").select("doc_id", text.tokens("text").alias("tokens"))
 
 
-@register("law_sections", _LINES + f""",
-numbered AS (SELECT *, sum((i % 3 = 0)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS s, max(i - i % 3) OVER (PARTITION BY doc_id, i - i % 3) % 5 AS number FROM lines),
-parts AS (SELECT document_id, s, number, {_strip("string_agg(line, chr(10) ORDER BY i)")} AS body FROM numbered GROUP BY ALL)
-SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY min(s)) - 1)::INT AS section_index, number::VARCHAR AS section_number,
+def _headed_lines(where: str = "true") -> str:
+    return f"{_LINES.format(where)}, numbered AS (SELECT *, i // 3 AS s, (i - i % 3) % 5 AS number FROM lines)"
+
+
+_LAW_SQL = f"""
+law_parts AS (SELECT document_id, s, number, {_strip("string_agg(line, chr(10) ORDER BY i)")} AS body FROM numbered GROUP BY ALL),
+law AS (SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY min(s)) - 1)::INT AS section_index, number::VARCHAR AS section_number,
        'Статья ' || number || '. Заголовок' AS section_title, coalesce(string_agg(body, chr(10) ORDER BY s) FILTER (body <> ''), '') AS text
-FROM parts GROUP BY document_id, number""")
+FROM law_parts GROUP BY document_id, number)"""
+_POINTS_SQL = f"""
+point_parts AS (SELECT document_id, s, {_strip("(s * 3 + 1) || '. Пункт' || chr(10) || string_agg(line, chr(10) ORDER BY i)")} AS body FROM numbered GROUP BY document_id, s),
+points_cut AS (SELECT document_id, s::INT AS section_index, (s * 3 + 1)::VARCHAR AS section_number, (s * 3 + 1) || '. Пункт' AS section_title, body AS text FROM point_parts)"""
+_TITLES_SQL = f"""
+titles AS (SELECT document_id, s::INT AS section_index, NULL::VARCHAR AS section_number, 'Title ' || (s * 3) AS section_title, {_strip("string_agg(line, chr(10) ORDER BY i)")} AS text
+FROM numbered GROUP BY document_id, s)"""
+_law_heading = lambda i: F.concat(F.lit("Статья "), (i % 5).cast("string"), F.lit(". Заголовок"))
+_point_heading = lambda i: F.concat((i + 1).cast("string"), F.lit(". Пункт"))
+_title_heading = lambda i: F.concat(F.lit("## Title "), i.cast("string"))
+
+
+@register("law_sections", c.with_sql(_headed_lines(), _LAW_SQL) + " SELECT * FROM law")
 def law_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with repeated numbers, whose texts join their first occurrence."""
-    docs = _headed(c.table(spark, sf_dir, "documents"), lambda i: F.concat(F.lit("Статья "), (i % 5).cast("string"), F.lit(". Заголовок")))
+    docs = _headed(c.table(spark, sf_dir, "documents"), _law_heading)
     return sections.law_sections(docs.withColumn("category", F.lit("labor_code"))).drop("category")
 
 
-@register("point_sections", _LINES + f""",
-numbered AS (SELECT *, i // 3 AS s FROM lines),
-parts AS (SELECT document_id, s, {_strip("(s * 3 + 1) || '. Пункт' || chr(10) || string_agg(line, chr(10) ORDER BY i)")} AS body FROM numbered GROUP BY document_id, s)
-SELECT document_id, s::INT AS section_index, (s * 3 + 1)::VARCHAR AS section_number, (s * 3 + 1) || '. Пункт' AS section_title, body AS text FROM parts""")
+@register("point_sections", c.with_sql(_headed_lines(), _POINTS_SQL) + " SELECT * FROM points_cut")
 def point_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered points; the heading stays in the text."""
-    docs = _headed(c.table(spark, sf_dir, "documents"), lambda i: F.concat((i + 1).cast("string"), F.lit(". Пункт")))
+    docs = _headed(c.table(spark, sf_dir, "documents"), _point_heading)
     return sections.point_sections(docs.withColumn("category", F.lit("other_npa"))).drop("category")
 
 
-@register("heading_sections", _LINES + f"""
-SELECT document_id, (i // 3)::INT AS section_index, NULL::VARCHAR AS section_number, 'Title ' || (i // 3 * 3) AS section_title, {_strip("string_agg(line, chr(10) ORDER BY i)")} AS text
-FROM lines GROUP BY document_id, i // 3""")
+@register("heading_sections", c.with_sql(_headed_lines(), _TITLES_SQL) + " SELECT * FROM titles")
 def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown headings."""
-    docs = _headed(c.table(spark, sf_dir, "documents"), lambda i: F.concat(F.lit("## Title "), i.cast("string")))
+    docs = _headed(c.table(spark, sf_dir, "documents"), _title_heading)
     return sections.heading_sections(docs.withColumn("category", F.lit("authorial"))).drop("category")
 
 
-def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = c.points(spark, sf_dir, vectors=False)
-    return sections.preprocess(points.select(F.col("chunk_id").alias("document_id"), "category", F.col("text").alias("raw_text")))
+# Each document gets headings of the form that its category's structure looks for; every seventh has none.
+_KIND_SQL = "CASE WHEN doc_id % 7 = 6 THEN 'none' WHEN doc_id % 20 > 4 THEN 'law' WHEN doc_id % 20 = 1 THEN 'titles' ELSE 'points' END"
+_PREPROCESS_SQL = c.with_sql(
+    "texts AS (SELECT doc_id, 'd' || doc_id AS document_id, text, " + _KIND_SQL + " AS kind FROM documents)",
+    f"cleaned AS (SELECT doc_id, document_id, kind, {_CLEAN} AS text FROM texts)",
+    "lines AS (SELECT doc_id, document_id, kind, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM cleaned)",
+    "numbered AS (SELECT *, i // 3 AS s, (i - i % 3) % 5 AS number FROM lines)", _LAW_SQL, _POINTS_SQL, _TITLES_SQL,
+) + """
+SELECT x.* FROM law x JOIN texts USING (document_id) WHERE kind = 'law' UNION ALL
+SELECT x.* FROM points_cut x JOIN texts USING (document_id) WHERE kind = 'points' UNION ALL
+SELECT x.* FROM titles x JOIN texts USING (document_id) WHERE kind = 'titles' UNION ALL
+SELECT document_id, 0, NULL, document_id, text FROM cleaned WHERE kind = 'none'"""
+
+
+@register("preprocess", _PREPROCESS_SQL)
+def preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cleaned and cut by the structure of their category, in one pass."""
+    points = c.points(spark, sf_dir, vectors=False).withColumn("text", text.clean_text("text"))
+    lines, n = F.split("text", "\n"), F.col("doc_id")
+    heading = lambda i: F.when(n % 20 > 4, _law_heading(i)).when(n % 20 == 1, _title_heading(i)).otherwise(_point_heading(i))
+    marked = F.array_join(F.transform(lines, lambda x, i: F.when(i % 3 == 0, F.concat(heading(i), F.lit("\n"), x)).otherwise(x)), "\n")
+    docs = points.select(F.concat(F.lit("d"), n.cast("string")).alias("document_id"), "category", F.when(n % 7 == 6, F.col("text")).otherwise(marked).alias("raw_text"))
+    return sections.preprocess(docs).drop("category")
 
 
 @register("section_report", c.with_sql(c.POINTS_SQL) + """
-SELECT document_id, count(*) AS sections, count_if(section_number LIKE '%.%') AS dotted, count_if(section_number NOT LIKE '%.%' AND length(section_number) > 3) AS suspicious,
-       count(section_number) - count(DISTINCT section_number) AS surplus FROM points GROUP BY document_id""")
+SELECT document_id, sum(n)::BIGINT AS sections, coalesce(sum(n) FILTER (section_number LIKE '%.%'), 0)::BIGINT AS dotted,
+       coalesce(sum(n) FILTER (section_number NOT LIKE '%.%' AND length(section_number) > 3), 0)::BIGINT AS suspicious, count_if(n > 1) AS repeated
+FROM (SELECT document_id, CASE WHEN doc_id % 3 = 0 THEN section_number || '.5' WHEN doc_id % 3 = 1 THEN section_number || '000' ELSE '7' END AS section_number, count(*) AS n FROM points GROUP BY ALL)
+GROUP BY document_id""")
 def section_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections per document, dotted and suspicious numbers, and how many numbers come again."""
-    points = c.points(spark, sf_dir, vectors=False)
-    report = sections.section_report(points.select("document_id", "section_number"))
-    again = points.groupBy("document_id").agg((F.count("section_number") - F.countDistinct("section_number")).alias("surplus"))
-    return report.drop("repeated").join(again, "document_id")
-
-
-@register("preprocess")
-def preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents cut by the structure of their category."""
-    return _sections(spark, sf_dir)
+    number, n = F.col("section_number"), F.col("doc_id") % 3
+    made = F.when(n == 0, F.concat(number, F.lit(".5"))).when(n == 1, F.concat(number, F.lit("000"))).otherwise("7")
+    return sections.section_report(c.points(spark, sf_dir, vectors=False).select("document_id", made.alias("section_number")))
 
 
 @register("estimated_tokens", "SELECT doc_id, (length(text) // 4)::INT AS tokens, length(text) > 2000000 AS too_long FROM documents")
@@ -132,20 +157,77 @@ def pack_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(chunking.pack(chunking.split_lines(F.col("text")))).alias("number", "chunk"))
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_sections(_sections(spark, sf_dir), F.lit("2024-01-01"))
+def _lines_sql(x: str) -> str:
+    return f"list_filter(list_transform(string_split({x}, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '')"
+
+
+def _paragraphs_sql(x: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array({x}, '\\n\\s*\\n+'), lambda x: {_strip('x')}), lambda x: x <> '')"
 
 
-@register("chunk_documents")
+def _cut_sql(x: str) -> str:
+    lines, paragraphs = _lines_sql(x), _paragraphs_sql(x)
+    return f"CASE WHEN length({x}) // 4 <= 500 THEN [{x}] WHEN len({paragraphs}) > 1 THEN {paragraphs} WHEN len({lines}) > 1 THEN {lines} ELSE [{x}] END"
+
+
+# From sections (id, section_index, text) to chunks (id, section_index, n, chunk). ends[i + 1]: characters of the first
+# i words with a space after each. A window reaches as far as 2003 characters, the next one starts within its last 400;
+# one that brings less than 664 new characters joins the window before it.
+_CHUNKS_SQL = f"""
+once AS (SELECT id, section_index, unnest(u) AS u, unnest(range(0, len(u))) AS p FROM (SELECT id, section_index, {_cut_sql('text')} AS u FROM sections)),
+twice AS (SELECT id, section_index, p, unnest(v) AS v, unnest(range(0, len(v))) AS q FROM (SELECT id, section_index, p, {_cut_sql('u')} AS v FROM once)),
+words AS (SELECT id, section_index, p, q, regexp_extract_all(v, '[^{_SPACE[1:]}+') AS w FROM twice WHERE length(v) // 4 > 500),
+ended AS (SELECT id, section_index, p, q, w, [0] || list_transform(range(1, len(w) + 1), lambda i: i) AS places,
+          (SELECT list(e ORDER BY i) FROM (SELECT i, sum(size) OVER (ORDER BY i) AS e FROM (SELECT unnest(range(0, len(w) + 1)) AS i, unnest([0] || list_transform(w, lambda x: length(x) + 1)) AS size))) AS ends FROM words WHERE len(w) > 0),
+windows(id, section_index, p, q, n, a, stop, start) AS (
+  SELECT id, section_index, p, q, 0, 0, s, CASE WHEN b > 0 THEN b ELSE s END FROM (
+    SELECT *, len(list_filter(ends, lambda x: x <= ends[s + 1] - 400)) - 1 AS b FROM (SELECT *, greatest(1, len(list_filter(ends, lambda x: x <= 2003)) - 1) AS s FROM ended))
+  UNION ALL
+  SELECT id, section_index, p, q, CASE WHEN joins THEN n ELSE n + 1 END, CASE WHEN joins THEN a ELSE start END, s, CASE WHEN b > start THEN b ELSE s END FROM (
+    SELECT *, ends[s + 1] - ends[stop + 1] < 664 AS joins, len(list_filter(ends, lambda x: x <= ends[s + 1] - 400)) - 1 AS b FROM (
+      SELECT t.*, ends, greatest(start + 1, len(list_filter(ends, lambda x: x - ends[start + 1] <= 2003)) - 1) AS s
+      FROM windows t JOIN ended e USING (id, section_index, p, q) WHERE t.stop < len(e.w)))),
+spans AS (SELECT id, section_index, p, q, n, min(a) AS a, max(stop) AS stop FROM windows GROUP BY ALL),
+units AS (
+  SELECT id, section_index, p, q, 0 AS w, {_strip('v')} AS unit FROM twice WHERE length(v) // 4 <= 500 AND {_strip('v')} <> ''
+  UNION ALL SELECT s.id, s.section_index, s.p, s.q, n, array_to_string(e.w[a + 1:stop], ' ') FROM spans s JOIN ended e USING (id, section_index, p, q)),
+listed AS (SELECT id, section_index, list(unit ORDER BY p, q, w) AS u FROM units GROUP BY id, section_index),
+packed(id, section_index, i, n, tokens) AS (
+  SELECT id, section_index, 1, 0, length(u[1]) // 4 FROM listed
+  UNION ALL
+  SELECT t.id, t.section_index, i + 1, CASE WHEN tokens + length(u[i + 1]) // 4 > 500 THEN n + 1 ELSE n END,
+         CASE WHEN tokens + length(u[i + 1]) // 4 > 500 THEN length(u[i + 1]) // 4 ELSE tokens + length(u[i + 1]) // 4 END
+  FROM packed t JOIN listed USING (id, section_index) WHERE i < len(u)),
+chunks AS (SELECT id, section_index, n, string_agg(u[i], chr(10) || chr(10) ORDER BY i) AS chunk FROM packed JOIN listed USING (id, section_index) GROUP BY id, section_index, n)"""
+
+
+def _recursive(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",".join(parts)
+
+
+@register("chunk_documents", _recursive(f"sections AS (SELECT doc_id::VARCHAR AS id, 0 AS section_index, {_CLEAN} AS text FROM documents)", _CHUNKS_SQL) + """
+SELECT id AS document_id, section_index, n AS chunk_number_in_section, (row_number() OVER (PARTITION BY id ORDER BY section_index, n) - 1)::INT AS chunk_index, id AS parent_id, chunk AS text FROM chunks""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean, cut into sections and chunk every document (word windows are a fold, tested against a model)."""
-    return _chunks(spark, sf_dir)
+    """Clean, cut into sections and chunk every document."""
+    points = c.points(spark, sf_dir, vectors=False)
+    cut = sections.preprocess(points.select(F.col("chunk_id").alias("document_id"), F.lit("authorial").alias("category"), F.col("text").alias("raw_text")))
+    return chunking.chunk_sections(cut, F.lit("2024-01-01")).select("document_id", "section_index", "chunk_number_in_section", "chunk_index", "parent_id", "text")
+
+
+@register("atomic_units", _recursive("sections AS (SELECT doc_id::VARCHAR AS id, 0 AS section_index, text FROM documents)", _CHUNKS_SQL) + "SELECT id, p, q, w, unit FROM units")
+def atomic_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs, then lines, then word windows of what is too long."""
+    docs = c.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    return chunking.atomic_units(docs).select("id", "p", "q", "w", "unit")
 
 
-@register("chunk_collisions")
+@register("chunk_collisions", _recursive(_headed_lines(), _TITLES_SQL, "sections AS (SELECT document_id AS id, section_index, text FROM titles)", _CHUNKS_SQL) + """
+SELECT id AS document_id, count(*) AS chunks FROM chunks GROUP BY id, n HAVING count(*) > 1""")
 def chunk_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that chunks of one document share where sections have no number."""
-    return chunking.collision_report(_chunks(spark, sf_dir))
+    docs = _headed(c.table(spark, sf_dir, "documents"), _title_heading)
+    cut = sections.heading_sections(docs.withColumn("category", F.lit("authorial")))
+    return chunking.collision_report(chunking.chunk_sections(cut, F.lit("2024-01-01"))).drop("chunk_id")
 
 
 @register("parent_ids", c.with_sql(c.POINTS_SQL) + " SELECT chunk_id, parent_id FROM points")

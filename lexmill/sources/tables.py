@@ -1,58 +1,197 @@
-"""Stored tables: snapshots that change whole, and append-only logs."""
+"""Stored tables: versioned snapshots of which only changed buckets are written anew, and append-only logs."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import validate_schema
 
-
-class SnapshotTable:
-    """A Parquet table whose content is replaced as a whole.
-
-    A new snapshot is written beside the old one and becomes current by one rename of
-    a pointer, so readers see the old or the new rows and a failed write changes
-    nothing. The snapshot before the current one stays until the next change, for
-    readers that have begun and for frames derived from it. One writer at a time.
+BUCKETS = 64
+
+
+class ConcurrentChange(RuntimeError):
+    """Another writer has published a version since this one began; nothing was changed."""
+
+
+@dataclass(frozen=True)
+class TableSpec:
+    """A table's columns, and the column whose hash deals its rows out to buckets."""
+
+    schema: T.StructType
+    bucket_by: str
+
+
+@dataclass
+class Snapshot:
+    """One version of a store: what its readers see, and the base of the next version."""
+
+    store: SnapshotStore
+    number: int
+    parts: dict[str, dict[str, str]] = field(default_factory=dict)
+    applied: dict[str, int] = field(default_factory=dict)
+
+    def read(self, table: str, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The rows of a table, or of some of its buckets."""
+        spec = self.store.specs[table]
+        known = self.parts.get(table, {})
+        wanted = known if buckets is None else {str(b) for b in buckets} & known.keys()
+        paths = [f"{self.store.path}/{known[b]}" for b in sorted(wanted)]
+        if not paths:
+            return self.store.spark.createDataFrame([], spec.schema)
+        return self.store.spark.read.schema(spec.schema).parquet(*paths).select(*spec.schema.fieldNames())
+
+    def commit(self, changes: dict[str, tuple[DataFrame, Iterable[int] | None]], applied: dict[str, int] | None = None) -> Snapshot:
+        """Publish the next version of all tables at once.
+
+        ``changes`` has per table its new rows and the buckets that they replace (None: all);
+        other buckets stay as they are. The rows may be derived from this snapshot.
+        ``applied`` notes the last batch of each stream, for replays. A failure before the
+        version is published changes nothing; ConcurrentChange if another version was.
+        """
+        if self.number < 0:  # data without a version is then always an error
+            self.number = self.store.publish(Snapshot(self.store, 0)).number
+        parts = {name: dict(self.parts.get(name, {})) for name in self.store.specs}
+        for table, (rows, buckets) in changes.items():
+            old = set(parts[table]) if buckets is None else {str(b) for b in buckets}
+            written = self.store.write(table, rows)
+            if buckets is not None and (stray := written.keys() - old):
+                raise ValueError(f"rows of {table} belong to buckets that the change doesn't name: {sorted(stray, key=int)}")
+            parts[table] = {b: p for b, p in parts[table].items() if b not in old} | written
+        return self.store.publish(Snapshot(self.store, self.number + 1, parts, self.applied | (applied or {})))
+
+
+class SnapshotStore:
+    """Parquet tables that change together, by versions.
+
+    A version is a numbered pointer file, created once and never replaced, that names the
+    folder of every bucket of every table; readers take the highest that is whole. So there
+    is never a moment without a current version, a crash anywhere leaves the version
+    before, and of writers that began at the same version one alone succeeds. A change
+    writes only the buckets that it touches. Folders that neither the current version nor
+    the one before it names are deleted when a version is published, and only such
+    as an earlier version named: a write that another writer has begun is left alone.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, partition_by: tuple[str, ...] = ()):
-        self.spark, self.path, self.schema, self.partition_by = spark, path.rstrip("/"), schema, partition_by
+    def __init__(self, spark: SparkSession, path: str, specs: dict[str, TableSpec], buckets: int = BUCKETS):
+        self.spark, self.path, self.specs, self.buckets = spark, path.rstrip("/"), specs, buckets
         self._jvm = spark._jvm
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
-    def current(self) -> str | None:
-        if not self._fs.exists(self._path("_current")):
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def _get(self, name: str) -> str:
+        stream = self._fs.open(self._path(name))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def _put(self, name: str, text: str) -> None:
+        """Create a file that must not exist yet."""
+        stream = self._fs.create(self._path(name), False)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def _load(self, name: str) -> Snapshot | None:
+        """The version that a pointer holds, or None where its writer died within it."""
+        try:
+            found = json.loads(self._get(f"_versions/{name}"))
+        except json.JSONDecodeError:
             return None
-        return self._fs.listStatus(self._path("_current"))[0].getPath().getName()
+        return Snapshot(self, int(name), found["parts"], found["applied"])
+
+    def begin(self) -> Snapshot:
+        """The current version; a folder that was never written is an empty store."""
+        for name in sorted(self._names("_versions"), reverse=True):
+            if name.isdigit() and (found := self._load(name)) is not None:
+                return found
+        if self._names("data"):
+            raise OSError(f"{self.path} has data but no version")
+        return Snapshot(self, -1)
+
+    def bucket(self, table: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.specs[table].bucket_by)), F.lit(self.buckets)).cast("int")
+
+    def touched(self, table: str, rows: DataFrame) -> list[int]:
+        """The buckets of the rows' keys."""
+        return sorted(r[0] for r in rows.select(self.bucket(table)).distinct().collect())
+
+    def write(self, table: str, rows: DataFrame) -> dict[str, str]:
+        """Rows as new folders by bucket, seen by nobody until a version names them."""
+        spec = self.specs[table]
+        validate_schema(rows, spec.schema)
+        folder = f"data/{table}-{uuid.uuid4().hex}"
+        dealt = rows.select(*spec.schema.fieldNames()).withColumn("__bucket", self.bucket(table)).hint("rebalance", "__bucket")
+        dealt.write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
+        return {n.partition("=")[2]: f"{folder}/{n}" for n in self._names(folder) if n.startswith("__bucket=")}
+
+    def publish(self, next_: Snapshot) -> Snapshot:
+        """Make ``next_`` the current version, unless another followed the version before it."""
+        base = next_.number - 1
+        names = [n for n in self._names("_versions") if n.isdigit()]
+        before = next((s for n in sorted(names, reverse=True) if (s := self._load(n))), None)
+        if (-1 if before is None else before.number) != base:
+            raise ConcurrentChange(f"version {before.number if before else 0} was published meanwhile")
+        next_.number = max(map(int, names), default=-1) + 1  # above a pointer whose writer died
+        try:
+            self._put(f"_versions/{next_.number:012d}", json.dumps({"base": base, "parts": next_.parts, "applied": next_.applied}))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise ConcurrentChange(f"version {next_.number} was published meanwhile") from e
+            raise
+        later = sorted(n for n in self._names("_versions") if n.isdigit() and int(n) > next_.number)
+        if later and json.loads(self._get(f"_versions/{later[0]}") or "{}").get("base", next_.number) != next_.number:
+            raise ConcurrentChange(f"version {int(later[0])} was published meanwhile")  # it took this writer for dead
+        self._purge(next_, before)
+        return next_
+
+    def _purge(self, now: Snapshot, before: Snapshot | None) -> None:
+        """Delete what only versions before the last two name, then their pointers."""
+        needed = {p for s in (now, before) if s is not None for t in s.parts.values() for p in t.values()}
+        for name in sorted(n for n in self._names("_versions") if n.isdigit() and int(n) < (now if before is None else before).number):
+            old = self._load(name)
+            for path in {p for t in (old.parts if old else {}).values() for p in t.values()} - needed:
+                self._fs.delete(self._path(path), True)
+            self._fs.delete(self._path(f"_versions/{name}"), False)
+
+
+class SnapshotTable:
+    """A store of one table."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, bucket_by: str, buckets: int = BUCKETS):
+        self.store = SnapshotStore(spark, path, {"rows": TableSpec(schema, bucket_by)}, buckets)
 
     def read(self) -> DataFrame:
-        name = self.current()
-        if name is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}").select(*self.schema.fieldNames())
+        return self.store.begin().read("rows")
 
     def replace(self, rows: DataFrame) -> None:
         """Make ``rows`` the content; they may be derived from the present content."""
-        validate_schema(rows, self.schema)
-        name, old = f"snapshot-{uuid.uuid4().hex}", self.current()
-        rows.select(*self.schema.fieldNames()).write.partitionBy(*self.partition_by).parquet(f"{self.path}/{name}")
-        staged = f"_next-{name}"
-        self._fs.create(self._path(f"{staged}/{name}"), True).close()
-        self._fs.delete(self._path("_current"), True)
-        if not self._fs.rename(self._path(staged), self._path("_current")):
-            raise OSError(f"could not make {name} current")
-        for status in self._fs.listStatus(self._path("")):
-            found = status.getPath().getName()
-            if found.startswith("snapshot-") and found not in (name, old):
-                self._fs.delete(status.getPath(), True)
+        self.store.begin().commit({"rows": (rows, None)})
+
+    def upsert(self, rows: DataFrame, *keys: str, order: Column | None = None) -> None:
+        """Put in rows by their keys, which must hold the bucket column; other buckets aren't read."""
+        from ..operators.lifecycle import upsert
+
+        if self.store.specs["rows"].bucket_by not in keys:
+            raise ValueError("rows with equal keys must share a bucket")
+        now = self.store.begin()
+        touched = self.store.touched("rows", rows)
+        now.commit({"rows": (upsert(now.read("rows", touched), rows, *keys, order=order), touched)})
 
 
 class LogTable:

@@ -74,16 +74,17 @@ def test_heading_sections(spark):
 
 
 def test_sections_have_no_most(spark):
-    pieces = sections._pieces(F.repeat(F.lit("# a\n"), 1_000_002), sections.HEADING, "$1")
+    pieces = sections._pieces(F.repeat(F.lit("# a\n"), 1_000_002), F.lit(sections.HEADINGS))
     assert spark.range(1).select(F.size(pieces)).first()[0] == 1_000_002
 
 
 def test_preprocess_takes_the_category_s_structure(spark):
-    rows = [("a", "federal_law", LAW), ("b", "case_law", "1. Пункт"), ("c", "authorial", "# Раздел\nт"), ("e", "other_npa", "без пунктов")]
+    rows = [("a", "federal_law", LAW), ("b", "case_law", "1. Пункт"), ("c", "authorial", "# Раздел\nт"), ("e", "other_npa", "без пунктов"), ("n", "other_npa", None)]
     got = sections.preprocess(spark.createDataFrame(rows, "document_id string, category string, raw_text string"))
     assert sorted((r.document_id, r.section_title) for r in got.collect()) == [("a", "Статья 133.1. Размер"), ("a", "Статья 21. Права"), ("a", "Статья 9"), ("b", "1. Пункт"), ("c", "Раздел"), ("e", "e")]
     report = {r.document_id: (r.sections, r.dotted, r.suspicious, r.repeated) for r in sections.section_report(got).collect()}
     assert report["a"] == (3, 1, 0, 0)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1  # one pass over the texts
 
 
 def model_windows(words, target, overlap):
