@@ -11,12 +11,15 @@ Candidates from the index are verified by exact intersection.
 Steps: (1) equal sets become one class; (2) a first prefix in order of hash leaves out
 classes that share too little of it with any other class; (3) document frequencies of
 the remaining tokens, combined before their shuffle; (4) the index; (5) rounds over the
-buckets of the index: some hubs of a bucket, eight times as many in each round, are
-verified against its other classes and leave the bucket. So does what is linked to a hub
-that has no set of another component within twice the linking distance: Jaccard distance
-is a metric, so what is near to the hub can't link with what is farther away. A group of near
-copies costs about one check a member, several groups in one bucket about one round each of
-them. A bucket whose classes are in one component is settled; the rounds end with the last open one.
+buckets of the index: some classes of a bucket, its hubs, are verified against those of other
+components with which the places of the bucket's token allow a link, and leave the
+bucket; each round has sixteen times as many hubs in a bucket. The largest components of a
+bucket have a centre each, which is verified against all of the bucket; classes linked to
+it leave too, unless a class of another component is within twice the linking
+distance: Jaccard distance is a metric, so what is near to the centre can't link with
+what is farther away. So a group of near copies costs about one check a member, several
+groups in one bucket some checks a member. A bucket whose classes are in one component is
+settled; the rounds end with the last open one.
 """
 
 from __future__ import annotations
@@ -30,13 +33,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, arrow_batch, discard, heavy_keys, map_batches, small, spread_join, store, struct, texts_of
+from .common import arrow_batch, discard, heavy_keys, map_batches, small, spread_join, store, struct, texts_of
 from .components import connected_components
 
 #: A token that more classes hold is of the frequent class and indexed in combinations.
 FREQUENT = 16
 #: Hubs of a bucket in a round, as a multiple of those in the round before; the first has one.
-MORE_HUBS = 8
+MORE_HUBS = 16
+#: Components of a bucket that have a centre, and the classes that they hold there at least.
+CENTRES, CENTRE_CLASSES = 4, 16
+#: Hubs, and sets of hubs, are broadcast if they take so many bytes at most.
+HUB_BYTES = 8 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -203,7 +210,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, hubs: DataFrame, limit: Thresho
     left = sets.join(small(hubs.select("k"), n_hubs, 24), "k", "left_semi").select(F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
     right = sets.select(F.col("k").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
     both = pairs.join(right, "b")
-    if 8 * tokens + 64 * n_hubs <= BROADCAST_BYTES:
+    if 8 * tokens + 64 * n_hubs <= HUB_BYTES:
         both = both.join(F.broadcast(left), "a")
     else:
         both = spread_join(both, left, "a", heavy_keys(pairs.groupBy("a").count(), "a", pairs.count()), ("b",))
@@ -324,50 +331,68 @@ def _index(sets: DataFrame, limit: Threshold, frequent: int) -> DataFrame:
     return store(flat.select(F.col("x.hashes").alias("s"), "k", "n", F.col("x.places").alias("place"), F.col("x.befores").alias("before"), "rare"), "join-index")
 
 
+def _met(work: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Entries beside the hubs of their bucket."""
+    n_hubs = hubs.count()
+    if n_hubs * 72 <= HUB_BYTES:
+        return work.join(F.broadcast(hubs), "s")
+    return spread_join(work, hubs, "s", heavy_keys(work.groupBy("s").count(), "s", work.count()), ("k",))
+
+
 def _components(entries: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame | None:
     """(5) Stored (k, component) of the sets that link with another; None where none does."""
-    edges, label, rest, each = None, None, entries, 1
+    edges, label, n_label, rest, each = None, None, 0, entries, 1
+    as_hub = [F.col(c).alias(f"h_{c}") for c in ("k", "n", "place", "before", "c")]
     while True:
         now = rest.withColumn("c", F.col("k"))
         if label is not None:
-            now = rest.join(small(label, label.count(), 24), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
-        # of each component in a bucket the class with the fewest unshared tokens; the largest components first
-        hub = F.min(F.struct("rare", F.xxhash64("k"), "k", "n", "place", "before")).alias("h")
-        per = now.groupBy("s", "c").agg(F.count(F.lit(1)).alias("size"), hub)
-        turn = F.row_number().over(Window.partitionBy("s").orderBy(F.col("size").desc(), "h"))
-        tops = store(per.withColumn("turn", turn).where(F.col("turn") <= each + 1).select("s", "turn", F.col("c").alias("h_c"), F.col("h.k").alias("h_k"), F.col("h.n").alias("h_n"), F.col("h.place").alias("h_place"), F.col("h.before").alias("h_before")), "join-hubs")
-        open_ = tops.where("turn = 2").select("s")
+            now = rest.join(small(label, n_label, 24), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+        # per component of a bucket its size and its class with the fewest unshared tokens
+        least = F.min(F.struct("rare", F.xxhash64("k").alias("x"), "k", "n", "place", "before", "c")).alias("h")
+        per = now.groupBy("s", "c").agg(F.count(F.lit(1)).alias("size"), least)
+        several = per.groupBy("s").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("all"), F.max(F.struct("size", "c")).alias("most"), F.min("h").alias("h")).where("parts > 1")
+        open_ = store(several.select("s", "all", F.col("most.c").alias("main"), "h"), "join-open")
         n_open = open_.count()
         if not n_open:
             return label
-        hubs = store(tops.where(F.col("turn") <= each).drop("turn").join(small(open_, n_open, 24), "s", "left_semi"), "join-open")
-        discard(tops)
-        open_, n_hubs = hubs.select("s").distinct(), hubs.count()
-        work = now.join(small(open_, n_open, 24), "s", "left_semi")
-        if n_hubs * 72 <= BROADCAST_BYTES:
-            met = work.join(F.broadcast(hubs), "s")
-        else:
-            met = spread_join(work, hubs, "s", heavy_keys(rest.groupBy("s").count(), "s", rest.count()), ("k",))
+        work = store(now.join(small(open_.select("s", "all", "main"), n_open, 40), "s"), "join-work")
         if each == 1:
-            met = met.where((F.col("c") != F.col("h_c")) & _possible(limit))
-        else:  # all that may be near, also of the hub's own component
-            met = met.where((F.col("k") != F.col("h_k")) & limit.twice.reachable(F.least("n", "h_n"), F.col("n"), F.col("h_n")))
-        met = met.select("s", F.col("h_k").alias("a"), F.col("k").alias("b"))
-        pairs = store(met.select("a", "b").distinct(), "join-pairs")
-        checked = _compared(pairs, sets, hubs.select(F.col("h_k").alias("k"), F.col("h_n").alias("n")).distinct(), limit)
+            hubs = open_.select("s", "h.*").select("s", *as_hub)
+        else:  # of the classes outside the largest component about so many, by a hash of the class
+            turn = F.shiftrightunsigned(F.xxhash64(F.lit(3), "k"), 11) / F.lit(float(1 << 53))
+            hubs = work.where((F.col("c") != F.col("main")) & (turn * F.col("all") < each)).select("s", *as_hub)
+        hubs = store(hubs, "join-hubs")
+        pairs = _met(work, hubs).where((F.col("c") != F.col("h_c")) & _possible(limit)).select(F.col("h_k").alias("a"), F.col("k").alias("b"))
+        centres = None
+        if each > 1:
+            order = Window.partitionBy("s").orderBy(F.col("size").desc(), "h")
+            large = per.where(F.col("size") >= CENTRE_CLASSES).join(small(open_.select("s"), n_open, 24), "s", "left_semi")
+            centres = store(large.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= CENTRES).select("s", "h.*").select("s", *as_hub), "join-centres")
+            if not centres.take(1):
+                centres = None
+        known = hubs.select(F.col("h_k").alias("k"), F.col("h_n").alias("n"))
+        if centres is not None:
+            around = _met(work, centres).where((F.col("k") != F.col("h_k")) & limit.twice.reachable(F.least("n", "h_n"), F.col("n"), F.col("h_n"))).select("s", F.col("h_k").alias("a"), F.col("k").alias("b"))
+            pairs = pairs.unionByName(around.select("a", "b"))
+            known = known.unionByName(centres.select(F.col("h_k").alias("k"), F.col("h_n").alias("n")))
+        pairs = store(pairs.distinct(), "join-pairs")
+        checked = _compared(pairs, sets, known.distinct(), limit)
         discard(pairs)
         found = checked.where("linked").select("a", "b")
         if found.take(1):
             edges = found if edges is None else edges.unionByName(found)
             label = store(connected_components(edges).select(F.col("node").alias("k"), "component"), "join-labels")
+            n_label = label.count()
         gone = hubs.select("s", F.col("h_k").alias("k"))
-        if each > 1 and label is not None:
+        if centres is not None:
+            middle = centres.select(F.col("h_k").alias("a")).distinct()
             of = lambda x: small(label, n_label, 24).select(F.col("k").alias(x), F.col("component").alias(f"c_{x}"))
-            n_label = label.count()
-            known = checked.join(of("a"), "a", "left").join(of("b"), "b", "left")
-            ringed = known.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a").distinct()
-            near = found.join(ringed, "a", "left_anti")
-            gone = gone.unionByName(met.join(near, ["a", "b"]).select("s", F.col("b").alias("k"))).distinct()
-        left = store(work.drop("c").join(gone, ["s", "k"], "left_anti").select(*entries.columns), "join-rest")
-        discard(rest)
+            seen = checked.join(middle, "a", "left_semi").join(of("a"), "a", "left").join(of("b"), "b", "left")
+            ringed = seen.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a").distinct()
+            near = seen.where("linked").select("a", "b").join(ringed, "a", "left_anti")
+            gone = gone.unionByName(centres.select("s", F.col("h_k").alias("k"))).unionByName(around.join(near, ["a", "b"]).select("s", F.col("b").alias("k"))).distinct()
+        left = store(work.join(gone, ["s", "k"], "left_anti").select(*entries.columns), "join-rest")
+        for done in (rest, work, hubs, open_, centres):
+            if done is not None:
+                discard(done)
         rest, each = left, each * MORE_HUBS
