@@ -104,14 +104,21 @@ def whole_documents(df: DataFrame, failed: str) -> tuple[DataFrame, DataFrame]:
     return df.join(bad.select("document_id").distinct(), "document_id", "left_anti").drop(failed), report
 
 
-def enrich_chunks(chunks: DataFrame, provider: Enricher, partitions: int | None = 5) -> tuple[DataFrame, DataFrame]:
-    """Chunks with synthetic_title and hypothetical_questions, and the failed documents."""
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
+def enrich_chunks(chunks: DataFrame, provider: Enricher, partitions: int | None = 5, keep: Callable[[DataFrame], DataFrame] = _as_is) -> tuple[DataFrame, DataFrame]:
+    """Chunks with synthetic_title and hypothetical_questions, and the failed documents.
+
+    ``keep`` stores the answers, so that both results come of one call a chunk.
+    """
     answered = _provided(chunks, "answer", T.StringType(), provider, lambda row: provider.enrich(_text(row.text)), partitions, checked_enrichment)
-    parsed = parse_enrichment(answered).withColumn("failure", F.coalesce("error", "problem")).drop("error", "problem", "answer")
+    parsed = parse_enrichment(keep(answered)).withColumn("failure", F.coalesce("error", "problem")).drop("error", "problem", "answer")
     return whole_documents(parsed, "failure")
 
 
-def embed_chunks(chunks: DataFrame, provider: Embedder, partitions: int | None = 3) -> tuple[DataFrame, DataFrame]:
+def embed_chunks(chunks: DataFrame, provider: Embedder, partitions: int | None = 3, keep: Callable[[DataFrame], DataFrame] = _as_is) -> tuple[DataFrame, DataFrame]:
     """Chunks with chunk_vector and question_vectors (in the questions' order), and the failed documents."""
     listed = chunks.withColumn("__texts", F.concat(F.array(embedding_text("synthetic_title", "text")), "hypothetical_questions"))
     kind = T._parse_datatype_string("array<array<float>>")
@@ -124,7 +131,7 @@ def embed_chunks(chunks: DataFrame, provider: Embedder, partitions: int | None =
             raise ContentError("a vector has another size")
         return vectors
 
-    done = _provided(listed, "__vectors", kind, provider, ask, partitions).drop("__texts")
+    done = keep(_provided(listed, "__vectors", kind, provider, ask, partitions).drop("__texts"))
     good, report = whole_documents(done, "error")
     return good.withColumns({"chunk_vector": F.get("__vectors", F.lit(0)), "question_vectors": F.slice("__vectors", 2, QUESTIONS)}).drop("__vectors"), report
 

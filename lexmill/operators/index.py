@@ -6,12 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import term_id, tokens
+from ..schemas import schema
 
+#: The stored index: postings in the buckets of their documents, ordered by token, so that an
+#: ingest rewrites those of its documents alone and a search reads little of each file.
+POSTINGS, POSTINGS_ORDER = schema("document_id string, chunk_id string, token string, tf double"), ("token", "chunk_id")
+#: So many queries at most have their tokens pushed down into the scan of stored postings.
+PUSHED_QUERIES = 16
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(id, token, tf) of every distinct token of every text; counts are combined before the shuffle."""
-    flat = chunks.select(id_col, F.explode(tokens(text_col)).alias("token"))
-    return flat.groupBy(id_col, "token").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+
+def postings(chunks: DataFrame, *id_cols: str, text_col: str = "text") -> DataFrame:
+    """(ids, token, tf) of every distinct token of every text; counts are combined before the shuffle."""
+    ids = id_cols or ("chunk_id",)
+    flat = chunks.select(*ids, F.explode(tokens(text_col)).alias("token"))
+    return flat.groupBy(*ids, "token").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+
+
+def refreshed(stored: DataFrame, points: DataFrame, new_points: DataFrame) -> DataFrame:
+    """The postings of ``points`` from those stored before: only ``new_points`` are tokenized."""
+    same = points.select("chunk_id").join(new_points.select("chunk_id"), "chunk_id", "left_anti")
+    fresh = new_points.join(points.select("chunk_id", "version", "chunk_index"), ["chunk_id", "version", "chunk_index"], "left_semi")
+    return stored.join(same, "chunk_id", "left_semi").unionByName(postings(fresh, "document_id", "chunk_id")).select(*POSTINGS.fieldNames())
 
 
 def with_term_ids(terms: DataFrame) -> DataFrame:
@@ -24,3 +39,16 @@ def idf(terms: DataFrame, total: int | Column) -> DataFrame:
     every = F.lit(total) if isinstance(total, int) else total
     counted = terms.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("idf", F.round(F.log(1 + (every - F.col("n") + 0.5) / (F.col("n") + 0.5)), 9))
+
+
+def matching(terms: DataFrame, queries: DataFrame, n_queries: int, total: int) -> tuple[DataFrame, DataFrame]:
+    """(postings to search, weights of the queries' tokens).
+
+    The tokens of few queries are looked up in the ordered files; those of many meet
+    the postings where these are joined with the queries.
+    """
+    wanted = queries.select(F.explode(tokens("query")).alias("token")).distinct()
+    if n_queries <= PUSHED_QUERIES:
+        found = terms.where(F.col("token").isin([r["token"] for r in wanted.collect()]))
+        return found, idf(found, total)
+    return terms, idf(terms.join(wanted, "token", "left_semi"), total)

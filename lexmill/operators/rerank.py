@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: characters of a candidate that the model sees.
@@ -29,6 +29,20 @@ def valid_indices(indices: Column, n: Column, top: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(indices, lambda i: i.between(1, n))), 1, top)
 
 
+def _judged(queries: DataFrame, fused: DataFrame, answer_col: str) -> DataFrame:
+    """The fused rows with top_k, rerank_status and position (null: not in the result); a query has few of them."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("query_id")).cast("int")
+    rows = fused.withColumn("n", n).join(queries.select("query_id", "top_k", F.col(answer_col).alias("__given")), "query_id")
+    rows = rows.withColumn("picked", valid_indices(F.col("__given"), F.col("n"), F.col("top_k")))
+    status = (
+        F.when(F.col("__given").isNull(), "fallback_unavailable").when(F.size("__given") == 0, "no_relevant")
+        .when(F.size("picked") == 0, "fallback_invalid_output").otherwise("ok")
+    )
+    rows = rows.withColumn("rerank_status", status)
+    position = F.when(F.col("rerank_status").startswith("fallback"), F.col("rank")).when(F.col("rerank_status") == "ok", F.array_position("picked", F.col("rank").cast("int"))).cast("int")
+    return rows.withColumn("position", F.when((position >= 1) & (position <= F.col("top_k")), position))
+
+
 def rerank(queries: DataFrame, fused: DataFrame, answer_col: str = "indices") -> DataFrame:
     """(query_id, chunk_id, score, position, rerank_status): the final order of each query's candidates.
 
@@ -36,28 +50,13 @@ def rerank(queries: DataFrame, fused: DataFrame, answer_col: str = "indices") ->
     the fused order; no index at all means that nothing is relevant; only invalid ones keep the
     fused order. ``fused`` has (query_id, chunk_id, score, rank).
     """
-    counted = queries.join(fused.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n")), "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    given = F.col(answer_col)
-    picked = counted.withColumn("picked", valid_indices(given, F.col("n"), F.col("top_k")))
-    status = (
-        F.when(F.col("n") == 0, "no_candidates").when(given.isNull(), "fallback_unavailable").when(F.size(given) == 0, "no_relevant")
-        .when(F.size("picked") == 0, "fallback_invalid_output").otherwise("ok")
-    )
-    judged = picked.withColumn("rerank_status", status).select("query_id", "top_k", "picked", "rerank_status")
-    rows = fused.join(judged, "query_id")
-    position = F.when(F.col("rerank_status").startswith("fallback"), F.col("rank")).when(F.col("rerank_status") == "ok", F.array_position("picked", F.col("rank").cast("int")).cast("int"))
-    placed = rows.withColumn("position", position).where((F.col("position") >= 1) & (F.col("position") <= F.col("top_k")))
-    return placed.select("query_id", "chunk_id", "score", "position", "rerank_status")
+    return _judged(queries, fused, answer_col).where("position is not null").select("query_id", "chunk_id", "score", "position", "rerank_status")
 
 
 def statuses(queries: DataFrame, fused: DataFrame, answer_col: str = "indices") -> DataFrame:
     """(query_id, rerank_status, results) of every query, also of those without results."""
-    kept = rerank(queries, fused, answer_col)
-    n = fused.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    results = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.first("rerank_status").alias("s"))
-    given = F.col(answer_col)
-    status = F.coalesce("s", F.when(F.coalesce("n", F.lit(0)) == 0, "no_candidates").when(F.size(given) == 0, "no_relevant"))
-    return queries.join(n, "query_id", "left").join(results, "query_id", "left").select("query_id", status.alias("rerank_status"), F.coalesce("results", F.lit(0)).alias("results"))
+    per = _judged(queries, fused, answer_col).groupBy("query_id").agg(F.first("rerank_status").alias("s"), F.count("position").alias("r"))
+    return queries.join(per, "query_id", "left").select("query_id", F.coalesce("s", F.lit("no_candidates")).alias("rerank_status"), F.coalesce("r", F.lit(0)).alias("results"))
 
 
 def outcome(expansion: Column, rerank_status: Column, results: Column) -> Column:

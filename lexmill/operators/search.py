@@ -32,11 +32,14 @@ def _bounded(queries: DataFrame, rows: int | None, row_bytes: int) -> DataFrame:
     return F.broadcast(queries) if rows is not None and rows * row_bytes <= BROADCAST_BYTES else queries
 
 
-def lane_vectors(points: DataFrame) -> DataFrame:
+def lane_vectors(points: DataFrame, questions: bool = True) -> DataFrame:
     """One row per stored vector: ordinal -1 is the chunk's, j its question's; null and zero vectors are left out."""
     meta = [c for c in ("chunk_id", "category", "audience", "topics") if c in points.columns]
+    live = points.where(filters.actual())
+    if not questions:
+        return live.where("chunk_vector is not null").select(*meta, F.lit(-1).alias("ordinal"), doubles(F.col("chunk_vector")).alias("v"))
     vectors = F.concat(F.array("chunk_vector"), F.slice(F.coalesce("question_vectors", F.array().cast("array<array<float>>")), 1, QUESTIONS))
-    flat = points.where(filters.actual()).select(*meta, F.posexplode(vectors).alias("ordinal", "v")).where("v is not null")
+    flat = live.select(*meta, F.posexplode(vectors).alias("ordinal", "v")).where("v is not null")
     return flat.select(*meta, (F.col("ordinal") - 1).alias("ordinal"), doubles(F.col("v")).alias("v"))
 
 
@@ -59,14 +62,17 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, dims: int | None = None
 
 
 def sparse_scores(points: DataFrame, terms: DataFrame, weights: DataFrame, queries: DataFrame, n_queries: int | None = None) -> DataFrame:
-    """Sum of tf(query) * tf(chunk) * idf over shared terms, for admitted chunks that share one."""
-    keys = [c for c in ("query_id", "variant_id") if c in queries.columns]
-    wanted = queries.select(*keys, F.explode(tokens("query")).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).cast("double").alias("q_tf"))
+    """Sum of tf(query) * tf(chunk) * idf over shared terms, for admitted chunks that share one.
+
+    ``weights`` need hold no other tokens than the queries'.
+    """
+    asked = _asked(queries, "query")
+    by = [c for c in asked.columns if c != "q_query"]
+    wanted = asked.select(*by, F.explode(tokens("q_query")).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).cast("double").alias("q_tf"))
     weighted = wanted.join(weights.select("token", "idf"), "token")
-    hits = terms.join(weighted, "token").groupBy("chunk_id", *keys).agg(F.sum(F.col("q_tf") * F.col("tf") * F.col("idf")).alias("score"))
+    hits = terms.join(weighted, "token").groupBy("chunk_id", *by).agg(F.sum(F.col("q_tf") * F.col("tf") * F.col("idf")).alias("score"))
     meta = points.where(filters.actual()).select("chunk_id", "category", "audience", "topics")
-    filtered = hits.join(meta, "chunk_id").join(_bounded(_asked(queries), n_queries, 200), keys)
-    return filtered.where(_admits())
+    return hits.join(meta, "chunk_id").where(_admits())
 
 
 def best(scores: DataFrame, depth: Column, *lane: str) -> DataFrame:

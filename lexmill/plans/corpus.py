@@ -5,10 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import CATEGORIES
+from ..operators import index
+from ..schemas import CATEGORIES, schema
+from ..session import fresh_path
+from ..sources.tables import Snapshot, SnapshotStore, TableSpec
 
 DIMS = 64
 
+#: What searches read: points with their vectors, the term index, and the queries.
+STORED = {
+    "points": TableSpec(schema(
+        "doc_id bigint, chunk_id string, document_id string, parent_id string, category string, source_title string, audience string, topics array<string>, chunk_index int, version string,"
+        " effective_date date, is_actual boolean, section_number string, section_title string, text string, chunk_vector array<float>, question_vectors array<array<float>>"), "document_id"),
+    "postings": TableSpec(index.POSTINGS, "document_id", index.POSTINGS_ORDER),
+    "queries": TableSpec(schema("query_id bigint, query string, audience string, topic string, category string, top_k int, vector array<float>"), "query_id"),
+}
+_stored: dict[tuple[str, str], Snapshot] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """The corpus as stored tables; written, with its term index, when first asked for in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        store = SnapshotStore(spark, fresh_path(spark, "corpus"), STORED, 8)
+        now = store.begin().commit({"points": (points(spark, sf_dir).select(*STORED["points"].schema.fieldNames()), None)})
+        terms = index.postings(now.read("points"), "document_id", "chunk_id")
+        asked = queries(spark, sf_dir).select(*STORED["queries"].schema.fieldNames())
+        _stored[key] = now.commit({"postings": (terms, None), "queries": (asked, None)})
+    return _stored[key]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

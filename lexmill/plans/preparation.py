@@ -17,10 +17,18 @@ def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
 
 
-_CLEAN = "regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '-\\n([\\pL\\pN_])', '\\1', 'g')"
-for _rule in (r"(?m)^\s*-?\s*\d+\s*-?\s*$", r"(?m)^ЧАСТЬ\s+\S+\s*$", r"(?m)^Раздел\s+[IVXLCDM]+\.\s*.*$", r"(?m)^Глава\s+\d+\.\s*.*$"):
-    _CLEAN = f"regexp_replace({_CLEAN}, '{_rule}', '', 'g')"
-_CLEAN = _strip(f"regexp_replace({_CLEAN}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+# The cleaning rules as SQL patterns.
+_RULES = (r"(?m)^\s*-?\s*\d+\s*-?\s*$", r"(?m)^ЧАСТЬ\s+\S+\s*$", r"(?m)^Раздел\s+[IVXLCDM]+\.\s*.*$", r"(?m)^Глава\s+\d+\.\s*.*$")
+
+
+def clean_sql(x: str) -> str:
+    out = f"regexp_replace(regexp_replace({x}, '\\r\\n?', chr(10), 'g'), '-\\n([\\pL\\pN_])', '\\1', 'g')"
+    for rule in _RULES:
+        out = f"regexp_replace({out}, '{rule}', '', 'g')"
+    return _strip(f"regexp_replace({out}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+_CLEAN = clean_sql("text")
 
 # Every third line of a document becomes a heading of the given form.
 _LINES = "lines AS (SELECT doc_id, 'd' || doc_id AS document_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE {})"
@@ -173,7 +181,7 @@ def _cut_sql(x: str) -> str:
 # From sections (id, section_index, text) to chunks (id, section_index, n, chunk). ends[i + 1]: characters of the first
 # i words with a space after each. A window reaches as far as 2003 characters, the next one starts within its last 400;
 # one that brings less than 664 new characters joins the window before it.
-_CHUNKS_SQL = f"""
+CHUNKS_SQL = f"""
 once AS (SELECT id, section_index, unnest(u) AS u, unnest(range(0, len(u))) AS p FROM (SELECT id, section_index, {_cut_sql('text')} AS u FROM sections)),
 twice AS (SELECT id, section_index, p, unnest(v) AS v, unnest(range(0, len(v))) AS q FROM (SELECT id, section_index, p, {_cut_sql('u')} AS v FROM once)),
 words AS (SELECT id, section_index, p, q, regexp_extract_all(v, '[^{_SPACE[1:]}+') AS w FROM twice WHERE length(v) // 4 > 500),
@@ -205,7 +213,7 @@ def _recursive(*parts: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts)
 
 
-@register("chunk_documents", _recursive(f"sections AS (SELECT doc_id::VARCHAR AS id, 0 AS section_index, {_CLEAN} AS text FROM documents)", _CHUNKS_SQL) + """
+@register("chunk_documents", _recursive(f"sections AS (SELECT doc_id::VARCHAR AS id, 0 AS section_index, {_CLEAN} AS text FROM documents)", CHUNKS_SQL) + """
 SELECT id AS document_id, section_index, n AS chunk_number_in_section, (row_number() OVER (PARTITION BY id ORDER BY section_index, n) - 1)::INT AS chunk_index, id AS parent_id, chunk AS text FROM chunks""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean, cut into sections and chunk every document."""
@@ -214,14 +222,14 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_sections(cut, F.lit("2024-01-01")).select("document_id", "section_index", "chunk_number_in_section", "chunk_index", "parent_id", "text")
 
 
-@register("atomic_units", _recursive("sections AS (SELECT doc_id::VARCHAR AS id, 0 AS section_index, text FROM documents)", _CHUNKS_SQL) + "SELECT id, p, q, w, unit FROM units")
+@register("atomic_units", _recursive("sections AS (SELECT doc_id::VARCHAR AS id, 0 AS section_index, text FROM documents)", CHUNKS_SQL) + "SELECT id, p, q, w, unit FROM units")
 def atomic_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs, then lines, then word windows of what is too long."""
     docs = c.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     return chunking.atomic_units(docs).select("id", "p", "q", "w", "unit")
 
 
-@register("chunk_collisions", _recursive(_headed_lines(), _TITLES_SQL, "sections AS (SELECT document_id AS id, section_index, text FROM titles)", _CHUNKS_SQL) + """
+@register("chunk_collisions", _recursive(_headed_lines(), _TITLES_SQL, "sections AS (SELECT document_id AS id, section_index, text FROM titles)", CHUNKS_SQL) + """
 SELECT id AS document_id, count(*) AS chunks FROM chunks GROUP BY id, n HAVING count(*) > 1""")
 def chunk_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that chunks of one document share where sections have no number."""
@@ -236,11 +244,15 @@ def parent_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.select("chunk_id", text.parent_id(F.col("document_id"), F.col("section_number")).alias("parent_id"))
 
 
-_NAME = "unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('chunk:' || parent_id || ':' || version || ':' || chunk_index)"
+def uuid5_sql(name: str) -> str:
+    h = f"sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({name}))"
+    return f"(substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || lower(to_hex((('0x' || substr({h}, 17, 2))::INT & 63) | 128)) || substr({h}, 19, 2) || '-' || substr({h}, 21, 12))"
+
+
+_NAME = "'chunk:' || parent_id || ':' || version || ':' || chunk_index"
 
 
-@register("chunk_ids", c.with_sql(c.POINTS_SQL) + f""", hashed AS (SELECT chunk_id AS id, sha1({_NAME}) AS h FROM points)
-SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(to_hex((('0x' || substr(h, 17, 2))::INT & 63) | 128)) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS chunk_id FROM hashed""")
+@register("chunk_ids", c.with_sql(c.POINTS_SQL) + f" SELECT chunk_id AS id, {uuid5_sql(_NAME)} AS chunk_id FROM points")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name-based UUIDs of chunks."""
     points = c.points(spark, sf_dir, vectors=False)

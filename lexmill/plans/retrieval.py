@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import expansion, fusion, index, rerank, search
+from ..sources.tables import Snapshot
 from . import corpus as c
 from .registry import register
 
@@ -21,8 +22,11 @@ SELECT query_id, chunk_id, category, {_ROUND}, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dense WHERE ordinal < 0) WHERE rank <= 20""")
 def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine top 20 over chunk vectors under each query's filters."""
-    vectors = search.lane_vectors(c.points(spark, sf_dir)).where("ordinal < 0")
-    asked = c.queries(spark, sf_dir)
+    return _dense(c.stored(spark, sf_dir), c.stored(spark, sf_dir).read("queries"))
+
+
+def _dense(now: Snapshot, asked: DataFrame) -> DataFrame:
+    vectors = search.lane_vectors(now.read("points"), questions=False)
     scores = search.dense_scores(vectors, asked, c.DIMS, asked.count())
     return _score(search.best(scores, F.lit(20), "query_id")).select("query_id", "chunk_id", "category", "score", "rank")
 
@@ -32,16 +36,16 @@ SELECT query_id, ordinal, chunk_id, {_ROUND}, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, ordinal ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dense WHERE ordinal >= 0) WHERE rank <= 10""")
 def question_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine top 10 over each of the question vectors."""
-    vectors = search.lane_vectors(c.points(spark, sf_dir)).where("ordinal >= 0")
-    asked = c.queries(spark, sf_dir)
+    now = c.stored(spark, sf_dir)
+    vectors = search.lane_vectors(now.read("points")).where("ordinal >= 0")
+    asked = now.read("queries")
     scores = search.dense_scores(vectors, asked, c.DIMS, asked.count())
     return _score(search.best(scores, F.lit(10), "query_id", "ordinal")).select("query_id", "ordinal", "chunk_id", "score", "rank")
 
 
-def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    points = c.points(spark, sf_dir, vectors=False)
-    terms = index.postings(points)
-    return points, terms, index.idf(terms, points.count())
+def _terms(now: Snapshot, asked: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The stored postings of the queries' tokens, and these tokens' weights."""
+    return index.matching(now.read("postings"), asked, n, now.read("points").count())
 
 
 @register("sparse_search", c.with_sql(c.POINTS_SQL, c.QUERIES_SQL, c.POSTINGS_SQL, c.SPARSE_SQL) + f"""
@@ -49,46 +53,35 @@ SELECT query_id, chunk_id, category, {_ROUND}, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sparse) WHERE rank <= 20""")
 def sparse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF-IDF top 20 over shared terms."""
-    points, terms, weights = _terms(spark, sf_dir)
-    asked = c.queries(spark, sf_dir)
-    scores = search.sparse_scores(points, terms, weights, asked, asked.count())
+    return _sparse(c.stored(spark, sf_dir), c.stored(spark, sf_dir).read("queries"))
+
+
+def _sparse(now: Snapshot, asked: DataFrame) -> DataFrame:
+    n = asked.count()
+    scores = search.sparse_scores(now.read("points"), *_terms(now, asked, n), asked, n)
     return _score(search.best(scores, F.lit(20), "query_id")).select("query_id", "chunk_id", "category", "score", "rank")
 
 
-def _lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = c.points(spark, sf_dir)
-    _, terms, weights = _terms(spark, sf_dir)
-    asked = c.queries(spark, sf_dir)
-    return search.lanes(points, terms, weights, asked, dims=c.DIMS, n_queries=asked.count())
+def _lanes(now: Snapshot, asked: DataFrame) -> DataFrame:
+    n = asked.count()
+    return search.lanes(now.read("points"), *_terms(now, asked, n), asked, dims=c.DIMS, n_queries=n)
+
+
+def _all_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = c.stored(spark, sf_dir)
+    return _lanes(now, now.read("queries"))
 
 
 @register("search_lanes", c.with_sql(*c.SEARCH_PARTS) + f"SELECT query_id, lane, chunk_id, {_ROUND}, rank FROM lanes")
 def search_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category-balanced lanes where a query names no category, single deeper ones where it does."""
-    return _score(_lanes(spark, sf_dir)).select("query_id", "lane", "chunk_id", "score", "rank")
+    return _score(_all_lanes(spark, sf_dir)).select("query_id", "lane", "chunk_id", "score", "rank")
 
 
 @register("rrf_fusion", c.with_sql(*c.SEARCH_PARTS, c.FUSED_SQL) + f"SELECT query_id, chunk_id, {_ROUND}, rank FROM fused")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lanes of a query fused by reciprocal ranks."""
-    return _score(fusion.rrf(_lanes(spark, sf_dir), "query_id"))
-
-
-_FINAL_SQL = """
-SELECT f.query_id, f.rank AS position, f.chunk_id, round(1.0 / (60 + f.rank), 9) AS score, p.document_id, p.category, p.source_title, p.section_number, p.version
-FROM fused f JOIN points p USING (chunk_id) WHERE f.rank <= 5"""
-
-
-@register("hybrid_search", c.with_sql(*c.SEARCH_PARTS, c.FUSED_SQL) + _FINAL_SQL)
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole search: lanes, fusion within and over variants (one here), rerank fallback, payload joined last."""
-    fused = fusion.rrf(_lanes(spark, sf_dir).withColumn("variant_id", F.lit(0)), "query_id", "variant_id")
-    merged = fusion.fuse_variants(fused, "query_id")
-    asked = c.queries(spark, sf_dir).select("query_id", "top_k", F.lit(None).cast("array<int>").alias("indices"))
-    final = rerank.rerank(asked, merged)
-    payload = c.points(spark, sf_dir, vectors=False)
-    out = rerank.assemble(final.withColumn("score", F.round("score", 9)), payload)
-    return out.select("query_id", "position", "chunk_id", "score", "document_id", "category", "source_title", "section_number", "version")
+    return _score(fusion.rrf(_all_lanes(spark, sf_dir), "query_id"))
 
 
 @register("fuse_variants", c.with_sql(*c.SEARCH_PARTS, c.FUSED_SQL) + """,
@@ -97,7 +90,7 @@ merged AS (SELECT q, chunk_id, list_sum(list_transform(list_sort(list({'v': vari
 SELECT q AS query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, first) AS rank FROM merged""")
 def fuse_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two queries taken as variants of one, their fused lists fused again."""
-    fused = fusion.rrf(_lanes(spark, sf_dir), "query_id")
+    fused = fusion.rrf(_all_lanes(spark, sf_dir), "query_id")
     paired = fused.select(F.floor(F.col("query_id") / 2).alias("query_id"), (F.col("query_id") % 2).alias("variant_id"), "chunk_id", "rank")
     return _score(fusion.fuse_variants(paired, "query_id"))
 
@@ -108,24 +101,33 @@ SELECT query_id, stage, count(*) AS n FROM (
   UNION ALL SELECT query_id, 'fused' FROM fused UNION ALL SELECT query_id, 'final' FROM fused WHERE rank <= 5) GROUP BY ALL""")
 def search_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of each query at each stage."""
-    lanes = _lanes(spark, sf_dir)
+    lanes = _all_lanes(spark, sf_dir)
     fused = fusion.rrf(lanes, "query_id")
     return rerank.trace(lanes, fused, fused.where("rank <= 5"))
 
 
 @register("postings", c.with_sql(c.POINTS_SQL, c.POSTINGS_SQL) + "SELECT chunk_id, token, tf FROM postings")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.postings(c.points(spark, sf_dir, vectors=False))
+    return index.postings(c.points(spark, sf_dir, vectors=False), "chunk_id")
 
 
 @register("idf", c.with_sql(c.POINTS_SQL, c.POSTINGS_SQL) + "SELECT token, n, round(idf, 6) AS idf FROM idf")
 def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _terms(spark, sf_dir)[2].withColumn("idf", F.round("idf", 6))
+    now = c.stored(spark, sf_dir)
+    return index.idf(now.read("postings"), now.read("points").count()).withColumn("idf", F.round("idf", 6))
 
 
-@register("sparse_vectors")
+# CRC-32 bit by bit: each byte is followed by seven zeros, and each step shifts one bit out.
+_CRC_SQL = """
+bytes AS (SELECT token, hex(encode(token)) AS h FROM (SELECT DISTINCT token FROM postings)),
+crc AS (
+  SELECT token, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(0, length(h) // 2), lambda i: [('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+         lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295) AS term_id FROM bytes)"""
+
+
+@register("sparse_vectors", c.with_sql(c.POINTS_SQL, c.POSTINGS_SQL, _CRC_SQL) + " SELECT chunk_id, token, tf, term_id FROM postings JOIN crc USING (token)")
 def sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings with hashed term ids (CRC-32 has no SQL form here; tested against zlib)."""
+    """Postings with hashed term ids."""
     return index.with_term_ids(index.postings(c.points(spark, sf_dir, vectors=False)))
 
 
@@ -193,7 +195,7 @@ status AS (
   SELECT query_id, CASE WHEN n = 0 THEN 'no_candidates' WHEN given IS NULL THEN 'fallback_unavailable' WHEN len(given) = 0 THEN 'no_relevant'
          WHEN NOT EXISTS (SELECT 1 FROM picked p WHERE p.query_id = a.query_id) THEN 'fallback_invalid_output' ELSE 'ok' END AS rerank_status FROM asked a),
 final AS (
-  SELECT f.query_id, f.chunk_id, f.score, CASE WHEN s.rerank_status = 'ok' THEN p.position ELSE f.rank END AS position, s.rerank_status
+  SELECT f.query_id, f.chunk_id, f.score, f.rank AS fused_rank, CASE WHEN s.rerank_status = 'ok' THEN p.position ELSE f.rank END AS position, s.rerank_status
   FROM fused f JOIN status s USING (query_id) LEFT JOIN picked p ON p.query_id = f.query_id AND p.i = f.rank
   WHERE CASE WHEN s.rerank_status = 'ok' THEN p.position WHEN s.rerank_status LIKE 'fallback%' THEN f.rank END <= 5)"""
 
@@ -201,19 +203,45 @@ final AS (
 @register("rerank", _RERANK_SQL + f" SELECT query_id, chunk_id, {_ROUND}, position, rerank_status FROM final")
 def rerank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's indices mapped back to chunks, with every kind of fallback."""
-    fused = fusion.rrf(_lanes(spark, sf_dir), "query_id")
-    asked = c.queries(spark, sf_dir).select("query_id", "top_k", _indices().alias("indices"))
+    fused = fusion.rrf(_all_lanes(spark, sf_dir), "query_id")
+    asked = c.stored(spark, sf_dir).read("queries").select("query_id", "top_k", _indices().alias("indices"))
     return _score(rerank.rerank(asked, fused)).select("query_id", "chunk_id", "score", "position", "rerank_status")
 
 
+@register("hybrid_search", _RERANK_SQL + """
+SELECT f.query_id, f.position, f.chunk_id, round(1.0 / (60 + f.fused_rank), 9) AS score, f.rerank_status, p.document_id, p.category, p.source_title, p.section_number, p.version
+FROM final f JOIN points p USING (chunk_id)""")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search: lanes, fusion within and over variants (one here), a model's order with every kind of fallback, payload joined last."""
+    now = c.stored(spark, sf_dir)
+    return _hybrid(now, now.read("queries"))
+
+
+def _hybrid(now: Snapshot, asked: DataFrame) -> DataFrame:
+    fused = fusion.rrf(_lanes(now, asked).withColumn("variant_id", F.lit(0)), "query_id", "variant_id")
+    merged = fusion.fuse_variants(fused, "query_id")
+    final = rerank.rerank(asked.select("query_id", "top_k", _indices().alias("indices")), merged)
+    out = rerank.assemble(final.withColumn("score", F.round("score", 9)), now.read("points"))
+    return out.select("query_id", "position", "chunk_id", "score", "rerank_status", "document_id", "category", "source_title", "section_number", "version")
+
+
+#: Searches of one query each, for timing: the query, over the stored tables.
+SINGLE = {"dense_search": _dense, "sparse_search": _sparse, "hybrid_search": _hybrid}
+
+
+def one_search(spark: SparkSession, sf_dir: str, kind: str, query_id: int = 0) -> DataFrame:
+    now = c.stored(spark, sf_dir)
+    return SINGLE[kind](now, now.read("queries").where(F.col("query_id") == query_id))
+
+
 @register("search_outcomes", _RERANK_SQL + """
 SELECT s.query_id, s.rerank_status, count(f.chunk_id) AS results,
        CASE WHEN s.rerank_status LIKE 'fallback%' OR s.query_id % 7 = 0 THEN 'degraded' WHEN count(f.chunk_id) = 0 THEN 'empty' ELSE 'ok' END AS outcome
 FROM status s LEFT JOIN final f USING (query_id) GROUP BY s.query_id, s.rerank_status""")
 def search_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query's rerank status, number of results and outcome class."""
-    fused = fusion.rrf(_lanes(spark, sf_dir), "query_id")
-    asked = c.queries(spark, sf_dir).select("query_id", "top_k", _indices().alias("indices"))
+    fused = fusion.rrf(_all_lanes(spark, sf_dir), "query_id")
+    asked = c.stored(spark, sf_dir).read("queries").select("query_id", "top_k", _indices().alias("indices"))
     out = rerank.statuses(asked, fused)
     went = F.when(F.col("query_id") % 7 == 0, "fallback_unavailable").otherwise("ok")
     return out.withColumn("outcome", rerank.outcome(went, F.col("rerank_status"), F.col("results")))
@@ -231,5 +259,5 @@ def question_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chunk looked up by its own question vectors among all chunk vectors: recall and mean reciprocal rank."""
     from ..operators.evaluation import retrieval_quality
 
-    vectors = search.lane_vectors(c.points(spark, sf_dir))
+    vectors = search.lane_vectors(c.stored(spark, sf_dir).read("points"))
     return retrieval_quality(vectors, c.DIMS)

@@ -185,3 +185,42 @@ class OverlapReranker:
         wanted = set(_WORD.findall(query.lower()))
         shared = [len(wanted & set(_WORD.findall(c.lower()))) for c in candidates]
         return sorted((i + 1 for i, n in enumerate(shared) if n), key=lambda i: (-shared[i - 1], i))[:top]
+
+
+@dataclass
+class LetterEmbedder:
+    """Counts of the first ``dims`` letters of the Latin alphabet; a text without any is an error."""
+
+    dims: int = 26
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        out = [[float(t.lower().count(chr(97 + i))) for i in range(self.dims)] for t in texts]
+        if not all(map(any, out)):
+            raise ContentError("empty vector")
+        return out
+
+
+class QuoteEnricher:
+    """A title and three questions that quote the text's beginning."""
+
+    def enrich(self, text: str) -> str:
+        import json
+
+        questions = [f"Q {text[i * 20 : i * 20 + 30]}?" for i in range(3)]
+        return json.dumps({"synthetic_title": f"T {text[:40]}.", "hypothetical_questions": questions}, ensure_ascii=False)
+
+
+class HalfQuery:
+    """The query itself, and its first half as a rephrasing."""
+
+    def expand(self, query: str) -> str:
+        import json
+
+        return json.dumps({"variants": [{"sub_question": query, "rephrasings": [query[: len(query) // 2]]}]}, ensure_ascii=False)
+
+
+class LongestReranker:
+    """The longest candidates first; ties keep their order."""
+
+    def rerank(self, query: str, candidates: list[str], top: int) -> list[int]:
+        return sorted(range(1, len(candidates) + 1), key=lambda i: (-len(candidates[i - 1]), i))[:top]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -40,3 +41,24 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(str(archive))
     context._lexmill_shipped = True
     return spark
+
+
+_fallback: str | None = None
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one if all is one machine."""
+    global _fallback
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+    if _fallback is None:
+        _fallback = "file://" + tempfile.mkdtemp(prefix="lexmill-")
+    return _fallback
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -23,10 +23,11 @@ class ConcurrentChange(RuntimeError):
 
 @dataclass(frozen=True)
 class TableSpec:
-    """A table's columns, and the column whose hash deals its rows out to buckets."""
+    """A table's columns, the column whose hash deals its rows out to buckets, and the order of rows within a file."""
 
     schema: T.StructType
     bucket_by: str
+    sort_by: tuple[str, ...] = ()
 
 
 @dataclass
@@ -137,6 +138,8 @@ class SnapshotStore:
         validate_schema(rows, spec.schema)
         folder = f"data/{table}-{uuid.uuid4().hex}"
         dealt = rows.select(*spec.schema.fieldNames()).withColumn("__bucket", self.bucket(table)).hint("rebalance", "__bucket")
+        if spec.sort_by:
+            dealt = dealt.sortWithinPartitions("__bucket", *spec.sort_by)
         dealt.write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
         return {n.partition("=")[2]: f"{folder}/{n}" for n in self._names(folder) if n.startswith("__bucket=")}
 

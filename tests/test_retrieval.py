@@ -64,12 +64,12 @@ def fuse(spark, lists, k=60):
 
 
 def test_rrf(spark):
-    got = fuse(spark, [["a", "b", "c"], ["b", "a", "d"]])
-    assert [c for c, _ in got] == ["a", "b", "c", "d"]  # ties: the first seen
-    assert got[0][1] == 1 / 61 + 1 / 62
-    assert [c for c, _ in fuse(spark, [["x", "y"], ["z", "y"]])] == ["y", "x", "z"]
-    assert fuse(spark, [["a"]], k=1) == [("a", 0.5)]
-    assert [c for c, _ in fuse(spark, [[], ["x", "y"]])] == ["x", "y"]
+    got = fuse(spark, [["p", "q", "r", "s"], ["q", "t"], ["t", "p"]])
+    assert got[0] == ("p", 1 / 61 + 1 / 62) and got[1][0] == "q" and got[2] == ("t", 1 / 62 + 1 / 61)  # ties: the first seen
+    assert [c for c, _ in got] == ["p", "q", "t", "r", "s"]
+    assert [c for c, _ in fuse(spark, [["m", "n"], ["o", "n"]])] == ["n", "m", "o"]  # twice second beats once first
+    assert fuse(spark, [["m", "n"]], k=3) == [("m", 0.25), ("n", 0.2)]
+    assert [c for c, _ in fuse(spark, [[], ["n", "m"], []])] == ["n", "m"]
 
 
 def test_one_variant_keeps_only_ranks(spark):
@@ -125,3 +125,46 @@ def test_retrieval_quality(spark):
     rows = [("a", -1, [1.0, 0.0]), ("b", -1, [0.0, 1.0]), ("a", 0, [1.0, 0.1]), ("a", 1, [0.0, 1.0]), ("b", 0, [1.0, 1.0])]
     got = evaluation.retrieval_quality(spark.createDataFrame(rows, "chunk_id string, ordinal int, v array<double>"), 2).first()
     assert tuple(got) == (3, 0.333333, 1.0, pytest.approx(2 / 3, abs=1e-6))
+
+
+def scans(df):
+    """Parquet scans and shuffles of the plan as it was run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    return final.count("FileScan parquet")
+
+
+@pytest.fixture(scope="module")
+def corpus_dir(spark, tmp_path_factory):
+    """Small tables of the provided form."""
+    path = tmp_path_factory.mktemp("corpus")
+    words = ["квота", "отпуск", "договор", "срок", "работа", "закон", "труд"]
+    text = lambda i: " ".join(words[(i * k + k) % 7] for k in range(1, 9)) + f" n{i}"
+    spark.createDataFrame([(i, text(i), "en", f"src{i % 4}", 9) for i in range(120)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    vector = lambda i: [float((i * (j + 3)) % 11 - 5) for j in range(64)]
+    spark.createDataFrame([(i, vector(i), 0) for i in range(60)], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame([(i, text(i * 3)) for i in range(20)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_searches_read_stored_tables_once(spark, corpus_dir):
+    from lexmill.plans import corpus, registry, retrieval
+
+    now = corpus.stored(spark, corpus_dir)
+    assert corpus.stored(spark, corpus_dir) is now
+    assert scans(registry.QUERIES["hybrid_search"](spark, corpus_dir)) <= 9
+    assert scans(registry.QUERIES["sparse_search"](spark, corpus_dir)) <= 5
+    plan = retrieval.one_search(spark, corpus_dir, "sparse_search")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(token" in plan or "PushedFilters: [IsNotNull(token), In(token" in plan
+    batch = registry.QUERIES["sparse_search"](spark, corpus_dir).where("query_id = 4").collect()
+    assert sorted(map(tuple, retrieval.one_search(spark, corpus_dir, "sparse_search", 4).collect())) == sorted(map(tuple, batch))
+
+
+def test_stored_postings_follow_the_points(spark):
+    old = spark.createDataFrame([("a", "a0", "v1", 0, "one two"), ("b", "b0", "v1", 0, "two three")], "document_id string, chunk_id string, version string, chunk_index int, text string")
+    stored = index.postings(old, "document_id", "chunk_id").select(*index.POSTINGS.fieldNames())
+    new = old.limit(0).union(spark.createDataFrame([("a", "a0", "v2", 0, "four four"), ("a", "a1", "v2", 1, "two")], old.schema))
+    after = old.where("document_id = 'b'").union(new)
+    got = sorted(map(tuple, index.refreshed(stored, after, new).collect()))
+    assert got == [("a", "a0", "four", 2.0), ("a", "a1", "two", 1.0), ("b", "b0", "three", 1.0), ("b", "b0", "two", 1.0)]

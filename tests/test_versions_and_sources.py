@@ -12,7 +12,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from lexmill import providers
+from lexmill import providers, service
 from lexmill.operators import analytics, enrichment, filters, lifecycle
 from lexmill.schemas import schema
 from lexmill.sources import tables, uploads
@@ -411,6 +411,73 @@ def test_streamed_documents_are_ingested(spark, tmp_path, monkeypatch):
     assert store.begin().number == number + 1 and state()[0] == ["av4", "bv3", "cv1"]
 
 
+class Unsure(providers.QuoteEnricher):
+    """Answers that break the contract at first, and never any for some texts."""
+
+    def __init__(self):
+        self.asked = {}
+
+    def enrich(self, text):
+        self.asked[text] = self.asked.get(text, 0) + 1
+        if "never" in text:
+            return json.dumps({"synthetic_title": "", "hypothetical_questions": []})
+        return super().enrich(text) if self.asked[text] > 1 else "no JSON"
+
+
+def document(d, version, text, category="authorial", topics=()):
+    return (d, version, category, "S", "both", list(topics), date(2026, 1, 1), text)
+
+
+DOCUMENTS = "document_id string, version string, category string, source_title string, audience string, topics array<string>, effective_date date, raw_text string"
+
+
+def test_service_from_documents_to_answers(spark, tmp_path, monkeypatch):
+    store = service.open_store(spark, f"file://{tmp_path}/store", 4)
+    day = F.lit("2026-01-02").cast("date")
+    rows = [
+        document("a", "v1", "# One\nalpha beta\n# Two\ngamma"), document("b", "v1", "old words"), document("b", "v2", "delta alpha"), document("c", "v1", "never"),
+        document("e", "v1", " "), document("f", "v1", "x", "labor_code", ["t"]), document("g", "v1", "\n\n".join(["word " * 390] * 4)), document("n", "v1", None),
+    ]
+    done = service.ingest(store, spark.createDataFrame(rows, DOCUMENTS), Unsure(), providers.LetterEmbedder(26), day, calls=(1, 1), max_chunks=3)
+    reasons = {r.document_id: r.reason for r in done.refused.collect()}
+    assert reasons == {"c": "no title", "e": "empty text", "n": "empty text", "f": "topics not allowed for category", "g": "too many chunks"}
+    now = store.begin()
+    points = now.read("points").collect()
+    assert sorted((p.document_id, p.version, p.section_title, p.text) for p in points) == [("a", "v1", "Two", "gamma"), ("b", "v2", "b", "delta alpha")]  # sections without a number share their id
+    assert {(r.document_id, r.version): r.is_active for r in now.read("registry").collect() if r.document_id == "b"} == {("b", "v1"): False, ("b", "v2"): True}
+    asked = spark.createDataFrame([(1, "alpha delta", None, None, None, 3), (2, " ", None, None, None, 3), (3, "zzz", "seeker", None, "case_law", None)], "query_id int, query string, audience string, topic string, category string, top_k int")
+    answers = service.search(now, asked, providers.SameQuery(), providers.LetterEmbedder(26), providers.OverlapReranker())
+    found = {(r.query_id, r.position): r.document_id for r in answers.results.collect()}
+    assert found[(1, 1)] == "b"
+    assert {r.query_id: r.outcome for r in answers.outcomes.collect()} == {1: "ok", 3: "empty"}
+    assert [tuple(r) for r in answers.refused.collect()] == [(2, "empty query")]
+    # another writer publishes in between: the ingest begins again from the new version
+    real, raced = tables.Snapshot.commit, []
+
+    def slower(self, *args, **kwargs):
+        if not raced:
+            raced.append(1)
+            real(store.begin(), {})
+        return real(self, *args, **kwargs)
+
+    monkeypatch.setattr(tables.Snapshot, "commit", slower)
+    service.ingest(store, spark.createDataFrame([document("h", "v1", "omega")], DOCUMENTS), providers.QuoteEnricher(), providers.LetterEmbedder(26), day, calls=(None, None))
+    monkeypatch.undo()
+    later = store.begin()
+    assert {"a", "b", "h"} <= {r.document_id for r in later.read("points").collect()} and later.read("postings").where("token = 'omega'").count() == 1
+
+
+def test_a_provider_s_rate_is_shared(spark):
+    class Slow(providers.LetterEmbedder):
+        rate = 20.0
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    df = spark.createDataFrame([(i, "ab") for i in range(12)], "query_id int, query string")
+    start = datetime.now()
+    assert enrichment.embed_queries(df, Slow(2), 1).where("vector is not null").count() == 12
+    assert (datetime.now() - start).total_seconds() > 11 / 20
+
+
 def test_entry_works_without_the_training_operators():
     """With the subpackage and the pipeline hidden, the entry point imports and offers the engine's queries."""
     root = Path(__file__).resolve().parent.parent
