@@ -14,10 +14,10 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, map_batches, slices, struct, texts_of
+from .common import arrow_batch, map_batches, slices, small, store, struct, texts_of
 
 #: Bytes of a window; widths of the filters and filters of each width.
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
@@ -129,33 +129,31 @@ def has_letter(text: str) -> bool:
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", per_label: int = LABEL_TEXTS, per_text: int = TEXT_WINDOWS) -> ByteNet | None:
     """A network trained on a bounded sample of the labelled rows; None where there are none.
 
-    About ``per_label`` distinct texts of each label at most (chosen by a hash of the text,
-    so reruns agree; copies count once), ``per_text`` evenly spaced windows of each. Rows whose label is null
-    or whose text is null or has no letter are not used.
+    Of each label the ``per_label`` texts that come first by a hash of the text, or all if
+    there are fewer, so reruns agree, copies count once and no label is lost; ``per_text``
+    evenly spaced windows of each. What is collected is at most labels x per_label x per_text
+    windows. Rows whose label is null or whose text is null or has no letter are not used.
     """
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
-    mark = F.xxhash64(F.lit(17), "text")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count_distinct(mark).alias("n")).collect()}
-    if not counts:
-        return None
-    shares = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, per_label / n))])
-    chance = F.shiftrightunsigned(mark, 11) / F.lit(float(1 << 53))
-    picked = rows.where(chance < F.element_at(shares, F.col("label"))).distinct()
-    schema = struct(label="string", window="binary")
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("mark", F.xxhash64(F.lit(17), "text"))
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("mark"))  # cut to per_label before its shuffle, too
+    picked = store(rows.select("label", "mark").distinct().withColumn("turn", turn).where(F.col("turn") <= per_label).select("label", "mark"), "language-sample")
+    wanted = small(picked, picked.count(), 64)
+    schema = struct(label="string", mark="long", windows="array<binary>")
 
     def cut(batches):
         for whole in batches:
             for batch in slices(whole):
-                out: dict[str, list] = {"label": [], "window": []}
-                for label, text in zip(batch.column("label").to_pylist(), texts_of(batch, "text")):
-                    if has_letter(text):
-                        found = windows_of(text.encode())
-                        for i in sorted({int(x) for x in np.linspace(0, len(found) - 1, per_text)}):
-                            out["label"].append(label)
-                            out["window"].append(found[i].tobytes())
+                out: dict[str, list] = {"label": batch.column("label").to_pylist(), "mark": batch.column("mark").to_pylist(), "windows": []}
+                for text in texts_of(batch, "text"):
+                    found = windows_of(text.encode())
+                    out["windows"].append([found[i].tobytes() for i in sorted({int(x) for x in np.linspace(0, len(found) - 1, per_text)})])
                 yield arrow_batch(schema, out)
 
-    sample = sorted((r["label"], bytes(r["window"])) for r in picked.mapInArrow(cut, schema).collect())
+    # copies of a picked text count once; they are combined before the shuffle
+    once = rows.join(wanted, ["label", "mark"]).select("label", "mark", "text").mapInArrow(cut, schema).groupBy("label", "mark").agg(F.min("windows").alias("windows"))
+    drawn = once.select("label", F.explode("windows").alias("window"))
+    sample = sorted((r["label"], bytes(r["window"])) for r in drawn.collect())
     if not sample:
         return None
     labels = sorted({label for label, _ in sample})

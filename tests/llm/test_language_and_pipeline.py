@@ -91,17 +91,24 @@ def test_the_sample_is_bounded(spark):
         lid.train(docs, per_label=100)
     finally:
         lid.fit = original
-    assert 100 < seen[0] < 300
+    assert seen[0] == 200  # a hard limit
 
 
-def test_copies_count_once_in_the_sample(spark, monkeypatch):
+@pytest.mark.parametrize("first", [True, False])
+def test_a_repeated_text_neither_fills_nor_empties_the_sample(spark, monkeypatch, first):
+    """40,000 copies of the text that comes first, or last, by hash, and another label's only text as often."""
     texts = spark.range(1000).select(F.concat(F.lit("the text "), F.col("id")).alias("text"))
-    drawn = texts.orderBy(F.shiftrightunsigned(F.xxhash64(F.lit(17), "text"), 11)).first().text
-    docs = texts.unionByName(spark.range(3000).select(F.lit(drawn).alias("text"))).withColumn("lang", F.lit("en"))
+    mark = F.xxhash64(F.lit(17), "text")
+    drawn = texts.orderBy(mark if first else mark.desc()).first().text
+    docs = texts.unionByName(spark.range(40_000).select(F.lit(drawn).alias("text"))).withColumn("lang", F.lit("en"))
+    docs = docs.unionByName(spark.range(40_000).select(F.lit("ein Text").alias("text"), F.lit("de").alias("lang")))
+    docs = docs.unionByName(spark.createDataFrame([("12", "xx"), (None, "xx")], "text string, lang string"))
     seen = []
-    monkeypatch.setattr(lid, "fit", lambda windows, *a, **k: seen.append([w.tobytes() for w in windows]))
+    monkeypatch.setattr(lid, "fit", lambda windows, marks, labels: seen.append(([w.tobytes() for w in windows], labels)))
     lid.train(docs, per_label=100)
-    assert 50 < len(seen[0]) < 150 and len(set(seen[0])) == len(seen[0])
+    windows, labels = seen[0]
+    assert len(windows) == 101 and len(set(windows)) == 101 and labels == ["de", "en"]
+    assert any(w.startswith(drawn.encode().ljust(lid.WINDOW)) for w in windows) == first
 
 
 # the pipeline
