@@ -2,7 +2,8 @@
 
 The writer cuts long blocks into a first segment and continuation records. The
 reader deals segments out by their origin's id, puts them in order of segment
-number, checks the total length, and takes the payload out of its chunked framing.
+number, checks the total length, and takes the payload out of its chunked framing;
+records that are whole are taken apart where they are read.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, fresh_path, slices, small, store, struct
+from ..session import fresh_path
+from .common import BROADCAST_BYTES, arrow_batch, heavy_keys, slices, spread_join, store, struct
 from .files import new_file, open_file
 from .ordering import parts_of
 
@@ -26,6 +29,7 @@ VERSION = b"WARC/1.1\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 DATE = "2024-01-01T00:00:00Z"
+NO_URL = "none"
 
 #: Block bytes of a segment, payload bytes of a chunk, and the compression of a record's gzip member.
 SEGMENT_BYTES = 16_384
@@ -76,6 +80,8 @@ def records(page_id, url: str | None, payload: bytes, keeper, keeper_url: str |
     uri = (url or "about:blank").replace("\r", "%0D").replace("\n", "%0A")
     own = record_id(page_id, url, digest)
     common = {"WARC-Record-ID": own, "WARC-Date": DATE, "WARC-Target-URI": uri, "WARC-Payload-Digest": "sha1:" + base64.b32encode(digest).decode(), "X-Page-Id": page_id}
+    if url is None or uri.strip() != url:  # what a header can't hold as it is
+        common["X-Page-Url"] = NO_URL if url is None else "=" + quote(url, safe="")
     if keeper is not None:
         block = (HTTP_HEAD + f"Content-Length: {len(payload)}\r\n\r\n").encode()
         yield member({"WARC-Type": "revisit"} | common | {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": record_id(keeper, keeper_url, digest), "X-Refers-To-Page": keeper, "Content-Type": "application/http;msgtype=response"}, block)
@@ -127,7 +133,7 @@ def keepers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     body = F.encode(F.coalesce(payload_col, F.lit("")), "UTF-8")
     rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(url_col).alias("u"), body.alias("b")).where(F.octet_length("b") >= least)
     groups = rows.groupBy(F.unhex(F.sha2("b", 256)).alias("digest")).agg(F.max(F.struct("k", "u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return groups.where("n > 1").select("digest", F.col("m.k").alias("keeper"), F.col("m.u").alias("keeper_url"))
+    return groups.where("n > 1").select("digest", F.col("m.k").alias("keeper"), F.col("m.u").alias("keeper_url"), "n")
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", folder: str | None = None, segment_bytes: int = SEGMENT_BYTES) -> tuple[str, DataFrame]:
@@ -136,9 +142,11 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     Of rows with equal payloads of at least LEAST_REVISIT_BYTES bytes (UTF-8; null is
     empty) the one with the largest id is written as response, the others as revisits
     of it; all other rows are responses. Rows with a null id are responses and are not
-    referred to; of rows repeated with the largest id each is a response. Each task
-    writes the rows it reads to one file; the payloads are not shuffled as long as the
-    table of repeated payloads is small enough to broadcast, else they are joined by digest.
+    referred to; of rows repeated with the largest id each is a response. Null and odd
+    urls are kept as they are; other columns aren't read. Each task writes the rows it reads to one
+    file; the payloads are not shuffled as long as the table of repeated payloads is
+    small enough to broadcast, else those that may be repeated are joined by digest, very frequent
+    ones dealt over several tasks. An empty table gives no files.
     """
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
@@ -147,7 +155,12 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), body.alias("payload"))
     long_enough = F.octet_length("payload") >= LEAST_REVISIT_BYTES
     rows = rows.withColumn("digest", F.when(long_enough & F.col("id").isNotNull(), F.unhex(F.sha2("payload", 256))))
-    joined = rows.join(small(repeated, repeated.count(), 512), "digest", "left")
+    n_rows, size = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("keeper_url")), F.lit(0))).first()
+    if size + 96 * n_rows <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(repeated.drop("n")), "digest", "left")
+    else:
+        heavy = heavy_keys(repeated, "digest", repeated.agg(F.sum("n")).first()[0], "n")
+        joined = spread_join(rows, repeated.drop("n"), "digest", heavy, ("id", "url"), "left")
     other = F.col("keeper") != F.col("id")
     planned = joined.select("id", "url", "payload", F.when(other, F.col("keeper")).alias("keeper"), F.when(other, F.col("keeper_url")).alias("keeper_url"))
     listed = struct(name="string", n_records="long")
@@ -201,44 +214,87 @@ def assemble(segments: list[tuple]) -> Iterator[tuple]:
             yield page, kind, url, refers, None, None, digest, str(e)
 
 
+def _fields(record: bytes) -> tuple | None:
+    """(origin, number, total, page, kind, url, digest, refers, block) of a record; None where it is of another kind."""
+    h, block = parse(record)
+    kind = h["warc-type"]
+    if kind not in ("response", "revisit", "continuation"):
+        return None
+    algorithm, _, digest = h.get("warc-payload-digest", "").partition(":")
+    given = h.get("x-page-url")
+    url = h.get("warc-target-uri") if given is None else None if given == NO_URL else unquote(given[1:])
+    total = h.get("warc-segment-total-length")
+    return (
+        h["warc-segment-origin-id"] if kind == "continuation" else h["warc-record-id"], int(h.get("warc-segment-number", 0)), None if total is None else int(total),
+        h.get("x-page-id"), kind, url, base64.b32decode(digest).hex() if algorithm == "sha1" else None, h.get("x-refers-to-page"), block,
+    )
+
+
 def read(folder: str, manifest: DataFrame) -> DataFrame:
     """(page_id, record_type, url, refers_to, payload, payload_bytes, payload_digest, problem) per response and revisit.
 
-    Segments meet by their origin's id in one shuffle; a record is never spread over
-    more rows than it has segments. The digest (hexadecimal SHA-1) and size of a
-    revisit are those of the payload it refers to; its payload is null. A record whose
-    segments are missing, or whose framing, length or digest is wrong, has a problem
-    and no payload; it doesn't stop the others. An empty payload is empty, not null.
+    Segments meet by their origin's id in one shuffle; records that are not segmented
+    are finished where they are read, so files are read twice and whole payloads not shuffled. The
+    digest (hexadecimal SHA-1) and size of a revisit are those of the payload it refers to;
+    its payload is null. A record whose segments are missing, or whose framing, length or
+    digest is wrong, has a problem and no payload; one whose head can't be read, and
+    the rest of a file that breaks off, give a row with nothing but a problem. None of them stops the
+    others. Page ids that aren't numbers are null. An empty payload is empty, not null.
     """
     parts = parts_of(manifest)
-    raw = struct(origin="string", number="int", total="long", page="long", kind="string", url="string", digest="string", refers="long", block="binary")
-
-    def scan(batches):
-        for batch in batches:
-            for name in batch.column("name").to_pylist():
-                with open_file(folder, name) as f:
+    raw = struct(origin="string", number="int", total="long", page="string", kind="string", url="string", digest="string", refers="string", block="binary")
+    made = struct(page="string", record_type="string", url="string", refers="string", payload="binary", payload_bytes="long", payload_digest="string", problem="string")
+
+    def fields_of(name: str) -> Iterator[tuple[tuple | None, str | None]]:
+        """Each record's fields, or what is wrong with it."""
+        with open_file(folder, name) as f:
+            try:
+                for record in members(f):
+                    try:
+                        found = _fields(record)
+                    except (ValueError, KeyError) as e:
+                        yield None, f"{name}: a record can't be read: {e!r}"
+                        continue
+                    if found is not None:
+                        yield found, None
+            except (ValueError, zlib.error) as e:
+                yield None, f"{name}: {e}"
+
+    def rows_of(names: list[str], schema, pick) -> Iterator:
+        held, size = [], 0
+        for name in names:
+            for found, problem in fields_of(name):
+                for row in pick(found, problem):
+                    held.append(row)
+                    size += sum(len(x) for x in row if isinstance(x, bytes))
+                if size > 4 << 20 or len(held) >= 512:
+                    yield arrow_batch(schema, dict(zip(schema.fieldNames(), map(list, zip(*held)))))
                     held, size = [], 0
-                    for record in members(f):
-                        h, block = parse(record)
-                        kind = h["warc-type"]
-                        if kind not in ("response", "revisit", "continuation"):
-                            continue
-                        algorithm, _, digest = h.get("warc-payload-digest", "").partition(":")
-                        held.append((h["warc-segment-origin-id"] if kind == "continuation" else h["warc-record-id"], int(h.get("warc-segment-number", 1)), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, int(h["x-page-id"]) if "x-page-id" in h else None, kind, h.get("warc-target-uri"), base64.b32decode(digest).hex() if algorithm == "sha1" else None, int(h["x-refers-to-page"]) if "x-refers-to-page" in h else None, block))
-                        size += len(block)
-                        if size > 4 << 20:
-                            yield arrow_batch(raw, dict(zip(raw.fieldNames(), map(list, zip(*held)))))
-                            held, size = [], 0
-                    if held:
-                        yield arrow_batch(raw, dict(zip(raw.fieldNames(), map(list, zip(*held)))))
-
-    out = struct(page_id="long", record_type="string", url="string", refers_to="long", payload="binary", payload_bytes="long", payload_digest="string", problem="string")
+        if held:
+            yield arrow_batch(schema, dict(zip(schema.fieldNames(), map(list, zip(*held)))))
+
+    def whole(found, problem):
+        if found is None:
+            return [(None,) * 7 + (problem,)]
+        if found[1] or found[4] == "continuation":
+            return []
+        return assemble([(1, *found[2:])])
+
+    def segment(found, problem):
+        return [found] if found is not None and (found[1] or found[4] == "continuation") else []
+
+    def scan(schema, pick):
+        def run(batches):
+            for batch in batches:
+                yield from rows_of(batch.column("name").to_pylist(), schema, pick)
+
+        return run
 
     def join(batches):
         origin, segments, done, size = None, [], [], 0
         names = raw.fieldNames()[1:]
-        for whole in batches:
-            for batch in slices(whole):
+        for all_ in batches:
+            for batch in slices(all_):
                 for row in zip(batch.column("origin").to_pylist(), *[batch.column(c).to_pylist() for c in names]):
                     if row[0] != origin and segments:
                         done += assemble(segments)
@@ -247,12 +303,15 @@ def read(folder: str, manifest: DataFrame) -> DataFrame:
                     segments.append(row[1:])
                     size += len(row[-1])
                     if size > 4 << 20 and done:
-                        yield arrow_batch(out, dict(zip(out.fieldNames(), map(list, zip(*done)))))
+                        yield arrow_batch(made, dict(zip(made.fieldNames(), map(list, zip(*done)))))
                         done, size = [], 0
         if segments:
             done += assemble(segments)
         if done:
-            yield arrow_batch(out, dict(zip(out.fieldNames(), map(list, zip(*done)))))
+            yield arrow_batch(made, dict(zip(made.fieldNames(), map(list, zip(*done)))))
 
     files = manifest.select("name").repartition(parts, "name")
-    return files.mapInArrow(scan, raw).repartition(parts, "origin").sortWithinPartitions("origin", "number").mapInArrow(join, out)
+    complete = files.mapInArrow(scan(made, whole), made)
+    joined = files.mapInArrow(scan(raw, segment), raw).repartition(parts, "origin").sortWithinPartitions("origin", "number").mapInArrow(join, made)
+    number = lambda c: F.col(c).try_cast("long")
+    return complete.unionByName(joined).select(number("page").alias("page_id"), "record_type", "url", number("refers").alias("refers_to"), "payload", "payload_bytes", "payload_digest", "problem")
