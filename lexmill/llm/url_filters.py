@@ -9,7 +9,7 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, store
+from .common import BROADCAST_BYTES, small, store
 from .components import connected_components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,10 +108,14 @@ def resolve(base: Column, target: Column) -> Column:
 
 
 def alias_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): a page's url and the targets of all its canonical links and refresh redirects."""
-    tags = F.regexp_extract_all(html_col, F.lit(r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), F.lit(0))
+    """(a, b): a page's url and the targets of all its canonical links and refresh redirects.
+
+    A tag ends at its first ``>``; one that another ``<`` breaks off is none, so that the search
+    is linear in the page's length.
+    """
+    tags = F.regexp_extract_all(html_col, F.lit(r"""(?is)<link\b[^<>]*\brel\s*=\s*["']?canonical\b[^<>]*>"""), F.lit(0))
     canonical = F.transform(tags, lambda x: F.regexp_extract(x, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
-    metas = F.regexp_extract_all(html_col, F.lit(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), F.lit(0))
+    metas = F.regexp_extract_all(html_col, F.lit(r"""(?is)<meta\b[^<>]*\bhttp-equiv\s*=\s*["']?refresh\b[^<>]*>"""), F.lit(0))
     refresh = F.transform(metas, lambda x: F.regexp_extract(x, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
     url = F.col(url_col)
     # two passes in the generator: each step is planned once, however often the next one names it
@@ -147,5 +151,7 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     votes = members.groupBy("component").agg(F.bool_or(F.col("decision") == "allow").alias("allows"), F.bool_or(F.col("decision") == "block").alias("blocks"))
     shared = F.when(F.col("allows"), "allow").when(F.col("blocks"), "block")
     spread = store(classes.join(votes, "component").select(F.col("node").alias("__node"), shared.alias("__shared")).where("__shared is not null"), "alias-verdicts")
-    joined = judged.withColumn("__key", node_of(F.col("__u"))).join(small(spread, spread.count(), 256), F.col("__key") == F.col("__node"), "left")
+    n_nodes, size = spread.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("__node")), F.lit(0))).first()
+    side = F.broadcast(spread) if size + 64 * n_nodes <= BROADCAST_BYTES else spread
+    joined = judged.withColumn("__key", node_of(F.col("__u"))).join(side, F.col("__key") == F.col("__node"), "left")
     return joined.select(*out, F.coalesce("decision", "__shared", F.lit(default)).alias("verdict"))

@@ -4,6 +4,8 @@ import gzip
 import hashlib
 import random
 from collections import Counter
+from html.parser import HTMLParser
+from urllib.parse import urldefrag, urljoin
 
 import pytest
 
@@ -30,20 +32,21 @@ def test_chunked_framing():
             warc.unchunked(bad)
 
 
-@pytest.mark.parametrize("segment", [64, 1000, 1 << 30])
-def test_archives_round_trip(spark, segment):
-    rows = pages()
+@pytest.mark.parametrize("segment,broadcast", [(64, 32 << 20), (1000, -1), (1 << 30, 32 << 20)])
+def test_archives_round_trip(spark, monkeypatch, segment, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", broadcast)
+    rows = pages() + [(20 + i, u, "odd") for i, u in enumerate(["", " ", "about:blank", "none", " http://x/ ", "http://x/%0D", "=", "é\t"])]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, payload string, number int").repartition(3)
     folder, manifest = warc.write(df, segment_bytes=segment)
     got = warc.read(folder, manifest).collect()
     want = Counter()
     body = lambda t: (t or "").encode()
-    for i, _, t in rows:
+    for i, u, t in rows:
         same = [j for j, _, x in rows if body(x) == body(t) and j is not None]
         keeper = max(same) if i is not None and len(body(t)) >= 1000 and len(same) > 1 else None
         refers = keeper if keeper not in (None, i) else None
-        want[(i, "revisit" if refers else "response", refers, None if refers else body(t), len(body(t)), hashlib.sha1(body(t)).hexdigest(), None)] += 1
-    assert Counter((r.page_id, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload), r.payload_bytes, r.payload_digest, r.problem) for r in got) == want
+        want[(i, u, "revisit" if refers else "response", refers, None if refers else body(t), len(body(t)), hashlib.sha1(body(t)).hexdigest(), None)] += 1
+    assert Counter((r.page_id, r.url, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload), r.payload_bytes, r.payload_digest, r.problem) for r in got) == want
 
 
 def test_files_are_plain_gzip_of_records(spark, tmp_path):
@@ -69,6 +72,23 @@ def test_broken_segments_are_reported_and_stop_nothing():
     assert "digest" in next(warc.assemble(wrong))[-1]
 
 
+def test_bad_records_are_reported_and_the_others_read(spark, tmp_path):
+    good = lambda i, text, segment=1 << 20: list(warc.records(i, f"http://x/{i}", text, None, None, segment))
+    nameless = warc.member({"WARC-Type": "response", "X-Page-Id": 8}, b"HTTP/1.1 200 OK\r\n\r\nx")
+    lettered = warc.member({"WARC-Type": "response", "WARC-Record-ID": "<x>", "X-Page-Id": "p7"}, b"HTTP/1.1 200 OK\r\n\r\nx")
+    other = warc.member({"WARC-Type": "warcinfo", "WARC-Record-ID": "<i>"}, b"software: x")
+    one, two = good(1, b"a" * 50), good(2, b"b" * 200, 64)
+    (tmp_path / "first").write_bytes(b"".join([other, nameless, *one, gzip.compress(b"no record"), lettered, *two[:-1]]))
+    (tmp_path / "second").write_bytes(b"".join([two[-1], *good(3, b"c"), good(4, b"d" * 500)[0][:-20]]))
+    (tmp_path / "third").write_bytes(b"not gzip at all")
+    manifest = spark.createDataFrame([("first",), ("second",), ("third",)], "name string")
+    rows = warc.read(f"file://{tmp_path}", manifest).collect()
+    assert {r.page_id: bytes(r.payload) for r in rows if r.problem is None} == {1: b"a" * 50, 2: b"b" * 200, 3: b"c"}  # 2 by segments of two files
+    problems = [r.problem for r in rows if r.problem]
+    assert len(problems) == 5 and sum("first" in p for p in problems) == 2 and sum("second" in p for p in problems) == 1 and sum("third" in p for p in problems) == 1
+    assert len(rows) == 8
+
+
 def test_empty_archive(spark):
     folder, manifest = warc.write(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read(folder, manifest).count() == 0
@@ -157,3 +177,44 @@ def test_relative_escaped_and_repeated_links_carry_decisions(spark):
     ]
     got = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES)
     assert {r.page_id: r.verdict for r in got.collect()} == {i: "block" if i < 7 else "allow" for i in range(1, 8)}
+
+
+class Links(HTMLParser):
+    """Link targets as an HTML parser sees them."""
+
+    def __init__(self, base):
+        super().__init__()
+        self.base, self.found = base, []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        target = None
+        if tag == "link" and (a.get("rel") or "").lower() == "canonical":
+            target = a.get("href")
+        if tag == "meta" and (a.get("http-equiv") or "").lower() == "refresh":
+            target = (a.get("content") or "").partition("url=")[2]
+        if target:
+            to = urldefrag(urljoin(self.base, target.strip())).url
+            if target.strip().partition("#")[0] and "://" in to:
+                self.found.append(to)
+
+
+def test_links_as_an_html_parser_finds_them(spark):
+    rng = random.Random(4)
+    targets = ["es/home", "/es/1", "//b.net/fr/1", "http://b.net/es/2?q=1&amp;r=2", "?x=1", "#t", "mailto:a@b", "https://c.org/d", "deep/er/page.html#part"]
+    rows = []
+    for i in range(120):
+        tags = []
+        for _ in range(rng.randrange(4)):
+            t = rng.choice(targets)
+            tags.append(rng.choice([f'<link rel="canonical" href="{t}">', f"<LINK href='{t}' rel='canonical'/>", f'<meta http-equiv="refresh" content="5; url={t}">', f"<p title='{t}'>text</p>", f'<link rel="stylesheet" href="{t}">', f'<a href="{t}">x</a>']))
+        rows.append((i, f"http://h{i}.org/a/b{i}", f"<html><head>{''.join(tags)}</head><body>{'<link ' * rng.randrange(3)}</body>"))
+    rows += [(200, "http://long.org/", "<link " * 20_000), (201, "http://long.org/2", "x" * 200_000 + '<link rel="canonical" href="/end">')]
+    got = Counter((r.a, r.b) for r in url_filters.alias_links(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    want = Counter()
+    for _, url, html in rows:
+        parser = Links(url)
+        parser.feed(html)
+        for to in parser.found:
+            want[(url, to)] += 1
+    assert got == want
