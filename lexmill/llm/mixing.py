@@ -1,12 +1,17 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Each source's rows fall into blocks by a pseudo-random permutation of the rows, so a
-block is a random subset of its source. A source's quota is a number of blocks over
-one or more passes; the quotas are split recursively among the output shards, each
-split an exact multivariate-hypergeometric draw, so every shard holds a random share
-of every source. A shard takes the next blocks of each source's permuted order:
-blocks are disjoint within a pass. Rows of a shard are put in random order there.
-Everything is DataFrame expressions; all draws are hashes of a seed, so reruns agree.
+block is a random subset of its source. In each pass over a source its blocks stand in a
+permuted order of their own; a source's quota is the number of blocks, from the front of
+that order, that its target takes: all of each full pass, and so many of the last. The quotas
+are split recursively among the output shards, each split an exact
+multivariate-hypergeometric draw, so every shard holds a random share of every source. A
+shard takes as many of the next blocks of each source as its quota says: those drawn blocks
+are what the mix takes, disjoint within a pass. Rows of a shard are put in random order
+there. Everything is DataFrame expressions; all draws are hashes of a seed, so reruns agree.
+
+A source has at most MOST_BLOCKS blocks, which grow with it, so that the tables by block, the
+arrays that a tree node walks and the windows over a source's blocks stay bounded.
 """
 
 from __future__ import annotations
@@ -19,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, store
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words of a block, and blocks of a source at least.
+#: Words of a block; blocks of a source at least and at most (larger sources have larger blocks).
 BLOCK_WORDS = 65_536
-LEAST_BLOCKS = 32
+LEAST_BLOCKS, MOST_BLOCKS = 32, 16_384
 
 
 def words_of(text: Column) -> Column:
@@ -99,19 +104,19 @@ def plan(rows: DataFrame, weights: list[float], share: float = 1.5, most: float
 
     ``key`` identifies a row to the permutation (equal keys of a source go together
     into one block); ``draws`` is an array of struct(pass, shard), one per time the mix takes the
-    row. A source is taken whole for each full pass that its target holds and then by
-    blocks of a last pass; in the block where the target is reached rows are taken, in
-    permuted order, up to the row whose middle passes it. So a source's words are
-    within half a row of its target (equal keys count as one row), and no row is taken
-    more than ceil(most) times.
+    row. A row is taken as often as its block is drawn: in each full pass that its
+    source's target holds, and in a last pass up to the block in which the target is reached;
+    of that block rows are taken, in permuted order, up to the row whose middle passes
+    it. So a source's words are within half a row of its target (equal keys count as one
+    row), and no row is taken more than ceil(most) times.
     """
     sizes = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     aimed = targets(sizes, weights, share, most).withColumns({
-        "blocks": F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS)).cast("long"),
+        "blocks": F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS))).cast("long"),
         "full": F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long"),
     }).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
     aimed = store(aimed, "mix-targets")
-    n_sources, n_blocks = aimed.agg(F.count(F.lit(1)), F.coalesce(F.sum("blocks"), F.lit(0))).first()
+    n_sources = aimed.count()
 
     def bounded(df: DataFrame, count: int) -> DataFrame:
         return F.broadcast(df) if count * 128 <= BROADCAST_BYTES else df
@@ -122,34 +127,33 @@ def plan(rows: DataFrame, weights: list[float], share: float = 1.5, most: float
         "at": unit(F.lit(seed), "source", "key"),
     }).withColumn("block", F.floor(F.col("at") * F.col("blocks")))
 
-    # words per block of the last pass, and the block in which the target is reached
-    per_block = placed.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("block"))
-    reach = per_block.withColumn("upto", upto).where("upto - words < rest").groupBy("source").agg(F.max("block").alias("edge"), F.max_by(F.col("upto") - F.col("words"), "block").alias("edge_before"))
-    reach = bounded(store(reach, "mix-edges").withColumnRenamed("source", "e_source"), n_sources)
-    marked = placed.join(reach, same("source", "e_source"), "left").drop("e_source")
-
-    # within the edge block only: rows in permuted order
-    edge = marked.where("block = edge").groupBy("source", "at").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("edge_before").alias("edge_before"))
+    # each pass's blocks in its permuted order, up to the one in which the target is reached
+    words = placed.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("full").alias("full"), F.first("rest").alias("rest"))
+    turns = words.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full")))).withColumn("turn", F.xxhash64(F.lit(seed + 1), "source", "pass", "block"))
+    upto = F.sum("words").over(Window.partitionBy("source", "pass").orderBy("turn", "block"))
+    queue = turns.withColumn("before", upto - F.col("words")).where((F.col("pass") < F.col("full")) | (F.col("before") < F.col("rest")))
+    place = F.row_number().over(Window.partitionBy("source").orderBy("pass", "turn", "block")) - 1
+    last = F.lead("block").over(Window.partitionBy("source", "pass").orderBy("turn", "block")).isNull() & (F.col("pass") == F.col("full"))
+    queue = store(queue.withColumns({"place": place, "last": last}).select("source", "pass", "block", "before", "place", "last"), "mix-queue")
+    n_drawn = queue.count()
+
+    # within a source's last block only: rows in permuted order
+    edge = bounded(queue.where("last").select(F.col("source").alias("e_source"), F.col("block").alias("edge"), "before"), n_sources)
+    inside = placed.join(edge, same("source", "e_source") & (F.col("block") == F.col("edge"))).groupBy("source", "at").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("before"))
     run = F.sum("words").over(Window.partitionBy("source").orderBy("at"))
-    last = edge.withColumn("middle", F.col("edge_before") + run - F.col("words") / 2).where("middle <= rest").groupBy("source").agg(F.max("at").alias("stop"))
-    last = bounded(store(last, "mix-stops").withColumnRenamed("source", "l_source"), n_sources)
-    marked = marked.join(last, same("source", "l_source"), "left").drop("l_source")
-    partly = F.coalesce((F.col("block") < F.col("edge")) | ((F.col("block") == F.col("edge")) & (F.col("at") <= F.col("stop"))), F.lit(False))
-
-    # the drawn blocks: every block for each full pass, then those up to the edge
-    drawn = aimed.join(reach, same("source", "e_source"), "left").select("source", "blocks", "full", (F.col("full") * F.col("blocks") + F.coalesce(F.col("edge") + 1, F.lit(0))).cast("long").alias("drawn"))
-    shares = splitting_tree(drawn.select("source", "drawn"), depth, seed)
-    order = Window.partitionBy("source").orderBy("turn", "pass", "block")
-    slots = drawn.where("drawn > 0").select("source", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - 1)).alias("j"))
-    slots = slots.select("source", F.expr("j div blocks").alias("pass"), (F.col("j") % F.col("blocks")).alias("block"))
-    slots = slots.withColumn("turn", F.xxhash64(F.lit(seed + 1), "source", "pass", "block")).withColumn("place", F.row_number().over(order) - 1)
-    dealt = slots.alias("a").join(shares.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & F.col("a.place").between(F.col("b.first"), F.col("b.last"))).select("a.source", "a.block", "a.pass", "b.shard")
-    homes = dealt.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("homes"))
-    homes = bounded(store(homes, "mix-blocks").select(F.col("source").alias("h_source"), F.col("block").alias("h_block"), "homes"), n_blocks)
-    taken = marked.join(homes, same("source", "h_source") & (F.col("block") == F.col("h_block")), "left")
-    draws = F.filter(F.coalesce("homes", F.expr("cast(array() as array<struct<pass:bigint,shard:bigint>>)")), lambda h: (h["pass"] < F.col("full")) | partly)
-    return taken.withColumn("draws", draws).drop("blocks", "full", "rest", "at", "block", "edge", "edge_before", "stop", "homes", "h_source", "h_block")
+    stops = inside.withColumn("middle", F.col("before") + run - F.col("words") / 2).where("middle <= rest").groupBy("source").agg(F.max("at").alias("stop"))
+    stops = store(stops, "mix-stops").select(F.col("source").alias("s_source"), "stop")
+
+    # quotas, split among the shards; a shard takes the next blocks of each source's order
+    shares = splitting_tree(queue.groupBy("source").agg(F.count(F.lit(1)).alias("drawn")), depth, seed)
+    dealt = queue.alias("a").join(shares.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & F.col("a.place").between(F.col("b.first"), F.col("b.last"))).select("a.source", "a.block", "a.pass", "a.last", "b.shard")
+    dealt = dealt.join(bounded(stops, n_sources), same("source", "s_source"), "left").withColumn("stop", F.when(F.col("last"), F.coalesce("stop", F.lit(-1.0))).otherwise(F.lit(1.0)))
+    homes = dealt.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "stop"))).alias("homes"))
+    homes = bounded(store(homes, "mix-blocks").select(F.col("source").alias("h_source"), F.col("block").alias("h_block"), "homes"), n_drawn)
+    taken = placed.join(homes, same("source", "h_source") & (F.col("block") == F.col("h_block")), "left")
+    none = F.expr("cast(array() as array<struct<pass:bigint,shard:bigint,stop:double>>)")
+    draws = F.transform(F.filter(F.coalesce("homes", none), lambda h: F.col("at") <= h["stop"]), lambda h: F.struct(h["pass"].alias("pass"), h["shard"].alias("shard")))
+    return taken.withColumn("draws", draws).drop("blocks", "full", "rest", "at", "block", "homes", "h_source", "h_block")
 
 
 def _keyed(docs: DataFrame, source_col: str, text_col: str, key_cols: tuple[str, ...]) -> DataFrame:
@@ -163,8 +167,8 @@ def mix_plan(docs: DataFrame, weights: list[float], keep: tuple[str, ...] = ("do
 
     Sizes are words (null text: 0). taken is size times the number of draws. Rows with
     a null source form a source of their own, the last; a source without words has
-    target 0 and gives nothing but rows of size 0 may be drawn with their block;
-    repeated rows share their fate; a column of ``keep`` named like an output is
+    target 0 and gives nothing; rows of size 0 may be drawn with their block;
+    repeated rows share their fate; ties of the permutation are taken or left together; a column of ``keep`` named like an output is
     replaced by it; an empty table gives no rows.
     """
     kept = [c for c in keep if c not in ("size", "source_size", "target", "taken", "draws")]
@@ -176,7 +180,10 @@ def mix_plan(docs: DataFrame, weights: list[float], keep: tuple[str, ...] = ("do
 def mix(docs: DataFrame, weights: list[float], source_col: str = "source", text_col: str = "text", key_cols: tuple[str, ...] = ("doc_id",), depth: int = 4, seed: int = 7, **options) -> DataFrame:
     """The mixed rows themselves: the columns of ``docs``, a row as often as the mix takes it.
 
-    Rows are dealt out by shard, each shard in a random order of its own.
+    Rows are dealt out by shard, each shard in a random order of its own. Null and empty texts
+    have size 0 and come with their block; a null source is a source, the last; repeated rows share
+    their fate; other columns of any name are kept as they are, long texts whole; an empty
+    table gives no rows.
     """
     out = plan(_keyed(docs, source_col, text_col, key_cols), weights, depth=depth, seed=seed, **options)
     drawn = out.select("doc", "key", F.explode("draws").alias("d")).select("doc", F.col("d.shard").alias("shard"), F.xxhash64(F.lit(seed + 2), "key", "d.pass", "d.shard").alias("turn"))
