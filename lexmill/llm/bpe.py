@@ -12,7 +12,7 @@ import json
 import re
 import unicodedata
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 
 import regex
@@ -141,8 +141,10 @@ class WordBpe:
         self.ranks = {f"{a} {b}": r for r, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern).findall
+        self.file = file
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.letters = byte_alphabet()
+        self.bytes = {c: b for b, c in enumerate(self.letters)}
         self.words = WordCache(self._word, CACHE_CHUNKS // 5)
         self.chunks = WordCache(self._chunk, CACHE_CHUNKS)
 
@@ -155,8 +157,21 @@ class WordBpe:
     def _chunk(self, chunk: str) -> bytes:
         return b"".join([self.words[w] for w in self.split(chunk)])
 
+    @cached_property
+    def library(self):
+        import tokenizers
+
+        return tokenizers.Tokenizer.from_file(self.file)
+
+    def _newer(self, text: str) -> bytes:
+        """A text with characters that the installed Unicode tables don't have yet: case and classes as the library's have them."""
+        parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return b"".join([self.words[w] for w in (bytes(map(self.bytes.__getitem__, part)).decode() for part, _ in parts)])
+
     def _plain(self, text: str) -> bytes:
         if not text.isascii():
+            if unassigned().search(text):
+                return self._newer(text)
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # each character is lower-cased by itself: no final sigma
@@ -180,6 +195,20 @@ class WordBpe:
             return " ".join([t for i in got if i < len(self.tokens) and (t := self.tokens[i]) is not None])
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """The code points that the installed Unicode tables leave unassigned, private and other uses aside."""
+    ranges, start = [], None
+    for i in range(0x80, 0x110001):
+        free = i < 0x110000 and unicodedata.category(chr(i)) == "Cn"
+        if free and start is None:
+            start = i
+        elif not free and start is not None:
+            ranges.append(f"\\U{start:08x}-\\U{i - 1:08x}")
+            start = None
+    return re.compile(f"[{''.join(ranges)}]")
+
+
 #: Separators that str.split() takes for white space and the tokenizers' patterns don't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 

@@ -144,3 +144,21 @@ def test_digest_columns_of_the_queries(spark, library, tmp_path):
         text = library["word"].decode(ids, skip_special_tokens=False)
         want[(r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())] += 1
     assert got == want
+
+
+def test_every_code_point_is_encoded_as_the_library_does():
+    """In three contexts each; letters that only newer Unicode versions know included."""
+    from array import array
+
+    file = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(file)
+    library.no_truncation()
+    library.no_padding()
+    codec = bpe.WordBpe(file)
+    texts = [t for i in (*range(0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200)) for t in (chr(i), f"a{chr(i)}b 1{chr(i)}2", f"X{chr(i)} {chr(i)}É!")]
+    for lo in range(0, len(texts), 20_000):
+        some = texts[lo : lo + 20_000]
+        for text, want in zip(some, library.encode_batch(some, add_special_tokens=False)):
+            got = array("I")
+            got.frombytes(codec.encode(text))
+            assert list(got) == want.ids, ascii(text)
