@@ -57,12 +57,21 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources: a row as often as the mix takes it, dealt out by output shard."""
+    """The mix of the sources: a row as often as the mix takes it, dealt out by output shard.
+
+    Null and empty texts have size 0 and come with their block; rows with a null source
+    are a source of their own; repeated rows share their fate; all columns, of any name, are
+    kept; an empty table gives no rows.
+    """
     return mixing.mix(docs, MIX_WEIGHTS, share=MIX_SHARE, most=MIX_MOST)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_tokens, ids (packed little-endian unsigned 32-bit integers) and the decoded text."""
+    """doc_id, lang, source, n_tokens, ids (packed little-endian unsigned 32-bit integers) and the decoded text.
+
+    A null text is empty: no ids, the empty text. Whole texts of any length, repeated rows
+    each; other columns aren't read; an empty table gives no rows.
+    """
     coded = bpe_codec.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"))
     return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
