@@ -2,25 +2,51 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, norm
+#: Chunks and questions that meet in one task.
+BLOCK = 4_096
 
 
-def retrieval_quality(vectors: DataFrame, dims: int | None = None) -> DataFrame:
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, 1))
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def retrieval_quality(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     """(questions, recall_1, recall_5, mrr) over lane vectors (chunk_id, ordinal, v).
 
-    Every question vector ranks all chunk vectors by cosine; ties go to the smaller chunk id.
-    Ranks are counted, not sorted: the chunks that come before the question's own.
+    Every question vector ranks all chunk vectors by cosine (to 9 digits); ties go to the
+    smaller chunk id. Ranks are counted, not sorted: the chunks that come before the
+    question's own. Chunks and questions meet in blocks, so no task holds either side whole.
+    Zero vectors, and questions whose chunk has no vector, take no part.
     """
-    unit = vectors.withColumn("n", norm(F.col("v"), dims)).where("n > 0")
-    own = unit.where("ordinal < 0").select(F.col("chunk_id").alias("found"), F.col("v").alias("w"), F.col("n").alias("m"))
-    asked = unit.where("ordinal >= 0").select("chunk_id", "ordinal", "v", "n")
-    cosine = F.round(dot(F.col("v"), F.col("w"), dims) / (F.col("n") * F.col("m")), 9)
-    target = asked.join(own, F.col("chunk_id") == F.col("found")).select("chunk_id", "ordinal", "v", "n", cosine.alias("s"))
-    # an inner join, so that without a small side it runs by pairs of partitions; the chunk itself is its rank's one
-    ahead = (cosine > F.col("s")) | ((cosine == F.col("s")) & (F.col("found") <= F.col("chunk_id"))) | (F.col("found") == F.col("chunk_id"))
-    ranked = target.join(own, ahead).groupBy("chunk_id", "ordinal").agg(F.count(F.lit(1)).alias("rank"))
+    live = vectors.where(F.exists("v", lambda x: x != 0))
+    own = live.where("ordinal < 0").select(F.col("chunk_id").alias("found"), F.col("v").alias("w"))
+    asked = live.where("ordinal >= 0").select(F.col("chunk_id").alias("of"), "ordinal", F.col("v").alias("q")).join(own.select(F.col("found").alias("of"), F.col("w").alias("t")), "of")
+    n_own, n_asked = own.count(), asked.count()
+    rows, queries = max(1, -(-n_own // block)), max(1, -(-n_asked // block))
+    place = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    left = own.withColumn("rb", place(rows, "found")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(queries - 1))))
+    right = asked.withColumn("qb", place(queries, "of", "ordinal")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+
+    def count(chunks: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
+        out = questions[["of", "ordinal"]].assign(ahead=0)
+        if len(chunks) and len(questions):
+            chunks = chunks.sort_values("found")
+            ids, q = chunks["found"].to_numpy(), _unit(questions["q"])
+            target = np.round((q * _unit(questions["t"])).sum(1), 9)[:, None]
+            score = np.round(q @ _unit(chunks["w"]).T, 9)
+            upto = np.searchsorted(ids, questions["of"].to_numpy())  # of equal scores, smaller ids come first
+            before = np.arange(len(ids))[None, :] < upto[:, None]
+            itself = ids[None, :] == questions["of"].to_numpy()[:, None]
+            out["ahead"] = (((score > target) | ((score == target) & before)) & ~itself).sum(1)
+        return out
+
+    ahead = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(count, f"of {vectors.schema['chunk_id'].dataType.simpleString()}, ordinal int, ahead long")
+    ranked = ahead.groupBy("of", "ordinal").agg((F.sum("ahead") + 1).alias("rank"))
     share = lambda k: F.round(F.avg((F.col("rank") <= k).cast("int")), 6)
     return ranked.agg(F.count(F.lit(1)).alias("questions"), share(1).alias("recall_1"), share(5).alias("recall_5"), F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr"))

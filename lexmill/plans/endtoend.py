@@ -118,29 +118,32 @@ told AS (SELECT q, chunk_id, score, p.document_id, row_number() OVER (PARTITION
 _PARTS = (_TURNS_SQL, CHUNKS_SQL, _STORED_SQL, _ASKED_SQL, c.DENSE_SQL, c.POSTINGS_SQL, c.SPARSE_SQL, c.LANES_SQL, c.FUSED_SQL, _ANSWER_SQL)
 
 
-def _answers(spark: SparkSession, sf_dir: str) -> service.Answers:
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.col("item_id")
-    asked = c.table(spark, sf_dir, "benchmark").select(
+    return c.table(spark, sf_dir, "benchmark").select(
         item.alias("query_id"), F.when(item % 7 == 6, " ").otherwise(F.col("text")).alias("query"),
         F.element_at(F.array(F.lit("seeker"), F.lit("employer"), F.lit("both"), F.lit(None)), (item % 4 + 1).cast("int")).alias("audience"),
         F.lit(None).cast("string").alias("topic"), F.when(item % 3 == 0, "case_law").alias("category"), F.lit(4).alias("top_k"),
     )
-    return service.search(_store(spark, sf_dir)[0], asked, HalfQuery(), LetterEmbedder(_LETTERS), LongestReranker())
+
+
+def answers(spark: SparkSession, sf_dir: str) -> service.Answers:
+    return service.search(_store(spark, sf_dir)[0], asked(spark, sf_dir), HalfQuery(), LetterEmbedder(_LETTERS), LongestReranker())
 
 
 @register("answered_queries", c.with_sql(*_PARTS).replace("WITH", "WITH RECURSIVE", 1) + " SELECT q AS query_id, position, chunk_id, round(score, 9) AS score, document_id FROM told WHERE position <= 4")
 def answered_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries expanded, embedded, searched in all lanes, fused over their variants and reranked through providers."""
-    return _answers(spark, sf_dir).results.select("query_id", "position", "chunk_id", F.round("score", 9).alias("score"), "document_id")
+    return answers(spark, sf_dir).results.select("query_id", "position", "chunk_id", F.round("score", 9).alias("score"), "document_id")
 
 
 @register("answer_outcomes", c.with_sql(*_PARTS).replace("WITH", "WITH RECURSIVE", 1) + """
 SELECT item_id AS query_id, 'ok' AS expansion_status, CASE WHEN count(chunk_id) = 0 THEN 'no_candidates' ELSE 'ok' END AS rerank_status, count(chunk_id) AS results,
        CASE WHEN count(chunk_id) = 0 THEN 'empty' ELSE 'ok' END AS outcome FROM wanted LEFT JOIN told ON q = item_id AND position <= 4 GROUP BY item_id""")
 def answer_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark, sf_dir).outcomes.select("query_id", "expansion_status", "rerank_status", "results", "outcome")
+    return answers(spark, sf_dir).outcomes.select("query_id", "expansion_status", "rerank_status", "results", "outcome")
 
 
 @register("refused_queries", "SELECT item_id AS query_id, 'empty query' AS reason FROM benchmark WHERE item_id % 7 = 6")
 def refused_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark, sf_dir).refused
+    return answers(spark, sf_dir).refused

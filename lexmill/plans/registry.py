@@ -23,4 +23,4 @@ def register(name: str, sql: str | None = None):
     return put
 
 
-from . import endtoend, management, preparation, retrieval  # noqa: E402, F401  they register their queries
+from . import endtoend, intake, management, preparation, retrieval  # noqa: E402, F401  they register their queries

@@ -260,4 +260,4 @@ def question_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.evaluation import retrieval_quality
 
     vectors = search.lane_vectors(c.stored(spark, sf_dir).read("points"))
-    return retrieval_quality(vectors, c.DIMS)
+    return retrieval_quality(vectors)

@@ -8,6 +8,7 @@ twice.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .operators import chunking, enrichment, expansion, filters, fusion, index, lifecycle, rerank, sections
 from .operators import search as lanes_of
 from .providers import Embedder, Enricher, Expander, Reranker
-from .schemas import MAX_CHUNKS, MAX_RAW_CHARS, POINTS, REGISTRY
+from .schemas import MAX_CHUNKS, MAX_RAW_CHARS, POINTS, REGISTRY, SEARCH_LOGS, TOP_K_DEFAULT
 from .session import fresh_path
 from .sources.tables import ConcurrentChange, Snapshot, SnapshotStore, TableSpec
 
@@ -99,32 +100,65 @@ def ingest(store: SnapshotStore, documents: DataFrame, enricher: Enricher, embed
 
 @dataclass(frozen=True)
 class Answers:
-    """(query_id, position, chunk_id, score, payload); (query_id, expansion_status, rerank_status, results, outcome); (query_id, reason) of refused requests."""
+    """What a search found.
+
+    results: (query_id, position, chunk_id, score, payload); outcomes: (query_id,
+    expansion_status, rerank_status, results, outcome); refused: (query_id, reason); candidates:
+    (query_id, chunk_id, score, rank); latencies: milliseconds of each stage for the whole batch.
+    """
 
     results: DataFrame
     outcomes: DataFrame
     refused: DataFrame
+    candidates: DataFrame
+    latencies: dict[str, float]
+
+
+class _Watch:
+    """Stage by stage wall time; stages end where their result is stored."""
+
+    def __init__(self):
+        self.at, self.spent = time.perf_counter(), {}
+
+    def stored(self, stage: str, df: DataFrame) -> DataFrame:
+        out = kept(df)
+        now = time.perf_counter()
+        self.spent[stage], self.at = (now - self.at) * 1000, now
+        return out
 
 
 def search(stored: Snapshot, queries: DataFrame, expander: Expander, embedder: Embedder, reranker: Reranker, depths: lanes_of.Depths = lanes_of.Depths(), candidates: int = CANDIDATES, calls: int | None = None) -> Answers:
     """Answer queries (query_id, query, audience, topic, category, top_k) from one version of a store."""
     checked = queries.withColumn("__problem", filters.request_problem())
     refused = checked.where("__problem is not null").select("query_id", F.col("__problem").alias("reason"))
-    asked = checked.where("__problem is null").drop("__problem").withColumn("top_k", F.coalesce("top_k", F.lit(5)))
-    variants = expansion.expand(enrichment.expand_queries(asked, expander, calls))
-    placed = kept(enrichment.embed_queries(variants, embedder, calls).drop("error"))
+    asked = checked.where("__problem is null").drop("__problem").withColumn("top_k", F.coalesce("top_k", F.lit(TOP_K_DEFAULT)))
+    watch = _Watch()
+    variants = watch.stored("query_expansion", expansion.expand(enrichment.expand_queries(asked, expander, calls)))
+    placed = watch.stored("embed_query", enrichment.embed_queries(variants, embedder, calls).drop("error"))
     n = placed.count()
 
     points = stored.read("points")
     terms, weights = index.matching(stored.read("postings"), placed, n, points.count())
     found = lanes_of.lanes(points, terms, weights, placed, depths, embedder.dims, n)
-    fused = kept(fusion.fuse_variants(fusion.rrf(found, "query_id", "variant_id"), "query_id"))
+    fused = watch.stored("hybrid_search", fusion.fuse_variants(fusion.rrf(found, "query_id", "variant_id"), "query_id"))
 
     shown = fused.where(F.col("rank") <= candidates)
     texts = shown.join(points, "chunk_id").select("query_id", "rank", rerank.candidate_text().alias("candidate"))
-    answered = kept(enrichment.rerank_candidates(asked, texts, reranker, calls))
+    answered = watch.stored("rerank", enrichment.rerank_candidates(asked, texts, reranker, calls))
     results = rerank.assemble(rerank.rerank(answered, shown), points)
     status = rerank.statuses(answered, shown)
     went = placed.groupBy("query_id").agg(F.min("expansion_status").alias("expansion_status"))
     outcomes = status.join(went, "query_id").withColumn("outcome", rerank.outcome(F.col("expansion_status"), F.col("rerank_status"), F.col("results")))
-    return Answers(results, outcomes, refused)
+    return Answers(results, outcomes, refused, shown, watch.spent)
+
+
+def log_rows(answers: Answers, queries: DataFrame, at: Column) -> DataFrame:
+    """A search's rows for the log: ``queries`` with request_id; latencies are those of the batch."""
+    best = lambda order, value: F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda x: x["v"])
+    seen = answers.candidates.groupBy("query_id").agg(best("rank", F.struct("chunk_id", "score")).alias("candidates"))
+    given = answers.results.groupBy("query_id").agg(best("position", F.col("chunk_id")).alias("results"))
+    rows = queries.join(answers.outcomes.drop("results"), "query_id").join(seen, "query_id", "left").join(given, "query_id", "left")
+    empty = {"candidates": "array<struct<chunk_id:string,score:double>>", "results": "array<string>"}
+    filled = rows.withColumns({k: F.coalesce(k, F.array().cast(t)) for k, t in empty.items()})
+    timed = filled.withColumns({f"latency_{k}_ms": F.lit(v) for k, v in answers.latencies.items()} | {"created_at": at})
+    return timed.select(*SEARCH_LOGS.fieldNames())

@@ -123,8 +123,11 @@ def test_candidates_and_prompts(spark):
 
 def test_retrieval_quality(spark):
     rows = [("a", -1, [1.0, 0.0]), ("b", -1, [0.0, 1.0]), ("a", 0, [1.0, 0.1]), ("a", 1, [0.0, 1.0]), ("b", 0, [1.0, 1.0])]
-    got = evaluation.retrieval_quality(spark.createDataFrame(rows, "chunk_id string, ordinal int, v array<double>"), 2).first()
-    assert tuple(got) == (3, 0.333333, 1.0, pytest.approx(2 / 3, abs=1e-6))
+    df = spark.createDataFrame(rows + [("c", 0, [1.0, 0.0]), ("a", 2, [0.0, 0.0])], "chunk_id string, ordinal int, v array<double>")
+    for block in (4096, 1):
+        quality = evaluation.retrieval_quality(df, block)
+        assert tuple(quality.first()) == (3, 0.333333, 1.0, pytest.approx(2 / 3, abs=1e-6))
+        assert "Cartesian" not in quality._jdf.queryExecution().executedPlan().toString()
 
 
 def scans(df):
