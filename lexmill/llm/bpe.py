@@ -170,7 +170,7 @@ class WordBpe:
 
     def _plain(self, text: str) -> bytes:
         if not text.isascii():
-            if unassigned().search(text):
+            if _BEYOND.search(text) and unassigned().search(text):
                 return self._newer(text)
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
@@ -209,6 +209,8 @@ def unassigned() -> re.Pattern:
     return re.compile(f"[{''.join(ranges)}]")
 
 
+#: From the first code point on that is unassigned: a quick test that most texts don't pass.
+_BEYOND = re.compile("[\u0378-\U0010ffff]")
 #: Separators that str.split() takes for white space and the tokenizers' patterns don't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
