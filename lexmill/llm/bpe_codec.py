@@ -36,7 +36,9 @@ def encode(docs: DataFrame, vocab_file: str, text_col: str = "text", keep: tuple
 def decode(rows: DataFrame, vocab_file: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and the decoded text of packed ids: vocabulary strings with one space between.
 
-    Null ids decode to the empty text; ids outside the vocabulary are left out.
+    Null and empty ids decode to the empty text; ids outside the vocabulary are left out.
+    Long id lists are decoded whole, repeated rows each; a column of ``keep`` named
+    decoded is replaced by the output; other columns aren't read; an empty table gives no rows.
     """
     kept = [c for c in keep if c != "decoded"]
     source = rows.select(*[F.col(c) for c in kept], F.col(ids_col).alias("__ids"))

@@ -20,8 +20,15 @@ PIECE_ROWS, MOST_HEAVY = 512, 1 << 18
 BATCH_ROWS = 512
 BATCH_BYTES = 4 << 20
 
+#: Folders of the tables that ``store`` wrote and nobody discarded.
+_kept: set[str] = set()
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The table stays until ``discard`` or ``release``: plans that read it may run later.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -33,6 +40,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexmill_path = path
+    _kept.add(path)
     return out
 
 
@@ -40,9 +48,19 @@ def discard(df: DataFrame) -> None:
     """Delete a table written by ``store`` that no later plan reads."""
     path = getattr(df, "_lexmill_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _kept.discard(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all stored tables of this process; no frame derived from them can be read after it."""
+    for path in sorted(_kept):
+        _delete(spark, path)
 
 
 def small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

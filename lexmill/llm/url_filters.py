@@ -135,7 +135,8 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     Relative targets are resolved against the page's url (``base`` tags aren't read) and
     their character references decoded; targets of schemes without ``//`` are not links. A url that is
     null or has no ``://`` has an empty host and path and the default verdict;
-    repeated rows are judged each; other columns aren't read; empty tables give no rows.
+    repeated rows are judged each; null and empty html has no links, long html is searched whole;
+    other columns aren't read, whatever their names; empty tables give no rows.
     """
     rows = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__u")).withColumns({"host": host_of(F.col("__u")), "path": path_of(F.col("__u"))})
     judged = match_rules(rows, rules)

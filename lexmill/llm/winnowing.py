@@ -12,9 +12,11 @@ from .common import arrow_batch, map_batches, slices, struct, texts_of
 from .ordering import bounds_of, parts_of, range_of
 
 #: Code points of a gram, and grams of a window: texts that share WINDOW + GRAM - 1
-#: consecutive code points share a fingerprint hash.
+#: consecutive code points share a fingerprint hash. A text's window is an eighth of its
+#: grams within these bounds, so that short texts keep several hashes; a smaller window keeps all
+#: hashes that a larger one does, so the guarantee holds between texts of any lengths.
 GRAM = 16
-WINDOW = 48
+LEAST_WINDOW, WINDOW = 4, 48
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -46,10 +48,10 @@ def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
     return x >> np.uint64(32)
 
 
-def fingerprint(text: str, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+def fingerprint(text: str, k: int = GRAM, w: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions) that winnowing keeps of a whole text, by ascending position.
 
-    Each window of ``w`` grams keeps its smallest hash, of equal ones the rightmost.
+    Each window of ``w`` grams (by the text's length, if not given) keeps its smallest hash, of equal ones the rightmost.
     A text of fewer than ``k`` code points is one gram, of fewer than ``w`` grams one
     window; the empty text has no fingerprint.
     """
@@ -60,7 +62,7 @@ def fingerprint(text: str, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray,
     hashes = gram_hashes(points, min(k, n))
     # the hash above the reversed position: the smallest key is the smallest hash, rightmost of ties
     keys = (hashes << np.uint64(32)) | (_LOW - np.arange(len(hashes), dtype=np.uint64))
-    span = min(w, len(keys))
+    span = min(w or min(WINDOW, max(LEAST_WINDOW, len(keys) // 8)), len(keys))
     low, width = keys, 1
     while width * 2 <= span:
         low = np.minimum(low[: len(low) - width], low[width:])
@@ -85,7 +87,7 @@ def as_text(hashes: np.ndarray) -> str:
     return hashes.astype(">u4").tobytes().hex()
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = GRAM, w: int = WINDOW) -> DataFrame:
+def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = GRAM, w: int | None = None) -> DataFrame:
     """(id, hashes array<long>, positions array<long>) of every whole text.
 
     A null text is empty and has empty arrays; repeated rows are done each, a null id
@@ -107,7 +109,7 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_neighbours(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = GRAM, w: int = WINDOW) -> DataFrame:
+def with_neighbours(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = GRAM, w: int | None = None) -> DataFrame:
     """Each text's fingerprint beside that of its edited form and of the next text.
 
     Next is by ascending (id, text), a null id first; the last is followed by the

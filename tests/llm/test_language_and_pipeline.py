@@ -150,14 +150,36 @@ def test_stages_one_by_one(spark, stored):
 
 
 def test_the_whole_pipeline(spark, stored):
+    """Against the predictions, a join by brute force, the mix of what these leave, and the tokenizers library."""
+    P = pytest.importorskip("public_tokenizers")
     import corpus_pipeline
+    from test_similarity import brute_join
+    from tokenizers import Tokenizer
+
+    from lexmill.llm import mixing, ngram_join
+    from lexmill.llm.queries import MIX_MOST, MIX_SHARE, MIX_WEIGHTS
 
-    path, _ = stored
+    path, rows = stored
     out = corpus_pipeline.run(spark, path)
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    judged = lid.predict(docs, lid.train(docs), keep=tuple(docs.columns)).collect()
+    kept = [r for r in judged if r.lang_pred != lid.UNKNOWN and r.score >= corpus_pipeline.LEAST_SCORE]
+    assert 0 < len(kept) < len(rows)
+    groups = brute_join([(r.doc_id, r.text) for r in kept], 5, 80, 100)
+    size = lambda t: len(ngram_join.shingle_sets([t], 5)[0])
+    one = [tuple(r[c] for c in docs.columns) for r in kept if r.doc_id is None or groups[(r.doc_id, size(r.text), r.doc_id)]]
+    assert len(one) < len(kept) and sum(r[0] == 3000 for r in one) == 1
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    want = Counter()
+    for r in mixing.mix(spark.createDataFrame(one, docs.schema), MIX_WEIGHTS, share=MIX_SHARE, most=MIX_MOST).collect():
+        code = library.encode(r.text or "", add_special_tokens=False).ids
+        want[(r.doc_id, r.lang, r.source, len(code), np.array(code, "<u4").tobytes(), library.decode(code, skip_special_tokens=False))] += 1
+    assert Counter((r.doc_id, r.lang, r.source, r.n_tokens, bytes(r.ids), r.decoded) for r in out.collect()) == want and len(want) > 50
     again = corpus_pipeline.run(spark, path)
-    digest = lambda df: Counter((r.doc_id, bytes(r.ids)) for r in df.collect())
-    assert digest(out) == digest(again)
+    assert Counter((r.doc_id, bytes(r.ids)) for r in again.collect()) == Counter((r.doc_id, bytes(r.ids)) for r in out.collect())
 
 
 def test_stages_take_odd_and_no_rows(spark):

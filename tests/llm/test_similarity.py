@@ -128,6 +128,22 @@ def test_shared_passages_of_guaranteed_length_are_found():
         assert set(a.tolist()) & set(b.tolist())
 
 
+def test_short_near_copies_are_alike():
+    """One character changed in a text of 40 to 100 characters; windows by length keep what larger ones keep."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    for n, least in ((40, 0.75), (60, 0.95), (100, 0.99)):
+        alike = 0
+        for _ in range(200):
+            a = text(n)
+            i = rng.randrange(n)
+            alike += winnowing.likeness(winnowing.fingerprint(a)[0], winnowing.fingerprint(a[:i] + "#" + a[i + 1 :])[0]) > 0
+        assert alike >= 200 * least
+    for n in (20, 100, 400, 3000):
+        a = text(n)
+        assert set(winnowing.fingerprint(a, w=winnowing.WINDOW)[1].tolist()) <= set(winnowing.fingerprint(a)[1].tolist())
+
+
 def test_neighbours(spark):
     docs = spark.createDataFrame(documents(), COLUMNS)
     got = winnowing.with_neighbours(docs).collect()
