@@ -19,6 +19,8 @@ CLEANING = (
     (r"(?mdU)^Глава\s+\d+\.\s*.*$", ""),
     (r"\n{3,}", "\n\n"),
 )
+#: What a text must hold for a rule to find anything: a substring search spares most texts the pattern.
+NEEDED = ("-\n", None, "ЧАСТЬ", "Раздел", "Глава", "\n\n\n")
 # Spelled-out forms of common legal abbreviations.
 ABBREVIATIONS = ((r"(?U)\bст\.", "статья"), (r"(?U)\bтк\s+рф\b", "трудовой кодекс"), (r"(?U)\bфз\b", "федеральный закон"))
 # What is taken off a model's answer, a surrounding code fence and Markdown emphasis next to quotes.
@@ -36,8 +38,15 @@ def strip(col: Column | str) -> Column:
 
 def clean_text(col: Column | str) -> Column:
     """Line ends unified, broken words joined, page numbers and part headings dropped, blank runs cut."""
-    text = F.regexp_replace(col, "\r\n?", "\n")
-    return strip(functools.reduce(lambda t, rule: F.regexp_replace(t, *rule), CLEANING, text))
+
+    def apply(text: Column, pattern: str, replacement: str, needed: str | None) -> Column:
+        if needed is None:
+            return F.regexp_replace(text, pattern, replacement)
+        # bound to a lambda's variable, so that the text so far is computed once
+        return F.get(F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit(needed)), F.regexp_replace(t, pattern, replacement)).otherwise(t)), F.lit(0))
+
+    text = apply(F.col(col) if isinstance(col, str) else col, "\r\n?", "\n", "\r")
+    return strip(functools.reduce(lambda t, rule: apply(t, *rule[0], rule[1]), zip(CLEANING, NEEDED), text))
 
 
 def normalize_terms(col: Column | str) -> Column:

@@ -43,7 +43,7 @@ def _sections(docs: DataFrame, kind: Column) -> DataFrame:
     Pieces under a repeated article number join its first occurrence, so one aggregate by
     document and number (other kinds: and place) follows. A null text gives no section.
     """
-    cut = docs.where(F.col("text").isNotNull()).select("document_id", "category", kind.alias("__kind"), F.posexplode(_pieces(F.col("text"), kind)).alias("pos", "piece"))
+    cut = docs.select("document_id", "category", kind.alias("__kind"), F.posexplode(_pieces(F.col("text"), kind)).alias("pos", "piece"))
     head, body = F.substring_index("piece", _CLOSE, 1), F.substring_index("piece", _CLOSE, -1)
     parts = cut.select("document_id", "category", "pos", F.when(head == _WHOLE, "whole").otherwise(F.col("__kind")).alias("kind"), head.alias("head"), body.alias("body"))
     is_law, is_point = F.col("kind") == LAW, F.col("kind") == POINTS

@@ -289,14 +289,25 @@ def _embedded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return embedded, unanswered.withColumn("stage", F.lit("enrich")).unionByName(unplaced.withColumn("stage", F.lit("embed")))
 
 
-@register("enrich_and_embed")
+# A text without a word fails in enrichment; one of whose pieces no letter or digit is left fails in embedding.
+_EMBEDDED_SQL = c.with_sql(c.POINTS_SQL, f"""
+worded AS (SELECT chunk_id, document_id, chunk_index, text, regexp_extract_all(coalesce(text, ''), '[^{_SPACE[1:]}+') AS w FROM points),
+silent AS (SELECT document_id, list(chunk_index ORDER BY chunk_index) AS failed_chunks FROM worded WHERE len(w) = 0 GROUP BY document_id),
+asked AS (SELECT *, list_transform([0, 5, 10], lambda i: CASE WHEN len(w) > i THEN array_to_string(w[i + 1:i + 5], ' ') ELSE text END) AS q FROM worded WHERE document_id NOT IN (SELECT document_id FROM silent)),
+blank AS (SELECT document_id, list(chunk_index ORDER BY chunk_index) AS failed_chunks FROM asked
+          WHERE len(list_filter(q, lambda x: NOT regexp_matches(x, '[\\pL\\pN_]'))) > 0 OR NOT regexp_matches(text, '[\\pL\\pN_]') GROUP BY document_id)""")
+
+
+@register("enrich_and_embed", _EMBEDDED_SQL + f"""
+SELECT chunk_id, regexp_replace(array_to_string(w[1:8], ' '), '^[_*]+|[_*]+$', '', 'g') AS synthetic_title, 3 AS questions, {c.DIMS} AS dims, 3 AS vectors FROM asked WHERE document_id NOT IN (SELECT document_id FROM blank)""")
 def enrich_and_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks enriched and embedded by the offline providers; documents with a failure are left out whole (``enrichment_failures``)."""
     embedded, _ = _embedded(spark, sf_dir)
     return embedded.select("chunk_id", "synthetic_title", F.size("hypothetical_questions").alias("questions"), F.size("chunk_vector").alias("dims"), F.size("question_vectors").alias("vectors"))
 
 
-@register("enrichment_failures")
+@register("enrichment_failures", _EMBEDDED_SQL + """
+SELECT document_id, failed_chunks, 'no text' AS error, 'enrich' AS stage FROM silent UNION ALL SELECT document_id, failed_chunks, 'empty vector', 'embed' FROM blank""")
 def enrichment_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that ``enrich_and_embed`` leaves out, with their failed chunks and the first error."""
     return _embedded(spark, sf_dir)[1]
