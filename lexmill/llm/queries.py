@@ -109,6 +109,19 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.with_neighbours(read_table(spark, sf_dir, "documents"))
 
 
+_EDITED_SQL = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+paired AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS following FROM texts)
+SELECT doc_id, length(t) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 2) || substr(following, 1, length(t) // 2)) AS edited_sha256 FROM paired
+"""
+
+
+@query("edited_texts", _EDITED_SQL)
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op9 SQL can say: sizes and edited texts."""
+    return op9_winnowing(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 _WARC_SQL = """
 WITH bodies AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 sized AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest, sha256(body) AS same FROM bodies),
@@ -137,6 +150,30 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d.shard).alias("shards"))
 
 
+# Shares by weight, what is above a cap fixed at it, and the rest shared again until nothing is above.
+_TARGETS_SQL = rf"""
+WITH RECURSIVE sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}'))::BIGINT AS size FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sized GROUP BY source),
+listed AS (SELECT list({{'place': place, 'size': source_size, 'weight': ([3, 1, 2])[(place - 1) % 3 + 1]}}) AS s FROM sources),
+levels(fixed, level, over) AS (
+  SELECT []::BIGINT[], 0.0::DOUBLE, [0]::BIGINT[]
+  UNION ALL
+  SELECT fixed, level, list_transform(list_filter(s, lambda x: NOT list_contains(fixed, x.place) AND level * x.weight > 2 * x.size), lambda x: x.place) FROM (
+    SELECT fixed, s, (1.5 * list_sum(list_transform(s, lambda x: x.size)) - coalesce(list_sum(list_transform(list_filter(s, lambda x: list_contains(fixed, x.place)), lambda x: 2 * x.size)), 0))
+           / list_sum(list_transform(list_filter(s, lambda x: NOT list_contains(fixed, x.place)), lambda x: x.weight)) AS level
+    FROM (SELECT list_distinct(fixed || over) AS fixed FROM levels WHERE len(over) > 0), listed WHERE len(list_filter(s, lambda x: NOT list_contains(fixed, x.place))) > 0)),
+final AS (SELECT fixed, level FROM levels WHERE len(over) = 0)
+SELECT doc_id, size, source_size, round(CASE WHEN list_contains(fixed, place) THEN 2.0 * source_size ELSE level * ([3, 1, 2])[(place - 1) % 3 + 1] END, 6) AS target
+FROM sized JOIN sources ON sized.source IS NOT DISTINCT FROM sources.source, final
+"""
+
+
+@query("mix_targets", _TARGETS_SQL)
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op1 SQL can say: sizes and targets."""
+    return op1_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
 @query("op8_vector_search")
 def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
