@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import WordCache
+from .bpe import WordCache, byte_alphabet
 from .common import arrow_batch, fresh_path, slices, store, struct, texts_of
 from .files import new_file, open_file
 from .ordering import bounds_of, parts_of, range_of
@@ -67,18 +67,19 @@ class ByteLevelEncoder:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.width = 2 if max([self.library.get_vocab_size(), *self.special.values()]) <= 0xFFFF else 4
         self.code = "H" if self.width == 2 else "I"
+        if self.library.normalizer is not None:
+            raise ValueError("texts are normalized first; words can't be merged as they stand")
+        self.merge = self.library.model.tokenize
+        self.letters = dict(enumerate(byte_alphabet()))
         self.words = WordCache(self._word, KEPT_WORDS)
 
     def _word(self, word: str) -> bytes:
-        return array(self.code, self.library.encode(word, add_special_tokens=False).ids).tobytes()
-
-    def _fill(self, words: set[str]) -> None:
-        missing = [w for w in words if w not in self.words]
-        if len(self.words) + len(missing) > self.words._limit:
-            self.words.clear()
-            missing = list(words)
-        for w, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False)):
-            self.words[w] = array(self.code, e.ids).tobytes()
+        """The ids of a word, merged by the library's model, to which the byte alphabet is spelled out here."""
+        if word in self.special:
+            ids = [self.special[word]]
+        else:
+            ids = [t.id for t in self.merge(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))]
+        return array(self.code, ids).tobytes()
 
     def _parts(self, text: str) -> list[str]:
         """Words and special strings, in order."""
@@ -88,10 +89,8 @@ class ByteLevelEncoder:
         return [w for part in self.specials.split(text) for w in ([part] if part in self.special else split(part))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text; the words that are new go to the library together."""
-        split = [self._parts(t) for t in texts]
-        self._fill(set().union(*split))
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+        """Packed ids of each text; the library merges each word that isn't kept."""
+        return [b"".join(map(self.words.__getitem__, self._parts(t))) for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -170,7 +169,8 @@ def write(docs: DataFrame, vocab_file: str, end_id: int, text_col: str = "text",
     shuffle moves compressed frames; each task writes one file, and only files named in
     the manifest count, so a task that runs again does no harm. A null text is empty
     (just ``end_id``); a null id sorts first; rows with equal ids stand together,
-    ordered by their frames; other columns aren't read; an empty table gives no files.
+    ordered by their frames; ids must be numeric, as ranges of them are dealt out; other columns
+    aren't read; an empty table gives no files.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "token-files")
