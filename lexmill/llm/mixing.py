@@ -116,10 +116,10 @@ def plan(rows: DataFrame, weights: list[float], share: float = 1.5, most: float
         "full": F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long"),
     }).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
     aimed = store(aimed, "mix-targets")
-    n_sources = aimed.count()
+    n_sources, longest = aimed.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("source")), F.lit(0))).first()
 
     def bounded(df: DataFrame, count: int) -> DataFrame:
-        return F.broadcast(df) if count * 128 <= BROADCAST_BYTES else df
+        return F.broadcast(df) if count * (128 + longest) <= BROADCAST_BYTES else df
 
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     side = bounded(aimed.withColumnRenamed("source", "t_source"), n_sources)
