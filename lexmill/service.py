@@ -52,8 +52,8 @@ def ingest(store: SnapshotStore, documents: DataFrame, enricher: Enricher, embed
     """Ingest whole documents: (document_id, version, category, source_title, audience, topics, effective_date, raw_text).
 
     Refused, each as a whole: texts that are empty or over MAX_RAW_CHARS, topics where the
-    category has none, more than ``max_chunks`` chunks, and documents with a chunk that could
-    not be enriched or embedded. Of several versions of a document only the last, by ``order``
+    category has none, nothing left after cleaning, more than ``max_chunks`` chunks, and documents
+    with a chunk that could not be enriched or embedded. Of several versions of a document only the last, by ``order``
     or else by version, is chunked. If another writer publishes meanwhile, the stored
     tables are read again; providers are not.
     """
@@ -67,6 +67,7 @@ def ingest(store: SnapshotStore, documents: DataFrame, enricher: Enricher, embed
 
     cut = sections.preprocess(last.select("document_id", "category", "raw_text")).join(last.select("document_id", "version"), "document_id")
     chunks = kept(chunking.chunk_sections(cut))
+    refused.append(last.join(chunks.select("document_id").distinct(), "document_id", "left_anti").select("document_id", F.lit("no chunks").alias("reason")))
     large = chunking.oversized_documents(chunks, max_chunks)
     refused.append(large.select("document_id", F.lit("too many chunks").alias("reason")))
     enriched, unanswered = enrichment.enrich_chunks(chunks.join(large, "document_id", "left_anti"), enricher, calls[0], kept)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import validate_schema
+from ..schemas import schema_problems, validate_schema
 
 BUCKETS = 64
 
@@ -125,6 +125,14 @@ class SnapshotStore:
             raise OSError(f"{self.path} has data but no version")
         return Snapshot(self, -1)
 
+    def problems(self) -> list[str]:
+        """What of the stored files does not fit the tables' schemas, all at once."""
+        now, out = self.begin(), []
+        for table, spec in self.specs.items():
+            for path in sorted(set(now.parts.get(table, {}).values())):
+                out += [f"{table}, {path}: {p}" for p in schema_problems(self.spark.read.parquet(f"{self.path}/{path}"), spec.schema)]
+        return out
+
     def bucket(self, table: str) -> Column:
         return F.pmod(F.xxhash64(F.col(self.specs[table].bucket_by)), F.lit(self.buckets)).cast("int")
 

@@ -138,6 +138,9 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     touched = store.touched("points", new)
     second = store.begin().commit({"points": (lifecycle.upsert(first.read("points", touched), new, "chunk_id"), touched)})
     changed = {b for b, p in second.parts["points"].items() if first.parts["points"][b] != p}
+    assert store.problems() == []
+    other = tables.SnapshotStore(spark, f"file://{tmp_path}", {"points": tables.TableSpec(schema("document_id string, version int, extra string"), "document_id")}, 16)
+    assert {p.partition(": ")[2] for p in other.problems()} == {"column version is string, not int", "column extra is missing"}
     assert changed == {str(touched[0])} and len(second.parts["points"]) > 10 and second.read("points").count() == 61
     with pytest.raises(ValueError):
         store.begin().commit({"points": (many, touched)})
@@ -436,11 +439,11 @@ def test_service_from_documents_to_answers(spark, tmp_path, monkeypatch):
     day = F.lit("2026-01-02").cast("date")
     rows = [
         document("a", "v1", "# One\nalpha beta\n# Two\ngamma"), document("b", "v1", "old words"), document("b", "v2", "delta alpha"), document("c", "v1", "never"),
-        document("e", "v1", " "), document("f", "v1", "x", "labor_code", ["t"]), document("g", "v1", "\n\n".join(["word " * 390] * 4)), document("n", "v1", None),
+        document("e", "v1", " "), document("f", "v1", "x", "labor_code", ["t"]), document("g", "v1", "\n\n".join(["word " * 390] * 4)), document("n", "v1", None), document("z", "v1", "ЧАСТЬ ПЕРВАЯ"),
     ]
     done = service.ingest(store, spark.createDataFrame(rows, DOCUMENTS), Unsure(), providers.LetterEmbedder(26), day, calls=(1, 1), max_chunks=3)
     reasons = {r.document_id: r.reason for r in done.refused.collect()}
-    assert reasons == {"c": "no title", "e": "empty text", "n": "empty text", "f": "topics not allowed for category", "g": "too many chunks"}
+    assert reasons == {"c": "no title", "e": "empty text", "n": "empty text", "f": "topics not allowed for category", "g": "too many chunks", "z": "no chunks"}
     now = store.begin()
     points = now.read("points").collect()
     assert sorted((p.document_id, p.version, p.section_title, p.text) for p in points) == [("a", "v1", "Two", "gamma"), ("b", "v2", "b", "delta alpha")]  # sections without a number share their id
