@@ -67,8 +67,8 @@ def outcome(expansion: Column, rerank_status: Column, results: Column) -> Column
 
 def assemble(final: DataFrame, points: DataFrame) -> DataFrame:
     """The final rows with their payload, joined last; ids that no point has are dropped."""
-    payload = points.select("chunk_id", "document_id", "category", "source_title", "audience", "topics", "version", "section_number", "section_title", "text")
-    return final.join(payload, "chunk_id")
+    kept = ("chunk_id", "document_id", "category", "source_title", "audience", "topics", "version", "section_number", "section_title", "synthetic_title", "text")
+    return final.join(points.select(*[c for c in kept if c in points.columns]), "chunk_id")
 
 
 def trace(lanes: DataFrame, fused: DataFrame, final: DataFrame) -> DataFrame:

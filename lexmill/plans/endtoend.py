@@ -147,3 +147,74 @@ def answer_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("refused_queries", "SELECT item_id AS query_id, 'empty query' AS reason FROM benchmark WHERE item_id % 7 = 6")
 def refused_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir).refused
+
+
+def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section 1 of every federal turn anew, twice; a third of the updates can't be: they are blank or of another category."""
+    turns = c.table(spark, sf_dir, "conversations")
+    n = F.col("conv_id") + F.col("turn")
+    rows = turns.where(n % 3 != 0).select(
+        F.concat_ws("/", "conv_id", "turn").alias("document_id"), F.lit("1").alias("section_number"), F.lit("Section").alias("section_title"), F.when(n % 3 == 1, "case_law").otherwise("federal_law").alias("category"),
+        F.lit("Again").alias("source_title"), F.lit("both").alias("audience"), F.array().cast("array<string>").alias("topics"), F.when(n % 4 == 0, " ").otherwise(F.concat(F.lit("New "), "text")).alias("raw_text"),
+    )
+    version = lambda v, day: rows.withColumns({"version": F.lit(v), "effective_date": F.lit(day).cast("date")})
+    return version("v4", "2024-05-01").unionByName(version("v3", "2024-04-01"))
+
+
+_updated: dict[tuple[str, str], tuple[Snapshot, service.Ingested]] = {}
+
+
+def _after_updates(spark: SparkSession, sf_dir: str) -> tuple[Snapshot, service.Ingested]:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _updated:
+        before, _ = _store(spark, sf_dir)
+        done = service.update_sections(before.store, _updates(spark, sf_dir), QuoteEnricher(), LetterEmbedder(_LETTERS), F.lit("2024-03-05").cast("date"), (None, None))
+        _updated[key] = (before.store.begin(), done)
+    return _updated[key]
+
+
+_UPDATED_SQL = """
+WITH again AS (SELECT conv_id || '/' || turn AS id, 'New ' || text AS text, (conv_id + turn) AS n FROM conversations),
+good AS (SELECT * FROM again WHERE n % 3 = 2 AND n % 4 <> 0)"""
+
+
+@register("updated_sections", _UPDATED_SQL + f"""
+SELECT {uuid5_sql("'chunk:' || id || ':1:v3:0'")} AS chunk_id, id || ':1' AS parent_id, 'v3' AS version, text, false AS is_actual, DATE '2024-05-01' AS effective_until FROM good
+UNION ALL SELECT {uuid5_sql("'chunk:' || id || ':1:v4:0'")}, id || ':1', 'v4', text, true, NULL FROM good""")
+def updated_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two updates of a section through providers: the earlier one is history."""
+    points = _after_updates(spark, sf_dir)[0].read("points").where("section_number = '1'")
+    return points.select("chunk_id", "parent_id", "version", "text", "is_actual", "effective_until")
+
+
+@register("section_updates", _UPDATED_SQL + """
+SELECT id AS document_id, v.v AS version, 1 AS chunks_count, NULL AS reason FROM good, (SELECT unnest(['v3', 'v4']) AS v) v
+UNION ALL SELECT id, NULL, NULL, CASE WHEN n % 4 = 0 THEN 'empty text' ELSE 'section update not allowed for category' END FROM again, (SELECT unnest([3, 4]) AS v) v WHERE n % 3 <> 0 AND (n % 4 = 0 OR n % 3 = 1)""")
+def section_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the updates did, and why some were refused."""
+    done = _after_updates(spark, sf_dir)[1]
+    made = done.report.select("document_id", "version", "chunks_count", F.lit(None).cast("string").alias("reason"))
+    return made.unionByName(done.refused.select("document_id", F.lit(None).cast("string").alias("version"), F.lit(None).cast("long").alias("chunks_count"), "reason"))
+
+
+@register("search_responses", c.with_sql(*_PARTS).replace("WITH", "WITH RECURSIVE", 1) + """
+SELECT item_id AS query_id, coalesce(list(told.chunk_id ORDER BY position) FILTER (told.chunk_id IS NOT NULL), []) AS chunk_ids, coalesce(list(p.title ORDER BY position) FILTER (told.chunk_id IS NOT NULL), []) AS titles
+FROM wanted LEFT JOIN told ON q = item_id AND position <= 4 LEFT JOIN points p USING (chunk_id) GROUP BY item_id""")
+def search_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON bodies of the responses to JSON requests, read again."""
+    rows = asked(spark, sf_dir)
+    bodies = rows.select("query_id", F.to_json(F.struct("query", "audience", "topic", "category", "top_k")).alias("body"))
+    requests, _ = service.read_requests(bodies)
+    found = service.search(_store(spark, sf_dir)[0], requests, HalfQuery(), LetterEmbedder(_LETTERS), LongestReranker())
+    chunks = F.from_json("response", "chunks array<struct<chunk_id: string, synthetic_title: string>>")
+    return service.responses(found).select("query_id", chunks.alias("r")).select("query_id", F.col("r.chunks.chunk_id").alias("chunk_ids"), F.col("r.chunks.synthetic_title").alias("titles"))
+
+
+@register("refused_bodies", """
+SELECT item_id AS query_id, CASE item_id % 5 WHEN 0 THEN 'not a request' WHEN 1 THEN 'unknown audience' WHEN 2 THEN 'unknown category' END AS reason FROM benchmark WHERE item_id % 5 < 3""")
+def refused_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request bodies that can't be read, or name what doesn't exist."""
+    kind = F.col("item_id") % 5
+    made = F.to_json(F.struct(F.lit("q").alias("query"), F.when(kind == 1, "nobody").alias("audience"), F.when(kind == 2, "poems").alias("category")))
+    bodies = c.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(kind == 0, "{no json").otherwise(made).alias("body"))
+    return service.read_requests(bodies)[1]

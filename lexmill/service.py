@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .operators import chunking, enrichment, expansion, filters, fusion, index, lifecycle, rerank, sections
 from .operators import search as lanes_of
 from .providers import Embedder, Enricher, Expander, Reranker
-from .schemas import MAX_CHUNKS, MAX_RAW_CHARS, POINTS, REGISTRY, SEARCH_LOGS, TOP_K_DEFAULT
+from .schemas import AUDIENCES, CATEGORIES, MAX_CHUNKS, MAX_RAW_CHARS, POINTS, REGISTRY, SEARCH_LOGS, TOP_K_DEFAULT
 from .session import fresh_path
 from .sources.tables import ConcurrentChange, Snapshot, SnapshotStore, TableSpec
 
@@ -83,16 +83,66 @@ def ingest(store: SnapshotStore, documents: DataFrame, enricher: Enricher, embed
     rows = kept(rows)
     sequence = None if order is None else F.col("__order")
     touched = store.touched("points", rows)
+
+    def change(base: Snapshot):
+        after, registry, report = lifecycle.ingest_documents(base.read("points", touched), base.read("registry", touched), points, rows, order=sequence)
+        return after, {"registry": registry.select(*REGISTRY.fieldNames())}, report
+
+    return Ingested(_published(store, touched, points, change), out)
+
+
+def update_sections(store: SnapshotStore, updates: DataFrame, enricher: Enricher, embedder: Embedder, as_of: Column, calls: tuple[int | None, int | None] = (5, 3)) -> Ingested:
+    """Replace single sections: (document_id, section_number, section_title, version, category, source_title, audience, topics, effective_date, raw_text).
+
+    The given text is the section; it is neither cleaned nor cut into sections. What it
+    replaces stays as history that ends on the update's date; the registry is not touched.
+    Several updates of a section count in order of date and version. The report has
+    (document_id, section_number, parent_id, version, chunks_count, superseded_chunks), the
+    refusals (document_id, section_number, reason); an update is refused as a whole.
+    """
+    key = ["document_id", "section_number", "version"]
+    raw = F.col("raw_text")
+    problem = (
+        F.when(F.trim(F.coalesce(raw, F.lit(""))) == "", "empty text").when(F.coalesce(F.col("section_number"), F.lit("")) == "", "no section number")
+        .when(F.length(raw) > MAX_RAW_CHARS, "text too long").otherwise(filters.document_problem(section_update=True))
+    )
+    checked = updates.withColumn("__problem", problem)
+    refused = [checked.where("__problem is not null").select("document_id", "section_number", F.col("__problem").alias("reason"))]
+    latest = Window.partitionBy(*key).orderBy(F.col("effective_date").desc(), "raw_text")
+    good = checked.where("__problem is null").drop("__problem").withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
+    chunks = chunking.chunk_sections(good.withColumnRenamed("raw_text", "text").withColumn("section_index", F.lit(0)))
+    # providers refuse whole updates, so an update stands for a document there
+    named = kept(chunks.withColumns({"__document": F.col("document_id"), "chunk_index": F.col("chunk_number_in_section"), "document_id": F.concat_ws(":", "parent_id", "version")}))
+    enriched, unanswered = enrichment.enrich_chunks(named, enricher, calls[0], kept)
+    embedded, unplaced = enrichment.embed_chunks(enriched, embedder, calls[1], kept)
+    whose = named.select("document_id", F.col("__document").alias("of"), "section_number").distinct()
+    for failed in (unanswered, unplaced):
+        refused.append(failed.join(whose, "document_id").select(F.col("of").alias("document_id"), "section_number", F.col("error").alias("reason")))
+    points = embedded.withColumns({"document_id": F.col("__document"), "date_added": as_of, "effective_until": F.lit(None).cast("date"), "is_actual": F.lit(True)})
+    points = kept(points.select(*POINTS.fieldNames()))
+    out = kept(lifecycle.union_all(refused))
+    made = points.groupBy("document_id", "section_number", "parent_id", "version").agg(F.count(F.lit(1)).alias("chunks_count"))
+    touched = store.touched("points", points)
+
+    def change(base: Snapshot):
+        after, old = lifecycle.ingest_sections(base.read("points", touched), points)
+        report = made.join(old.select("parent_id", F.size("replaced_ids").alias("superseded_chunks")), "parent_id", "left").fillna(0, ["superseded_chunks"])
+        return after, {}, report
+
+    return Ingested(_published(store, touched, points, change), out)
+
+
+def _published(store: SnapshotStore, touched: list[int], points: DataFrame, change) -> DataFrame:
+    """Apply ``change`` (snapshot -> points, other tables, report) to the touched buckets; the stored report."""
     for attempt in range(ATTEMPTS):
         base = store.begin()
-        before = base.read("points", touched)
-        after, registry, report = lifecycle.ingest_documents(before, base.read("registry", touched), points, rows, order=sequence)
-        after = kept(after)
+        after, others, report = change(base)
+        after, report = kept(after), kept(report)
         terms = index.refreshed(base.read("postings", touched), after, points)
-        report = kept(report)
+        tables = {"points": after, "postings": terms} | others
         try:
-            base.commit({"points": (after, touched), "registry": (registry.select(*REGISTRY.fieldNames()), touched), "postings": (terms, touched)})
-            return Ingested(report, out)
+            base.commit({name: (rows, touched) for name, rows in tables.items()})
+            return report
         except ConcurrentChange:
             if attempt == ATTEMPTS - 1:
                 raise
@@ -163,3 +213,27 @@ def log_rows(answers: Answers, queries: DataFrame, at: Column) -> DataFrame:
     filled = rows.withColumns({k: F.coalesce(k, F.array().cast(t)) for k, t in empty.items()})
     timed = filled.withColumns({f"latency_{k}_ms": F.lit(v) for k, v in answers.latencies.items()} | {"created_at": at})
     return timed.select(*SEARCH_LOGS.fieldNames())
+
+
+#: The body of a search request.
+REQUEST = "query string, audience string, topic string, category string, top_k int"
+
+
+def read_requests(bodies: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """Requests (query_id, query, ...) from JSON bodies (query_id, body), and (query_id, reason) of those that can't be read."""
+    parsed = bodies.withColumn("__r", F.from_json(body, f"{REQUEST}, __bad string", {"columnNameOfCorruptRecord": "__bad"}))
+    unread = F.col("__r").isNull() | F.col("__r.__bad").isNotNull()
+    bad = F.when(unread, "not a request").when(~F.coalesce(F.col("__r.audience").isin(*AUDIENCES), F.lit(True)), "unknown audience").when(~F.coalesce(F.col("__r.category").isin(*CATEGORIES), F.lit(True)), "unknown category")
+    judged = parsed.withColumn("reason", bad)
+    good = judged.where("reason is null").select("query_id", "__r.query", "__r.audience", "__r.topic", "__r.category", "__r.top_k")
+    return good, judged.where("reason is not null").select("query_id", "reason")
+
+
+def responses(answers: Answers) -> DataFrame:
+    """(query_id, response): each answered query's chunks, best first, as the JSON body of a response."""
+    fields = ("chunk_id", "text", "synthetic_title", "source_title", "audience", "topics", "category", "section_number", "section_title", "score")
+    chunk = F.struct(*[F.col(f) for f in fields if f in answers.results.columns])
+    listed = answers.results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", chunk.alias("chunk")))).alias("c"))
+    rows = answers.outcomes.select("query_id").join(listed, "query_id", "left")
+    body = F.to_json(F.struct(F.transform("c", lambda x: x["chunk"]).alias("chunks")), {"ignoreNullFields": "false"})
+    return rows.select("query_id", F.when(F.col("c").isNull(), F.lit('{"chunks":[]}')).otherwise(body).alias("response"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -181,6 +182,16 @@ class SnapshotStore:
             self._fs.delete(self._path(f"_versions/{name}"), False)
 
 
+    def vacuum(self, hours: float) -> int:
+        """Delete what writers left behind that failed: folders of data that no version names and that are older; how many."""
+        named = {p.split("/")[1] for n in self._names("_versions") if n.isdigit() and (s := self._load(n)) for t in s.parts.values() for p in t.values()}
+        before = (time.time() - hours * 3600) * 1000
+        gone = [s.getPath() for s in (self._fs.listStatus(self._path("data")) if self._fs.exists(self._path("data")) else []) if s.getPath().getName() not in named and s.getModificationTime() < before]
+        for path in gone:
+            self._fs.delete(path, True)
+        return len(gone)
+
+
 class SnapshotTable:
     """A store of one table."""
 

@@ -201,6 +201,11 @@ def test_a_crash_at_any_step_leaves_a_version(spark, tmp_path, monkeypatch):
             break
         steps += 1
     assert steps >= 4
+    folders = lambda: len(list((path / "data").iterdir()))
+    store.write("points", points(spark, ("x", "x", "v1", 0, "x")))  # by a writer that died
+    held = folders()
+    assert store.vacuum(1) == 0 and folders() == held
+    assert store.vacuum(-1) >= 1 and folders() < held and state(store) == [["m"], ["m"]]
     (path / "_versions" / f"{99:012d}").write_text('{"parts"')  # a pointer whose writer died within it
     assert state(store) == [["m"], ["m"]]
     store.begin().commit(rows("l"))
@@ -470,6 +475,29 @@ def test_service_from_documents_to_answers(spark, tmp_path, monkeypatch):
     assert {"a", "b", "h"} <= {r.document_id for r in later.read("points").collect()} and later.read("postings").where("token = 'omega'").count() == 1
 
 
+def test_service_updates_sections(spark, tmp_path):
+    store = service.open_store(spark, f"file://{tmp_path}/store", 4)
+    day = F.lit("2026-01-02").cast("date")
+    of = (providers.QuoteEnricher(), providers.LetterEmbedder(26), day, (None, None))
+    law = [document("law", "v1", "Статья 1. Alpha\nold alpha\nСтатья 2. Beta\nold beta", "labor_code")]
+    service.ingest(store, spark.createDataFrame(law, DOCUMENTS), of[0], of[1], of[2], calls=of[3])
+    kind = "document_id string, section_number string, section_title string, version string, category string, source_title string, audience string, topics array<string>, effective_date date, raw_text string"
+    rows = [("law", "1", "Alpha", "v2", "labor_code", "S", "both", [], date(2026, 2, 1), "new alpha"), ("law", "1", "Alpha", "v2", "labor_code", "S", "both", [], date(2026, 1, 9), "an older text"),
+            ("law", "2", "Beta", "v2", "authorial", "S", "both", [], date(2026, 2, 1), "x"), ("law", None, "Beta", "v2", "labor_code", "S", "both", [], date(2026, 2, 1), "x")]
+    done = service.update_sections(store, spark.createDataFrame(rows, kind), *of)
+    assert [(r.section_number, r.chunks_count, r.superseded_chunks) for r in done.report.collect()] == [("1", 1, 1)]
+    assert sorted((r.section_number or "", r.reason) for r in done.refused.collect()) == [("", "no section number"), ("2", "section update not allowed for category")]
+    now = store.begin()
+    assert sorted((p.parent_id, p.version, p.text, p.is_actual, p.effective_until) for p in now.read("points").collect()) == [
+        ("law:1", "v1", "old alpha", False, date(2026, 2, 1)), ("law:1", "v2", "new alpha", True, None), ("law:2", "v1", "old beta", True, None)]
+    assert sorted((r.token, r.tf) for r in now.read("postings").collect()) == [("alpha", 1.0), ("alpha", 1.0), ("beta", 1.0), ("new", 1.0), ("old", 1.0), ("old", 1.0)]
+    good, bad = service.read_requests(spark.createDataFrame([(1, '{"query": "old beta", "top_k": 2}'), (2, "["), (3, None), (4, '{"query": "x", "category": "poems"}')], "query_id int, body string"))
+    assert sorted((r.query_id, r.reason) for r in bad.collect()) == [(2, "not a request"), (3, "not a request"), (4, "unknown category")]
+    found = service.search(now, good, providers.SameQuery(), providers.LetterEmbedder(26), providers.OverlapReranker())
+    body = json.loads(service.responses(found).first().response)
+    assert [c["text"] for c in body["chunks"]] == ["old beta"] and body["chunks"][0]["section_number"] == "2"
+
+
 def test_a_provider_s_rate_is_shared(spark):
     class Slow(providers.LetterEmbedder):
         rate = 20.0
