@@ -13,7 +13,7 @@ classes that share too little of it with any other class; (3) document frequenci
 the remaining tokens, combined before their shuffle; (4) the index; (5) rounds over the
 buckets of the index: some classes of a bucket, its hubs, are verified against those of other
 components with which the places of the bucket's token allow a link, and leave the
-bucket; each round has sixteen times as many hubs in a bucket. The largest components of a
+bucket; each round has 64 times as many hubs in a bucket. The largest components of a
 bucket have a centre each, which is verified against all of the bucket; classes linked to
 it leave too, unless a class of another component is within twice the linking
 distance: Jaccard distance is a metric, so what is near to the centre can't link with
@@ -39,11 +39,11 @@ from .components import connected_components
 #: A token that more classes hold is of the frequent class and indexed in combinations.
 FREQUENT = 16
 #: Hubs of a bucket in a round, as a multiple of those in the round before; the first has one.
-MORE_HUBS = 16
+MORE_HUBS = 64
 #: Components of a bucket that have a centre, and the classes that they hold there at least.
 CENTRES, CENTRE_CLASSES = 4, 16
-#: Hubs, and sets of hubs, are broadcast if they take so many bytes at most.
-HUB_BYTES = 8 << 20
+#: Hubs, sets of hubs and labels are broadcast if they take so many bytes at most.
+HUB_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -207,7 +207,7 @@ def _classes(docs: DataFrame, words: int, limit: Threshold, id_col: str, text_co
 def _compared(pairs: DataFrame, sets: DataFrame, hubs: DataFrame, limit: Threshold) -> DataFrame:
     """Stored (a, b, linked) of those pairs of a hub a and a class b that are within twice the linking distance, by exact intersection."""
     n_hubs, tokens = hubs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    left = sets.join(small(hubs.select("k"), n_hubs, 24), "k", "left_semi").select(F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
+    left = sets.join(small(hubs.select("k"), n_hubs, 24, HUB_BYTES), "k", "left_semi").select(F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
     right = sets.select(F.col("k").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
     both = pairs.join(right, "b")
     if 8 * tokens + 64 * n_hubs <= HUB_BYTES:
@@ -339,14 +339,38 @@ def _met(work: DataFrame, hubs: DataFrame) -> DataFrame:
     return spread_join(work, hubs, "s", heavy_keys(work.groupBy("s").count(), "s", work.count()), ("k",))
 
 
+def _in_components(pairs: DataFrame, label: DataFrame, n_label: int) -> DataFrame:
+    """Pairs (a, b) with the components c_a and c_b of both; a class that links with none is its own."""
+    for x in ("a", "b"):
+        of = small(label, n_label, 24, HUB_BYTES).select(F.col("k").alias(x), F.col("component").alias("c"))
+        pairs = pairs.join(of, x, "left").withColumn(f"c_{x}", F.coalesce("c", x)).drop("c")
+    return pairs
+
+
+def _joined(label: DataFrame | None, n_label: int, links: DataFrame) -> DataFrame | None:
+    """Stored (k, component) after more links between classes: only components that a link joins are merged."""
+    if label is None:
+        if not links.take(1):
+            return None
+        return store(connected_components(links).select(F.col("node").alias("k"), "component"), "join-labels")
+    new = store(_in_components(links, label, n_label).where("c_a <> c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), "join-merged")
+    if not new.take(1):
+        return label
+    merged = store(connected_components(new), "join-merged")
+    n_merged = merged.count()
+    moved = label.join(small(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), n_merged, 24, HUB_BYTES), "component", "left")
+    first = merged.select(F.col("node").alias("k"), "component").join(small(label.select("k"), n_label, 16, HUB_BYTES), "k", "left_anti")
+    return store(moved.select("k", F.coalesce("to", "component").alias("component")).unionByName(first), "join-labels")
+
+
 def _components(entries: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame | None:
     """(5) Stored (k, component) of the sets that link with another; None where none does."""
-    edges, label, n_label, rest, each = None, None, 0, entries, 1
+    label, n_label, rest, each = None, 0, entries, 1
     as_hub = [F.col(c).alias(f"h_{c}") for c in ("k", "n", "place", "before", "c")]
     while True:
         now = rest.withColumn("c", F.col("k"))
         if label is not None:
-            now = rest.join(small(label, n_label, 24), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+            now = rest.join(small(label, n_label, 24, HUB_BYTES), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
         # per component of a bucket its size and its class with the fewest unshared tokens
         least = F.min(F.struct("rare", F.xxhash64("k").alias("x"), "k", "n", "place", "before", "c")).alias("h")
         per = now.groupBy("s", "c").agg(F.count(F.lit(1)).alias("size"), least)
@@ -355,7 +379,12 @@ def _components(entries: DataFrame, sets: DataFrame, limit: Threshold) -> DataFr
         n_open = open_.count()
         if not n_open:
             return label
-        work = store(now.join(small(open_.select("s", "all", "main"), n_open, 40), "s"), "join-work")
+        side = open_.select("s", "all", "main")
+        if n_open * 40 <= HUB_BYTES:
+            work = now.join(F.broadcast(side), "s")
+        else:
+            work = spread_join(now, side, "s", heavy_keys(open_, "s", rest.count(), "all"), ("k",))
+        work = store(work, "join-work")
         if each == 1:
             hubs = open_.select("s", "h.*").select("s", *as_hub)
         else:  # of the classes outside the largest component about so many, by a hash of the class
@@ -366,7 +395,7 @@ def _components(entries: DataFrame, sets: DataFrame, limit: Threshold) -> DataFr
         centres = None
         if each > 1:
             order = Window.partitionBy("s").orderBy(F.col("size").desc(), "h")
-            large = per.where(F.col("size") >= CENTRE_CLASSES).join(small(open_.select("s"), n_open, 24), "s", "left_semi")
+            large = per.where(F.col("size") >= CENTRE_CLASSES).join(small(open_.select("s"), n_open, 24, HUB_BYTES), "s", "left_semi")
             centres = store(large.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= CENTRES).select("s", "h.*").select("s", *as_hub), "join-centres")
             if not centres.take(1):
                 centres = None
@@ -379,17 +408,15 @@ def _components(entries: DataFrame, sets: DataFrame, limit: Threshold) -> DataFr
         checked = _compared(pairs, sets, known.distinct(), limit)
         discard(pairs)
         found = checked.where("linked").select("a", "b")
-        if found.take(1):
-            edges = found if edges is None else edges.unionByName(found)
-            label = store(connected_components(edges).select(F.col("node").alias("k"), "component"), "join-labels")
-            n_label = label.count()
+        label = _joined(label, n_label, found)
+        n_label = 0 if label is None else label.count()
         gone = hubs.select("s", F.col("h_k").alias("k"))
         if centres is not None:
-            middle = centres.select(F.col("h_k").alias("a")).distinct()
-            of = lambda x: small(label, n_label, 24).select(F.col("k").alias(x), F.col("component").alias(f"c_{x}"))
-            seen = checked.join(middle, "a", "left_semi").join(of("a"), "a", "left").join(of("b"), "b", "left")
-            ringed = seen.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a").distinct()
-            near = seen.where("linked").select("a", "b").join(ringed, "a", "left_anti")
+            n_centres = centres.count()
+            middle = small(centres.select(F.col("h_k").alias("a")).distinct(), n_centres, 24, HUB_BYTES)
+            seen = _in_components(checked.join(middle, "a", "left_semi"), label, n_label)
+            ringed = seen.where("c_a <> c_b").select("a").distinct()
+            near = seen.where("linked").select("a", "b").join(small(ringed, n_centres, 24, HUB_BYTES), "a", "left_anti")
             gone = gone.unionByName(centres.select("s", F.col("h_k").alias("k"))).unionByName(around.join(near, ["a", "b"]).select("s", F.col("b").alias("k"))).distinct()
         left = store(work.join(gone, ["s", "k"], "left_anti").select(*entries.columns), "join-rest")
         for done in (rest, work, hubs, open_, centres):
