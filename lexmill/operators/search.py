@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import tokens
-from ..functions.vectors import doubles, dot, norm
+from ..functions.vectors import doubles
 from ..schemas import CATEGORIES, QUESTIONS
 from . import filters
 
-#: Queries whose vectors are broadcast take at most so many bytes; more are paired by partitions.
+#: Queries whose vectors are sent to all tasks take at most so many bytes; more are paired by partitions.
 BROADCAST_BYTES = 32 << 20
+#: Vectors and queries that are multiplied at once, and rows that a task holds before it cuts them.
+BLOCK_ROWS, BLOCK_QUERIES, HELD_ROWS = 4_096, 4_096, 500_000
 
 
 @dataclass(frozen=True)
@@ -28,10 +34,6 @@ class Depths:
     sparse_per_category: int = 4
 
 
-def _bounded(queries: DataFrame, rows: int | None, row_bytes: int) -> DataFrame:
-    return F.broadcast(queries) if rows is not None and rows * row_bytes <= BROADCAST_BYTES else queries
-
-
 def lane_vectors(points: DataFrame, questions: bool = True) -> DataFrame:
     """One row per stored vector: ordinal -1 is the chunk's, j its question's; null and zero vectors are left out."""
     meta = [c for c in ("chunk_id", "category", "audience", "topics") if c in points.columns]
@@ -52,13 +54,135 @@ def _asked(queries: DataFrame, *columns: str) -> DataFrame:
     return queries.select(*keys, *[F.col(c).alias(f"q_{c}") for c in (*columns, "audience", "topic", "category")])
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, dims: int | None = None, n_queries: int | None = None) -> DataFrame:
-    """Cosine of every query with every vector that its filters admit; filters are part of the join."""
-    asked = _asked(queries, "vector").withColumn("q_vector", doubles(F.col("q_vector"))).withColumn("q_norm", norm(F.col("q_vector"), dims)).where("q_norm > 0")
-    stored = vectors.withColumn("v_norm", norm(F.col("v"), dims)).where("v_norm > 0")
-    pairs = stored.join(_bounded(asked, n_queries, 8 * (dims or 1024) + 200), _admits())
-    score = dot(F.col("q_vector"), F.col("v"), dims) / (F.col("q_norm") * F.col("v_norm"))
-    return pairs.withColumn("score", score).drop("v", "q_vector", "q_norm", "v_norm")
+class _Asked:
+    """A block of queries as arrays: unit vectors, filters, and what is handed back of each."""
+
+    def __init__(self, table: pa.Table, keys: list[str]):
+        self.table, self.keys = table, keys
+        self.unit = _unit(table["q_vector"].combine_chunks())
+        self.audience, self.topic, self.category = (np.array(table[f"q_{c}"].to_pylist(), object) for c in ("audience", "topic", "category"))
+
+    def admitted(self, audience: list, topics: list, category: np.ndarray) -> np.ndarray:
+        """rows x queries: which rows each query's filters let through."""
+        none = lambda x: np.array([v is None for v in x], bool)
+        rows = np.array(audience, object)
+        out = none(self.audience)[None, :] | (rows[:, None] == self.audience[None, :]) | (rows == "both")[:, None]
+        out &= none(self.category)[None, :] | (category[:, None] == self.category[None, :])
+        for wanted in {t for t in self.topic if t is not None}:
+            holds = np.array([t is not None and wanted in t for t in topics], bool)
+            out[np.ix_(~holds, self.topic == wanted)] = False
+        return out
+
+
+def _unit(column: pa.Array) -> np.ndarray:
+    flat = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+    return flat / np.sqrt((flat * flat).sum(1))[:, None]
+
+
+def _best_of(rows: pa.Table | pa.RecordBatch, asked: _Asked, keep: tuple[int, int], balanced: tuple[int, int] | None) -> tuple[np.ndarray, ...]:
+    """(query, group, limit, chunk_id, category, ordinal, score) of the rows that may be among the best of a block.
+
+    A group is an ordinal, and for queries without a category a category too, if ``balanced``.
+    """
+    ids, category = np.array(rows["chunk_id"].to_pylist(), object), np.array(rows["category"].to_pylist(), object)
+    ordinal = np.asarray(rows["ordinal"])
+    column = rows["v"].combine_chunks() if isinstance(rows["v"], pa.ChunkedArray) else rows["v"]
+    admitted = asked.admitted(rows["audience"].to_pylist(), rows["topics"].to_pylist(), category)
+    score = _unit(column) @ asked.unit.T
+    order = np.where(admitted, np.round(score, 9), -np.inf)
+    by_id = np.argsort(ids, kind="stable")
+    names = {c: i + 1 for i, c in enumerate(CATEGORIES)}
+    codes = np.array([names.get(c, len(names) + 1) for c in category])
+    apart = np.array([balanced is not None and c is None for c in asked.category], bool)
+    out = []
+
+    def take(places: np.ndarray, queries: np.ndarray, o: int, code: int, limit: int) -> None:
+        if not len(places) or not len(queries):
+            return
+        sub = order[np.ix_(places, queries)]
+        top = np.argsort(-sub, axis=0, kind="stable")[:limit]  # places are in order of id, so ties go to the smaller
+        found = np.isfinite(np.take_along_axis(sub, top, axis=0))
+        q, at = np.broadcast_to(queries, top.shape)[found], places[top[found]]
+        out.append((q, np.full(len(q), (o + 1) * 16 + code), np.full(len(q), limit), ids[at], category[at], ordinal[at], score[at, q]))
+
+    for o in np.unique(ordinal):
+        places = by_id[ordinal[by_id] == o]
+        kind = 0 if o < 0 else 1
+        take(places, np.flatnonzero(~apart), int(o), 0, keep[kind])
+        for code in np.unique(codes[places]) if apart.any() else ():
+            take(places[codes[places] == code], np.flatnonzero(apart), int(o), int(code), balanced[kind])
+    if not out:
+        return tuple(np.zeros(0, t) for t in (int, int, int, object, object, int, float))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _cut(found: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Of what several blocks found, each group's best."""
+    q, group, limit, ids, category, ordinal, score = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((ids.astype(str), -np.round(score, 9), group, q))
+    first = np.concatenate([[True], (q[order][1:] != q[order][:-1]) | (group[order][1:] != group[order][:-1])]) if len(order) else np.zeros(0, bool)
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    kept = order[rank < limit[order]]
+    return tuple(x[kept] for x in (q, group, limit, ids, category, ordinal, score))
+
+
+def dense_best(vectors: DataFrame, queries: DataFrame, dims: int, keep: tuple[int, int], balanced: tuple[int, int] | None = None, n_queries: int | None = None) -> DataFrame:
+    """Cosines (keys, chunk_id, category, q_category, ordinal, score) that may be among each lane's best.
+
+    Per query and ordinal the ``keep`` (of chunk vectors, of question vectors) best rows of each
+    task, and with ``balanced`` those of each category for queries without one; the caller
+    ranks what is left. Filters and products are taken by blocks of rows and queries.
+    Queries of bounded size are sent to the tasks, and vectors are not shuffled; more meet the
+    vectors in blocks. Vectors of another size, and zero ones, take no part.
+    """
+    asked = _asked(queries, "vector").withColumn("q_vector", doubles(F.col("q_vector")))
+    live = lambda c: (F.size(c) == dims) & F.exists(c, lambda x: x != 0)
+    asked = asked.where(live("q_vector"))
+    stored = vectors.select("chunk_id", "category", "audience", "topics", F.col("ordinal").cast("int").alias("ordinal"), "v").where(live("v"))
+    keys = [c for c in ("query_id", "variant_id") if c in queries.columns]
+    schema = T.StructType([*[asked.schema[k] for k in keys], stored.schema["chunk_id"], stored.schema["category"], asked.schema["q_category"], stored.schema["ordinal"], T.StructField("score", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def rows_of(block: _Asked, found: list[tuple]) -> pa.RecordBatch:
+        q, _, _, ids, category, ordinal, score = _cut(found)
+        whose = block.table.take(pa.array(q, pa.int64()))
+        columns = [whose[k].combine_chunks() for k in keys] + [ids.tolist(), category.tolist(), whose["q_category"].combine_chunks(), ordinal, score]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    n = asked.count() if n_queries is None else n_queries
+    if n * (8 * dims + 200) <= BROADCAST_BYTES:
+        table = asked.toArrow()
+        if not table.num_rows:
+            return queries.sparkSession.createDataFrame([], schema)
+
+        def scan(batches):
+            block, found, size = _Asked(table, keys), [], 0
+            for batch in batches:
+                for at in range(0, batch.num_rows, BLOCK_ROWS):
+                    found.append(_best_of(batch.slice(at, BLOCK_ROWS), block, keep, balanced))
+                    size += len(found[-1][0])
+                    if size > HELD_ROWS:
+                        found = [_cut(found)]
+                        size = 0
+            if found:
+                yield rows_of(block, found)
+
+        return stored.mapInArrow(scan, schema)
+
+    n_rows = stored.count()
+    row_blocks, query_blocks = max(1, -(-n_rows // BLOCK_ROWS)), max(1, -(-n // BLOCK_QUERIES))
+    place = lambda m, *by: F.pmod(F.xxhash64(*by), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = stored.withColumn("rb", place(row_blocks, "chunk_id", "ordinal")).withColumn("qb", every(query_blocks))
+    right = asked.withColumn("qb", place(query_blocks, *keys)).withColumn("rb", every(row_blocks))
+
+    def meet(rows: pa.Table, some: pa.Table) -> pa.Table:
+        if not rows.num_rows or not some.num_rows:
+            return arrow.empty_table()
+        block = _Asked(some, keys)
+        return pa.Table.from_batches([rows_of(block, [_best_of(rows, block, keep, balanced)])])
+
+    return left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(meet, schema)
 
 
 def sparse_scores(points: DataFrame, terms: DataFrame, weights: DataFrame, queries: DataFrame, n_queries: int | None = None) -> DataFrame:
@@ -81,7 +205,7 @@ def best(scores: DataFrame, depth: Column, *lane: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
 
 
-def lanes(points: DataFrame, terms: DataFrame, weights: DataFrame, queries: DataFrame, depths: Depths = Depths(), dims: int | None = None, n_queries: int | None = None) -> DataFrame:
+def lanes(points: DataFrame, terms: DataFrame, weights: DataFrame, queries: DataFrame, depths: Depths = Depths(), dims: int = 768, n_queries: int | None = None) -> DataFrame:
     """Ranked lanes (query_id, variant_id, lane, chunk_id, rank, score) of every query.
 
     A query without a category gets lanes of its own for each category, so that a small
@@ -90,7 +214,7 @@ def lanes(points: DataFrame, terms: DataFrame, weights: DataFrame, queries: Data
     sparse by category.
     """
     keys = [c for c in ("query_id", "variant_id") if c in queries.columns]
-    dense = dense_scores(lane_vectors(points), queries, dims, n_queries)
+    dense = dense_best(lane_vectors(points), queries, dims, (depths.dense, depths.question), (depths.dense_per_category, depths.question_per_category), n_queries)
     sparse = sparse_scores(points, terms, weights, queries, n_queries).withColumn("ordinal", F.lit(QUESTIONS))
     columns = [*keys, "chunk_id", "category", "q_category", "ordinal", "score"]
     scored = dense.select(*columns).unionByName(sparse.select(*columns))

@@ -27,7 +27,7 @@ def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dense(now: Snapshot, asked: DataFrame) -> DataFrame:
     vectors = search.lane_vectors(now.read("points"), questions=False)
-    scores = search.dense_scores(vectors, asked, c.DIMS, asked.count())
+    scores = search.dense_best(vectors, asked, c.DIMS, (20, 20), n_queries=asked.count())
     return _score(search.best(scores, F.lit(20), "query_id")).select("query_id", "chunk_id", "category", "score", "rank")
 
 
@@ -39,7 +39,7 @@ def question_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = c.stored(spark, sf_dir)
     vectors = search.lane_vectors(now.read("points")).where("ordinal >= 0")
     asked = now.read("queries")
-    scores = search.dense_scores(vectors, asked, c.DIMS, asked.count())
+    scores = search.dense_best(vectors, asked, c.DIMS, (10, 10), n_queries=asked.count())
     return _score(search.best(scores, F.lit(10), "query_id", "ordinal")).select("query_id", "ordinal", "chunk_id", "score", "rank")
 
 
