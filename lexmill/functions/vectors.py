@@ -1,24 +1,8 @@
-"""Vector arithmetic as Column expressions, in double precision."""
+"""Vectors as Column expressions."""
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-#: Up to so many components a product is one generated expression, beyond it a fold.
-UNROLL = 16
-
-
-def dot(a: Column, b: Column, dims: int | None = None) -> Column:
-    if dims and dims <= UNROLL:
-        return functools.reduce(lambda x, y: x + y, [F.get(a, F.lit(i)) * F.get(b, F.lit(i)) for i in range(dims)])
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column, dims: int | None = None) -> Column:
-    return F.sqrt(dot(a, a, dims))
 
 
 def doubles(a: Column) -> Column:
