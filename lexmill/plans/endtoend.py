@@ -33,7 +33,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         audience.alias("audience"), topics.alias("topics"), F.lit("2024-03-01").cast("date").alias("effective_date"), F.col("text").alias("raw_text"),
     )
     older = docs.withColumns({"version": F.lit("v1"), "raw_text": F.lit("before")})
-    return docs.unionByName(older.where("document_id like '%/1'"))
+    return docs.unionByName(older)
 
 
 def _store(spark: SparkSession, sf_dir: str) -> tuple[Snapshot, service.Ingested]:
@@ -43,7 +43,7 @@ def _store(spark: SparkSession, sf_dir: str) -> tuple[Snapshot, service.Ingested
         store = service.open_store(spark, fresh_path(spark, "turns"), 8)
         docs, day = _turns(spark, sf_dir), F.lit("2024-03-02").cast("date")
         of = (QuoteEnricher(), LetterEmbedder(_LETTERS), day)
-        service.ingest(store, docs.withColumn("version", F.lit("v0")).where("document_id like '%/0'"), *of, calls=(None, None))
+        service.ingest(store, docs.where("version = 'v2'").withColumn("version", F.lit("v0")), *of, calls=(None, None))
         done = service.ingest(store, docs, *of, calls=(None, None))
         _ingested[key] = (store.begin(), done)
     return _ingested[key]
@@ -82,8 +82,8 @@ def ingested_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("ingested_registry", c.with_sql(_TURNS_SQL.rsplit("sections AS", 1)[0].rstrip().rstrip(",")) + """
 SELECT id AS document_id, 'v2' AS version, true AS is_active FROM judged WHERE reason IS NULL
-UNION ALL SELECT id, 'v1', false FROM judged WHERE reason IS NULL AND turn = 1
-UNION ALL SELECT id, 'v0', false FROM judged WHERE reason IS NULL AND turn = 0""")
+UNION ALL SELECT id, 'v1', false FROM judged WHERE reason IS NULL
+UNION ALL SELECT id, 'v0', false FROM judged WHERE reason IS NULL""")
 def ingested_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _store(spark, sf_dir)[0].read("registry").select("document_id", "version", "is_active")
 
@@ -97,7 +97,7 @@ def ingested_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("ingest_refusals", c.with_sql(_TURNS_SQL.rsplit("sections AS", 1)[0].rstrip().rstrip(",")) + """
 SELECT id AS document_id, reason FROM judged WHERE reason IS NOT NULL
-UNION ALL SELECT id, reason FROM judged WHERE reason IS NOT NULL AND turn = 1 AND reason <> 'empty text'""")
+UNION ALL SELECT id, reason FROM judged WHERE reason <> 'empty text'""")
 def ingest_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _store(spark, sf_dir)[1].refused
 
@@ -150,11 +150,11 @@ def refused_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Section 1 of every federal turn anew, twice; a third of the updates can't be: they are blank or of another category."""
+    """Section 1 of every turn anew, twice; updates that are blank or of another category than federal laws can't be."""
     turns = c.table(spark, sf_dir, "conversations")
     n = F.col("conv_id") + F.col("turn")
-    rows = turns.where(n % 3 != 0).select(
-        F.concat_ws("/", "conv_id", "turn").alias("document_id"), F.lit("1").alias("section_number"), F.lit("Section").alias("section_title"), F.when(n % 3 == 1, "case_law").otherwise("federal_law").alias("category"),
+    rows = turns.select(
+        F.concat_ws("/", "conv_id", "turn").alias("document_id"), F.lit("1").alias("section_number"), F.lit("Section").alias("section_title"), F.element_at(F.array(F.lit("authorial"), F.lit("case_law"), F.lit("federal_law")), (n % 3 + 1).cast("int")).alias("category"),
         F.lit("Again").alias("source_title"), F.lit("both").alias("audience"), F.array().cast("array<string>").alias("topics"), F.when(n % 4 == 0, " ").otherwise(F.concat(F.lit("New "), "text")).alias("raw_text"),
     )
     version = lambda v, day: rows.withColumns({"version": F.lit(v), "effective_date": F.lit(day).cast("date")})
@@ -189,7 +189,7 @@ def updated_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("section_updates", _UPDATED_SQL + """
 SELECT id AS document_id, v.v AS version, 1 AS chunks_count, NULL AS reason FROM good, (SELECT unnest(['v3', 'v4']) AS v) v
-UNION ALL SELECT id, NULL, NULL, CASE WHEN n % 4 = 0 THEN 'empty text' ELSE 'section update not allowed for category' END FROM again, (SELECT unnest([3, 4]) AS v) v WHERE n % 3 <> 0 AND (n % 4 = 0 OR n % 3 = 1)""")
+UNION ALL SELECT id, NULL, NULL, CASE WHEN n % 4 = 0 THEN 'empty text' ELSE 'section update not allowed for category' END FROM again, (SELECT unnest([3, 4]) AS v) v WHERE n % 4 = 0 OR n % 3 <> 2""")
 def section_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the updates did, and why some were refused."""
     done = _after_updates(spark, sf_dir)[1]
