@@ -38,6 +38,8 @@ from .components import connected_components
 
 #: A token that more classes hold is of the frequent class and indexed in combinations.
 FREQUENT = 16
+#: Characters of several texts that are hashed at once.
+SHINGLED = 1 << 19
 #: Hubs of a bucket in a round, as a multiple of those in the round before; the first has one.
 MORE_HUBS = 64
 #: Components of a bucket that have a centre, and the classes that they hold there at least.
@@ -62,8 +64,20 @@ def shingle_sets(texts: list[str], words: int, seed: int = 0) -> list[np.ndarray
     """The sorted 64-bit hashes of each text's distinct n-grams of ``words`` words.
 
     A-Z are lower-cased; words are runs of other bytes than space and \\x09-\\x0D. A text
-    with fewer words is one n-gram, one without words has none.
+    with fewer words is one n-gram, one without words has none. Texts are hashed some
+    SHINGLED characters at a time, as each takes about 50 bytes meanwhile.
     """
+    groups, size = [[]], 0
+    for t in texts:
+        if groups[-1] and size + len(t) > SHINGLED:
+            groups.append([])
+            size = 0
+        groups[-1].append(t)
+        size += len(t)
+    return [s for g in groups for s in _shingled(g, words, seed)] if texts else []
+
+
+def _shingled(texts: list[str], words: int, seed: int) -> list[np.ndarray]:
     parts = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
