@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, mixing, ngram_join, token_counts, token_files, url_filters, vector_search, warc, winnowing
+from . import bpe_codec, language_id, merkle, mixing, ngram_join, resampling, simhash, token_counts, token_files, url_filters, vector_search, warc, winnowing
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,6 +212,83 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(read_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+# CRC-32 bit by bit: each byte is followed by seven zeros, and each step shifts one bit out.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(0, length({0}) // 2), lambda i: [('0x' || substr({0}, (2 * i + 1)::INT, 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+         lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"""
+
+_RESAMPLE_SQL = rf"""
+WITH read AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+wanted AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+held AS (SELECT doc_id, unnest(w) AS f FROM read),
+words AS (SELECT f, sum(s)::BIGINT AS s, sum(t)::BIGINT AS t, hex(encode(f)) AS h FROM (SELECT f, 1 AS s, 0 AS t FROM held UNION ALL SELECT f, 0, 1 FROM wanted) GROUP BY f),
+coded AS (SELECT f, s, t, {_CRC.format('h')} % 10000 AS bucket FROM words),
+gains AS (
+  SELECT bucket, floor(1000 * ln((sum(t) + 1)::DOUBLE * (SELECT sum(s) + 10000 FROM words)::DOUBLE / ((sum(s) + 1)::DOUBLE * (SELECT sum(t) + 10000 FROM words)::DOUBLE)))::BIGINT AS gain FROM coded GROUP BY bucket),
+weighed AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM held JOIN coded USING (f) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM read LEFT JOIN weighed USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored s LEFT JOIN ranked r USING (doc_id)
+"""
+
+
+@query("op11_resampling", _RESAMPLE_SQL)
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_simhash")
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, seed=42, bits=3)
+
+
+_FIELDS = "concat(" + ", ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in ("doc_id::VARCHAR", "source", "lang", "{0}", "text")) + ")"
+_MERKLE_SQL = f"""
+WITH RECURSIVE coded AS (SELECT *, hex(encode(doc_id::VARCHAR)) AS h FROM documents),
+leaves AS (
+  SELECT doc_id, lang, sha256({_FIELDS.format('n_chars::VARCHAR')}) AS leaf, sha256({_FIELDS.format('(n_chars + 1)::VARCHAR')}) AS changed, {_CRC.format('h')} % 7 = 0 AS tampered,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place FROM coded),
+tree(lang, level, nodes) AS (
+  SELECT lang, 0, list(leaf ORDER BY place) FROM leaves GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM tree WHERE len(nodes) > 1),
+subroots AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM tree WHERE len(nodes) = 1),
+upper(level, nodes) AS (
+  SELECT 0, list(subroot ORDER BY place) FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM upper WHERE len(nodes) > 1),
+beside AS (
+  SELECT doc_id, level, ((l.place >> level) & 1) AS odd, coalesce(nodes[xor(l.place >> level, 1) + 1], '') AS other FROM leaves l JOIN tree t ON l.lang IS NOT DISTINCT FROM t.lang AND len(nodes) > 1
+  UNION ALL
+  SELECT doc_id, 1000 + level, ((s.place >> level) & 1), coalesce(nodes[xor(s.place >> level, 1) + 1], '') FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang, upper WHERE len(nodes) > 1),
+paths AS (SELECT doc_id, list(odd || other ORDER BY level) AS path FROM beside GROUP BY doc_id),
+folded AS (
+  SELECT l.doc_id, leaf, subroot, (SELECT nodes[1] FROM upper WHERE len(nodes) = 1) AS root, sha256(list_reduce(list_prepend('', coalesce(path, [])), lambda a, x: a || substr(x, 2))) AS proof_sha256,
+         list_reduce(list_prepend(CASE WHEN tampered AND n_chars IS NOT NULL THEN changed ELSE leaf END, coalesce(path, [])), lambda a, x: sha256(CASE WHEN x[1] = '1' THEN substr(x, 2) || a ELSE a || substr(x, 2) END)) AS folded_root
+  FROM leaves l JOIN documents d USING (doc_id) JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang LEFT JOIN paths p ON p.doc_id = l.doc_id)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
+@query("op13_merkle", _MERKLE_SQL)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and whether each row, some of them tampered with, still leads to the root."""
+    docs = read_table(spark, sf_dir, "documents")
+    col = lambda name: F.col(name)
+    whole = merkle.leaf(*map(col, ("doc_id", "source", "lang", "n_chars", "text")))
+    one_more = F.col("n_chars").cast("decimal(38,0)") + 1
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False)) & F.col("n_chars").isNotNull()
+    changed = F.when(tampered, merkle.leaf(col("doc_id"), col("source"), col("lang"), one_more, col("text")))
+    made = merkle.manifest(docs, whole, keep={"changed": changed})
+    out = made.select(
+        "doc_id", "leaf", "subroot", "root", merkle.digest(merkle.proof(F.col("path"))).alias("proof_sha256"), merkle.fold(F.coalesce("changed", "leaf"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module for the shared parameters
