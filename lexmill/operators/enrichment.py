@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import json
-import re
+import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import EMPHASIS, FENCE, embedding_text, strip, strip_code_fence, strip_emphasis
-from ..providers import CircuitOpen, ContentError, Embedder, Enricher, Expander, ProviderError, RateLimiter, Reranker, Resilient
+from ..functions.text import embedding_text, strip, strip_code_fence, strip_emphasis
+from ..providers import CircuitOpen, ContentError, Embedder, Enricher, Expander, ProviderError, RateLimiter, Reranker, Resilient, parsed
 from ..schemas import LEAST_QUESTIONS, QUESTIONS
 
 ENRICHMENT = "struct<synthetic_title:string,hypothetical_questions:array<string>>"
@@ -24,14 +24,9 @@ def _text(value) -> str:
     return value
 
 
-def _parsed(answer: str):
-    """A model's JSON answer without code fence and emphasis; ValueError where it is none."""
-    return json.loads(re.sub(EMPHASIS, "", re.sub(FENCE, "", answer.strip()).strip()))
-
-
 def checked_enrichment(answer: str) -> str:
     """The answer itself; ValueError where it breaks the contract, so that the provider is asked again."""
-    got = _parsed(answer)
+    got = parsed(answer)
     title, questions = got.get("synthetic_title"), got.get("hypothetical_questions")
     if not isinstance(title, str) or not title:
         raise ValueError("no title")
@@ -41,7 +36,7 @@ def checked_enrichment(answer: str) -> str:
 
 
 def checked_expansion(answer: str) -> str:
-    if not isinstance(_parsed(answer).get("variants"), list):
+    if not isinstance(parsed(answer).get("variants"), list):
         raise ValueError("no variants")
     return answer
 
@@ -50,34 +45,39 @@ def checked_expansion(answer: str) -> str:
 _guards: dict[str, Resilient] = {}
 
 
-def _provided(df: DataFrame, column: str, kind: T.DataType, provider, ask: Callable, partitions: int | None, check: Callable | None = None) -> DataFrame:
+def _provided(df: DataFrame, column: str, kind: T.DataType, provider, ask: Callable, partitions: int | None, check: Callable | None = None, in_flight: int = 1) -> DataFrame:
     """``df`` plus ``column`` and ``error``: the provider's answer per row, or why there is none.
 
-    ``partitions`` bounds how many calls run at once; a provider's ``rate`` (calls a second
-    of the whole job, or None) is divided among them. ``check`` runs within the retries. A
-    row's error is always its own: while the circuit is open a task waits, and a circuit that
-    a provider keeps itself fails the task.
+    ``partitions`` bounds the tasks that ask at once, ``in_flight`` the calls of a task at
+    once; answers are in the order of rows. A provider's ``rate`` (calls a second of the
+    whole job, or None) is divided among the tasks, and one limiter serves a task's calls.
+    ``check`` runs within the retries. A row's error is always its own: while the circuit is open a
+    task waits, and a circuit that a provider keeps itself fails the task.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(column, kind), T.StructField("error", T.StringType())])
     rate, name = getattr(provider, "rate", None), f"{type(provider).__module__}.{type(provider).__qualname__}"
+    if rate and not partitions:
+        partitions = max(1, math.ceil(rate))  # a task has a call a second at least
     dealt = df.repartition(partitions) if partitions else df
-    share = rate / (partitions or dealt.rdd.getNumPartitions()) if rate else None
+    share = rate / partitions if rate else None
 
     def run(batches):
         guard = _guards.setdefault(name, Resilient())
         guard.limiter = RateLimiter(share) if share else None
-        for rows in batches:
-            answers, errors = [], []
-            for row in rows.itertuples(index=False):
-                try:
-                    answers.append(guard.call(ask, row, check=check))
-                    errors.append(None)
-                except CircuitOpen:
-                    raise
-                except ProviderError as e:
-                    answers.append(None)
-                    errors.append(str(e))
-            yield rows.assign(**{column: pd.Series(answers, dtype=object, index=rows.index), "error": pd.Series(errors, dtype=object, index=rows.index)})
+
+        def call(row):
+            try:
+                return guard.call(ask, row, check=check), None
+            except CircuitOpen:
+                raise
+            except ProviderError as e:
+                return None, str(e)
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for rows in batches:
+                given = list(pool.map(call, rows.itertuples(index=False))) if in_flight > 1 else [call(row) for row in rows.itertuples(index=False)]
+                answers, errors = ([x[i] for x in given] for i in (0, 1))
+                yield rows.assign(**{column: pd.Series(answers, dtype=object, index=rows.index), "error": pd.Series(errors, dtype=object, index=rows.index)})
 
     return dealt.mapInPandas(run, schema)
 
@@ -108,17 +108,17 @@ def _as_is(df: DataFrame) -> DataFrame:
     return df
 
 
-def enrich_chunks(chunks: DataFrame, provider: Enricher, partitions: int | None = 5, keep: Callable[[DataFrame], DataFrame] = _as_is) -> tuple[DataFrame, DataFrame]:
+def enrich_chunks(chunks: DataFrame, provider: Enricher, partitions: int | None = 5, keep: Callable[[DataFrame], DataFrame] = _as_is, in_flight: int = 1) -> tuple[DataFrame, DataFrame]:
     """Chunks with synthetic_title and hypothetical_questions, and the failed documents.
 
     ``keep`` stores the answers, so that both results come of one call a chunk.
     """
-    answered = _provided(chunks, "answer", T.StringType(), provider, lambda row: provider.enrich(_text(row.text)), partitions, checked_enrichment)
+    answered = _provided(chunks, "answer", T.StringType(), provider, lambda row: provider.enrich(_text(row.text)), partitions, checked_enrichment, in_flight)
     parsed = parse_enrichment(keep(answered)).withColumn("failure", F.coalesce("error", "problem")).drop("error", "problem", "answer")
     return whole_documents(parsed, "failure")
 
 
-def embed_chunks(chunks: DataFrame, provider: Embedder, partitions: int | None = 3, keep: Callable[[DataFrame], DataFrame] = _as_is) -> tuple[DataFrame, DataFrame]:
+def embed_chunks(chunks: DataFrame, provider: Embedder, partitions: int | None = 3, keep: Callable[[DataFrame], DataFrame] = _as_is, in_flight: int = 1) -> tuple[DataFrame, DataFrame]:
     """Chunks with chunk_vector and question_vectors (in the questions' order), and the failed documents."""
     listed = chunks.withColumn("__texts", F.concat(F.array(embedding_text("synthetic_title", "text")), "hypothetical_questions"))
     kind = T._parse_datatype_string("array<array<float>>")
@@ -131,26 +131,26 @@ def embed_chunks(chunks: DataFrame, provider: Embedder, partitions: int | None =
             raise ContentError("a vector has another size")
         return vectors
 
-    done = keep(_provided(listed, "__vectors", kind, provider, ask, partitions).drop("__texts"))
+    done = keep(_provided(listed, "__vectors", kind, provider, ask, partitions, in_flight=in_flight).drop("__texts"))
     good, report = whole_documents(done, "error")
     return good.withColumns({"chunk_vector": F.get("__vectors", F.lit(0)), "question_vectors": F.slice("__vectors", 2, QUESTIONS)}).drop("__vectors"), report
 
 
-def embed_queries(queries: DataFrame, provider: Embedder, partitions: int | None = None) -> DataFrame:
+def embed_queries(queries: DataFrame, provider: Embedder, partitions: int | None = None, in_flight: int = 1) -> DataFrame:
     """Queries with their vector, or null and the error."""
     asked = queries.select(*[c for c in queries.columns if c != "query"], "query")
-    return _provided(asked, "vector", T.ArrayType(T.FloatType()), provider, lambda row: provider.embed([_text(row[-1])])[0], partitions)
+    return _provided(asked, "vector", T.ArrayType(T.FloatType()), provider, lambda row: provider.embed([_text(row[-1])])[0], partitions, in_flight=in_flight)
 
 
-def expand_queries(queries: DataFrame, provider: Expander, partitions: int | None = None) -> DataFrame:
+def expand_queries(queries: DataFrame, provider: Expander, partitions: int | None = None, in_flight: int = 1) -> DataFrame:
     """Queries with the provider's JSON answer; null where it failed."""
     asked = queries.select(*[c for c in queries.columns if c != "query"], "query")
-    return _provided(asked, "answer", T.StringType(), provider, lambda row: provider.expand(_text(row[-1])), partitions, checked_expansion).drop("error")
+    return _provided(asked, "answer", T.StringType(), provider, lambda row: provider.expand(_text(row[-1])), partitions, checked_expansion, in_flight).drop("error")
 
 
-def rerank_candidates(queries: DataFrame, candidates: DataFrame, provider: Reranker, partitions: int | None = None) -> DataFrame:
+def rerank_candidates(queries: DataFrame, candidates: DataFrame, provider: Reranker, partitions: int | None = None, in_flight: int = 1) -> DataFrame:
     """(query_id, top_k, indices) for candidates (query_id, rank, candidate); null indices where the provider failed."""
     listed = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "candidate"))).alias("c"))
     texts = F.transform(F.coalesce("c", F.expr("cast(array() as array<struct<rank:int,candidate:string>>)")), lambda x: x.candidate)
     asked = queries.select("query_id", "top_k", "query").join(listed, "query_id", "left").select("query_id", "top_k", "query", texts.alias("texts"))
-    return _provided(asked, "indices", T.ArrayType(T.IntegerType()), provider, lambda row: provider.rerank(_text(row.query), list(row.texts), int(row.top_k)), partitions).select("query_id", "top_k", "indices")
+    return _provided(asked, "indices", T.ArrayType(T.IntegerType()), provider, lambda row: provider.rerank(_text(row.query), list(row.texts), int(row.top_k)), partitions, in_flight=in_flight).select("query_id", "top_k", "indices")

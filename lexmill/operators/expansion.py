@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import strip, strip_code_fence, strip_emphasis
 from ..schemas import MAX_REPHRASINGS, MAX_SUB_QUESTIONS
 
 ANSWER = "struct<variants:array<struct<sub_question:string,rephrasings:array<string>>>>"
@@ -22,10 +22,10 @@ def variants(query: Column, answer: Column) -> Column:
 def expand(queries: DataFrame, answer_col: str = "answer") -> DataFrame:
     """One row per variant of each query, with variant_id from 0, and how the expansion went.
 
-    ``answer_col`` is the provider's JSON text; null or unreadable text is a failure,
-    which leaves the query as its only variant.
+    ``answer_col`` is the provider's JSON text, with or without a code fence and emphasis;
+    null or unreadable text is a failure, which leaves the query as its only variant.
     """
-    parsed = queries.withColumn("__a", F.from_json(answer_col, ANSWER))
+    parsed = queries.withColumn("__a", F.from_json(strip_emphasis(strip_code_fence(answer_col)), ANSWER))
     ok = F.col("__a.variants").isNotNull()
     out = parsed.withColumn("expansion_status", F.when(ok, "ok").otherwise("fallback_unavailable"))
     out = out.withColumnRenamed("query", "original_query").withColumn("__v", F.when(ok, variants(F.col("original_query"), F.col("__a"))).otherwise(F.array("original_query")))

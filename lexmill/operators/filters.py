@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..schemas import SECTION_UPDATE_CATEGORIES, TOP_K_MOST, TOPIC_CATEGORIES
 
 
@@ -42,7 +43,7 @@ def recent(column: str, as_of: Column, hours: int = 24) -> Column:
 def request_problem() -> Column:
     """Why a search request is refused, or null."""
     return (
-        F.when(F.coalesce(F.trim("query"), F.lit("")) == "", "empty query")
+        F.when(strip(F.coalesce("query", F.lit(""))) == "", "empty query")
         .when(~F.coalesce(F.col("top_k").between(1, TOP_K_MOST), F.lit(True)), "top_k out of range")
     )
 

@@ -1,18 +1,21 @@
-"""Term index: postings, inverse document frequencies, and enriched points."""
+"""Term index: postings, kept counts of them, inverse document frequencies."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import term_id, tokens
 from ..schemas import schema
 
-#: The stored index: postings in the buckets of their documents, ordered by token, so that an
-#: ingest rewrites those of its documents alone and a search reads little of each file.
-POSTINGS, POSTINGS_ORDER = schema("document_id string, chunk_id string, token string, tf double"), ("token", "chunk_id")
-#: So many queries at most have their tokens pushed down into the scan of stored postings.
-PUSHED_QUERIES = 16
+#: The stored index: postings in the buckets of their documents, ordered by token and term frequency,
+#: so that an ingest rewrites those of its documents alone, and a search reads of a token's
+#: postings little more than those of the frequencies that it asks for.
+POSTINGS, POSTINGS_ORDER = schema("document_id string, chunk_id string, category string, token string, tf double"), ("token", "tf")
+#: How many chunks hold a token so many times; changed by the counts of what comes and goes.
+FREQUENCIES, FREQUENCIES_ORDER = schema("token string, tf double, n bigint"), ("token", "tf")
+#: Of each token so many postings at most, those of its highest frequencies, tell what a search must beat.
+SEEDS = 256
 
 
 def postings(chunks: DataFrame, *id_cols: str, text_col: str = "text") -> DataFrame:
@@ -22,11 +25,25 @@ def postings(chunks: DataFrame, *id_cols: str, text_col: str = "text") -> DataFr
     return flat.groupBy(*ids, "token").agg(F.count(F.lit(1)).cast("double").alias("tf"))
 
 
-def refreshed(stored: DataFrame, points: DataFrame, new_points: DataFrame) -> DataFrame:
-    """The postings of ``points`` from those stored before: only ``new_points`` are tokenized."""
+def indexed(points: DataFrame) -> DataFrame:
+    """The postings of points, as they are stored."""
+    return postings(points, "document_id", "chunk_id", "category").select(*POSTINGS.fieldNames())
+
+
+def refreshed(stored: DataFrame, points: DataFrame, new_points: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings of ``points``, what of them is new, what of ``stored`` is gone): only ``new_points`` are tokenized."""
     same = points.select("chunk_id").join(new_points.select("chunk_id"), "chunk_id", "left_anti")
-    fresh = new_points.join(points.select("chunk_id", "version", "chunk_index"), ["chunk_id", "version", "chunk_index"], "left_semi")
-    return stored.join(same, "chunk_id", "left_semi").unionByName(postings(fresh, "document_id", "chunk_id")).select(*POSTINGS.fieldNames())
+    fresh = indexed(new_points.join(points.select("chunk_id", "version", "chunk_index"), ["chunk_id", "version", "chunk_index"], "left_semi"))
+    kept = stored.join(same, "chunk_id", "left_semi").select(*POSTINGS.fieldNames())
+    return kept.unionByName(fresh), fresh, stored.join(same, "chunk_id", "left_anti")
+
+
+def frequencies(terms: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """(token, tf, n): of so many postings; those that are ``gone`` count against it."""
+    counted = terms.select("token", "tf", F.lit(1).alias("n"))
+    if gone is not None:
+        counted = counted.unionByName(gone.select("token", "tf", F.lit(-1).alias("n")))
+    return counted.groupBy("token", "tf").agg(F.sum("n").alias("n")).where("n <> 0").select(*FREQUENCIES.fieldNames())
 
 
 def with_term_ids(terms: DataFrame) -> DataFrame:
@@ -34,21 +51,23 @@ def with_term_ids(terms: DataFrame) -> DataFrame:
     return terms.withColumn("term_id", term_id("token"))
 
 
-def idf(terms: DataFrame, total: int | Column) -> DataFrame:
-    """(token, n, idf): ln(1 + (N - n + 0.5) / (n + 0.5)) over all stored chunks."""
+def idf(counts: DataFrame, total: int | Column) -> DataFrame:
+    """(token, n, idf) from kept counts: ln(1 + (N - n + 0.5) / (n + 0.5)) over all stored chunks."""
     every = F.lit(total) if isinstance(total, int) else total
-    counted = terms.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counted = counts.groupBy("token").agg(F.sum("n").alias("n"))
     return counted.withColumn("idf", F.round(F.log(1 + (every - F.col("n") + 0.5) / (F.col("n") + 0.5)), 9))
 
 
-def matching(terms: DataFrame, queries: DataFrame, n_queries: int, total: int) -> tuple[DataFrame, DataFrame]:
-    """(postings to search, weights of the queries' tokens).
+def weights(counts: DataFrame, total: int) -> DataFrame:
+    """(token, n, idf, max_tf, seed_tf): at most SEEDS postings of a token have a frequency of seed_tf or more (null: more have the highest)."""
+    down = F.sum("n").over(Window.partitionBy("token").orderBy(F.col("tf").desc()))
+    some = counts.withColumn("above", down)
+    tops = some.groupBy("token").agg(F.max("tf").alias("max_tf"), F.min(F.when(F.col("above") <= SEEDS, F.col("tf"))).alias("seed_tf"))
+    return idf(counts, total).join(tops, "token")
+
 
-    The tokens of few queries are looked up in the ordered files; those of many meet
-    the postings where these are joined with the queries.
-    """
-    wanted = queries.select(F.explode(tokens("query")).alias("token")).distinct()
-    if n_queries <= PUSHED_QUERIES:
-        found = terms.where(F.col("token").isin([r["token"] for r in wanted.collect()]))
-        return found, idf(found, total)
-    return terms, idf(terms.join(wanted, "token", "left_semi"), total)
+def steps(counts: DataFrame) -> DataFrame:
+    """(token, tf, step, gain) for each frequency that a token has: how much above the one before it, and postings spared per step up to it, never rising."""
+    up = Window.partitionBy("token").orderBy("tf")
+    stepped = counts.where("n > 0").withColumn("step", F.col("tf") - F.coalesce(F.lag("tf").over(up), F.lit(0.0)))
+    return stepped.select("token", "tf", "step", F.min(F.col("n") / F.col("step")).over(up).alias("gain"))

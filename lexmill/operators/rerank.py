@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed value: characters of a candidate that the model sees.
-CANDIDATE_CHARS = 2500
+from ..schemas import BETWEEN, CANDIDATE_CHARS, LEAD, QUESTIONS
 
 
 def candidate_text() -> Column:
@@ -17,11 +16,17 @@ def candidate_text() -> Column:
     return F.concat(F.lit("["), F.concat_ws(" | ", *parts), F.lit("]\n"), F.col("text"))
 
 
-def prompts(candidates: DataFrame, *by: str) -> DataFrame:
-    """(by, prompt): the candidates of each query, numbered by rank from 1, cut to CANDIDATE_CHARS."""
-    one = F.concat(F.lit('<candidate id="'), F.col("rank").cast("string"), F.lit('">'), F.substring("candidate", 1, CANDIDATE_CHARS), F.lit("</candidate>"))
+def shown(candidate: Column) -> Column:
+    """What of a candidate, its head included, the model sees."""
+    return F.substring(candidate, 1, CANDIDATE_CHARS)
+
+
+def prompts(candidates: DataFrame, *by: str, query: str = "query") -> DataFrame:
+    """(by, prompt): each query and its candidates, numbered by rank from 1, each cut to CANDIDATE_CHARS."""
+    one = F.concat(F.lit('<candidate id="'), F.col("rank").cast("string"), F.lit('">'), shown(F.col("candidate")), F.lit("</candidate>"))
     listed = F.array_sort(F.collect_list(F.struct("rank", one.alias("x"))))
-    return candidates.groupBy(*by).agg(F.array_join(F.transform(listed, lambda c: c.x), "\n").alias("prompt"))
+    grouped = candidates.groupBy(*by).agg(F.first(query).alias("__q"), F.array_join(F.transform(listed, lambda c: c.x), BETWEEN).alias("__c"))
+    return grouped.select(*by, F.concat(F.lit(LEAD[0]), "__q", F.lit(LEAD[1]), "__c").alias("prompt"))
 
 
 def valid_indices(indices: Column, n: Column, top: Column) -> Column:
@@ -59,8 +64,10 @@ def statuses(queries: DataFrame, fused: DataFrame, answer_col: str = "indices")
     return queries.join(per, "query_id", "left").select("query_id", F.coalesce("s", F.lit("no_candidates")).alias("rerank_status"), F.coalesce("r", F.lit(0)).alias("results"))
 
 
-def outcome(expansion: Column, rerank_status: Column, results: Column) -> Column:
-    """degraded after any fallback, empty without results, else ok."""
+def outcome(expansion: Column, rerank_status: Column, results: Column, error: Column | None = None) -> Column:
+    """error where there is one, degraded after any fallback, empty without results, else ok."""
+    if error is not None:
+        return F.when(error.isNotNull(), "error").otherwise(outcome(expansion, rerank_status, results))
     fell = F.coalesce(expansion.startswith("fallback"), F.lit(False)) | F.coalesce(rerank_status.startswith("fallback"), F.lit(False))
     return F.when(fell, "degraded").when(results == 0, "empty").otherwise("ok")
 
@@ -72,12 +79,8 @@ def assemble(final: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def trace(lanes: DataFrame, fused: DataFrame, final: DataFrame) -> DataFrame:
-    """Rows per query and stage of the search."""
-    stage = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).withColumn("stage", F.lit(name))
-    dense, sparse = lanes.where("ordinal < 0"), lanes.where("ordinal >= 5")
-    question = lanes.where("ordinal between 0 and 4")
-    parts = [stage(dense, "dense"), stage(question, "question"), stage(sparse, "sparse"), stage(fused, "fused"), stage(final, "final")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("query_id", "stage", "n")
+    """Rows (n) per query and stage of the search; each table is counted in one pass."""
+    o = F.col("ordinal")
+    kind = F.when(o < 0, "dense").when(o < QUESTIONS, "question").otherwise("sparse")
+    staged = [lanes.select("query_id", kind.alias("stage")), fused.select("query_id", F.lit("fused").alias("stage")), final.select("query_id", F.lit("final").alias("stage"))]
+    return staged[0].unionByName(staged[1]).unionByName(staged[2]).groupBy("query_id", "stage").agg(F.count(F.lit(1)).alias("n"))

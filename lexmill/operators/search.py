@@ -14,12 +14,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.text import tokens
 from ..functions.vectors import doubles
 from ..schemas import CATEGORIES, QUESTIONS
-from . import filters
+from . import filters, index
 
 #: Queries whose vectors are sent to all tasks take at most so many bytes; more are paired by partitions.
 BROADCAST_BYTES = 32 << 20
 #: Vectors and queries that are multiplied at once, and rows that a task holds before it cuts them.
-BLOCK_ROWS, BLOCK_QUERIES, HELD_ROWS = 4_096, 4_096, 500_000
+BLOCK_ROWS, BLOCK_QUERIES, HELD_ROWS = 4_096, 1_024, 500_000
+#: So many queries at most have their tokens looked up in the stored postings; more meet them in a join.
+PUSHED_QUERIES = 16
+#: Postings of a token that one task joins, where queries are too many to be sent to all.
+PIECE_ROWS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -156,16 +160,21 @@ def dense_best(vectors: DataFrame, queries: DataFrame, dims: int, keep: tuple[in
             return queries.sparkSession.createDataFrame([], schema)
 
         def scan(batches):
-            block, found, size = _Asked(table, keys), [], 0
+            blocks = [_Asked(table.slice(at, BLOCK_QUERIES), keys) for at in range(0, table.num_rows, BLOCK_QUERIES)]
+            found: list[list[tuple]] = [[] for _ in blocks]
+            size = 0
             for batch in batches:
                 for at in range(0, batch.num_rows, BLOCK_ROWS):
-                    found.append(_best_of(batch.slice(at, BLOCK_ROWS), block, keep, balanced))
-                    size += len(found[-1][0])
+                    for block, held in zip(blocks, found):
+                        held.append(_best_of(batch.slice(at, BLOCK_ROWS), block, keep, balanced))
+                        size += len(held[-1][0])
                     if size > HELD_ROWS:
-                        found = [_cut(found)]
-                        size = 0
-            if found:
-                yield rows_of(block, found)
+                        found = [[_cut(held)] for held in found]
+                        size = sum(len(held[0][0]) for held in found)
+                    if size > HELD_ROWS // 2:  # so many queries: what is found goes out, and is cut after the shuffle
+                        yield from (rows_of(block, held) for block, held in zip(blocks, found))
+                        found, size = [[] for _ in blocks], 0
+            yield from (rows_of(block, held) for block, held in zip(blocks, found) if held)
 
         return stored.mapInArrow(scan, schema)
 
@@ -185,18 +194,74 @@ def dense_best(vectors: DataFrame, queries: DataFrame, dims: int, keep: tuple[in
     return left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(meet, schema)
 
 
-def sparse_scores(points: DataFrame, terms: DataFrame, weights: DataFrame, queries: DataFrame, n_queries: int | None = None) -> DataFrame:
-    """Sum of tf(query) * tf(chunk) * idf over shared terms, for admitted chunks that share one.
+def _lookup(table: DataFrame, tokens_of: DataFrame, n_queries: int) -> DataFrame:
+    """The rows of the queries' tokens: those of few queries are looked up in the ordered files."""
+    wanted = tokens_of.select("token").distinct()
+    if n_queries <= PUSHED_QUERIES:
+        return table.where(F.col("token").isin([r["token"] for r in wanted.collect()]))
+    return table.join(wanted, "token", "left_semi")
 
-    ``weights`` need hold no other tokens than the queries'.
+
+def _met(terms: DataFrame, asked: DataFrame, size: int) -> DataFrame:
+    """Postings beside the queries that have their token; where these can't be sent to all tasks, frequent tokens are dealt over several."""
+    if size <= BROADCAST_BYTES:
+        return terms.join(F.broadcast(asked), "token")
+    pieces = F.ceil(F.col("n") / PIECE_ROWS).cast("int")
+    hot = F.broadcast(asked.where(F.col("n") > PIECE_ROWS).select("token", pieces.alias("__pieces")).distinct())
+    many = F.coalesce("__pieces", F.lit(1))
+    left = terms.join(hot, "token", "left").withColumn("__piece", F.pmod(F.xxhash64("chunk_id"), many).cast("int")).drop("__pieces")
+    right = asked.join(hot, "token", "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), many - 1))).drop("__pieces")
+    return left.join(right, ["token", "__piece"]).drop("__piece")
+
+
+def sparse_best(points: DataFrame, terms: DataFrame, counts: DataFrame, queries: DataFrame, total: int, keep: int, balanced: int | None = None, n_queries: int | None = None) -> DataFrame:
+    """Sums (keys, chunk_id, category, q_category, score) of tf(query) * tf(chunk) * idf over shared terms that may be among each lane's best.
+
+    A lane is a query's, and with ``balanced`` of a query without a category one per
+    category. ``counts`` are the kept frequencies of the postings ``terms``.
+
+    (1) The postings of each token's highest frequencies give lower bounds of scores; the
+    depth-th best of a lane is its floor. (2) Each token is given a frequency, such that a chunk
+    with none above it stays below the floor: they are raised where that spares most
+    postings, by the kept counts, until the floor is spent. Only postings above them are met
+    with the queries (all, for lanes without a floor). (3) What is found is scored over all
+    its postings. Nothing that can be among the best is left out.
     """
+    n = queries.count() if n_queries is None else n_queries
     asked = _asked(queries, "query")
+    keys = [c for c in asked.columns if not c.startswith("q_")]
     by = [c for c in asked.columns if c != "q_query"]
     wanted = asked.select(*by, F.explode(tokens("q_query")).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).cast("double").alias("q_tf"))
-    weighted = wanted.join(weights.select("token", "idf"), "token")
-    hits = terms.join(weighted, "token").groupBy("chunk_id", *by).agg(F.sum(F.col("q_tf") * F.col("tf") * F.col("idf")).alias("score"))
+    known = index.weights(_lookup(counts, wanted, n), total)
+    weighted = wanted.join(known, "token").withColumn("w", F.col("q_tf") * F.col("idf"))
+    rows, longest = weighted.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("token")), F.lit(0))).first()
+    size = rows * (longest + 200)
+    found = _lookup(terms.select("chunk_id", "category", "token", "tf"), wanted, n)
     meta = points.where(filters.actual()).select("chunk_id", "category", "audience", "topics")
-    return hits.join(meta, "chunk_id").where(_admits())
+    apart = F.col("q_category").isNull() & F.lit(balanced is not None)
+    lane = F.when(apart, F.col("category"))
+    depth = F.when(apart, F.lit(balanced)).otherwise(F.lit(keep))
+
+    some = weighted.where("seed_tf is not null").select(*by, "token", "w", "seed_tf", "n")
+    seeds = _met(found, some, size).where("tf >= seed_tf").groupBy(*by, "chunk_id").agg(F.sum(F.col("w") * F.col("tf")).alias("s"))
+    order = Window.partitionBy(*keys, "lane").orderBy(F.col("s").desc())
+    ranked = seeds.join(meta, "chunk_id").where(_admits()).withColumn("lane", lane).withColumn("i", F.row_number().over(order)).where(F.col("i") <= depth)
+    floors = ranked.groupBy(*keys, "lane").agg(F.max(F.when(F.col("i") == depth, F.col("s"))).alias("floor")).where("floor is not null")
+
+    # what a token's frequencies up to tf add at most is paid from the floor, where it spares most postings first
+    steps = index.steps(_lookup(counts, wanted, n))
+    paid = floors.join(weighted.select(*keys, "token", "w"), keys).join(steps, "token").withColumns({"cost": F.col("w") * F.col("step"), "spared": F.try_divide("gain", "w")})
+    cheapest = Window.partitionBy(*keys, "lane").orderBy(F.col("spared").desc_nulls_first(), "token", "tf")
+    budget = F.col("floor") - F.greatest(F.lit(1.0), "floor") * 1e-6  # what is below it is below the floor by more than is rounded
+    spared = paid.withColumn("spent", F.sum("cost").over(cheapest)).where(F.col("spent") <= budget).groupBy(*keys, "lane", "token").agg(F.max("tf").alias("least"))
+    of_lane = F.map_from_entries(F.collect_list(F.when(F.col("lane").isNotNull(), F.struct("lane", "least"))))
+    listed = spared.groupBy(*keys, "token").agg(F.max(F.when(F.col("lane").isNull(), F.col("least"))).alias("all"), of_lane.alias("each"))
+    limited = weighted.join(listed, [*keys, "token"], "left").select(*by, "token", "n", "all", "each")
+    least = F.coalesce(F.when(apart, F.element_at("each", F.col("category"))).otherwise(F.col("all")), F.lit(0.0))
+    hits = _met(found, limited, size + rows * 256).where(filters.category(F.col("q_category")) & (F.col("tf") > least))
+    candidates = hits.select(*by, "chunk_id").distinct().join(meta, "chunk_id").where(_admits())
+    exact = candidates.join(found.select("chunk_id", "token", "tf"), "chunk_id").join(weighted.select(*keys, "token", "w"), [*keys, "token"])
+    return exact.groupBy(*keys, "chunk_id", "category", "q_category").agg(F.sum(F.col("w") * F.col("tf")).alias("score"))
 
 
 def best(scores: DataFrame, depth: Column, *lane: str) -> DataFrame:
@@ -205,17 +270,18 @@ def best(scores: DataFrame, depth: Column, *lane: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
 
 
-def lanes(points: DataFrame, terms: DataFrame, weights: DataFrame, queries: DataFrame, depths: Depths = Depths(), dims: int = 768, n_queries: int | None = None) -> DataFrame:
+def lanes(points: DataFrame, terms: DataFrame, counts: DataFrame, queries: DataFrame, depths: Depths = Depths(), dims: int = 768, n_queries: int | None = None, total: int | None = None) -> DataFrame:
     """Ranked lanes (query_id, variant_id, lane, chunk_id, rank, score) of every query.
 
-    A query without a category gets lanes of its own for each category, so that a small
-    category is represented; one with a category gets single, deeper lanes. Lanes are numbered
-    in the order of fusion: dense by category, questions by category and then vector,
-    sparse by category.
+    ``terms`` and ``counts`` are the points' postings and their kept frequencies. A query
+    without a category gets lanes of its own for each category, so that a small category is
+    represented; one with a category gets single, deeper lanes. Lanes are numbered in the
+    order of fusion: dense by category, questions by category and then vector, sparse by category.
     """
     keys = [c for c in ("query_id", "variant_id") if c in queries.columns]
     dense = dense_best(lane_vectors(points), queries, dims, (depths.dense, depths.question), (depths.dense_per_category, depths.question_per_category), n_queries)
-    sparse = sparse_scores(points, terms, weights, queries, n_queries).withColumn("ordinal", F.lit(QUESTIONS))
+    total = points.count() if total is None else total
+    sparse = sparse_best(points, terms, counts, queries, total, depths.sparse, depths.sparse_per_category, n_queries).withColumn("ordinal", F.lit(QUESTIONS))
     columns = [*keys, "chunk_id", "category", "q_category", "ordinal", "score"]
     scored = dense.select(*columns).unionByName(sparse.select(*columns))
     balanced = F.col("q_category").isNull()

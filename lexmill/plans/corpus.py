@@ -18,6 +18,7 @@ STORED = {
         "doc_id bigint, chunk_id string, document_id string, parent_id string, category string, source_title string, audience string, topics array<string>, chunk_index int, version string,"
         " effective_date date, is_actual boolean, section_number string, section_title string, text string, chunk_vector array<float>, question_vectors array<array<float>>"), "document_id"),
     "postings": TableSpec(index.POSTINGS, "document_id", index.POSTINGS_ORDER),
+    "frequencies": TableSpec(index.FREQUENCIES, "token", index.FREQUENCIES_ORDER, sums="n"),
     "queries": TableSpec(schema("query_id bigint, query string, audience string, topic string, category string, top_k int, vector array<float>"), "query_id"),
 }
 _stored: dict[tuple[str, str], Snapshot] = {}
@@ -29,9 +30,9 @@ def stored(spark: SparkSession, sf_dir: str) -> Snapshot:
     if key not in _stored:
         store = SnapshotStore(spark, fresh_path(spark, "corpus"), STORED, 8)
         now = store.begin().commit({"points": (points(spark, sf_dir).select(*STORED["points"].schema.fieldNames()), None)})
-        terms = index.postings(now.read("points"), "document_id", "chunk_id")
         asked = queries(spark, sf_dir).select(*STORED["queries"].schema.fieldNames())
-        _stored[key] = now.commit({"postings": (terms, None), "queries": (asked, None)})
+        now = now.commit({"postings": (index.indexed(now.read("points")), None), "queries": (asked, None)})
+        _stored[key] = now.commit({"frequencies": (index.frequencies(now.read("postings")), None)})
     return _stored[key]
 
 

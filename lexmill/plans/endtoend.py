@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import service
+from ..operators import filters
 from ..providers import HalfQuery, LetterEmbedder, LongestReranker, QuoteEnricher
 from ..session import fresh_path
+from ..sources import bodies
 from ..sources.tables import Snapshot
 from . import corpus as c
 from .preparation import CHUNKS_SQL, clean_sql, uuid5_sql
@@ -103,31 +105,42 @@ def ingest_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ASKED_SQL = f"""
-wanted AS (SELECT item_id, text, (['seeker', 'employer', 'both', NULL])[item_id % 4 + 1] AS audience, CASE WHEN item_id % 3 = 0 THEN 'case_law' END AS category FROM benchmark WHERE item_id % 7 <> 6),
+wanted AS (SELECT item_id, text, (['seeker', 'employer', 'both', NULL])[item_id % 4 + 1] AS audience, CASE WHEN item_id % 3 = 0 THEN 'case_law' END AS category FROM benchmark WHERE item_id % 7 < 5),
 halves AS (SELECT item_id * 2 AS query_id, text AS query, audience, category FROM wanted UNION ALL SELECT item_id * 2 + 1, substr(text, 1, length(text) // 2), audience, category FROM wanted),
 queries AS (SELECT query_id, query, audience, NULL::VARCHAR AS topic, category, {_VECTOR.format('query')} AS vector FROM halves),
 vectors AS (
   SELECT chunk_id, category, audience, topics, -1 AS ordinal, own AS v FROM points
   UNION ALL SELECT chunk_id, category, audience, topics, unnest([0, 1, 2]), unnest(theirs) FROM points)"""
-_ANSWER_SQL = f"""
+_ANSWER_SQL = """
 variants AS (SELECT query_id // 2 AS q, query_id % 2 AS variant, chunk_id, rank FROM fused),
-merged AS (SELECT q, chunk_id, list_sum(list_transform(list_sort(list({{'v': variant, 'r': rank}})), lambda x: 1.0::DOUBLE / (60 + x.r))) AS score, min({{'v': variant, 'r': rank}}) AS first FROM variants GROUP BY ALL),
-shown AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, first) AS rank FROM merged) WHERE rank <= {service.CANDIDATES}),
-told AS (SELECT q, chunk_id, score, p.document_id, row_number() OVER (PARTITION BY q ORDER BY length('[' || concat_ws(' | ', 'source_title=' || source_title, 'category=' || category, 'section_title=' || section_title,
-  'effective_date=' || effective_date::VARCHAR, 'version=' || version) || ']' || chr(10) || text) DESC, rank) AS position FROM shown JOIN points p USING (chunk_id))"""
+merged AS (SELECT q, chunk_id, list_sum(list_transform(list_sort(list({'v': variant, 'r': rank})), lambda x: 1.0::DOUBLE / (60 + x.r))) AS score, min({'v': variant, 'r': rank}) AS first FROM variants GROUP BY ALL),
+shown AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, first) AS rank FROM merged),
+told AS (SELECT q, chunk_id, score, p.document_id, row_number() OVER (PARTITION BY q ORDER BY least(2500, length('[' || concat_ws(' | ', 'source_title=' || source_title, 'category=' || category, 'section_title=' || section_title,
+  'effective_date=' || effective_date::VARCHAR, 'version=' || version) || ']' || chr(10) || text)) DESC, rank) AS position FROM shown JOIN points p USING (chunk_id))"""
 _PARTS = (_TURNS_SQL, CHUNKS_SQL, _STORED_SQL, _ASKED_SQL, c.DENSE_SQL, c.POSTINGS_SQL, c.SPARSE_SQL, c.LANES_SQL, c.FUSED_SQL, _ANSWER_SQL)
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.col("item_id")
     return c.table(spark, sf_dir, "benchmark").select(
-        item.alias("query_id"), F.when(item % 7 == 6, " ").otherwise(F.col("text")).alias("query"),
+        item.alias("query_id"), F.when(item % 7 == 6, " \n").when(item % 7 == 5, "12 ab").otherwise(F.col("text")).alias("query"),
         F.element_at(F.array(F.lit("seeker"), F.lit("employer"), F.lit("both"), F.lit(None)), (item % 4 + 1).cast("int")).alias("audience"),
         F.lit(None).cast("string").alias("topic"), F.when(item % 3 == 0, "case_law").alias("category"), F.lit(4).alias("top_k"),
     )
 
 
+_answers: dict[tuple[str, str], service.Answers] = {}
+
+
 def answers(spark: SparkSession, sf_dir: str) -> service.Answers:
+    """Searched once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _answers:
+        _answers[key] = search(spark, sf_dir)
+    return _answers[key]
+
+
+def search(spark: SparkSession, sf_dir: str) -> service.Answers:
     return service.search(_store(spark, sf_dir)[0], asked(spark, sf_dir), HalfQuery(), LetterEmbedder(_LETTERS), LongestReranker())
 
 
@@ -139,14 +152,26 @@ def answered_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("answer_outcomes", c.with_sql(*_PARTS).replace("WITH", "WITH RECURSIVE", 1) + """
 SELECT item_id AS query_id, 'ok' AS expansion_status, CASE WHEN count(chunk_id) = 0 THEN 'no_candidates' ELSE 'ok' END AS rerank_status, count(chunk_id) AS results,
-       CASE WHEN count(chunk_id) = 0 THEN 'empty' ELSE 'ok' END AS outcome FROM wanted LEFT JOIN told ON q = item_id AND position <= 4 GROUP BY item_id""")
+       CASE WHEN count(chunk_id) = 0 THEN 'empty' ELSE 'ok' END AS outcome FROM wanted LEFT JOIN told ON q = item_id AND position <= 4 GROUP BY item_id
+UNION ALL SELECT item_id, 'ok', 'not_started', 0, 'error' FROM benchmark WHERE item_id % 7 = 5""")
 def answer_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir).outcomes.select("query_id", "expansion_status", "rerank_status", "results", "outcome")
 
 
+@register("search_errors", c.with_sql(*_PARTS).replace("WITH", "WITH RECURSIVE", 1) + """
+SELECT item_id AS query_id, 'error' AS outcome, 'empty vector' AS error, 'not_started' AS rerank_status, 0 AS results FROM benchmark WHERE item_id % 7 = 5
+UNION ALL SELECT item_id, CASE WHEN count(chunk_id) = 0 THEN 'empty' ELSE 'ok' END, NULL, CASE WHEN count(chunk_id) = 0 THEN 'no_candidates' ELSE 'ok' END, count(chunk_id)
+FROM wanted LEFT JOIN told ON q = item_id AND position <= 4 GROUP BY item_id""")
+def search_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of which a variant can't be embedded are errors with their reason; the others are as they would be alone."""
+    return answers(spark, sf_dir).outcomes.select("query_id", "outcome", "error", "rerank_status", "results")
+
+
 @register("refused_queries", "SELECT item_id AS query_id, 'empty query' AS reason FROM benchmark WHERE item_id % 7 = 6")
 def refused_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers(spark, sf_dir).refused
+    """What the checks refuse; no search is run for it."""
+    judged = asked(spark, sf_dir).select("query_id", filters.request_problem().alias("reason"))
+    return judged.where("reason is not null")
 
 
 def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,12 +224,13 @@ def section_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("search_responses", c.with_sql(*_PARTS).replace("WITH", "WITH RECURSIVE", 1) + """
 SELECT item_id AS query_id, coalesce(list(told.chunk_id ORDER BY position) FILTER (told.chunk_id IS NOT NULL), []) AS chunk_ids, coalesce(list(p.title ORDER BY position) FILTER (told.chunk_id IS NOT NULL), []) AS titles
-FROM wanted LEFT JOIN told ON q = item_id AND position <= 4 LEFT JOIN points p USING (chunk_id) GROUP BY item_id""")
+FROM wanted LEFT JOIN told ON q = item_id AND position <= 4 LEFT JOIN points p USING (chunk_id) GROUP BY item_id
+UNION ALL SELECT item_id, [], [] FROM benchmark WHERE item_id % 7 = 5""")
 def search_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON bodies of the responses to JSON requests, read again."""
     rows = asked(spark, sf_dir)
-    bodies = rows.select("query_id", F.to_json(F.struct("query", "audience", "topic", "category", "top_k")).alias("body"))
-    requests, _ = service.read_requests(bodies)
+    made = rows.select("query_id", F.to_json(F.struct("query", "audience", "topic", "category", "top_k")).alias("body"))
+    requests, _ = service.read_requests(made)
     found = service.search(_store(spark, sf_dir)[0], requests, HalfQuery(), LetterEmbedder(_LETTERS), LongestReranker())
     chunks = F.from_json("response", "chunks array<struct<chunk_id: string, synthetic_title: string>>")
     return service.responses(found).select("query_id", chunks.alias("r")).select("query_id", F.col("r.chunks.chunk_id").alias("chunk_ids"), F.col("r.chunks.synthetic_title").alias("titles"))
@@ -216,5 +242,47 @@ def refused_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request bodies that can't be read, or name what doesn't exist."""
     kind = F.col("item_id") % 5
     made = F.to_json(F.struct(F.lit("q").alias("query"), F.when(kind == 1, "nobody").alias("audience"), F.when(kind == 2, "poems").alias("category")))
-    bodies = c.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(kind == 0, "{no json").otherwise(made).alias("body"))
-    return service.read_requests(bodies)[1]
+    given = c.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(kind == 0, "{no json").otherwise(made).alias("body"))
+    return service.read_requests(given)[1]
+
+
+_BODY_SQL = """
+WITH turned AS (SELECT conv_id || '/' || turn AS id, turn, text, role, (conv_id + turn) % 8 AS n FROM conversations)"""
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as the body of an ingest request; some lack fields, hold other types or values, or are no objects."""
+    turns = c.table(spark, sf_dir, "conversations")
+    n = (F.col("conv_id") + F.col("turn")) % 8
+    fields = F.struct(
+        F.when(n != 1, F.concat_ws("/", "conv_id", "turn")).alias("document_id"), F.when(n == 2, "poems").otherwise("authorial").alias("category"), F.when(n != 3, F.col("text")).otherwise("").alias("raw_text"),
+        F.col("role").alias("source_title"), F.when(n == 2, "nobody").otherwise("both").alias("audience"), F.when(n == 4, F.array(F.lit("t"), F.col("role"))).alias("topics"),
+        F.lit("v1").alias("version"), F.when(n == 3, "2024-02-30").otherwise("2024-02-29").alias("effective_date"), F.lit(7).alias("other"))
+    body = F.to_json(fields)
+    odd = F.when(n == 5, F.regexp_replace(body, '"version":"v1"', '"version":5,"topics":"t"')).when(n == 6, "[1]").when(n == 7, F.substring(body, 2, 40)).otherwise(body)
+    return turns.select(F.concat_ws("/", "conv_id", "turn").alias("request_id"), odd.alias("body"))
+
+
+@register("ingest_bodies", _BODY_SQL + """
+SELECT id AS document_id, 'authorial' AS category, text AS raw_text, role AS source_title, 'both' AS audience, CASE WHEN n = 4 THEN ['t', role] ELSE [] END AS topics, 'v1' AS version, DATE '2024-02-29' AS effective_date
+FROM turned WHERE n IN (0, 4) AND text <> ''""")
+def ingest_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON bodies of ingest requests as documents."""
+    return bodies.read_ingests(_bodies(spark, sf_dir))[0].drop("request_id")
+
+
+@register("refused_ingests", _BODY_SQL + """
+SELECT id AS request_id, CASE n WHEN 1 THEN ['document_id: missing'] || CASE WHEN text = '' THEN ['raw_text: empty'] ELSE [] END WHEN 2 THEN ['category: unknown'] || CASE WHEN text = '' THEN ['raw_text: empty'] ELSE [] END || ['audience: unknown']
+       WHEN 3 THEN ['raw_text: empty', 'effective_date: not a date'] WHEN 5 THEN CASE WHEN text = '' THEN ['raw_text: empty'] ELSE [] END || ['version: not a string', 'topics: not a list of strings']
+       WHEN 0 THEN ['raw_text: empty'] WHEN 4 THEN ['raw_text: empty'] ELSE ['not an object'] END AS problems
+FROM turned WHERE n NOT IN (0, 4) OR text = ''""")
+def refused_ingests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies that can't be ingested, each with all its problems."""
+    return bodies.read_ingests(_bodies(spark, sf_dir))[1]
+
+
+@register("kept_frequencies", _BASE + f""", flat AS (SELECT chunk_id, unnest({c.TOKENS.format('text')}) AS token FROM points)
+SELECT token, tf, count(*) AS n FROM (SELECT chunk_id, token, count(*)::DOUBLE AS tf FROM flat GROUP BY ALL) GROUP BY ALL""")
+def kept_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many chunks hold each token how often, as counted up and down by the ingests."""
+    return _store(spark, sf_dir)[0].read("frequencies")

@@ -80,15 +80,26 @@ def appended_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.read("2024-01-20 12:00:00").select("request_id", "query")
 
 
-@register("logged_searches", """
-SELECT 'r' || item_id AS request_id, item_id % 7 <> 6 AS answered FROM benchmark WHERE item_id % 7 <> 6""")
+def _logged_sql() -> str:
+    from . import endtoend as e
+
+    laned = "(SELECT count(*) FROM lanes WHERE query_id // 2 = item_id AND ordinal {})"
+    return c.with_sql(*e._PARTS).replace("WITH", "WITH RECURSIVE", 1) + f"""
+SELECT 'r' || item_id AS request_id, [w.text, substr(w.text, 1, length(w.text) // 2)] AS query_variants, {laned.format('< 5')} AS dense, {laned.format('= 5')} AS sparse,
+       coalesce((SELECT list(chunk_id ORDER BY rank) FROM shown WHERE q = item_id), []) AS fused, coalesce((SELECT list(chunk_id ORDER BY position) FROM told WHERE q = item_id AND position <= 4), []) AS reranked, true AS whole
+FROM wanted w"""
+
+
+@register("logged_searches", _logged_sql())
 def logged_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searches written to the log with their candidates, results, statuses and the latency of each stage."""
+    """Searches written to the log and read again: variants, candidates of each kind before and after fusion, the reranked chunks; failed ones have no row."""
     from ..schemas import SEARCH_LOGS
     from .endtoend import answers, asked
 
     rows = service.log_rows(answers(spark, sf_dir), asked(spark, sf_dir).withColumn("request_id", F.concat(F.lit("r"), "query_id")), F.lit("2024-03-05 00:00:00").cast("timestamp"))
     log = LogTable(spark, fresh_path(spark, "search-log"), SEARCH_LOGS)
     log.append(rows)
-    whole = (F.size("results") == F.least(F.lit(4), F.size("candidates"))) & F.col("latency_rerank_ms").isNotNull() & (F.col("latency_hybrid_search_ms") > 0)
-    return log.read().select("request_id", whole.alias("answered"))
+    given = F.from_json("final_response", "chunks array<struct<chunk_id: string>>")
+    whole = (given["chunks"]["chunk_id"] == F.col("reranked_chunk_ids")) & F.col("latency_rerank_ms").isNotNull() & (F.col("latency_hybrid_search_ms") > 0)
+    size = lambda x: F.size(x).cast("long")
+    return log.read().select("request_id", "query_variants", size("dense_candidates").alias("dense"), size("sparse_candidates").alias("sparse"), F.col("rrf_candidates.chunk_id").alias("fused"), F.col("reranked_chunk_ids").alias("reranked"), whole.alias("whole"))

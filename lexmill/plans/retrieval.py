@@ -43,11 +43,6 @@ def question_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _score(search.best(scores, F.lit(10), "query_id", "ordinal")).select("query_id", "ordinal", "chunk_id", "score", "rank")
 
 
-def _terms(now: Snapshot, asked: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """The stored postings of the queries' tokens, and these tokens' weights."""
-    return index.matching(now.read("postings"), asked, n, now.read("points").count())
-
-
 @register("sparse_search", c.with_sql(c.POINTS_SQL, c.QUERIES_SQL, c.POSTINGS_SQL, c.SPARSE_SQL) + f"""
 SELECT query_id, chunk_id, category, {_ROUND}, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sparse) WHERE rank <= 20""")
@@ -57,14 +52,13 @@ def sparse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sparse(now: Snapshot, asked: DataFrame) -> DataFrame:
-    n = asked.count()
-    scores = search.sparse_scores(now.read("points"), *_terms(now, asked, n), asked, n)
+    points = now.read("points")
+    scores = search.sparse_best(points, now.read("postings"), now.read("frequencies"), asked, points.count(), 20, n_queries=asked.count())
     return _score(search.best(scores, F.lit(20), "query_id")).select("query_id", "chunk_id", "category", "score", "rank")
 
 
 def _lanes(now: Snapshot, asked: DataFrame) -> DataFrame:
-    n = asked.count()
-    return search.lanes(now.read("points"), *_terms(now, asked, n), asked, dims=c.DIMS, n_queries=n)
+    return search.lanes(now.read("points"), now.read("postings"), now.read("frequencies"), asked, dims=c.DIMS, n_queries=asked.count())
 
 
 def _all_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +108,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("idf", c.with_sql(c.POINTS_SQL, c.POSTINGS_SQL) + "SELECT token, n, round(idf, 6) AS idf FROM idf")
 def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = c.stored(spark, sf_dir)
-    return index.idf(now.read("postings"), now.read("points").count()).withColumn("idf", F.round("idf", 6))
+    return index.idf(now.read("frequencies"), now.read("points").count()).withColumn("idf", F.round("idf", 6))
 
 
 # CRC-32 bit by bit: each byte is followed by seven zeros, and each step shifts one bit out.
@@ -167,12 +161,13 @@ def rerank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("rerank_prompts", c.with_sql(c.POINTS_SQL) + f""",
 ranked AS (SELECT document_id, {_HEADER_SQL} AS candidate, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, doc_id) AS rank FROM points)
-SELECT document_id, string_agg('<candidate id="' || rank || '">' || substr(candidate, 1, 2500) || '</candidate>', chr(10) ORDER BY rank) AS prompt FROM ranked GROUP BY document_id""")
+SELECT document_id, '<user_query>' || document_id || '</user_query>' || chr(10) || chr(10) || 'Кандидаты:' || chr(10)
+       || string_agg('<candidate id="' || rank || '">' || substr(candidate, 1, 2500) || '</candidate>', chr(10) || chr(10) ORDER BY rank) AS prompt FROM ranked GROUP BY document_id""")
 def rerank_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered candidates of each document as one prompt."""
+    """A query and its numbered candidates as one prompt."""
     rank = F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index", "doc_id"))
     rows = c.points(spark, sf_dir, vectors=False).select("document_id", rerank.candidate_text().alias("candidate"), rank.alias("rank"))
-    return rerank.prompts(rows, "document_id")
+    return rerank.prompts(rows, "document_id", query="document_id")
 
 
 # Model answers by item: a failure, nothing relevant, only invalid numbers, or a list with repeats and strays.

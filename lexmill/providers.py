@@ -8,14 +8,19 @@ What is wrong with a row itself is a ``ContentError``, which says nothing of the
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
+from .functions.text import EMPHASIS, FENCE
+from .schemas import BETWEEN, CANDIDATE_CHARS, LEAD
+
 
 class ProviderError(RuntimeError):
     """A provider could not answer."""
@@ -59,6 +64,7 @@ class CircuitBreaker:
     clock: Callable[[], float] = time.monotonic
     failures: int = 0
     opened: float | None = None
+    lock: threading.Lock = field(default_factory=threading.Lock)
 
     def rest(self) -> float:
         """Seconds until a call is let through again; 0 where the circuit is not open."""
@@ -69,12 +75,13 @@ class CircuitBreaker:
             raise CircuitOpen("the circuit is open")
 
     def after(self, ok: bool) -> None:
-        if ok:
-            self.failures, self.opened = 0, None
-            return
-        self.failures += 1
-        if self.failures >= self.threshold:
-            self.opened = self.clock()
+        with self.lock:
+            if ok:
+                self.failures, self.opened = 0, None
+                return
+            self.failures += 1
+            if self.failures >= self.threshold:
+                self.opened = self.clock()
 
 
 @dataclass
@@ -85,11 +92,13 @@ class RateLimiter:
     clock: Callable[[], float] = time.monotonic
     sleep: Callable[[float], None] = time.sleep
     next_at: float = field(default=-math.inf)
+    lock: threading.Lock = field(default_factory=threading.Lock)
 
     def wait(self) -> None:
-        now = self.clock()
-        at = max(now, self.next_at)
-        self.next_at = at + 1.0 / self.rate
+        with self.lock:
+            now = self.clock()
+            at = max(now, self.next_at)
+            self.next_at = at + 1.0 / self.rate
         if at > now:
             self.sleep(at - now)
 
@@ -135,6 +144,33 @@ class Resilient:
                 return answer
 
 
+class Model(Protocol):
+    def answer(self, prompt: str) -> str:
+        """A text model's answer, JSON."""
+
+
+@dataclass
+class ModelReranker:
+    """A text model that ranks: it is shown the query and the numbered candidates, each cut, and answers with ranked_indices."""
+
+    model: Model
+
+    def rerank(self, query: str, candidates: list[str], top: int) -> list[int]:
+        numbered = BETWEEN.join(f'<candidate id="{i}">{c[:CANDIDATE_CHARS]}</candidate>' for i, c in enumerate(candidates, 1))
+        found = parsed(self.model.answer(f"{LEAD[0]}{query}{LEAD[1]}{numbered}")).get("ranked_indices")
+        if not isinstance(found, list) or not all(isinstance(i, int) and not isinstance(i, bool) for i in found):
+            raise ValueError("no indices")
+        return found
+
+
+def parsed(answer: str) -> dict:
+    """A model's JSON answer, an object, without code fence and emphasis; ValueError where it is none."""
+    found = json.loads(re.sub(EMPHASIS, "", re.sub(FENCE, "", answer.strip()).strip()))
+    if not isinstance(found, dict):
+        raise ValueError("no object")
+    return found
+
+
 _WORD = re.compile(r"\w+")
 
 
@@ -162,8 +198,6 @@ class LeadEnricher:
     """The first words as title, and questions that quote the following ones."""
 
     def enrich(self, text: str) -> str:
-        import json
-
         words = text.split()
         questions = [f"{' '.join(words[i * 5 : i * 5 + 5]) or text.strip()}?" for i in range(3)]
         return json.dumps({"synthetic_title": " ".join(words[:8]), "hypothetical_questions": questions}, ensure_ascii=False)
@@ -173,8 +207,6 @@ class SameQuery:
     """No expansion: the query itself."""
 
     def expand(self, query: str) -> str:
-        import json
-
         return json.dumps({"variants": [{"sub_question": query, "rephrasings": []}]}, ensure_ascii=False)
 
 
@@ -204,8 +236,6 @@ class QuoteEnricher:
     """A title and three questions that quote the text's beginning."""
 
     def enrich(self, text: str) -> str:
-        import json
-
         questions = [f"Q {text[i * 20 : i * 20 + 30]}?" for i in range(3)]
         return json.dumps({"synthetic_title": f"T {text[:40]}.", "hypothetical_questions": questions}, ensure_ascii=False)
 
@@ -214,8 +244,6 @@ class HalfQuery:
     """The query itself, and its first half as a rephrasing."""
 
     def expand(self, query: str) -> str:
-        import json
-
         return json.dumps({"variants": [{"sub_question": query, "rephrasings": [query[: len(query) // 2]]}]}, ensure_ascii=False)
 
 

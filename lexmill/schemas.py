@@ -16,6 +16,8 @@ INITIAL_TOPICS = ("квотирование", "трудовые права", "п
 MAX_RAW_CHARS, MAX_CHUNKS, MAX_FILE_BYTES, MAX_PDF_PAGES = 2_000_000, 2000, 20 * 1024 * 1024, 2000
 QUESTIONS, LEAST_QUESTIONS = 5, 3
 TOP_K_DEFAULT, TOP_K_MOST = 5, 20
+# Characters of a candidate that a reranking model sees, and what stands around the query and between candidates.
+CANDIDATE_CHARS, LEAD, BETWEEN = 2500, ("<user_query>", "</user_query>\n\nКандидаты:\n"), "\n\n"
 MAX_SUB_QUESTIONS, MAX_REPHRASINGS = 3, 1
 
 
@@ -45,26 +47,22 @@ def schema(text: str) -> T.StructType:
     return _fields(text, " ")
 
 
-SECTIONS = schema("document_id string, category string, section_index int, section_number string, section_title string, text string")
-CHUNKS = schema("document_id string, category string, section_index int, section_number string, section_title string, chunk_id string, chunk_index int, chunk_number_in_section int, parent_id string, text string")
 POINTS = schema(
     "chunk_id string, document_id string, parent_id string, category string, source_title string, audience string,"
     " topics array<string>, date_added date, chunk_index int, chunk_number_in_section int, version string,"
     " effective_date date, effective_until date, is_actual boolean, section_number string, section_title string, text string,"
     " synthetic_title string, hypothetical_questions array<string>, chunk_vector array<float>, question_vectors array<array<float>>"
 )
-POSTINGS = schema("chunk_id string, term_id bigint, token string, tf double")
-QUERIES = schema("query_id string, query string, audience string, topic string, category string, top_k int")
 REGISTRY = schema(
     "document_id string, version string, category string, source_title string, audience string, topics array<string>,"
     " effective_date date, is_active boolean, created_at timestamp, updated_at timestamp"
 )
+_CANDIDATES = "array<struct<chunk_id:string,score:double>>"
 SEARCH_LOGS = schema(
-    "request_id string, query string, audience string, topic string, category string, candidates array<struct<chunk_id:string,score:double>>,"
-    " results array<string>, expansion_status string, rerank_status string, latency_query_expansion_ms double, latency_embed_query_ms double,"
+    f"request_id string, query string, query_variants array<string>, audience string, topic string, category string, dense_candidates {_CANDIDATES}, sparse_candidates {_CANDIDATES}, rrf_candidates {_CANDIDATES},"
+    " reranked_chunk_ids array<string>, final_response string, query_expansion_status string, reranker_status string, latency_query_expansion_ms double, latency_embed_query_ms double,"
     " latency_hybrid_search_ms double, latency_rerank_ms double, created_at timestamp"
 )
-TOPICS = schema("name string")
 
 
 def schema_problems(df: DataFrame, expected: T.StructType) -> list[str]:

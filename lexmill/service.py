@@ -9,43 +9,46 @@ twice.
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions.text import strip
 from .operators import chunking, enrichment, expansion, filters, fusion, index, lifecycle, rerank, sections
 from .operators import search as lanes_of
 from .providers import Embedder, Enricher, Expander, Reranker
-from .schemas import AUDIENCES, CATEGORIES, MAX_CHUNKS, MAX_RAW_CHARS, POINTS, REGISTRY, SEARCH_LOGS, TOP_K_DEFAULT
-from .session import fresh_path
-from .sources.tables import ConcurrentChange, Snapshot, SnapshotStore, TableSpec
+from .publishing import publish
+from .schemas import AUDIENCES, CATEGORIES, MAX_CHUNKS, MAX_RAW_CHARS, POINTS, QUESTIONS, REGISTRY, SEARCH_LOGS, TOP_K_DEFAULT
+from .session import Scratch
+from .sources.tables import BUCKET_BYTES, Snapshot, SnapshotStore, TableSpec
 
-#: The tables of a store; all are dealt out by document, so that an ingest touches the same buckets of each.
-TABLES = {"points": TableSpec(POINTS, "document_id"), "registry": TableSpec(REGISTRY, "document_id"), "postings": TableSpec(index.POSTINGS, "document_id", index.POSTINGS_ORDER)}
-#: Candidates of a query that the reranking model sees.
-CANDIDATES = 20
-#: Times that an ingest begins again because another one was published first.
-ATTEMPTS = 5
+#: The tables of a store; those dealt out by document change together, frequencies are added up.
+TABLES = {
+    "points": TableSpec(POINTS, "document_id", bloom=("chunk_id",)),
+    "registry": TableSpec(REGISTRY, "document_id"),
+    "postings": TableSpec(index.POSTINGS, "document_id", index.POSTINGS_ORDER),
+    "frequencies": TableSpec(index.FREQUENCIES, "token", index.FREQUENCIES_ORDER, sums="n"),
+}
 
 
-def open_store(spark: SparkSession, path: str, buckets: int = 64) -> SnapshotStore:
-    return SnapshotStore(spark, path, TABLES, buckets)
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back."""
-    path = fresh_path(df.sparkSession, "answers")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def open_store(spark: SparkSession, path: str, buckets: int = 64, bucket_bytes: int = BUCKET_BYTES) -> SnapshotStore:
+    return SnapshotStore(spark, path, TABLES, buckets, bucket_bytes)
 
 
 @dataclass(frozen=True)
 class Ingested:
-    """What an ingest did: (document_id, version, chunks_count, replaced_versions), and (document_id, reason) of what was refused."""
+    """What an ingest did: (document_id, version, chunks_count, replaced_versions), and (document_id, reason) of what was refused.
+
+    Both are stored until ``release``.
+    """
 
     report: DataFrame
     refused: DataFrame
+    scratch: Scratch
+
+    def release(self) -> None:
+        self.scratch.close()
 
 
 def ingest(store: SnapshotStore, documents: DataFrame, enricher: Enricher, embedder: Embedder, as_of: Column, order: Column | None = None, calls: tuple[int | None, int | None] = (5, 3), max_chunks: int = MAX_CHUNKS) -> Ingested:
@@ -57,8 +60,13 @@ def ingest(store: SnapshotStore, documents: DataFrame, enricher: Enricher, embed
     or else by version, is chunked. If another writer publishes meanwhile, the stored
     tables are read again; providers are not.
     """
+    with Scratch(store.spark, "ingest") as scratch:
+        return _ingest(store, documents, enricher, embedder, as_of, order, calls, max_chunks, scratch.keep)
+
+
+def _ingest(store: SnapshotStore, documents: DataFrame, enricher: Enricher, embedder: Embedder, as_of: Column, order: Column | None, calls: tuple[int | None, int | None], max_chunks: int, kept, batch: tuple[str, int] | None = None) -> Ingested:
     raw = F.col("raw_text")
-    problem = F.when(F.trim(F.coalesce(raw, F.lit(""))) == "", "empty text").when(F.length(raw) > MAX_RAW_CHARS, "text too long").otherwise(filters.document_problem())
+    problem = F.when(strip(F.coalesce(raw, F.lit(""))) == "", "empty text").when(F.length(raw) > MAX_RAW_CHARS, "text too long").otherwise(filters.document_problem())
     checked = documents.withColumn("__problem", problem)
     refused = [checked.where("__problem is not null").select("document_id", F.col("__problem").alias("reason"))]
     good = checked.where("__problem is null").drop("__problem")
@@ -75,20 +83,20 @@ def ingest(store: SnapshotStore, documents: DataFrame, enricher: Enricher, embed
     for failed in (unanswered, unplaced):
         refused.append(failed.select("document_id", F.col("error").alias("reason")))
     points = kept(lifecycle.as_points(embedded, last, as_of).select(*POINTS.fieldNames()))
-    out = kept(lifecycle.union_all(refused))
+    told = Scratch(store.spark, "ingested")
+    out = told.keep(lifecycle.union_all(refused))
 
     now = F.current_timestamp()
     done = good.join(points.select("document_id").distinct(), "document_id", "left_semi")
     rows = done.select("document_id", "version", "category", "source_title", "audience", "topics", "effective_date", F.lit(True).alias("is_active"), now.alias("created_at"), now.alias("updated_at"), *([] if order is None else [order.alias("__order")]))
     rows = kept(rows)
     sequence = None if order is None else F.col("__order")
-    touched = store.touched("points", rows)
 
-    def change(base: Snapshot):
-        after, registry, report = lifecycle.ingest_documents(base.read("points", touched), base.read("registry", touched), points, rows, order=sequence)
+    def change(_: Snapshot, stored: dict[str, DataFrame]):
+        after, registry, report = lifecycle.ingest_documents(stored["points"], stored["registry"], points, rows, order=sequence)
         return after, {"registry": registry.select(*REGISTRY.fieldNames())}, report
 
-    return Ingested(_published(store, touched, points, change), out)
+    return Ingested(publish(store, points, rows, change, told.keep, batch), out, told)
 
 
 def update_sections(store: SnapshotStore, updates: DataFrame, enricher: Enricher, embedder: Embedder, as_of: Column, calls: tuple[int | None, int | None] = (5, 3)) -> Ingested:
@@ -100,10 +108,15 @@ def update_sections(store: SnapshotStore, updates: DataFrame, enricher: Enricher
     (document_id, section_number, parent_id, version, chunks_count, superseded_chunks), the
     refusals (document_id, section_number, reason); an update is refused as a whole.
     """
+    with Scratch(store.spark, "sections") as scratch:
+        return _update_sections(store, updates, enricher, embedder, as_of, calls, scratch.keep)
+
+
+def _update_sections(store: SnapshotStore, updates: DataFrame, enricher: Enricher, embedder: Embedder, as_of: Column, calls: tuple[int | None, int | None], kept) -> Ingested:
     key = ["document_id", "section_number", "version"]
     raw = F.col("raw_text")
     problem = (
-        F.when(F.trim(F.coalesce(raw, F.lit(""))) == "", "empty text").when(F.coalesce(F.col("section_number"), F.lit("")) == "", "no section number")
+        F.when(strip(F.coalesce(raw, F.lit(""))) == "", "empty text").when(F.coalesce(F.col("section_number"), F.lit("")) == "", "no section number")
         .when(F.length(raw) > MAX_RAW_CHARS, "text too long").otherwise(filters.document_problem(section_update=True))
     )
     checked = updates.withColumn("__problem", problem)
@@ -120,101 +133,131 @@ def update_sections(store: SnapshotStore, updates: DataFrame, enricher: Enricher
         refused.append(failed.join(whose, "document_id").select(F.col("of").alias("document_id"), "section_number", F.col("error").alias("reason")))
     points = embedded.withColumns({"document_id": F.col("__document"), "date_added": as_of, "effective_until": F.lit(None).cast("date"), "is_actual": F.lit(True)})
     points = kept(points.select(*POINTS.fieldNames()))
-    out = kept(lifecycle.union_all(refused))
+    told = Scratch(store.spark, "updated")
+    out = told.keep(lifecycle.union_all(refused))
     made = points.groupBy("document_id", "section_number", "parent_id", "version").agg(F.count(F.lit(1)).alias("chunks_count"))
-    touched = store.touched("points", points)
 
-    def change(base: Snapshot):
-        after, old = lifecycle.ingest_sections(base.read("points", touched), points)
+    def change(_: Snapshot, stored: dict[str, DataFrame]):
+        after, old = lifecycle.ingest_sections(stored["points"], points)
         report = made.join(old.select("parent_id", F.size("replaced_ids").alias("superseded_chunks")), "parent_id", "left").fillna(0, ["superseded_chunks"])
         return after, {}, report
 
-    return Ingested(_published(store, touched, points, change), out)
-
-
-def _published(store: SnapshotStore, touched: list[int], points: DataFrame, change) -> DataFrame:
-    """Apply ``change`` (snapshot -> points, other tables, report) to the touched buckets; the stored report."""
-    for attempt in range(ATTEMPTS):
-        base = store.begin()
-        after, others, report = change(base)
-        after, report = kept(after), kept(report)
-        terms = index.refreshed(base.read("postings", touched), after, points)
-        tables = {"points": after, "postings": terms} | others
-        try:
-            base.commit({name: (rows, touched) for name, rows in tables.items()})
-            return report
-        except ConcurrentChange:
-            if attempt == ATTEMPTS - 1:
-                raise
-    raise AssertionError("unreachable")
+    return Ingested(publish(store, points, points, change, told.keep), out, told)
 
 
 @dataclass(frozen=True)
 class Answers:
-    """What a search found.
+    """What a search found, stored until ``release``.
 
     results: (query_id, position, chunk_id, score, payload); outcomes: (query_id,
-    expansion_status, rerank_status, results, outcome); refused: (query_id, reason); candidates:
-    (query_id, chunk_id, score, rank); latencies: milliseconds of each stage for the whole batch.
+    expansion_status, rerank_status, results, outcome, error); refused: (query_id, reason);
+    candidates: all fused chunks (query_id, chunk_id, score, rank); lanes: what was fused;
+    variants: (query_id, variant_id, query); latencies: milliseconds of each stage for the
+    whole batch; counts: its rows at each stage.
     """
 
     results: DataFrame
     outcomes: DataFrame
     refused: DataFrame
     candidates: DataFrame
+    lanes: DataFrame
+    variants: DataFrame
     latencies: dict[str, float]
+    counts: dict[str, int]
+    scratch: Scratch
+
+    def release(self) -> None:
+        self.scratch.close()
 
 
+@dataclass
 class _Watch:
-    """Stage by stage wall time; stages end where their result is stored."""
+    """Stage by stage wall time and counts; a stage ends where its result is stored, and is counted while it is written."""
 
-    def __init__(self):
-        self.at, self.spent = time.perf_counter(), {}
+    at: float = field(default_factory=time.perf_counter)
+    spent: dict[str, float] = field(default_factory=dict)
+    counts: dict[str, int] = field(default_factory=dict)
 
-    def stored(self, stage: str, df: DataFrame) -> DataFrame:
-        out = kept(df)
+    def stored(self, keep, df: DataFrame, stage: str | None, **counted: Column) -> DataFrame:
+        seen = Observation()
+        out = keep(df.observe(seen, *[F.coalesce(F.sum(x.cast("long")), F.lit(0)).alias(k) for k, x in counted.items()]) if counted else df)
+        self.counts |= seen.get if counted else {}
         now = time.perf_counter()
-        self.spent[stage], self.at = (now - self.at) * 1000, now
+        if stage:
+            self.spent[stage], self.at = self.spent.get(stage, 0.0) + (now - self.at) * 1000, now
         return out
 
 
-def search(stored: Snapshot, queries: DataFrame, expander: Expander, embedder: Embedder, reranker: Reranker, depths: lanes_of.Depths = lanes_of.Depths(), candidates: int = CANDIDATES, calls: int | None = None) -> Answers:
-    """Answer queries (query_id, query, audience, topic, category, top_k) from one version of a store."""
+def search(stored: Snapshot, queries: DataFrame, expander: Expander, embedder: Embedder, reranker: Reranker, depths: lanes_of.Depths = lanes_of.Depths(), calls: int | None = None, in_flight: int = 1) -> Answers:
+    """Answer queries (query_id, query, audience, topic, category, top_k) from one version of a store.
+
+    All fused candidates go to the reranker. A query of which a variant can't be embedded has the
+    outcome ``error`` and the reason; the others are answered. ``calls`` bounds the tasks
+    that ask a provider, ``in_flight`` the calls of a task at once.
+    """
+    told = Scratch(stored.store.spark, "answers")
+    with Scratch(stored.store.spark, "search") as scratch:
+        return _search(stored, queries, expander, embedder, reranker, depths, calls, in_flight, scratch.keep, told)
+
+
+def _search(stored: Snapshot, queries: DataFrame, expander: Expander, embedder: Embedder, reranker: Reranker, depths: lanes_of.Depths, calls: int | None, in_flight: int, keep, told: Scratch) -> Answers:
     checked = queries.withColumn("__problem", filters.request_problem())
-    refused = checked.where("__problem is not null").select("query_id", F.col("__problem").alias("reason"))
+    refused = told.keep(checked.where("__problem is not null").select("query_id", F.col("__problem").alias("reason")))
     asked = checked.where("__problem is null").drop("__problem").withColumn("top_k", F.coalesce("top_k", F.lit(TOP_K_DEFAULT)))
-    watch = _Watch()
-    variants = watch.stored("query_expansion", expansion.expand(enrichment.expand_queries(asked, expander, calls)))
-    placed = watch.stored("embed_query", enrichment.embed_queries(variants, embedder, calls).drop("error"))
-    n = placed.count()
-
-    points = stored.read("points")
-    terms, weights = index.matching(stored.read("postings"), placed, n, points.count())
-    found = lanes_of.lanes(points, terms, weights, placed, depths, embedder.dims, n)
-    fused = watch.stored("hybrid_search", fusion.fuse_variants(fusion.rrf(found, "query_id", "variant_id"), "query_id"))
-
-    shown = fused.where(F.col("rank") <= candidates)
-    texts = shown.join(points, "chunk_id").select("query_id", "rank", rerank.candidate_text().alias("candidate"))
-    answered = watch.stored("rerank", enrichment.rerank_candidates(asked, texts, reranker, calls))
-    results = rerank.assemble(rerank.rerank(answered, shown), points)
-    status = rerank.statuses(answered, shown)
-    went = placed.groupBy("query_id").agg(F.min("expansion_status").alias("expansion_status"))
-    outcomes = status.join(went, "query_id").withColumn("outcome", rerank.outcome(F.col("expansion_status"), F.col("rerank_status"), F.col("results")))
-    return Answers(results, outcomes, refused, shown, watch.spent)
+    watch, one = _Watch(), F.lit(1)
+    variants = watch.stored(told.keep, expansion.expand(enrichment.expand_queries(asked, expander, calls, in_flight)), "query_expansion", variants=one)
+    placed = watch.stored(keep, enrichment.embed_queries(variants, embedder, calls, in_flight), "embed_query", unplaced=F.col("error").isNotNull())
+    failed = placed.where("error is not null").groupBy("query_id").agg(F.min_by("error", "variant_id").alias("error"))
+    good = placed.join(failed.select("query_id"), "query_id", "left_anti").drop("error")
+    n = good.count()
+
+    points, o = stored.read("points"), F.col("ordinal")
+    found = lanes_of.lanes(points, stored.read("postings"), stored.read("frequencies"), good, depths, embedder.dims, n)
+    lanes = watch.stored(told.keep, found, "hybrid_search", dense=o < 0, question=o.between(0, QUESTIONS - 1), sparse=o >= QUESTIONS)
+    fused = watch.stored(told.keep, fusion.fuse_variants(fusion.rrf(lanes, "query_id", "variant_id"), "query_id"), "hybrid_search", fused=one)
+
+    texts = fused.join(points, "chunk_id").select("query_id", "rank", rerank.shown(rerank.candidate_text()).alias("candidate"))
+    judged = asked.join(failed.select("query_id"), "query_id", "left_anti")
+    answered = watch.stored(keep, enrichment.rerank_candidates(judged, texts, reranker, calls, in_flight), "rerank")
+    results = watch.stored(told.keep, rerank.assemble(rerank.rerank(answered, fused), points), None, results=one)
+    went = variants.groupBy("query_id").agg(F.min("expansion_status").alias("expansion_status"))
+    known = rerank.statuses(answered, fused).withColumn("error", F.lit(None).cast("string"))
+    unknown = failed.select("query_id", F.lit("not_started").alias("rerank_status"), F.lit(0).cast("long").alias("results"), "error")
+    status = known.unionByName(unknown).join(went, "query_id")
+    outcomes = told.keep(status.withColumn("outcome", rerank.outcome(F.col("expansion_status"), F.col("rerank_status"), F.col("results"), F.col("error"))))
+    return Answers(results, outcomes, refused, fused, lanes, variants.select("query_id", "variant_id", "query"), watch.spent, watch.counts, told)
+
+
+def _listed(order: list[str], value: Column) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct(*order, value.alias("v")))), lambda x: x["v"])
 
 
 def log_rows(answers: Answers, queries: DataFrame, at: Column) -> DataFrame:
-    """A search's rows for the log: ``queries`` with request_id; latencies are those of the batch."""
-    best = lambda order, value: F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda x: x["v"])
-    seen = answers.candidates.groupBy("query_id").agg(best("rank", F.struct("chunk_id", "score")).alias("candidates"))
-    given = answers.results.groupBy("query_id").agg(best("position", F.col("chunk_id")).alias("results"))
-    rows = queries.join(answers.outcomes.drop("results"), "query_id").join(seen, "query_id", "left").join(given, "query_id", "left")
-    empty = {"candidates": "array<struct<chunk_id:string,score:double>>", "results": "array<string>"}
-    filled = rows.withColumns({k: F.coalesce(k, F.array().cast(t)) for k, t in empty.items()})
-    timed = filled.withColumns({f"latency_{k}_ms": F.lit(v) for k, v in answers.latencies.items()} | {"created_at": at})
+    """A search's rows for the log: ``queries`` with request_id; latencies are those of the batch.
+
+    Dense candidates are those of the chunks' vectors and then of their questions', variant
+    by variant and lane by lane, as they came before fusion. A query that failed has no row.
+    """
+    pair = F.struct("chunk_id", "score")
+    laned = lambda only: answers.lanes.where(only).groupBy("query_id").agg(_listed(["variant_id", "lane", "rank"], pair).alias("v"))
+    told = answers.results.groupBy("query_id").agg(_listed(["position"], F.col("chunk_id")).alias("v"))
+    columns = {
+        "query_variants": (answers.variants.groupBy("query_id").agg(_listed(["variant_id"], F.col("query")).alias("v")), "array<string>"),
+        "dense_candidates": (laned(F.col("ordinal") < QUESTIONS), CANDIDATES_TYPE),
+        "sparse_candidates": (laned(F.col("ordinal") >= QUESTIONS), CANDIDATES_TYPE),
+        "rrf_candidates": (answers.candidates.groupBy("query_id").agg(_listed(["rank"], pair).alias("v")), CANDIDATES_TYPE),
+        "reranked_chunk_ids": (told, "array<string>"),
+    }
+    rows = queries.join(answers.outcomes.where("outcome <> 'error'").select("query_id", "expansion_status", F.col("rerank_status").alias("reranker_status")), "query_id")
+    rows = rows.withColumnRenamed("expansion_status", "query_expansion_status").join(responses(answers), "query_id").withColumnRenamed("response", "final_response")
+    for name, (values, kind) in columns.items():
+        rows = rows.join(values.withColumnRenamed("v", name), "query_id", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    timed = rows.withColumns({f"latency_{k}_ms": F.lit(v) for k, v in answers.latencies.items()} | {"created_at": at})
     return timed.select(*SEARCH_LOGS.fieldNames())
 
 
+CANDIDATES_TYPE = "array<struct<chunk_id:string,score:double>>"
+
 #: The body of a search request.
 REQUEST = "query string, audience string, topic string, category string, top_k int"
 

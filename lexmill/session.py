@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent.parent
 
@@ -62,3 +62,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+class Scratch:
+    """Tables of one operation in the shared folder; ``close`` deletes them, and so does leaving a ``with`` block."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self._n = spark, fresh_path(spark, name), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Written and read back."""
+        self._n += 1
+        path = f"{self.path}/{self._n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()

@@ -2,8 +2,10 @@
 
 import io
 import json
+import random
 import subprocess
 import sys
+import time
 import zipfile
 from datetime import date, datetime
 from pathlib import Path
@@ -13,9 +15,9 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lexmill import providers, service
-from lexmill.operators import analytics, enrichment, filters, lifecycle
+from lexmill.operators import analytics, enrichment, filters, index, lifecycle, search
 from lexmill.schemas import schema
-from lexmill.sources import tables, uploads
+from lexmill.sources import bodies, tables, uploads
 from lexmill.streaming.ingest import ingest_stream
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this module
@@ -135,13 +137,15 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     many = points(spark, *[(f"c{i}", f"d{i}", "v1", 0, "x") for i in range(60)])
     first = store.begin().commit({"points": (many, None)})
     new = points(spark, ("n", "d7", "v2", 0, "y"))
-    touched = store.touched("points", new)
+    touched = first.touched(new, "points", "registry")["points"]
     second = store.begin().commit({"points": (lifecycle.upsert(first.read("points", touched), new, "chunk_id"), touched)})
     changed = {b for b, p in second.parts["points"].items() if first.parts["points"][b] != p}
+    assert len(second.lookup("points", new, "document_id").inputFiles()) == 1 and second.lookup("points", new, "document_id").count() == 2
+    assert [r.chunk_id for r in second.lookup("points", new, "chunk_id").collect()] == ["n"]
     assert store.problems() == []
     other = tables.SnapshotStore(spark, f"file://{tmp_path}", {"points": tables.TableSpec(schema("document_id string, version int, extra string"), "document_id")}, 16)
     assert {p.partition(": ")[2] for p in other.problems()} == {"column version is string, not int", "column extra is missing"}
-    assert changed == {str(touched[0])} and len(second.parts["points"]) > 10 and second.read("points").count() == 61
+    assert changed == set(touched) and len(second.parts["points"]) > 10 and second.read("points").count() == 61
     with pytest.raises(ValueError):
         store.begin().commit({"points": (many, touched)})
     assert store.begin().read("points").count() == 61
@@ -206,16 +210,82 @@ def test_a_crash_at_any_step_leaves_a_version(spark, tmp_path, monkeypatch):
     held = folders()
     assert store.vacuum(1) == 0 and folders() == held
     assert store.vacuum(-1) >= 1 and folders() < held and state(store) == [["m"], ["m"]]
-    (path / "_versions" / f"{99:012d}").write_text('{"parts"')  # a pointer whose writer died within it
-    assert state(store) == [["m"], ["m"]]
+    (path / "_versions" / ".half").write_text('{"parts"')  # a pointer whose writer died within it has no number yet
     store.begin().commit(rows("l"))
-    assert state(store) == [["l"], ["l"]] and (path / "_versions" / f"{100:012d}").exists()
+    assert state(store) == [["l"], ["l"]]
     for f in (path / "_versions").iterdir():
         f.unlink()
     with pytest.raises(OSError):
         store.begin()
 
 
+def test_a_writer_between_the_steps_of_another(spark, tmp_path, monkeypatch):
+    """Whatever happens between a writer's look and its pointer, one alone succeeds and nothing is lost."""
+    store = store_of(spark, tmp_path)
+    one = lambda d: {"points": (points(spark, (d, d, "v1", 0, "x")), None)}
+    store.begin().commit(one("o"))
+    real = tables.SnapshotStore._put
+    for others in (1, 2, 4):  # so many that the slow writer's number may be free again
+        slow, seen = store.begin(), []
+
+        def held(self, *args, others=others, seen=seen):
+            if not seen:
+                seen.append(1)
+                for i in range(others):
+                    store_of(spark, tmp_path).begin().commit(one(f"fast{i}"))
+            return real(self, *args)
+
+        monkeypatch.setattr(tables.SnapshotStore, "_put", held)
+        with pytest.raises(tables.ConcurrentChange):
+            slow.commit(one("slow"))
+        monkeypatch.undo()
+        assert [r.chunk_id for r in store.begin().read("points").collect()] == [f"fast{others - 1}"]
+    assert all(f.name.isdigit() for f in (tmp_path / "_versions").iterdir())
+
+
+def test_large_buckets_split(spark, tmp_path):
+    """A change writes about as much whatever the store holds."""
+    store = tables.SnapshotStore(spark, f"file://{tmp_path}", {"points": tables.TableSpec(POINTS, "document_id")}, 2, 30_000)
+    noise = random.Random(5).randbytes(200_000).hex()
+
+    def changed(*rows):
+        before, new = store.begin(), points(spark, *rows)
+        touched = before.touched(new, "points")["points"]
+        after = before.commit({"points": (lifecycle.upsert(before.read("points", touched), new, "chunk_id"), touched)})
+        return sum(p["bytes"] for b, p in after.parts["points"].items() if before.parts.get("points", {}).get(b) != p), after.parts["points"]
+
+    text = lambda i: noise[i * 180 : i * 180 + 300]
+    _, few = changed(*[(f"c{i}", f"d{i}", "v1", 0, text(i)) for i in range(200)])
+    small, _ = changed(("n1", "d1", "v2", 0, "y"))
+    changed(*[(f"c{i}", f"d{i}", "v1", 0, text(i)) for i in range(200, 2000)])
+    large, many = changed(("n2", "d1", "v3", 0, "y"))
+    assert large < 2 * small and len(many) > 4 * len(few) and max(p["bytes"] for p in many.values()) < 60_000
+    now = store.begin()
+    for b in sorted(many)[::7]:  # every row is in the bucket of its key
+        d, v = map(int, b.split("-"))
+        found = store.rows_of("points", [many[b]["path"]])
+        assert found.where(F.pmod(F.xxhash64("document_id"), F.lit(1 << d)) != v).count() == 0
+    assert now.read("points").count() == now.read("points").select("chunk_id").distinct().count() == 2002
+    assert [r.chunk_id for r in now.lookup("points", points(spark, ("a", "d777", "v", 0, "x")), "document_id").collect()] == ["c777"]
+
+
+def test_sums_are_added_and_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "MOST_ADDED", 3)
+    monkeypatch.setattr(tables, "ADDED_SHARE", 50)
+    kind = schema("token string, tf double, n bigint")
+    store = tables.SnapshotStore(spark, f"file://{tmp_path}", {"frequencies": tables.TableSpec(kind, "token", sums="n")}, 4)
+    more = lambda *rows: spark.createDataFrame([(t, 1.0, n) for t, n in rows], kind)
+    store.begin().commit({"frequencies": (more(("a", 5), ("b", 1)), None)})
+    kept = []
+    for rows in ([("a", -2), ("c", 1)], [("b", -1)], [("c", 4)], [("d", 1)], []):
+        now = store.begin().commit({}, None, {"frequencies": more(*rows)})
+        kept.append(len(now.added["frequencies"]))
+    assert kept == [1, 2, 3, 0, 1] or kept == [1, 2, 3, 0, 0]
+    assert sorted(map(tuple, store.begin().read("frequencies").collect())) == [("a", 1.0, 3), ("c", 1.0, 5), ("d", 1.0, 1)]
+    with pytest.raises(ValueError):
+        store_of(spark, tmp_path / "other").write_added("points", points(spark))
+
+
 def test_logs_are_appended_by_day(spark, tmp_path):
     kind = schema("request_id string, created_at timestamp")
     log = tables.LogTable(spark, f"{tmp_path}/logs", kind)
@@ -453,12 +523,18 @@ def test_service_from_documents_to_answers(spark, tmp_path, monkeypatch):
     points = now.read("points").collect()
     assert sorted((p.document_id, p.version, p.section_title, p.text) for p in points) == [("a", "v1", "Two", "gamma"), ("b", "v2", "b", "delta alpha")]  # sections without a number share their id
     assert {(r.document_id, r.version): r.is_active for r in now.read("registry").collect() if r.document_id == "b"} == {("b", "v1"): False, ("b", "v2"): True}
-    asked = spark.createDataFrame([(1, "alpha delta", None, None, None, 3), (2, " ", None, None, None, 3), (3, "zzz", "seeker", None, "case_law", None)], "query_id int, query string, audience string, topic string, category string, top_k int")
+    asked = spark.createDataFrame([(1, "alpha delta", None, None, None, 3), (2, "\n\t", None, None, None, 3), (3, "zzz", "seeker", None, "case_law", None), (4, "—", None, None, None, 3)], "query_id int, query string, audience string, topic string, category string, top_k int")
     answers = service.search(now, asked, providers.SameQuery(), providers.LetterEmbedder(26), providers.OverlapReranker())
     found = {(r.query_id, r.position): r.document_id for r in answers.results.collect()}
     assert found[(1, 1)] == "b"
-    assert {r.query_id: r.outcome for r in answers.outcomes.collect()} == {1: "ok", 3: "empty"}
+    assert {r.query_id: (r.outcome, r.error) for r in answers.outcomes.collect()} == {1: ("ok", None), 3: ("empty", None), 4: ("error", "empty vector")}
     assert [tuple(r) for r in answers.refused.collect()] == [(2, "empty query")]
+    assert answers.counts == {"variants": 3, "unplaced": 1, "dense": 2, "question": 6, "sparse": 1, "fused": 2, "results": 1}
+    logged = service.log_rows(answers, asked.withColumn("request_id", F.col("query_id").cast("string")), F.current_timestamp()).collect()
+    one = next(r for r in logged if r.request_id == "1")
+    assert len(logged) == 2 and one.query_variants == ["alpha delta"] and len(one.dense_candidates) == 8 and [c.chunk_id for c in one.rrf_candidates][0] == one.reranked_chunk_ids[0]
+    assert json.loads(one.final_response)["chunks"][0]["chunk_id"] == one.reranked_chunk_ids[0]
+    answers.release()
     # another writer publishes in between: the ingest begins again from the new version
     real, raced = tables.Snapshot.commit, []
 
@@ -475,6 +551,30 @@ def test_service_from_documents_to_answers(spark, tmp_path, monkeypatch):
     assert {"a", "b", "h"} <= {r.document_id for r in later.read("points").collect()} and later.read("postings").where("token = 'omega'").count() == 1
 
 
+class Fiftieth:
+    """Takes the candidate that has the word, wherever it stands."""
+
+    def rerank(self, query, candidates, top):
+        assert all(len(c) <= 2500 for c in candidates)
+        return [i for i, c in enumerate(candidates, 1) if "needle" in c]
+
+
+def test_all_candidates_reach_the_reranker(spark, tmp_path):
+    store = service.open_store(spark, f"file://{tmp_path}/store", 2)
+    kinds = ("labor_code", "case_law", "federal_law", "other_npa", "authorial")
+    # many ways to be found: 60 documents with texts of few letters
+    texts = ["alpha beta " + " ".join(chr(97 + (i * j) % 26) * (1 + i % 5) for j in range(1, 4)) + (" needle" if i == 53 else "") + " tail" * (900 if i == 7 else 1) for i in range(60)]
+    rows = [document(f"d{i}", "v1", t, kinds[i % 5]) for i, t in enumerate(texts)]
+    service.ingest(store, spark.createDataFrame(rows, DOCUMENTS), providers.QuoteEnricher(), providers.LetterEmbedder(26), F.lit("2026-01-02").cast("date"), calls=(None, None)).release()
+    asked = spark.createDataFrame([(1, "alpha beta", None, None, kinds[53 % 5], 3), (2, "alpha beta tail", None, None, None, 3)], "query_id int, query string, audience string, topic string, category string, top_k int")
+    answers = service.search(store.begin(), asked, providers.HalfQuery(), providers.LetterEmbedder(26), Fiftieth(), depths=search.Depths(60, 60, 60, 60, 60, 60))
+    ranks = {(r.query_id, r.chunk_id): r["rank"] for r in answers.candidates.collect()}
+    got = {r.query_id: (r.position, r.document_id, r.chunk_id) for r in answers.results.collect()}
+    assert {q: x[:2] for q, x in got.items()} == {1: (1, "d53"), 2: (1, "d53")}
+    assert sum(q == 2 for q, _ in ranks) >= 60 and ranks[2, got[2][2]] > 20
+    answers.release()
+
+
 def test_service_updates_sections(spark, tmp_path):
     store = service.open_store(spark, f"file://{tmp_path}/store", 4)
     day = F.lit("2026-01-02").cast("date")
@@ -509,6 +609,72 @@ def test_a_provider_s_rate_is_shared(spark):
     assert (datetime.now() - start).total_seconds() > 11 / 20
 
 
+def test_calls_in_flight_keep_their_order(spark):
+    class Slow:
+        dims = 2
+
+        def embed(self, texts):
+            time.sleep(0.05)
+            if texts[0] == "7":
+                raise providers.ContentError("seven")
+            return [[float(texts[0]), 1.0]]
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    df = spark.createDataFrame([(i, str(i)) for i in range(60)], "query_id int, query string").coalesce(1)
+    enrichment.embed_queries(df.limit(1), Slow(), 1, 1).collect()
+    start = time.perf_counter()
+    rows = enrichment.embed_queries(df, Slow(), None, 10).collect()
+    assert time.perf_counter() - start < 2  # one after the other they take three seconds
+    assert [(r.query_id, r.vector) for r in rows] == [(i, None if i == 7 else [float(i), 1.0]) for i in range(60)] and rows[7].error == "seven"
+
+
+def test_streamed_documents_are_found(spark, tmp_path):
+    """The stream keeps the term index and its counts in step with the points."""
+    (tmp_path / "in").mkdir()
+    store = service.open_store(spark, f"file://{tmp_path}/store", 4)
+    day = F.lit("2026-01-02").cast("date")
+    service.ingest(store, spark.createDataFrame([document("d1", "v1", "alpha beta gamma"), document("d2", "v1", "alpha")], DOCUMENTS), providers.QuoteEnricher(), providers.LetterEmbedder(26), day, calls=(None, None)).release()
+
+    def build(batch):
+        kept = store.begin().read("points").where("false")
+        blank = {f.name: F.lit(None).cast(f.dataType) for f in kept.schema}
+        made = blank | {"chunk_id": F.concat("d", F.lit("-new")), "document_id": F.col("d"), "parent_id": F.col("d"), "version": F.lit("v2"), "chunk_index": F.lit(0), "category": F.lit("authorial"), "is_actual": F.lit(True), "text": F.col("t")}
+        row = {f.name: F.lit(None).cast(f.dataType) for f in store.begin().read("registry").schema} | {"document_id": F.col("d"), "version": F.lit("v2"), "is_active": F.lit(True)}
+        return batch.select(*[v.alias(k) for k, v in made.items()]), batch.select(*[v.alias(k) for k, v in row.items()])
+
+    (tmp_path / "in" / "1.json").write_text(json.dumps({"d": "d1", "t": "delta epsilon delta"}))
+    stream = spark.readStream.schema("d string, t string").json(f"{tmp_path}/in")
+    ingest_stream(stream, build, store, f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    now = store.begin()
+    assert sorted((r.chunk_id[:6], r.token, r.tf) for r in now.read("postings").where("document_id = 'd1'").collect()) == [("d1-new", "delta", 2.0), ("d1-new", "epsilon", 1.0)]
+    counts = sorted(map(tuple, now.read("frequencies").collect()))
+    assert counts == sorted(map(tuple, index.frequencies(now.read("postings")).collect())) == [("alpha", 1.0, 1), ("delta", 2.0, 1), ("epsilon", 1.0, 1)]
+    asked = spark.createDataFrame([(1, "delta gamma", None, None, None)], "query_id int, query string, audience string, topic string, category string")
+    found = search.sparse_best(now.read("points"), now.read("postings"), now.read("frequencies"), asked, 2, 20)
+    assert [r.chunk_id for r in found.collect()] == ["d1-new"]
+
+
+def test_bodies(spark):
+    good = {"document_id": "d", "category": "authorial", "raw_text": "x", "source_title": "S", "audience": "both", "version": "v", "effective_date": "2026-01-02", "topics": ["t"], "more": {"a": 1}}
+    cases = [
+        good, {**good, "topics": None}, {k: v for k, v in good.items() if k != "topics"}, {}, {**good, "document_id": "", "raw_text": 5, "version": None}, {**good, "topics": [1], "audience": "all"}, {**good, "topics": "t"},
+        {**good, "effective_date": "02.01.2026"}, {**good, "effective_date": "2026-13-01"}, {**good, "raw_text": "x" * 2_000_001}, {**good, "topics": []}, {**good, "topics": ["t", None]},
+    ]
+    rows = [(i, json.dumps(x)) for i, x in enumerate(cases)] + [(100, "["), (101, None), (102, "[]"), (103, '"x"')]
+    documents, refused = bodies.read_ingests(spark.createDataFrame(rows, "request_id int, body string"))
+    assert {r.request_id: (r.document_id, r.topics, r.effective_date) for r in documents.collect()} == {i: ("d", ["t"] if i == 0 else [], date(2026, 1, 2)) for i in (0, 2, 10)}
+    missing = [f"{f}: missing" for f in ("document_id", "category", "raw_text", "source_title", "audience", "version", "effective_date")]
+    assert {r.request_id: r.problems for r in refused.collect()} == {
+        1: ["topics: not a list of strings"], 3: missing, 4: ["document_id: empty", "raw_text: not a string", "version: not a string"], 5: ["audience: unknown", "topics: not a list of strings"], 6: ["topics: not a list of strings"],
+        7: ["effective_date: not a date"], 8: ["effective_date: not a date"], 9: ["raw_text: too long"], 11: ["topics: not a list of strings"], **{i: ["not an object"] for i in (100, 101, 102, 103)}}
+    section = {k: v for k, v in good.items() if k != "document_id"} | {"section_title": ""}
+    given = spark.createDataFrame([(1, "law", "5", json.dumps(section)), (2, "law", "5", json.dumps(section | {"section_title": "T"}))], "request_id int, document_id string, section_number string, body string")
+    made, refused = bodies.read_section_updates(given)
+    assert [(r.document_id, r.section_number, r.section_title) for r in made.collect()] == [("law", "5", "T")] and refused.first().problems == ["section_title: empty"]
+    report = spark.createDataFrame([("d", "v", 2, ["u"])], "document_id string, version string, chunks_count int, replaced_versions array<string>")
+    assert json.loads(bodies.ingest_responses(report).first().response) == {"document_id": "d", "version": "v", "chunks_count": 2, "replaced_versions": ["u"], "not_removed_versions": []}
+
+
 def test_entry_works_without_the_training_operators():
     """With the subpackage and the pipeline hidden, the entry point imports and offers the engine's queries."""
     root = Path(__file__).resolve().parent.parent
