@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, small, store
+from .common import BROADCAST_BYTES, arrow_batch, map_batches, small, store, struct
 from .components import connected_components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -107,21 +109,73 @@ def resolve(base: Column, target: Column) -> Column:
     )
 
 
-def alias_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): a page's url and the targets of all its canonical links and refresh redirects.
+_NAME = re.compile(r"<([A-Za-z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"""[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)|(["'])|(?=>)))?)""")
+_REFRESH = re.compile(r"""(?is)\s*[\d.]*\s*[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))""")
+#: Elements whose content is text, whatever tags it looks like.
+_RAW = {name: re.compile(rf"(?i)</{name}(?=[\s/>])") for name in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
+
 
-    A tag ends at its first ``>``; one that another ``<`` breaks off is none, so that the search
-    is linear in the page's length.
+def start_tags(html: str) -> Iterator[tuple[str, dict[str, str]]]:
+    """Start tags with their attributes, names in lower case, the first of equal names; in one pass over the text.
+
+    Comments and the content of scripts, styles and other elements of plain text are passed over. A
+    tag that the text ends in is none.
     """
-    tags = F.regexp_extract_all(html_col, F.lit(r"""(?is)<link\b[^<>]*\brel\s*=\s*["']?canonical\b[^<>]*>"""), F.lit(0))
-    canonical = F.transform(tags, lambda x: F.regexp_extract(x, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
-    metas = F.regexp_extract_all(html_col, F.lit(r"""(?is)<meta\b[^<>]*\bhttp-equiv\s*=\s*["']?refresh\b[^<>]*>"""), F.lit(0))
-    refresh = F.transform(metas, lambda x: F.regexp_extract(x, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
+    at = 0
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            at = html.find("-->", at + 2)
+            if at < 0:
+                return
+            continue
+        named = _NAME.match(html, at)
+        if not named:
+            at += 1
+            continue
+        at, attributes = named.end(), {}
+        while (found := _ATTRIBUTE.match(html, at)) and not found[1]:
+            if found[6]:  # a quote that nothing closes
+                return
+            attributes.setdefault(found[2].lower(), found[3] or found[4] or found[5] or "")
+            at = found.end()
+        if not found:
+            return
+        at, name = found.end(), named[1].lower()
+        yield name, attributes
+        if name in _RAW:
+            end = _RAW[name].search(html, at)
+            if not end:
+                return
+            at = end.start()
+
+
+def targets_of(html: str) -> list[str]:
+    """What the canonical links and refresh redirects of a page point to, as written."""
+    out = []
+    for name, attributes in start_tags(html):
+        if name == "link" and "canonical" in attributes.get("rel", "").lower().split():
+            out.append(attributes.get("href", ""))
+        elif name == "meta" and attributes.get("http-equiv", "").strip().lower() == "refresh":
+            found = _REFRESH.match(attributes.get("content", ""))
+            out.append(next((x for x in found.groups() if x), "") if found else "")
+    return [x for x in out if x.strip()]
+
+
+def alias_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(a, b): a page's url and the targets of all its canonical links and refresh redirects."""
     url = F.col(url_col)
+    rows = pages.where(url.isNotNull() & F.col(html_col).rlike("(?i)canonical|refresh")).select(url.alias("u"), F.col(html_col).alias("h"))
+    schema = struct(u="string", t="array<string>")
+
+    def run(batch):
+        yield arrow_batch(schema, {"u": batch.column("u"), "t": [targets_of(h) for h in batch.column("h").to_pylist()]})
+
+    found = map_batches(rows, run, schema)
     # two passes in the generator: each step is planned once, however often the next one names it
-    targets = F.transform(F.transform(F.concat(canonical, refresh), unescaped), lambda x: resolve(F.trim(url), x))
-    found = pages.where(url.isNotNull() & F.col(html_col).isNotNull()).select(url.alias("__url"), F.explode(targets).alias("__to")).where("__to is not null")
-    return found.select(node_of(F.col("__url")).alias("a"), node_of(F.col("__to")).alias("b"))
+    targets = F.transform(F.transform("t", unescaped), lambda x: resolve(F.trim("u"), x))
+    linked = found.select(F.col("u").alias("__url"), F.explode(targets).alias("__to")).where("__to is not null")
+    return linked.select(node_of(F.col("__url")).alias("a"), node_of(F.col("__to")).alias("b"))
 
 
 def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, url_col: str = "url", html_col: str | None = "html", id_col: str = "page_id", default: str = "allow") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,6 +40,11 @@ GZIP_LEVEL = 3
 LEAST_REVISIT_BYTES = 1_000
 
 
+_HEX, _DIGITS = re.compile(rb"[0-9A-Fa-f]{1,15}"), re.compile(r"[0-9]{1,18}")
+#: Segments of a record are numbered up to this.
+MOST_SEGMENTS = (1 << 31) - 1
+
+
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
     """The payload in chunked transfer framing."""
     parts = [b"%x\r\n%b\r\n" % (len(c), c) for c in (payload[i : i + size] for i in range(0, len(payload), size))]
@@ -52,7 +58,10 @@ def unchunked(body: bytes) -> bytes:
         end = body.find(b"\r\n", at)
         if end < 0:
             raise ValueError("a chunk has no size")
-        size = int(body[at:end].split(b";")[0], 16)
+        digits = body[at:end].split(b";")[0].rstrip(b" \t")
+        if not _HEX.fullmatch(digits):  # int() would take signs, prefixes and underscores
+            raise ValueError("a chunk's size is no hexadecimal number")
+        size = int(digits, 16)
         at = end + 2
         if not size:
             return b"".join(out)
@@ -122,8 +131,9 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
         raise ValueError("not a WARC record")
     lines = record[:end].decode().split("\r\n")[1:]
     headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    block = record[end + 4 : end + 4 + int(headers["content-length"])]
-    if len(block) != int(headers["content-length"]):
+    size = _number(headers["content-length"], 1 << 62)
+    block = record[end + 4 : end + 4 + size]
+    if len(block) != size:
         raise ValueError("a block is shorter than its length says")
     return headers, block
 
@@ -214,6 +224,14 @@ def assemble(segments: list[tuple]) -> Iterator[tuple]:
             yield page, kind, url, refers, None, None, digest, str(e)
 
 
+def _number(text: str | None, most: int) -> int | None:
+    if text is None:
+        return None
+    if not _DIGITS.fullmatch(text) or int(text) > most:
+        raise ValueError(f"not a number up to {most}: {text[:40]!r}")
+    return int(text)
+
+
 def _fields(record: bytes) -> tuple | None:
     """(origin, number, total, page, kind, url, digest, refers, block) of a record; None where it is of another kind."""
     h, block = parse(record)
@@ -223,9 +241,8 @@ def _fields(record: bytes) -> tuple | None:
     algorithm, _, digest = h.get("warc-payload-digest", "").partition(":")
     given = h.get("x-page-url")
     url = h.get("warc-target-uri") if given is None else None if given == NO_URL else unquote(given[1:])
-    total = h.get("warc-segment-total-length")
     return (
-        h["warc-segment-origin-id"] if kind == "continuation" else h["warc-record-id"], int(h.get("warc-segment-number", 0)), None if total is None else int(total),
+        h["warc-segment-origin-id"] if kind == "continuation" else h["warc-record-id"], _number(h.get("warc-segment-number", "0"), MOST_SEGMENTS), _number(h.get("warc-segment-total-length"), 1 << 62),
         h.get("x-page-id"), kind, url, base64.b32decode(digest).hex() if algorithm == "sha1" else None, h.get("x-refers-to-page"), block,
     )
 

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import time
 from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
@@ -179,6 +180,48 @@ def test_relative_escaped_and_repeated_links_carry_decisions(spark):
     assert {r.page_id: r.verdict for r in got.collect()} == {i: "block" if i < 7 else "allow" for i in range(1, 8)}
 
 
+@pytest.mark.parametrize("html,want", [
+    ('<link rel="canonical" data-href="http://x.net/es/1" href="http://a.org/">', ["http://a.org/"]),
+    ('<link rel="alternate  CANONICAL" href=/a?b=c>', ["/a?b=c"]),
+    ('<link rel="canonical-old" href="/a"><link data-rel="canonical" rel="icon" href="/b"><linked rel=canonical href=/c>', []),
+    ('<!-- <link rel="canonical" href="/a"> --><link rel=canonical href=/b><!--><link rel=canonical href=/c>', ["/b", "/c"]),
+    ("<script>'<link rel=canonical href=/a>'</scripted></SCRIPT ><style><link rel=canonical href=/b></style><link rel=canonical href=/c>", ["/c"]),
+    ('<link rel="canonical" href="/my page">', ["/my page"]),
+    ("<link title='a > b' href = '/x' href=/y rel = canonical />", ["/x"]),
+    ('<meta content="0;URL=\'/my page\'" http-equiv=" Refresh ">', ["/my page"]),
+    ('<meta http-equiv="refresh" content="5; /plain"><meta http-equiv="refresh" content="5"><meta http-equiv="refresh"><meta name="refresh" content="0;url=/no">', ["/plain"]),
+    ('<link rel=canonical href="/a', []), ('<link rel="canonical><link rel=canonical href=/a>', []), ("<link rel=canonical href=/a", []), ("<link rel=canonical href=>", []), ("<link rel=canonical href>", []),
+    ("< link rel=canonical href=/a><3<link rel=canonical href=/b>", ["/b"]),
+])
+def test_link_targets(html, want):
+    assert url_filters.targets_of(html) == want
+
+
+def test_long_pages_are_read_in_one_pass():
+    start = time.perf_counter()
+    for html in ("<link " * 100_000, '<link rel="canonical ' * 50_000, "<!--" * 100_000, "<script>" * 50_000, "<" * 500_000, "<a href='" * 50_000, '<link ' + 'a="b" ' * 100_000 + ">", "<link a=" + "=" * 300_000):
+        assert url_filters.targets_of(html) == []
+    assert time.perf_counter() - start < 10
+
+
+@pytest.mark.parametrize("body", [b"1\r\na\r\n-6\r\n", b"+3\r\nabc\r\n0\r\n\r\n", b"0x3\r\nabc\r\n0\r\n\r\n", b"1_0\r\n0123456789abcdef\r\n0\r\n\r\n", b" 3\r\nabc\r\n0\r\n\r\n", b"\r\n", b"f" * 17 + b"\r\n", b"3\r\nab"])
+def test_bad_chunk_sizes_end_the_read(body):
+    with pytest.raises(ValueError):
+        warc.unchunked(body)
+    assert warc.unchunked(b"3;x=1\r\nabc\r\nA \r\n0123456789\r\n0\r\n\r\n") == b"abc0123456789"
+
+
+def test_odd_numbers_in_heads_stop_nothing(spark, tmp_path):
+    good = list(warc.records(5, "http://a.org/", b"x" * 50, None, None))
+    odd = [{"WARC-Segment-Number": n} for n in ("99999999999", "-1", "0x1", "1" * 40)] + [{"WARC-Segment-Total-Length": "9" * 30}, {"X-Page-Id": "1" * 60}, {"X-Page-Id": "a\x00b"}]
+    block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"y")
+    bad = [warc.member({"WARC-Type": "response", "WARC-Record-ID": f"<urn:{i}>", "X-Page-Id": "7"} | h, block) for i, h in enumerate(odd)]
+    (tmp_path / "f.warc.gz").write_bytes(b"".join(bad[:3] + good + bad[3:]))
+    got = warc.read(f"file://{tmp_path}", spark.createDataFrame([("f.warc.gz",)], "name string")).collect()
+    assert [r.payload for r in got if r.page_id == 5] == [b"x" * 50]
+    assert sum(r.problem is not None and r.page_id is None for r in got) >= 5 and len(got) == 8
+
+
 class Links(HTMLParser):
     """Link targets as an HTML parser sees them."""
 
