@@ -58,16 +58,18 @@ def idf(counts: DataFrame, total: int | Column) -> DataFrame:
     return counted.withColumn("idf", F.round(F.log(1 + (every - F.col("n") + 0.5) / (F.col("n") + 0.5)), 9))
 
 
-def weights(counts: DataFrame, total: int) -> DataFrame:
-    """(token, n, idf, max_tf, seed_tf): at most SEEDS postings of a token have a frequency of seed_tf or more (null: more have the highest)."""
+def tops(counts: DataFrame) -> DataFrame:
+    """(token, max_tf, seed_tf): at most SEEDS postings of a token have a frequency of seed_tf or more (null: more have the highest)."""
     down = F.sum("n").over(Window.partitionBy("token").orderBy(F.col("tf").desc()))
     some = counts.withColumn("above", down)
-    tops = some.groupBy("token").agg(F.max("tf").alias("max_tf"), F.min(F.when(F.col("above") <= SEEDS, F.col("tf"))).alias("seed_tf"))
-    return idf(counts, total).join(tops, "token")
+    return some.groupBy("token").agg(F.max("tf").alias("max_tf"), F.min(F.when(F.col("above") <= SEEDS, F.col("tf"))).alias("seed_tf"))
 
 
 def steps(counts: DataFrame) -> DataFrame:
-    """(token, tf, step, gain) for each frequency that a token has: how much above the one before it, and postings spared per step up to it, never rising."""
+    """(token, tf, step, gain) at frequencies that grow by a half at most each: how far above the one before it, and postings spared per step up to it, never rising."""
+    two = F.pow(F.lit(2.0), F.floor(F.log2("tf")))
+    level = F.when(F.col("tf") <= two, two).when(F.col("tf") <= 1.5 * two, 1.5 * two).otherwise(2 * two)
     up = Window.partitionBy("token").orderBy("tf")
-    stepped = counts.where("n > 0").withColumn("step", F.col("tf") - F.coalesce(F.lag("tf").over(up), F.lit(0.0)))
+    grouped = counts.where("n > 0").withColumn("level", F.when(F.col("tf") <= 4, F.col("tf")).otherwise(level)).groupBy("token", F.col("level").alias("tf")).agg(F.sum("n").alias("n"))
+    stepped = grouped.withColumn("step", F.col("tf") - F.coalesce(F.lag("tf").over(up), F.lit(0.0)))
     return stepped.select("token", "tf", "step", F.min(F.col("n") / F.col("step")).over(up).alias("gain"))

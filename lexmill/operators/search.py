@@ -22,6 +22,10 @@ BROADCAST_BYTES = 32 << 20
 BLOCK_ROWS, BLOCK_QUERIES, HELD_ROWS = 4_096, 1_024, 500_000
 #: So many queries at most have their tokens looked up in the stored postings; more meet them in a join.
 PUSHED_QUERIES = 16
+#: Queries of so many characters in all have their tokens' weights and thresholds computed once, through the driver.
+LOCAL_CHARS = 1 << 20
+#: Where so many postings at most would meet the queries, they do; of more, those that can't matter are left out.
+DIRECT_POSTINGS = 1 << 20
 #: Postings of a token that one task joins, where queries are too many to be sent to all.
 PIECE_ROWS = 1 << 20
 
@@ -231,36 +235,49 @@ def sparse_best(points: DataFrame, terms: DataFrame, counts: DataFrame, queries:
     asked = _asked(queries, "query")
     keys = [c for c in asked.columns if not c.startswith("q_")]
     by = [c for c in asked.columns if c != "q_query"]
-    wanted = asked.select(*by, F.explode(tokens("q_query")).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).cast("double").alias("q_tf"))
-    known = index.weights(_lookup(counts, wanted, n), total)
-    weighted = wanted.join(known, "token").withColumn("w", F.col("q_tf") * F.col("idf"))
-    rows, longest = weighted.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("token")), F.lit(0))).first()
+    brief = n <= PUSHED_QUERIES or asked.agg(F.coalesce(F.sum(F.length("q_query")), F.lit(0))).first()[0] <= LOCAL_CHARS
+
+    def once(df: DataFrame) -> DataFrame:
+        """What has a few rows for each token of brief queries is computed once, and that of very few queries in one task."""
+        if not brief:
+            return df
+        made = df.sparkSession.createDataFrame(df.toArrow())
+        return made.coalesce(1) if n <= PUSHED_QUERIES else made
+
+    wanted = once(asked.select(*by, F.explode(tokens("q_query")).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).cast("double").alias("q_tf")))
+    known = once(_lookup(counts, wanted, n))
+    weighted = once(wanted.join(index.idf(known, total), "token").withColumn("w", F.col("q_tf") * F.col("idf")).drop("q_tf", "idf"))
+    rows, longest, met = weighted.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("token")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     size = rows * (longest + 200)
     found = _lookup(terms.select("chunk_id", "category", "token", "tf"), wanted, n)
     meta = points.where(filters.actual()).select("chunk_id", "category", "audience", "topics")
     apart = F.col("q_category").isNull() & F.lit(balanced is not None)
     lane = F.when(apart, F.col("category"))
     depth = F.when(apart, F.lit(balanced)).otherwise(F.lit(keep))
+    if met <= DIRECT_POSTINGS:  # fewer than it takes to find out what could be left out
+        scored = _met(found.drop("category"), weighted, size).groupBy(*by, "chunk_id").agg(F.sum(F.col("w") * F.col("tf")).alias("score"))
+        return scored.join(meta, "chunk_id").where(_admits()).select(*keys, "chunk_id", "category", "q_category", "score")
 
+    weighted = once(weighted.join(index.tops(known), "token"))
     some = weighted.where("seed_tf is not null").select(*by, "token", "w", "seed_tf", "n")
     seeds = _met(found, some, size).where("tf >= seed_tf").groupBy(*by, "chunk_id").agg(F.sum(F.col("w") * F.col("tf")).alias("s"))
     order = Window.partitionBy(*keys, "lane").orderBy(F.col("s").desc())
     ranked = seeds.join(meta, "chunk_id").where(_admits()).withColumn("lane", lane).withColumn("i", F.row_number().over(order)).where(F.col("i") <= depth)
-    floors = ranked.groupBy(*keys, "lane").agg(F.max(F.when(F.col("i") == depth, F.col("s"))).alias("floor")).where("floor is not null")
+    floors = once(ranked.groupBy(*keys, "lane").agg(F.max(F.when(F.col("i") == depth, F.col("s"))).alias("floor")).where("floor is not null"))
 
     # what a token's frequencies up to tf add at most is paid from the floor, where it spares most postings first
-    steps = index.steps(_lookup(counts, wanted, n))
-    paid = floors.join(weighted.select(*keys, "token", "w"), keys).join(steps, "token").withColumns({"cost": F.col("w") * F.col("step"), "spared": F.try_divide("gain", "w")})
+    paid = floors.join(weighted.select(*keys, "token", "w"), keys).join(index.steps(known), "token").withColumns({"cost": F.col("w") * F.col("step"), "spared": F.try_divide("gain", "w")})
     cheapest = Window.partitionBy(*keys, "lane").orderBy(F.col("spared").desc_nulls_first(), "token", "tf")
     budget = F.col("floor") - F.greatest(F.lit(1.0), "floor") * 1e-6  # what is below it is below the floor by more than is rounded
     spared = paid.withColumn("spent", F.sum("cost").over(cheapest)).where(F.col("spent") <= budget).groupBy(*keys, "lane", "token").agg(F.max("tf").alias("least"))
     of_lane = F.map_from_entries(F.collect_list(F.when(F.col("lane").isNotNull(), F.struct("lane", "least"))))
     listed = spared.groupBy(*keys, "token").agg(F.max(F.when(F.col("lane").isNull(), F.col("least"))).alias("all"), of_lane.alias("each"))
-    limited = weighted.join(listed, [*keys, "token"], "left").select(*by, "token", "n", "all", "each")
+    limited = once(weighted.join(listed, [*keys, "token"], "left").select(*by, "token", "n", "all", "each"))
     least = F.coalesce(F.when(apart, F.element_at("each", F.col("category"))).otherwise(F.col("all")), F.lit(0.0))
     hits = _met(found, limited, size + rows * 256).where(filters.category(F.col("q_category")) & (F.col("tf") > least))
     candidates = hits.select(*by, "chunk_id").distinct().join(meta, "chunk_id").where(_admits())
-    exact = candidates.join(found.select("chunk_id", "token", "tf"), "chunk_id").join(weighted.select(*keys, "token", "w"), [*keys, "token"])
+    last = weighted.select(*keys, "token", "w")
+    exact = candidates.join(found.select("chunk_id", "token", "tf"), "chunk_id").join(F.broadcast(last) if size <= BROADCAST_BYTES else last, [*keys, "token"])
     return exact.groupBy(*keys, "chunk_id", "category", "q_category").agg(F.sum(F.col("w") * F.col("tf")).alias("score"))
 
 
@@ -270,16 +287,25 @@ def best(scores: DataFrame, depth: Column, *lane: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
 
 
-def lanes(points: DataFrame, terms: DataFrame, counts: DataFrame, queries: DataFrame, depths: Depths = Depths(), dims: int = 768, n_queries: int | None = None, total: int | None = None) -> DataFrame:
+def lanes(points: DataFrame, terms: DataFrame, counts: DataFrame, queries: DataFrame, depths: Depths = Depths(), dims: int = 768, n_queries: int | None = None, total: int | None = None, quantized: bool = False) -> DataFrame:
     """Ranked lanes (query_id, variant_id, lane, chunk_id, rank, score) of every query.
 
     ``terms`` and ``counts`` are the points' postings and their kept frequencies. A query
     without a category gets lanes of its own for each category, so that a small category is
     represented; one with a category gets single, deeper lanes. Lanes are numbered in the
     order of fusion: dense by category, questions by category and then vector, sparse by category.
+    ``quantized``: the chunks' own vectors are scanned as stored codes, with the same results.
     """
     keys = [c for c in ("query_id", "variant_id") if c in queries.columns]
-    dense = dense_best(lane_vectors(points), queries, dims, (depths.dense, depths.question), (depths.dense_per_category, depths.question_per_category), n_queries)
+    vectors = lane_vectors(points)
+    if quantized:
+        vectors = vectors.where("ordinal >= 0")
+    dense = dense_best(vectors, queries, dims, (depths.dense, depths.question), (depths.dense_per_category, depths.question_per_category), n_queries)
+    if quantized:
+        from .quantized import quantized_best
+
+        own = quantized_best(points, queries, dims, depths.dense, depths.dense_per_category).withColumn("ordinal", F.lit(-1))
+        dense = dense.select(*own.columns).unionByName(own)
     total = points.count() if total is None else total
     sparse = sparse_best(points, terms, counts, queries, total, depths.sparse, depths.sparse_per_category, n_queries).withColumn("ordinal", F.lit(QUESTIONS))
     columns = [*keys, "chunk_id", "category", "q_category", "ordinal", "score"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import index
+from ..operators.quantized import with_codes
 from ..schemas import CATEGORIES, schema
 from ..session import fresh_path
 from ..sources.tables import Snapshot, SnapshotStore, TableSpec
@@ -16,7 +17,7 @@ DIMS = 64
 STORED = {
     "points": TableSpec(schema(
         "doc_id bigint, chunk_id string, document_id string, parent_id string, category string, source_title string, audience string, topics array<string>, chunk_index int, version string,"
-        " effective_date date, is_actual boolean, section_number string, section_title string, text string, chunk_vector array<float>, question_vectors array<array<float>>"), "document_id"),
+        " effective_date date, is_actual boolean, section_number string, section_title string, text string, chunk_vector array<float>, question_vectors array<array<float>>, chunk_code binary, chunk_scale double"), "document_id"),
     "postings": TableSpec(index.POSTINGS, "document_id", index.POSTINGS_ORDER),
     "frequencies": TableSpec(index.FREQUENCIES, "token", index.FREQUENCIES_ORDER, sums="n"),
     "queries": TableSpec(schema("query_id bigint, query string, audience string, topic string, category string, top_k int, vector array<float>"), "query_id"),
@@ -29,7 +30,7 @@ def stored(spark: SparkSession, sf_dir: str) -> Snapshot:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
         store = SnapshotStore(spark, fresh_path(spark, "corpus"), STORED, 8)
-        now = store.begin().commit({"points": (points(spark, sf_dir).select(*STORED["points"].schema.fieldNames()), None)})
+        now = store.begin().commit({"points": (with_codes(points(spark, sf_dir)).select(*STORED["points"].schema.fieldNames()), None)})
         asked = queries(spark, sf_dir).select(*STORED["queries"].schema.fieldNames())
         now = now.commit({"postings": (index.indexed(now.read("points")), None), "queries": (asked, None)})
         _stored[key] = now.commit({"frequencies": (index.frequencies(now.read("postings")), None)})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import expansion, fusion, index, rerank, search
+from ..operators import expansion, fusion, index, quantized, rerank, search
 from ..sources.tables import Snapshot
 from . import corpus as c
 from .registry import register
@@ -31,6 +31,18 @@ def _dense(now: Snapshot, asked: DataFrame) -> DataFrame:
     return _score(search.best(scores, F.lit(20), "query_id")).select("query_id", "chunk_id", "category", "score", "rank")
 
 
+@register("quantized_search", c.with_sql(c.POINTS_SQL, c.VECTORS_SQL) + f""",
+dense AS (SELECT q.vec_id AS query_id, v.chunk_id, v.category, list_cosine_similarity(q.embedding::DOUBLE[], v.v) AS score FROM vectors v, embeddings q WHERE v.ordinal < 0 AND q.vec_id % 100 = 0)
+SELECT query_id, chunk_id, category, {_ROUND}, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dense) WHERE rank <= 20""")
+def quantized_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors divisible by 100 against all chunks: codes scanned, what their bounds leave scored on the vectors themselves."""
+    none = F.lit(None).cast("string")
+    asked = c.table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), none.alias("audience"), none.alias("topic"), none.alias("category"), F.col("embedding").alias("vector"))
+    found = quantized.quantized_best(c.stored(spark, sf_dir).read("points"), asked, c.DIMS, 20)
+    return _score(search.best(found, F.lit(20), "query_id")).select("query_id", "chunk_id", "category", "score", "rank")
+
+
 @register("question_search", c.with_sql(c.POINTS_SQL, c.VECTORS_SQL, c.QUERIES_SQL, c.DENSE_SQL) + f"""
 SELECT query_id, ordinal, chunk_id, {_ROUND}, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, ordinal ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dense WHERE ordinal >= 0) WHERE rank <= 10""")

@@ -21,7 +21,7 @@ CANDIDATE_CHARS, LEAD, BETWEEN = 2500, ("<user_query>", "</user_query>\n\nКан
 MAX_SUB_QUESTIONS, MAX_REPHRASINGS = 3, 1
 
 
-_SIMPLE = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "float": T.FloatType(), "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType()}
+_SIMPLE = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "float": T.FloatType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "date": T.DateType(), "timestamp": T.TimestampType()}
 
 
 def _fields(text: str, between: str) -> T.StructType:
@@ -51,7 +51,7 @@ POINTS = schema(
     "chunk_id string, document_id string, parent_id string, category string, source_title string, audience string,"
     " topics array<string>, date_added date, chunk_index int, chunk_number_in_section int, version string,"
     " effective_date date, effective_until date, is_actual boolean, section_number string, section_title string, text string,"
-    " synthetic_title string, hypothetical_questions array<string>, chunk_vector array<float>, question_vectors array<array<float>>"
+    " synthetic_title string, hypothetical_questions array<string>, chunk_vector array<float>, question_vectors array<array<float>>, chunk_code binary, chunk_scale double"
 )
 REGISTRY = schema(
     "document_id string, version string, category string, source_title string, audience string, topics array<string>,"

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .functions.text import strip
 from .operators import chunking, enrichment, expansion, filters, fusion, index, lifecycle, rerank, sections
 from .operators import search as lanes_of
+from .operators.quantized import with_codes
 from .providers import Embedder, Enricher, Expander, Reranker
 from .publishing import publish
 from .schemas import AUDIENCES, CATEGORIES, MAX_CHUNKS, MAX_RAW_CHARS, POINTS, QUESTIONS, REGISTRY, SEARCH_LOGS, TOP_K_DEFAULT
@@ -82,7 +83,7 @@ def _ingest(store: SnapshotStore, documents: DataFrame, enricher: Enricher, embe
     embedded, unplaced = enrichment.embed_chunks(enriched, embedder, calls[1], kept)
     for failed in (unanswered, unplaced):
         refused.append(failed.select("document_id", F.col("error").alias("reason")))
-    points = kept(lifecycle.as_points(embedded, last, as_of).select(*POINTS.fieldNames()))
+    points = kept(with_codes(lifecycle.as_points(embedded, last, as_of)).select(*POINTS.fieldNames()))
     told = Scratch(store.spark, "ingested")
     out = told.keep(lifecycle.union_all(refused))
 
@@ -132,7 +133,7 @@ def _update_sections(store: SnapshotStore, updates: DataFrame, enricher: Enriche
     for failed in (unanswered, unplaced):
         refused.append(failed.join(whose, "document_id").select(F.col("of").alias("document_id"), "section_number", F.col("error").alias("reason")))
     points = embedded.withColumns({"document_id": F.col("__document"), "date_added": as_of, "effective_until": F.lit(None).cast("date"), "is_actual": F.lit(True)})
-    points = kept(points.select(*POINTS.fieldNames()))
+    points = kept(with_codes(points).select(*POINTS.fieldNames()))
     told = Scratch(store.spark, "updated")
     out = told.keep(lifecycle.union_all(refused))
     made = points.groupBy("document_id", "section_number", "parent_id", "version").agg(F.count(F.lit(1)).alias("chunks_count"))
@@ -188,19 +189,20 @@ class _Watch:
         return out
 
 
-def search(stored: Snapshot, queries: DataFrame, expander: Expander, embedder: Embedder, reranker: Reranker, depths: lanes_of.Depths = lanes_of.Depths(), calls: int | None = None, in_flight: int = 1) -> Answers:
+def search(stored: Snapshot, queries: DataFrame, expander: Expander, embedder: Embedder, reranker: Reranker, depths: lanes_of.Depths = lanes_of.Depths(), calls: int | None = None, in_flight: int = 1, quantized: bool = False) -> Answers:
     """Answer queries (query_id, query, audience, topic, category, top_k) from one version of a store.
 
     All fused candidates go to the reranker. A query of which a variant can't be embedded has the
     outcome ``error`` and the reason; the others are answered. ``calls`` bounds the tasks
-    that ask a provider, ``in_flight`` the calls of a task at once.
+    that ask a provider, ``in_flight`` the calls of a task at once. ``quantized``: chunks'
+    vectors are scanned as codes; the answers are the same.
     """
     told = Scratch(stored.store.spark, "answers")
     with Scratch(stored.store.spark, "search") as scratch:
-        return _search(stored, queries, expander, embedder, reranker, depths, calls, in_flight, scratch.keep, told)
+        return _search(stored, queries, expander, embedder, reranker, depths, calls, in_flight, quantized, scratch.keep, told)
 
 
-def _search(stored: Snapshot, queries: DataFrame, expander: Expander, embedder: Embedder, reranker: Reranker, depths: lanes_of.Depths, calls: int | None, in_flight: int, keep, told: Scratch) -> Answers:
+def _search(stored: Snapshot, queries: DataFrame, expander: Expander, embedder: Embedder, reranker: Reranker, depths: lanes_of.Depths, calls: int | None, in_flight: int, quantized: bool, keep, told: Scratch) -> Answers:
     checked = queries.withColumn("__problem", filters.request_problem())
     refused = told.keep(checked.where("__problem is not null").select("query_id", F.col("__problem").alias("reason")))
     asked = checked.where("__problem is null").drop("__problem").withColumn("top_k", F.coalesce("top_k", F.lit(TOP_K_DEFAULT)))
@@ -212,7 +214,7 @@ def _search(stored: Snapshot, queries: DataFrame, expander: Expander, embedder:
     n = good.count()
 
     points, o = stored.read("points"), F.col("ordinal")
-    found = lanes_of.lanes(points, stored.read("postings"), stored.read("frequencies"), good, depths, embedder.dims, n)
+    found = lanes_of.lanes(points, stored.read("postings"), stored.read("frequencies"), good, depths, embedder.dims, n, quantized=quantized)
     lanes = watch.stored(told.keep, found, "hybrid_search", dense=o < 0, question=o.between(0, QUESTIONS - 1), sparse=o >= QUESTIONS)
     fused = watch.stored(told.keep, fusion.fuse_variants(fusion.rrf(lanes, "query_id", "variant_id"), "query_id"), "hybrid_search", fused=one)
 

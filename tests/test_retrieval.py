@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill import providers
-from lexmill.operators import evaluation, expansion, fusion, index, rerank, search
+from lexmill.operators import evaluation, expansion, fusion, index, quantized, rerank, search
 from lexmill.schemas import CATEGORIES
 
 POINT = "chunk_id string, category string, audience string, topics array<string>, is_actual boolean, text string, chunk_vector array<float>, question_vectors array<array<float>>"
@@ -82,6 +82,43 @@ def test_dense_lanes_against_brute_force(spark, monkeypatch, sent, block, held):
     assert got == want and len(want) > 30
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_quantized_search_is_exact(spark, monkeypatch, block):
+    """The same rows as on the vectors themselves: near ties, filters, balanced lanes; vectors without a code take no part."""
+    monkeypatch.setattr(search, "BLOCK_ROWS", block)
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 4)
+    rng = random.Random(9)
+    centre = [rng.gauss(0, 1) for _ in range(6)]
+    vector = lambda: [c + rng.choice([0, 1e-3, 0.02, 0.5]) * rng.gauss(0, 1) for c in centre]
+    points = [point(i, vector(), rng.choice(CATEGORIES[:3]), rng.choice(["seeker", "employer", "both"]), rng.choice([[], ["t"]]), actual=i % 10 > 0) for i in range(200)]
+    points += [point("zero", [0.0] * 6), point("none", None), point("nan", [math.nan] + [1.0] * 5), point("long", [1.0] * 7), point("inf", [math.inf] + [1.0] * 5)]
+    queries = [(q, "", rng.choice([None, "seeker"]), rng.choice([None, "t"]), rng.choice([None, None, CATEGORIES[0]]), vector(), 5) for q in range(10)] + [(20, "", None, None, None, [0.0] * 6, 5)]
+    p, q = quantized.with_codes(spark.createDataFrame(points, POINT)), spark.createDataFrame(queries, QUERY)
+    coded = {r.chunk_id: (r.chunk_code, r.chunk_scale) for r in p.collect()}
+    assert all(coded[c] == (None, None) for c in ("zero", "none", "nan", "inf")) and len(coded["5"][0]) == 6 and max(abs(b if b < 128 else b - 256) for b in coded["5"][0]) == 127
+    finite = p.where("chunk_id not in ('nan', 'inf')")
+    for balanced in (None, 3):
+        lane = F.when(F.col("q_category").isNull() & F.lit(balanced is not None), F.col("category"))
+        limit = F.when(F.col("lane").isNotNull(), balanced or 0).otherwise(5)
+        ranked = lambda df: sorted((r.query_id, r.lane or "", r["rank"], r.chunk_id, round(r.score, 9)) for r in search.best(df.withColumn("lane", lane), limit, "query_id", "lane").collect())  # noqa: E731, B023
+        exact = search.dense_best(search.lane_vectors(finite, questions=False), q, 6, (5, 5), balanced and (balanced, balanced))
+        found = quantized.quantized_best(p, q, 6, 5, balanced)
+        assert ranked(found) == ranked(exact) and found.count() < exact.select("query_id").distinct().count() * 150
+    monkeypatch.setattr(search, "BROADCAST_BYTES", -1)
+    assert len(ranked(quantized.quantized_best(finite, q, 6, 5, 3))) == len(ranked(exact))
+
+
+def test_codes_take_a_quarter_of_the_vectors(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(2)
+    df = spark.createDataFrame([point(i, [rng.gauss(0, 1) for _ in range(64)]) for i in range(1000)], POINT).coalesce(1)
+    quantized.with_codes(df).write.parquet(f"{tmp_path}/p")
+    meta = pq.ParquetFile(next((tmp_path / "p").glob("*.parquet"))).metadata.row_group(0)
+    size = {meta.column(i).path_in_schema.split(".")[0]: meta.column(i).total_compressed_size for i in range(meta.num_columns)}
+    assert size["chunk_code"] + size["chunk_scale"] < 0.35 * size["chunk_vector"]
+
+
 def test_question_vectors_reach_their_chunk(spark):
     one, two = [1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
     points = [point(i, two) for i in range(25)] + [point("t", [0.0, 1.0, 0.0, 0.0], questions=[one, two, two, two, two, one])]
@@ -226,9 +263,10 @@ def zipf(rng, n):
     return " ".join(f"t{min(int(rng.paretovariate(0.6)), 40)}" for _ in range(n))
 
 
-@pytest.mark.parametrize("sent,pushed,seeds,piece", [(32 << 20, 16, 256, 1 << 20), (32 << 20, 0, 3, 1 << 20), (-1, 0, 3, 7)])
-def test_pruned_term_search_against_brute_force(spark, monkeypatch, sent, pushed, seeds, piece):
+@pytest.mark.parametrize("direct,sent,pushed,seeds,piece", [(1 << 20, 32 << 20, 16, 256, 1 << 20), (-1, 32 << 20, 16, 3, 1 << 20), (-1, -1, 0, 3, 7)])
+def test_pruned_term_search_against_brute_force(spark, monkeypatch, direct, sent, pushed, seeds, piece):
     """Ties, filters, common tokens, long and short chunks; postings looked up or joined, with frequent tokens dealt out."""
+    monkeypatch.setattr(search, "DIRECT_POSTINGS", direct)
     for module, name, value in ((search, "BROADCAST_BYTES", sent), (search, "PUSHED_QUERIES", pushed), (index, "SEEDS", seeds), (search, "PIECE_ROWS", piece)):
         monkeypatch.setattr(module, name, value)
     rng = random.Random(8)
@@ -265,12 +303,13 @@ def test_pruned_term_search_against_brute_force(spark, monkeypatch, sent, pushed
         assert got == want and len(want) > 20
 
 
-def test_few_postings_are_met(spark):
+def test_few_postings_are_met(spark, monkeypatch):
     """Of long lists most postings are below what reaches a lane: under half meet the query."""
     rng = random.Random(3)
     points = [point(f"{i:04}", text=" ".join(["common"] * (1 + int(rng.expovariate(0.3))) + ["often"] * (1 + i % 3) + [f"own{i}"])) for i in range(3000)]
     p, q = spark.createDataFrame(points, POINT), spark.createDataFrame([(0, "common often own17", None, None, "labor_code", None, 5)], QUERY)
     terms = index.postings(p, "chunk_id", "category")
+    monkeypatch.setattr(search, "DIRECT_POSTINGS", -1)
     met, real = [], search._met
 
     def counted(*args):
