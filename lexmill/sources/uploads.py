@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -21,6 +22,10 @@ BODY, STYLES, BODY_RELATIONS = "word/document.xml", "word/styles.xml", "word/_re
 TEXT_SUFFIXES = ("md", "txt")
 
 
+#: Bytes that a part of a document may have when it is unpacked.
+MAX_PART_BYTES = 256 * 1024 * 1024
+
+
 class UnsupportedFile(ValueError):
     """A kind of file that can't be read here."""
 
@@ -30,6 +35,8 @@ class _Docx:
         self.files = zipfile.ZipFile(io.BytesIO(content))
         names = set(self.files.namelist())
         self.body = self._xml(BODY).find(f"{W}body")
+        if self.body is None:
+            raise ValueError("the document has no body")
         styles = self._xml(STYLES) if STYLES in names else None
         self.raised: dict[str, bool] = {}
         bases: dict[str, str | None] = {}
@@ -50,7 +57,11 @@ class _Docx:
         self.targets = {x.get("Id"): x.get("Target", "") for x in relations}
 
     def _xml(self, name: str) -> ElementTree.Element:
-        return ElementTree.fromstring(self.files.read(name))
+        with self.files.open(name) as part:  # what it says of its size may be wrong
+            content = part.read(MAX_PART_BYTES + 1)
+        if len(content) > MAX_PART_BYTES:
+            raise ValueError(f"{name} has over {MAX_PART_BYTES} bytes")
+        return ElementTree.fromstring(content)
 
     @staticmethod
     def _run(run: ElementTree.Element) -> str:
@@ -102,8 +113,8 @@ def file_text(name: str, content: bytes) -> str:
     if suffix == "docx":
         try:
             return docx_text(content)
-        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
-            raise ValueError(f"not a readable document: {e}") from e
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError, TypeError, ValueError, RuntimeError, NotImplementedError, EOFError, zlib.error) as e:
+            raise ValueError(f"not a readable document: {e}") from e  # damaged, encrypted or of another form
     if suffix == "pdf":
         return pdf_text(content)
     raise UnsupportedFile(f"unsupported file type: {suffix}")

@@ -330,6 +330,33 @@ def test_documents_are_read_in_order(spark):
     assert set(reasons) == {"d.txt", "e.exe", "f.docx", "g.pdf", "noext"} and "unsupported" in reasons["e.exe"]
 
 
+def packed(**parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in parts.items():
+            z.writestr(name.replace("__", "/").replace("_xml", ".xml"), content)
+    return out.getvalue()
+
+
+def test_damaged_documents_are_refused_one_by_one(spark, monkeypatch):
+    ns = f'xmlns:w="{W}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    whole = docx(f"<w:p>{run('text')}</w:p>")
+    cut = bytearray(packed(word__document_xml=f"<w:document {ns}><w:body>{'<w:p/>' * 500}</w:body></w:document>"))
+    cut[60:75] = bytes(15)  # within the packed part
+    encrypted = bytearray(whole)
+    for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        for i in range(len(encrypted) - 4):
+            if encrypted[i : i + 4] == mark:
+                encrypted[i + at] |= 1
+    odd = packed(word__document_xml=f"<w:document {ns}><w:body><w:sectPr><w:headerReference r:id='none'/></w:sectPr></w:body></w:document>")
+    files = {"no_body.docx": packed(word__document_xml=f"<w:document {ns}/>"), "cut.docx": bytes(cut), "encrypted.docx": bytes(encrypted), "no_part.docx": odd, "null.docx": b"", "good.docx": whole}
+    texts, rejects = uploads.extract(spark.createDataFrame(list(files.items()), "path string, content binary"))
+    assert [r.path for r in texts.collect()] == ["good.docx"] and {r.path for r in rejects.collect()} == files.keys() - {"good.docx"}
+    monkeypatch.setattr(uploads, "MAX_PART_BYTES", 1000)
+    with pytest.raises(ValueError, match="over 1000 bytes"):
+        uploads.file_text("bomb.docx", packed(word__document_xml="<x>" + " " * 100_000 + "</x>"))
+
+
 def test_files_are_found_and_large_ones_refused(spark, tmp_path, monkeypatch):
     (tmp_path / "a.txt").write_text("текст", encoding="utf-8")
     (tmp_path / "sub").mkdir()
