@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, map_batches, small, store, struct
+from .common import arrow_batch, discard, map_batches, small, store, struct
 
 #: Standard deviations of the estimate that its error bound spans; bits of a code at least; rows
 #: and bytes of rows that fit the centre (a bounded sample); rows and queries that meet in one task.
@@ -75,13 +75,13 @@ def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def reachable(codes: tuple, queries: np.ndarray, floors: np.ndarray, centre: np.ndarray, turn: np.ndarray, bound: float):
-    """(first query, mask of queries x rows) by steps of queries: rows whose upper bound reaches the query's floor."""
+    """(first query, estimates, upper bounds, mask of queries x rows) by steps of queries; the mask has rows whose upper bound reaches the query's floor."""
     step = max(1, 4_000_000 // max(1, len(codes[0])))
     for lo in range(0, len(queries), step):
         guess, error = estimate(*codes, queries[lo : lo + step], centre, turn)
         error *= np.float32(bound)
         error += guess
-        yield lo, guess, error >= (floors[lo : lo + step] - 1e-5).astype(np.float32)[:, None]
+        yield lo, guess, error, error >= (floors[lo : lo + step] - 1e-5).astype(np.float32)[:, None]
 
 
 def nearest(ids: np.ndarray, vectors: np.ndarray, codes: tuple, query_ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, bound: float | None):
@@ -91,14 +91,14 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, codes: tuple, query_ids: np.nd
     that others' upper bounds must reach. Without a bound all rows are scored.
     """
     floors = np.full(len(queries), -np.inf)
-    for lo, guess, _ in reachable(codes, queries, floors, centre, turn, 0.0) if bound is not None else ():
+    for lo, guess, *_ in reachable(codes, queries, floors, centre, turn, 0.0) if bound is not None else ():
         last = min(2 * k, len(ids) - 1)
         tops = np.argpartition(-guess, last, axis=1)[:, : last + 1]
         for i, top in enumerate(tops, lo):
             top = top[ids[top] != query_ids[i]]
             if len(top) >= k:
                 floors[i] = np.sort(exact(queries[i], vectors[top]))[-k]
-    for lo, _, mask in reachable(codes, queries, floors, centre, turn, bound or 0.0):
+    for lo, *_, mask in reachable(codes, queries, floors, centre, turn, bound or 0.0):
         for i, hit in enumerate(mask, lo):
             places = np.flatnonzero(hit & (ids != query_ids[i]))
             scores = exact(queries[i], vectors[places])
@@ -121,7 +121,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
     Rows and queries meet in blocks: each task has one block of rows and one of queries,
     so no task and no broadcast grows with the data; beyond the first pass a block of rows
-    holds codes, not vectors. The centre is fitted on at most FIT_ROWS rows, the first by a
+    holds codes, not vectors. Of what reaches a query's floor the 2 k rows of the best estimates meet
+    their vectors first, the others only if they reach the floor that these set. The centre is fitted on at most FIT_ROWS rows, the first by a
     hash of their id.
     """
     out = struct(query_id="long", rank="int", **{id_col: "long"}, score="double")
@@ -190,24 +191,33 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     first = store(top(first).drop("rank"), "vector-first")
     floors = first.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
     probes = asked.join(floors, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    hits = struct(qid="long", place="long")
+    hits = struct(qid="long", place="long", guess="float", upper="float")
 
     def with_codes(left: pa.Table, right: pa.Table) -> pa.Table:
         got: list[tuple] = []
         if left.num_rows and right.num_rows:
             ids, places = left["id"].to_numpy(), left["place"].to_numpy()
             qids, q = right["qid"].to_numpy(), matrix(right["q"], dims)
-            for lo, _, mask in reachable(codes(left), q, right["floor"].to_numpy(), centre, turn, bound):
+            for lo, guess, upper, mask in reachable(codes(left), q, right["floor"].to_numpy(), centre, turn, bound):
+                mask &= ids[None, :] != qids[lo : lo + len(mask), None]
                 at, hit = np.nonzero(mask)
-                other = ids[hit] != qids[lo + at]
-                got.append((qids[lo + at[other]], places[hit[other]]))
+                got.append((qids[lo + at], places[hit], guess[mask], upper[mask]))
         return gathered(hits, got)
 
-    second = blocks(index.where(draw >= share).select(*codes_of), probes, n * (1 - share)).applyInArrow(with_codes, hits)
-    pairs = second.join(index.select("place", "id", "v"), "place").select("qid", "id", "v").join(small(asked, n_asked, 8 * dims + 32, 8 << 20), "qid")
-
     def score(batch):
         yield arrow_batch(found, {"qid": batch.column("qid"), "id": batch.column("id"), "score": exact(matrix(batch.column("q"), dims), matrix(batch.column("v"), dims))})
 
-    scored = map_batches(pairs.select("qid", "id", "v", "q"), score, found)
-    return named(top(first.unionByName(scored)))
+    def scored(pairs: DataFrame) -> DataFrame:
+        met = pairs.select("qid", "place").join(index.select("place", "id", "v"), "place").select("qid", "id", "v").join(small(asked, n_asked, 8 * dims + 32, 8 << 20), "qid")
+        return map_batches(met.select("qid", "id", "v", "q"), score, found)
+
+    second = store(blocks(index.where(draw >= share).select(*codes_of), probes, n * (1 - share)).applyInArrow(with_codes, hits), "vector-hits")
+    # the best estimates meet their vectors first, and raise the floor that the others must reach
+    by_guess = Window.partitionBy("qid").orderBy(F.col("guess").desc(), "place")
+    likely = store(second.withColumn("turn", F.row_number().over(by_guess)).where(F.col("turn") <= 2 * k).select("qid", "place"), "vector-likely")
+    better = store(top(first.unionByName(scored(likely))).drop("rank"), "vector-better")
+    raised = better.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+    left = second.join(small(raised, n_asked, 24), "qid", "left").where(F.col("floor").isNull() | (F.col("upper") >= F.col("floor") - 1e-5))
+    rest = store(left.select("qid", "place").join(likely, ["qid", "place"], "left_anti"), "vector-rest")
+    discard(second)
+    return named(top(better.unionByName(scored(rest))))

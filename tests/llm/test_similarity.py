@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import COLUMNS, documents
 
@@ -50,6 +51,36 @@ def test_search_against_brute_force(spark, blocks, bound):
     assert hits / (20 * len(by)) >= (1 if bound is None else 0.97)
 
 
+def test_few_rows_meet_their_vectors(spark, monkeypatch):
+    """Beyond the first pass, on vectors that nothing groups: recall, and the rows that are scored."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(20_000, 64)).astype(np.float32)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    kept, real = {}, vector_search.store
+
+    def counted(table, name):
+        out = real(table, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(vector_search, "store", counted)
+    monkeypatch.setattr(vector_search, "FIRST_SHARE", 1 / 16)
+    queries = list(range(0, len(x), 200))
+    got = vector_search.search(df, df.where("vec_id % 200 = 0"), first_rows=1).toPandas()
+    x = x.astype(np.float64)
+    hits = 0
+    for q in queries:
+        score = x @ x[q]
+        score[q] = -np.inf
+        mine = got[got.query_id == q].sort_values("rank")
+        assert len(mine) == 20 and np.allclose(mine.score, score[mine.vec_id], rtol=1e-9)
+        hits += len(set(np.argpartition(-score, 20)[:20]) & set(mine.vec_id))
+    assert hits / (20 * len(queries)) >= 0.95
+    met = kept["vector-likely"] + kept["vector-rest"]
+    assert met < 0.3 * kept["vector-hits"] and met / len(queries) < 0.025 * len(x), kept
+
+
 def test_the_provided_vectors():
     """Recall and the share of rows that are scored, over a table of the size that the queries are timed on."""
     import duckdb
