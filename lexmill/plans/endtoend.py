@@ -140,6 +140,12 @@ def answers(spark: SparkSession, sf_dir: str) -> service.Answers:
     return _answers[key]
 
 
+def forget() -> None:
+    """Delete the answers that are kept; they are searched again when next asked for."""
+    while _answers:
+        _answers.popitem()[1].release()
+
+
 def search(spark: SparkSession, sf_dir: str) -> service.Answers:
     return service.search(_store(spark, sf_dir)[0], asked(spark, sf_dir), HalfQuery(), LetterEmbedder(_LETTERS), LongestReranker())
 
