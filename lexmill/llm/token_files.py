@@ -169,8 +169,8 @@ def write(docs: DataFrame, vocab_file: str, end_id: int, text_col: str = "text",
     shuffle moves compressed frames; each task writes one file, and only files named in
     the manifest count, so a task that runs again does no harm. A null text is empty
     (just ``end_id``); a null id sorts first; rows with equal ids stand together,
-    ordered by their frames; ids must be numeric, as ranges of them are dealt out; other columns
-    aren't read; an empty table gives no files.
+    ordered by their frames, and are in one task; ids must be numeric, as ranges of them are
+    dealt out; long texts are one frame; other columns aren't read; an empty table gives no files.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "token-files")

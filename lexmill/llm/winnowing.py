@@ -91,7 +91,8 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """(id, hashes array<long>, positions array<long>) of every whole text.
 
     A null text is empty and has empty arrays; repeated rows are done each, a null id
-    is passed through, other columns aren't read. Narrow: no shuffle.
+    is passed through, other columns aren't read. Long texts are fingerprinted whole; an
+    empty table gives no rows. Narrow: no shuffle.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = struct(id=rows.schema["id"].dataType, hashes="array<long>", positions="array<long>")
@@ -117,7 +118,8 @@ def with_neighbours(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     one shuffle of the texts, and run through in order; the first row of each range is
     also sent to the range before it. A null text is empty, its fingerprint the empty
     string; the likeness of two empty texts is 1, of an empty and another 0. Repeated
-    rows follow each other; other columns aren't read; an empty table gives no rows.
+    rows follow each other; long texts are taken whole; other columns aren't read; an empty
+    table gives no rows. Rows of one id are in one range, so one task reads all rows of a repeated id.
     """
     parts = parts_of(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
