@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, discard, heavy_keys, map_batches, small, spread_join, store, struct, texts_of
+from .common import arrow_batch, discard, heavy_keys, map_batches, measured, small, spread_join, store, struct, texts_of
 from .components import connected_components
 
 #: A token that more classes hold is of the frequent class and indexed in combinations.
@@ -44,6 +44,8 @@ SHINGLED = 1 << 19
 MORE_HUBS = 64
 #: Components of a bucket that have a centre, and the classes that they hold there at least.
 CENTRES, CENTRE_CLASSES = 4, 16
+#: Tokens that are joined without a shuffle are fewer than this.
+HOT = 1 << 16
 #: Hubs, sets of hubs and labels are broadcast if they take so many bytes at most.
 HUB_BYTES = 2 << 20
 
@@ -267,18 +269,19 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     heavy = heavy_keys(classes, "k", slim.count(), "copies")
     copies = spread_join(linked.select("id", "k"), classes.where("copies > 1").select("k", "rep"), "k", heavy, ("id",)).where("id <> rep").select("id", "k")
     copies = store(copies, "join-copies")
-    first = linked.join(small(copies, copies.count(), 40), ["id", "k"], "left_anti")
+    first = linked.join(measured(copies), ["id", "k"], "left_anti")
 
     # (2) classes that share enough of their first prefix with other classes
     # (by id, which is shorter to shuffle; an id with several texts has the hits of all of them)
     postings = first.select("id", F.explode("prefix").alias("t"))
-    common = postings.groupBy("t").count().where("count > 1").select("t")
-    hits = postings.join(common, "t").groupBy("id").agg(F.count(F.lit(1)).alias("hits"))
+    common = store(postings.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "join-common")
+    hits = _counted(postings, common).groupBy("id").agg(F.count(F.lit(1)).alias("hits"))
     overlap = F.expr(limit.overlap_sql("n"))
     extra = F.greatest(F.lit(1), F.least(F.col("n") - overlap, overlap))
     kept = store(hits.join(classes.withColumnRenamed("rep", "id"), "id").where(F.col("hits") >= extra).select("k", "id"), "join-kept")
     n_kept = kept.count()
     discard(copies)
+    discard(common)
     label = None
     if n_kept:
         sets = _shared_tokens(docs, kept, n_kept, words, seed, limit, id_col, text_col)
@@ -298,7 +301,7 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
 def _shared_tokens(docs: DataFrame, kept: DataFrame, n_kept: int, words: int, seed: int, limit: Threshold, id_col: str, text_col: str) -> DataFrame:
     """(3) Stored (k, n, tokens, counts) of the kept classes: the tokens that another kept class holds, and in how many."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(small(kept, n_kept, 40), "id").select("k", "text")
+    rows = rows.join(measured(kept), "id").select("k", "text")
     schema = struct(k="long", n="long", tokens="array<long>")
 
     def run(batch):
@@ -317,14 +320,28 @@ def _shared_tokens(docs: DataFrame, kept: DataFrame, n_kept: int, words: int, se
         discard(full)
         full = once
     flat = full.select("c", F.explode("tokens").alias("t"))
-    counts = flat.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = flat.join(counts, "t").groupBy("c").agg(F.array_sort(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "t"))).alias("x"))
+    counts = store(flat.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "join-counts")
+    shared = _counted(flat, counts).groupBy("c").agg(F.array_sort(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "t"))).alias("x"))
     sets = shared.join(full.select("c", "k", "n"), "c").where(F.size("x") >= F.expr(limit.overlap_sql("n")))
     out = store(sets.select("k", "n", F.col("x.t").alias("tokens"), F.col("x.df").alias("counts")), "join-shared")
     discard(full)
+    discard(counts)
     return out
 
 
+def _counted(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rows`` with the df of their token t, from stored ``counts``; rows of other tokens go.
+
+    Fewer than HOT tokens have over 1 / HOT of all rows each: they are sent to all tasks and
+    met without a shuffle, so that of what is left no token has many rows.
+    """
+    total = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    often = F.col("df") * HOT > total
+    hot = F.broadcast(counts.where(often))
+    rest = rows.join(hot.select("t"), "t", "left_anti").join(counts.where(~often), "t")
+    return rows.join(hot, "t").unionByName(rest)
+
+
 def _arrays(column: pa.Array) -> list[np.ndarray]:
     """The rows of a list column as arrays."""
     ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
@@ -355,9 +372,13 @@ def _met(work: DataFrame, hubs: DataFrame) -> DataFrame:
 
 def _in_components(pairs: DataFrame, label: DataFrame, n_label: int) -> DataFrame:
     """Pairs (a, b) with the components c_a and c_b of both; a class that links with none is its own."""
-    for x in ("a", "b"):
-        of = small(label, n_label, 24, HUB_BYTES).select(F.col("k").alias(x), F.col("component").alias("c"))
-        pairs = pairs.join(of, x, "left").withColumn(f"c_{x}", F.coalesce("c", x)).drop("c")
+    for x, y in ("ab", "ba"):
+        of = label.select(F.col("k").alias(x), F.col("component").alias("c"))
+        if n_label * 24 <= HUB_BYTES:
+            pairs = pairs.join(F.broadcast(of), x, "left")
+        else:  # a hub has very many pairs
+            pairs = spread_join(pairs, of, x, heavy_keys(pairs.groupBy(x).count(), x, pairs.count()), (y,), "left")
+        pairs = pairs.withColumn(f"c_{x}", F.coalesce("c", x)).drop("c")
     return pairs
 
 
