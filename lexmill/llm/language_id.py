@@ -17,12 +17,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, map_batches, slices, small, store, struct, texts_of
+from .common import arrow_batch, map_batches, measured, slices, store, struct, texts_of
 
 #: Bytes of a window; widths of the filters and filters of each width.
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
 #: The training sample: at most so many texts of each language, so many windows of each text.
 LABEL_TEXTS, TEXT_WINDOWS = 1_500, 4
+#: Texts of the training sample in all: with very many labels, each has fewer.
+MOST_TEXTS = 60_000
 UNKNOWN = "und"
 _BATCH = 256
 
@@ -126,19 +128,25 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", per_label: int = LABEL_TEXTS, per_text: int = TEXT_WINDOWS) -> ByteNet | None:
+def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", per_label: int = LABEL_TEXTS, per_text: int = TEXT_WINDOWS, most: int = MOST_TEXTS) -> ByteNet | None:
     """A network trained on a bounded sample of the labelled rows; None where there are none.
 
     Of each label the ``per_label`` texts that come first by a hash of the text, or all if
     there are fewer, so reruns agree, copies count once and no label is lost; ``per_text``
-    evenly spaced windows of each. What is collected is at most labels x per_label x per_text
-    windows. Rows whose label is null or whose text is null or has no letter are not used.
+    evenly spaced windows of each. There are at most ``most`` texts in all: where labels
+    are so many, each has an equal share of them, and more labels than that are an error. So
+    what is collected is at most most x per_text windows. Rows whose label is null or whose text is null or has no letter are not used.
     """
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("mark", F.xxhash64(F.lit(17), "text"))
     turn = F.row_number().over(Window.partitionBy("label").orderBy("mark"))  # cut to per_label before its shuffle, too
-    picked = store(rows.select("label", "mark").distinct().withColumn("turn", turn).where(F.col("turn") <= per_label).select("label", "mark"), "language-sample")
-    wanted = small(picked, picked.count(), 64)
+    picked = store(rows.select("label", "mark").distinct().withColumn("turn", turn).where(F.col("turn") <= per_label), "language-sample")
+    if picked.count() > most:
+        labels = picked.where("turn = 1").count()
+        if labels > most:
+            raise ValueError(f"{labels} labels are more than the {most} texts that a network is trained on")
+        picked = picked.where(F.col("turn") <= most // labels)
+    wanted = measured(picked.drop("turn"))
     schema = struct(label="string", mark="long", windows="array<binary>")
 
     def cut(batches):

@@ -89,9 +89,12 @@ def test_the_sample_is_bounded(spark):
     lid.fit = lambda windows, *a, **k: seen.append(len(windows)) or original(windows[:64], *[x[:64] if isinstance(x, np.ndarray) else x for x in a], epochs=1, **k)
     try:
         lid.train(docs, per_label=100)
+        lid.train(docs, per_label=100, most=61)
     finally:
         lid.fit = original
-    assert seen[0] == 200  # a hard limit
+    assert seen == [200, 60]  # hard limits, of each label and in all
+    with pytest.raises(ValueError):
+        lid.train(docs, most=1)
 
 
 @pytest.mark.parametrize("first", [True, False])
