@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import bpe_codec, language_id, mixing, ngram_join
-from lexmill.llm.common import small, store
+from lexmill.llm.common import measured, store
 from lexmill.llm.queries import MIX_MOST, MIX_SHARE, MIX_WEIGHTS
 
 #: The language of a text is accepted from this mean probability on.
@@ -39,21 +39,22 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of documents that links of 5-word shingles at similarity 0.8 join, keep the smallest doc_id.
 
     Rows are judged by id and text, so an id with several texts keeps those that stay; of
-    rows equal in both one stays. Rows with a null id take no part in links and stay.
+    rows equal in both one stays. Rows with a null id take no part in links and stay; null,
+    empty and wordless texts link with nothing, so of each id one such row stays. Whole texts
+    of any length are compared; all columns, of any name, are kept; an empty table gives no rows.
     """
-    text = F.xxhash64("text")
-    linked = ngram_join.link(docs.select("doc_id", "text"), words=5, num=80, den=100, tag=text)
-    gone = store(linked.where("component_id <> doc_id").select("doc_id", F.col("tag").alias("__tag")).distinct(), "pipeline-gone")
-    tagged = docs.withColumn("__tag", text)
-    kept = tagged.join(small(gone, gone.count(), 40), ["doc_id", "__tag"], "left_anti")
-    again = store(linked.where("doc_id is not null").groupBy("doc_id", "tag").count().where("count > 1").select("doc_id", F.col("tag").alias("__tag")), "pipeline-repeated")
-    n_again = again.count()
-    if not n_again:
-        return kept.select(*docs.columns)
-    again = small(again, n_again, 40)
-    once = kept.join(again, ["doc_id", "__tag"], "left_anti")
-    several = kept.join(again, ["doc_id", "__tag"], "left_semi").dropDuplicates(["doc_id", "__tag"])
-    return once.unionByName(several).select(*docs.columns)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("tag"))
+    linked = ngram_join.link(docs.select("doc_id", "text"), words=5, num=80, den=100, tag=F.xxhash64("text"))
+    pair = [F.col("doc_id").alias("id"), "tag"]
+    gone = store(linked.where("component_id <> doc_id").select(*pair).distinct(), "pipeline-gone")
+    kept = whole.join(measured(gone), ["id", "tag"], "left_anti")
+    again = store(linked.where("doc_id is not null").groupBy("doc_id", "tag").count().where("count > 1").select(*pair), "pipeline-repeated")
+    if not again.take(1):
+        return kept.select("doc.*")
+    again = measured(again)
+    once = kept.join(again, ["id", "tag"], "left_anti")
+    several = kept.join(again, ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"])
+    return once.unionByName(several).select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
