@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as t
 from lexmill.operators import chunking, index, sections
-from lexmill.schemas import CHUNKS, schema_problems, validate_schema
+from lexmill.schemas import REGISTRY, schema_problems, validate_schema
 
 
 def one(spark, fn, *texts):
@@ -160,14 +160,14 @@ def test_unnumbered_sections_share_ids_unless_told_otherwise(spark):
 
 
 def test_schema_problems_are_all_listed(spark):
-    df = spark.createDataFrame([(1, 2)], "document_id int, section_index bigint")
-    problems = schema_problems(df, CHUNKS)
-    assert "column document_id is int, not string" in problems and "column text is missing" in problems and len(problems) == 10
+    df = spark.createDataFrame([(1, 2)], "document_id int, is_active bigint")
+    problems = schema_problems(df, REGISTRY)
+    assert "column document_id is int, not string" in problems and "column is_active is bigint, not boolean" in problems and "column topics is missing" in problems and len(problems) == 10
     with pytest.raises(ValueError, match="missing"):
-        validate_schema(df, CHUNKS)
+        validate_schema(df, REGISTRY)
 
 
 def test_inverse_document_frequency(spark):
     docs = spark.createDataFrame([("1", "a b"), ("2", "a"), ("3", "c c")], "chunk_id string, text string")
-    got = {r.token: (r.n, r.idf) for r in index.idf(index.postings(docs), 3).collect()}
+    got = {r.token: (r.n, r.idf) for r in index.idf(index.frequencies(index.postings(docs)), 3).collect()}
     assert got["a"] == (2, pytest.approx(0.470003629, abs=1e-8)) and got["c"][0] == 1
