@@ -478,6 +478,12 @@ def test_offline_providers():
     assert len(json.loads(providers.LeadEnricher().enrich("some words"))["hypothetical_questions"]) == 3
 
 
+def test_words_that_cancel_out_are_no_empty_text():
+    """w3 and w4 have one place and different signs."""
+    (v,) = providers.HashEmbedder(8).embed(["w4 w3"])
+    assert sum(x * x for x in v) == pytest.approx(1) and v == [abs(x) for x in providers.HashEmbedder(8).embed(["w4"])[0]]
+
+
 def test_streamed_documents_are_ingested(spark, tmp_path, monkeypatch):
     (tmp_path / "in").mkdir()
     store = store_of(spark, tmp_path / "store")
