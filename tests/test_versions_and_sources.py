@@ -484,6 +484,12 @@ def test_words_that_cancel_out_are_no_empty_text():
     assert sum(x * x for x in v) == pytest.approx(1) and v == [abs(x) for x in providers.HashEmbedder(8).embed(["w4"])[0]]
 
 
+def test_no_document_fails_for_words_that_cancel_out(spark):
+    rows = spark.createDataFrame([("a", 0, "w4 w3", "w3 w4", ["w4 w3?", "x", "y"]), ("b", 0, "—", "w3 w4", ["x", "y", "z"])], "document_id string, chunk_index int, text string, synthetic_title string, hypothetical_questions array<string>")
+    embedded, failed = enrichment.embed_chunks(rows, providers.HashEmbedder(8), None)
+    assert [r.document_id for r in embedded.collect()] == ["a", "b"] and not failed.take(1)
+
+
 def test_streamed_documents_are_ingested(spark, tmp_path, monkeypatch):
     (tmp_path / "in").mkdir()
     store = store_of(spark, tmp_path / "store")
