@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.vectors import doubles
+from ..functions.vectors import bound, doubles
 from . import filters, search
 
 #: What the sums themselves may be off by.
@@ -25,24 +25,27 @@ ROUNDING = 1e-6
 
 def unit(vector: Column) -> Column:
     """A vector over its length; null for null, empty and zero vectors and for such with null or non-finite components."""
-    v = doubles(vector)
-    good = F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(F.coalesce(good, F.lit(False)), F.transform(v, lambda x: x / size))
 
+    def scaled(v: Column) -> Column:
+        good = F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+        size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return F.when(F.coalesce(good, F.lit(False)), bound(size, lambda s: F.transform(v, lambda x: x / s)))
 
-def encoded(vector: Column) -> tuple[Column, Column]:
+    return bound(doubles(vector), scaled)
+
+
+def encoded(vector: Column) -> Column:
     """(code, scale) of a vector: a signed byte a component, and what one step stands for; null where ``unit`` is."""
-    u = unit(vector)
-    scale = F.aggregate(u, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x))) / 127
-    byte = lambda x: F.lpad(F.hex(F.pmod(F.round(x / scale).cast("int"), F.lit(256))), 2, "0")
-    return F.unhex(F.array_join(F.transform(u, byte), "")), F.when(u.isNotNull(), scale)
+    step = lambda u: F.aggregate(u, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x))) / 127
+    byte = lambda x, scale: F.lpad(F.hex(F.pmod(F.round(x / scale).cast("int"), F.lit(256))), 2, "0")
+    code = lambda u, scale: F.unhex(F.array_join(F.transform(u, lambda x: byte(x, scale)), ""))
+    return bound(unit(vector), lambda u: F.when(u.isNotNull(), bound(step(u), lambda scale: F.struct(code(u, scale).alias("code"), scale.alias("scale")))))
 
 
 def with_codes(points: DataFrame, vector: str = "chunk_vector") -> DataFrame:
     """Points with chunk_code and chunk_scale."""
-    code, scale = encoded(F.col(vector))
-    return points.withColumns({"chunk_code": code, "chunk_scale": scale})
+    made = points.withColumn("__code", encoded(F.col(vector)))
+    return made.withColumns({"chunk_code": F.col("__code.code"), "chunk_scale": F.col("__code.scale")}).drop("__code")
 
 
 class _Lanes:

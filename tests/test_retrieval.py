@@ -222,6 +222,50 @@ def test_retrieval_quality(spark):
         assert "Cartesian" not in quality._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ranks_that_single_precision_cannot_tell(spark, monkeypatch):
+    """Equal vectors and such that differ by a millionth of each other, in many blocks and tiles."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6, 8))
+    own = {f"c{i:02}": base[i % 6] * (1 + i) + (1e-6 * rng.normal(size=8) if i % 3 else 0) for i in range(40)}
+    asked = [(f"c{i:02}", j, base[(i + j) % 6] + (0.1 * rng.normal(size=8) if j else 0)) for i in range(40) for j in range(2)]
+    unit = lambda x: x / np.sqrt((x * x).sum())
+    ranks = []
+    for of, _, q in asked:
+        score = {k: round(float(unit(q) @ unit(w)), 9) for k, w in own.items()}
+        ranks.append(1 + sum(s > score[of] or s == score[of] and k < of for k, s in score.items()))
+    want = (len(asked), round(sum(r <= 1 for r in ranks) / len(ranks), 6), round(sum(r <= 5 for r in ranks) / len(ranks), 6), round(sum(1 / r for r in ranks) / len(ranks), 6))
+    df = spark.createDataFrame([(k, -1, w.tolist()) for k, w in own.items()] + [(k, j, q.tolist()) for k, j, q in asked], "chunk_id string, ordinal int, v array<double>")
+    monkeypatch.setattr(evaluation, "FINE_BLOCK", 9)
+    for block in (4096, 16):
+        assert tuple(evaluation.retrieval_quality(df, block).first()) == pytest.approx(want, abs=1e-6)
+
+
+def test_blocks_that_meet_are_few():
+    """600,000 chunks and 2.4 million questions: rows that are shuffled, each 64 numbers, are tens of millions."""
+    chunks, questions = evaluation._blocks(600_000, 2_400_000, evaluation.BLOCK)
+    assert chunks * 2_400_000 + questions * 600_000 < 80_000_000
+    assert evaluation._blocks(10_000, 40_000, evaluation.BLOCK) == (1, 10)
+
+
+def test_codes_are_computed_once_a_vector(spark):
+    """Lengths and scales aren't part of the lambdas that go over a vector's components."""
+    df = quantized.with_codes(spark.createDataFrame([([1.0, -2.0, 0.5],), (None,), ([0.0],)], "chunk_vector array<float>"))
+    assert df._jdf.queryExecution().analyzed().toString().count("aggregate(") <= 2
+    rows = df.collect()
+    assert [None if r.chunk_code is None else list(r.chunk_code) for r in rows] == [[64, 129, 32], None, None] and rows[0].chunk_scale == pytest.approx(2 / math.sqrt(5.25) / 127)
+
+
+def test_postings_are_counted_without_a_shuffle(spark):
+    df = spark.createDataFrame([("d", "1", "x", "a B a b ёж еж a"), ("d", "2", "y", None), ("e", "3", None, "ТК РФ ст.5"), ("e", "4", "z", "- ")], "document_id string, chunk_id string, category string, text string")
+    made = index.indexed(df)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: (r.chunk_id, r.token)
+    counted = index.postings(df, "document_id", "chunk_id", "category").select(*made.columns)
+    assert sorted(made.collect(), key=key) == sorted(counted.collect(), key=key) and made.count() == 6
+
+
 @pytest.fixture(scope="module")
 def corpus_dir(spark, tmp_path_factory):
     """Small tables of the provided form."""
@@ -235,6 +279,15 @@ def corpus_dir(spark, tmp_path_factory):
     return str(path)
 
 
+def test_dense_searches_need_no_term_index(spark, corpus_dir):
+    from lexmill.plans import corpus, registry
+
+    before = corpus.stored(spark, corpus_dir, terms=False)
+    registry.QUERIES["dense_search"](spark, corpus_dir).collect()
+    assert (spark.sparkContext.applicationId, corpus_dir, True) not in corpus._stored and not before.parts["postings"]
+    assert corpus.stored(spark, corpus_dir).parts["points"] == before.parts["points"]
+
+
 def test_searches_read_stored_tables_once(spark, corpus_dir):
     from lexmill.plans import corpus, registry, retrieval
 
