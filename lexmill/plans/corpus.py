@@ -22,18 +22,21 @@ STORED = {
     "frequencies": TableSpec(index.FREQUENCIES, "token", index.FREQUENCIES_ORDER, sums="n"),
     "queries": TableSpec(schema("query_id bigint, query string, audience string, topic string, category string, top_k int, vector array<float>"), "query_id"),
 }
-_stored: dict[tuple[str, str], Snapshot] = {}
+_stored: dict[tuple[str, str, bool], Snapshot] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str) -> Snapshot:
-    """The corpus as stored tables; written, with its term index, when first asked for in an application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def stored(spark: SparkSession, sf_dir: str, terms: bool = True) -> Snapshot:
+    """The corpus as stored tables, written when first asked for in an application: points and queries, and with ``terms`` the term index."""
+    key = (spark.sparkContext.applicationId, sf_dir, terms)
     if key not in _stored:
-        store = SnapshotStore(spark, fresh_path(spark, "corpus"), STORED, 8)
-        now = store.begin().commit({"points": (with_codes(points(spark, sf_dir)).select(*STORED["points"].schema.fieldNames()), None)})
-        asked = queries(spark, sf_dir).select(*STORED["queries"].schema.fieldNames())
-        now = now.commit({"postings": (index.indexed(now.read("points")), None), "queries": (asked, None)})
-        _stored[key] = now.commit({"frequencies": (index.frequencies(now.read("postings")), None)})
+        if terms:
+            now = stored(spark, sf_dir, terms=False)
+            now = now.commit({"postings": (index.indexed(now.read("points")), None)})
+            _stored[key] = now.commit({"frequencies": (index.frequencies(now.read("postings")), None)})
+        else:
+            store = SnapshotStore(spark, fresh_path(spark, "corpus"), STORED, 8)
+            now = store.begin().commit({"points": (with_codes(points(spark, sf_dir)).select(*STORED["points"].schema.fieldNames()), None)})
+            _stored[key] = now.commit({"queries": (queries(spark, sf_dir).select(*STORED["queries"].schema.fieldNames()), None)})
     return _stored[key]
 
 
