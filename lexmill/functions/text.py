@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import bound
+
 #: What Python's str.strip() and str.split() take for white space, as a Java class.
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 
@@ -23,6 +26,8 @@ CLEANING = (
 NEEDED = ("-\n", None, "ЧАСТЬ", "Раздел", "Глава", "\n\n\n")
 # Spelled-out forms of common legal abbreviations.
 ABBREVIATIONS = ((r"(?U)\bст\.", "статья"), (r"(?U)\bтк\s+рф\b", "трудовой кодекс"), (r"(?U)\bфз\b", "федеральный закон"))
+#: What a text must hold for an abbreviation to be found.
+ABBREVIATED = ("ст.", "тк", "фз")
 # What is taken off a model's answer, a surrounding code fence and Markdown emphasis next to quotes.
 FENCE = r"^```[a-zA-Z]*\n?|```\s*$"
 EMPHASIS = r'(?<=")[_*]+|[_*]+(?=")'
@@ -36,22 +41,25 @@ def strip(col: Column | str) -> Column:
     return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def _where(text: Column, needed: str, change: Callable[[Column], Column]) -> Column:
+    """``change(text)`` of texts that hold ``needed``, the others as they are."""
+    return bound(text, lambda t: F.when(F.contains(t, F.lit(needed)), change(t)).otherwise(t))
+
+
 def clean_text(col: Column | str) -> Column:
     """Line ends unified, broken words joined, page numbers and part headings dropped, blank runs cut."""
 
     def apply(text: Column, pattern: str, replacement: str, needed: str | None) -> Column:
-        if needed is None:
-            return F.regexp_replace(text, pattern, replacement)
-        # bound to a lambda's variable, so that the text so far is computed once
-        return F.get(F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit(needed)), F.regexp_replace(t, pattern, replacement)).otherwise(t)), F.lit(0))
+        change = lambda t: F.regexp_replace(t, pattern, replacement)
+        return change(text) if needed is None else _where(text, needed, change)
 
     text = apply(F.col(col) if isinstance(col, str) else col, "\r\n?", "\n", "\r")
     return strip(functools.reduce(lambda t, rule: apply(t, *rule[0], rule[1]), zip(CLEANING, NEEDED), text))
 
 
 def normalize_terms(col: Column | str) -> Column:
-    text = F.translate(F.lower(col), "ё", "е")
-    return functools.reduce(lambda t, rule: F.regexp_replace(t, *rule), ABBREVIATIONS, text)
+    text = _where(F.lower(col), "ё", lambda t: F.replace(t, F.lit("ё"), F.lit("е")))
+    return functools.reduce(lambda t, rule: _where(t, rule[0], lambda x: F.regexp_replace(x, *rule[1])), zip(ABBREVIATED, ABBREVIATIONS), text)
 
 
 def tokens(col: Column | str) -> Column:
