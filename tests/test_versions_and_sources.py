@@ -484,6 +484,16 @@ def test_words_that_cancel_out_are_no_empty_text():
     assert sum(x * x for x in v) == pytest.approx(1) and v == [abs(x) for x in providers.HashEmbedder(8).embed(["w4"])[0]]
 
 
+def test_marks_of_emphasis_in_a_text_are_no_failure(spark):
+    """Questions of '___' alone hold a word; a text of '***' has none and fails where it is embedded, as in the query's SQL."""
+    texts = ["___", "***", '"*x*"', "a b c d e ___ - -"]
+    chunks = spark.createDataFrame([(str(i), str(i), 0, t) for i, t in enumerate(texts)], "chunk_id string, document_id string, chunk_index int, text string")
+    enriched, unanswered = enrichment.enrich_chunks(chunks, providers.LeadEnricher(), None)
+    embedded, unplaced = enrichment.embed_chunks(enriched, providers.HashEmbedder(8), None)
+    assert unanswered.count() == 0 and [(r.document_id, r.error) for r in unplaced.collect()] == [("1", "empty vector")]
+    assert {r.document_id: r.synthetic_title for r in embedded.collect()} == {"0": "___", "2": '"*x*"', "3": "a b c d e ___ - -"}
+
+
 def test_no_document_fails_for_words_that_cancel_out(spark):
     rows = spark.createDataFrame([("a", 0, "w4 w3", "w3 w4", ["w4 w3?", "x", "y"]), ("b", 0, "—", "w3 w4", ["x", "y", "z"])], "document_id string, chunk_index int, text string, synthetic_title string, hypothetical_questions array<string>")
     embedded, failed = enrichment.embed_chunks(rows, providers.HashEmbedder(8), None)
