@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,31 @@ from ..functions.text import parent_id
 from . import filters
 
 
+#: Keys that are sent to all tasks; more are met by a shuffle.
+FEW_KEYS = 100_000
+Met = Callable[[DataFrame, DataFrame, "str | list[str]", str], DataFrame]
+
+
+def is_few(keys: DataFrame) -> bool:
+    return keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+
+
+def met_with(rows: DataFrame, keys: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """``rows.join(keys, on, how)``; few keys, as they are counted first, are sent to the tasks, so that wide rows aren't shuffled for them."""
+    return rows.join(F.broadcast(keys) if is_few(keys) else keys, on, how)
+
+
+def without(rows: DataFrame, every: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Stored ``rows`` of which no key is in ``gone``, where ``every`` has all their keys.
+
+    Whichever are few, the keys that go or those that stay, are sent to the tasks.
+    """
+    if is_few(gone):
+        return rows.join(F.broadcast(gone), key, "left_anti")
+    left = every.join(gone, key, "left_anti")
+    return rows.join(F.broadcast(left), key, "left_semi") if is_few(left) else rows.join(gone, key, "left_anti")
+
+
 def upsert(old: DataFrame, new: DataFrame, *keys: str, order: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``old`` with the rows of ``new`` put in by key; of new rows with one key the last by ``order``.
 
@@ -77,7 +103,7 @@ def supersede_sections(points: DataFrame, updates: DataFrame) -> DataFrame:
     }).select(*points.columns)
 
 
-def ingest_documents(points: DataFrame, registry: DataFrame, new_points: DataFrame, new_rows: DataFrame, purge_same_version: bool = False, order: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest_documents(points: DataFrame, registry: DataFrame, new_points: DataFrame, new_rows: DataFrame, purge_same_version: bool = False, order: Column | None = None, settled: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(points, registry, report) after whole documents are ingested.
 
     New chunks are put in by id; every other version of their documents is deleted,
@@ -85,7 +111,9 @@ def ingest_documents(points: DataFrame, registry: DataFrame, new_points: DataFra
     the last by ``order`` (by version, if not given) is kept, as if they came one after the
     other: the earlier ones are inactive rows of the registry without chunks, and
     reported as replaced. Chunks of the same version that the new text no longer has stay,
-    unless ``purge_same_version``.
+    unless ``purge_same_version``. ``settled``: all tables are stored, no chunk id comes twice
+    in either of the points, and the new ones hold of each document that last version alone; then only keys are
+    shuffled, and no points.
     """
     by = [F.col("version").desc()] if order is None else [order.desc(), F.col("version").desc()]
     first = Window.partitionBy("document_id").orderBy(*by)
@@ -94,11 +122,17 @@ def ingest_documents(points: DataFrame, registry: DataFrame, new_points: DataFra
     won = F.col("version") == F.col("__last")
     arrived = placed.where(won).select("document_id", F.col("version").alias("__new"))
 
-    current = points.join(arrived, "document_id", "left")
     stale = (F.col("version") != F.col("__new")) | F.lit(purge_same_version)
-    kept = current.where(F.col("__new").isNull() | ~stale).select(*points.columns)
-    mine = new_points.join(arrived.select("document_id", F.col("__new").alias("version")), ["document_id", "version"], "left_semi")
-    after = upsert(kept, mine, "chunk_id", order=F.col("chunk_index"))
+    if settled:
+        mine, ids = new_points, points.select("chunk_id")
+        gone = points.select("chunk_id", "document_id", "version").join(arrived, "document_id").where(stale).select("chunk_id")
+        gone = gone.unionByName(ids.join(mine.select("chunk_id"), "chunk_id", "left_semi")).distinct()
+        after = without(points, ids, gone, "chunk_id").select(*points.columns).unionByName(mine.select(*points.columns))
+    else:
+        current = points.join(arrived, "document_id", "left")
+        kept = current.where(F.col("__new").isNull() | ~stale).select(*points.columns)
+        mine = new_points.join(arrived.select("document_id", F.col("__new").alias("version")), ["document_id", "version"], "left_semi")
+        after = upsert(kept, mine, "chunk_id", order=F.col("chunk_index"))
 
     incoming = placed.withColumn("is_active", F.col("is_active") & won).drop("__last")
     listed = upsert(registry, incoming, "document_id", "version", keep=("created_at",)).join(arrived, "document_id", "left")

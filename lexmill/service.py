@@ -74,16 +74,17 @@ def _ingest(store: SnapshotStore, documents: DataFrame, enricher: Enricher, embe
     by = [F.col("version").desc()] if order is None else [order.desc(), F.col("version").desc()]
     last = good.withColumn("__n", F.row_number().over(Window.partitionBy("document_id").orderBy(*by))).where("__n = 1").drop("__n")
 
-    cut = sections.preprocess(last.select("document_id", "category", "raw_text")).join(last.select("document_id", "version"), "document_id")
+    cut = sections.preprocess(last.select("document_id", "category", "raw_text")).join(last.select("document_id", "version", "source_title", "audience", "topics", "effective_date"), "document_id")
     chunks = kept(chunking.chunk_sections(cut))
     refused.append(last.join(chunks.select("document_id").distinct(), "document_id", "left_anti").select("document_id", F.lit("no chunks").alias("reason")))
     large = chunking.oversized_documents(chunks, max_chunks)
     refused.append(large.select("document_id", F.lit("too many chunks").alias("reason")))
-    enriched, unanswered = enrichment.enrich_chunks(chunks.join(large, "document_id", "left_anti"), enricher, calls[0], kept)
+    enriched, unanswered = enrichment.enrich_chunks(lifecycle.met_with(chunks, large.select("document_id"), "document_id", "left_anti"), enricher, calls[0], kept)
     embedded, unplaced = enrichment.embed_chunks(enriched, embedder, calls[1], kept)
     for failed in (unanswered, unplaced):
         refused.append(failed.select("document_id", F.col("error").alias("reason")))
-    points = kept(with_codes(lifecycle.as_points(embedded, last, as_of)).select(*POINTS.fieldNames()))
+    placed = embedded.withColumns({"date_added": as_of, "effective_until": F.lit(None).cast("date"), "is_actual": F.lit(True)})
+    points = kept(with_codes(placed).select(*POINTS.fieldNames()))
     told = Scratch(store.spark, "ingested")
     out = told.keep(lifecycle.union_all(refused))
 
@@ -92,12 +93,13 @@ def _ingest(store: SnapshotStore, documents: DataFrame, enricher: Enricher, embe
     rows = done.select("document_id", "version", "category", "source_title", "audience", "topics", "effective_date", F.lit(True).alias("is_active"), now.alias("created_at"), now.alias("updated_at"), *([] if order is None else [order.alias("__order")]))
     rows = kept(rows)
     sequence = None if order is None else F.col("__order")
+    once = points.groupBy("chunk_id").count().where("count > 1").isEmpty()  # sections without a number share ids
 
     def change(_: Snapshot, stored: dict[str, DataFrame]):
-        after, registry, report = lifecycle.ingest_documents(stored["points"], stored["registry"], points, rows, order=sequence)
+        after, registry, report = lifecycle.ingest_documents(stored["points"], stored["registry"], points, rows, order=sequence, settled=once)
         return after, {"registry": registry.select(*REGISTRY.fieldNames())}, report
 
-    return Ingested(publish(store, points, rows, change, told.keep, batch), out, told)
+    return Ingested(publish(store, points, rows, change, told.keep, batch, stored=True), out, told)
 
 
 def update_sections(store: SnapshotStore, updates: DataFrame, enricher: Enricher, embedder: Embedder, as_of: Column, calls: tuple[int | None, int | None] = (5, 3)) -> Ingested:
@@ -143,7 +145,7 @@ def _update_sections(store: SnapshotStore, updates: DataFrame, enricher: Enriche
         report = made.join(old.select("parent_id", F.size("replaced_ids").alias("superseded_chunks")), "parent_id", "left").fillna(0, ["superseded_chunks"])
         return after, {}, report
 
-    return Ingested(publish(store, points, points, change, told.keep), out, told)
+    return Ingested(publish(store, points, points, change, told.keep, stored=True), out, told)
 
 
 @dataclass(frozen=True)

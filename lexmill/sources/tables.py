@@ -56,6 +56,20 @@ def _children(bucket: str, levels: int) -> set[str]:
     return {_bucket(depth + k, value + (i << depth)) for k in range(levels) for i in range(1 << k)}
 
 
+@dataclass(frozen=True)
+class Written:
+    """New rows of a table in folders that no version names yet, and the buckets that they replace (None: all)."""
+
+    store: SnapshotStore
+    table: str
+    parts: dict[str, dict]
+    splits: set[str]
+    buckets: Iterable[str] | None
+
+    def read(self) -> DataFrame:
+        return self.store.rows_of(self.table, [self.parts[b]["path"] for b in sorted(self.parts)])
+
+
 @dataclass
 class Snapshot:
     """One version of a store: what its readers see, and the base of the next version.
@@ -108,10 +122,18 @@ class Snapshot:
         rows = self.read(table, buckets)
         return rows.where(F.col(column).isin(some)) if len(some) <= PUSHED_KEYS else rows.join(known, column, "left_semi")
 
-    def commit(self, changes: dict[str, tuple[DataFrame, Iterable[str] | None]], applied: dict[str, int] | None = None, added: dict[str, DataFrame] | None = None) -> Snapshot:
+    def written(self, table: str, rows: DataFrame, buckets: Iterable[str] | None) -> Written:
+        """The rows written for ``commit``, so that other tables can be derived from them before."""
+        store = self.store
+        if self.number < 0:  # data without a version is then always an error
+            self.number = store.publish(Snapshot(store, 0)).number
+        parts, splits = store.write(table, rows, set(self.splits.get(table, ())), None if buckets is None else set(buckets))
+        return Written(store, table, parts, splits, buckets)
+
+    def commit(self, changes: dict[str, tuple[DataFrame, Iterable[str] | None] | Written], applied: dict[str, int] | None = None, added: dict[str, DataFrame] | None = None) -> Snapshot:
         """Publish the next version of all tables at once.
 
-        ``changes`` has per table its new rows and the buckets that they replace (None: all);
+        ``changes`` has per table its new rows and the buckets that they replace (None: all), or what was ``written`` of them;
         other buckets stay as they are. ``added`` has rows to add to tables with sums. The
         rows may be derived from this snapshot. ``applied`` notes the last batch of each
         stream, for replays. A failure before the version is published changes nothing;
@@ -123,13 +145,12 @@ class Snapshot:
         parts = {name: dict(self.parts.get(name, {})) for name in store.specs}
         more = {name: list(self.added.get(name, [])) for name in store.specs}
         splits = {name: set(self.splits.get(name, ())) for name in store.specs}
-        for table, (rows, buckets) in changes.items():
-            old = set(parts[table]) if buckets is None else set(buckets)
-            before = set(splits[table])
-            written, splits[table] = store.write(table, rows, before, None if buckets is None else old)
-            if buckets is None:
+        for table, given in changes.items():
+            made = given if isinstance(given, Written) else self.written(table, *given)
+            old, splits[table] = set(parts[table] if made.buckets is None else made.buckets), made.splits
+            if made.buckets is None:
                 more[table] = []
-            parts[table] = {b: p for b, p in parts[table].items() if b not in old} | written
+            parts[table] = {b: p for b, p in parts[table].items() if b not in old} | made.parts
         for table, rows in (added or {}).items():
             part = store.write_added(table, rows)
             more[table] = [*more[table], *([part] if part else [])]
@@ -225,8 +246,8 @@ class SnapshotStore:
 
     def rows_of(self, table: str, paths: list[str]) -> DataFrame:
         spec = self.specs[table]
-        if not paths:
-            return self.spark.createDataFrame([], spec.schema)
+        if not paths:  # known to be empty where plans are made
+            return self.spark.range(0).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in spec.schema.fields])
         return self.spark.read.schema(spec.schema).parquet(*[f"{self.path}/{p}" for p in paths]).select(*spec.schema.fieldNames())
 
     def problems(self) -> list[str]:

@@ -600,6 +600,30 @@ def test_service_from_documents_to_answers(spark, tmp_path, monkeypatch):
     assert {"a", "b", "h"} <= {r.document_id for r in later.read("points").collect()} and later.read("postings").where("token = 'omega'").count() == 1
 
 
+def test_settled_points_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """As without the promise, whichever keys are few; where none are, by a shuffle."""
+    old = points(spark, *[(f"{d}{i}", d, "v1", i, "x") for d in "abcd" for i in range(2)], ("a9", "a", "v2", 9, "orphan"))
+    new = points(spark, ("n0", "a", "v2", 0, "new"), ("n1", "a", "v2", 1, "new"), ("b0", "b", "v1", 0, "again"), ("e0", "e", "v1", 0, "first"))
+    rows = spark.createDataFrame([(d, v, "T", True, "t2") for d, v in (("a", "v1"), ("a", "v2"), ("b", "v1"), ("e", "v1"))], REGISTRY)
+    registry = spark.createDataFrame([(d, "v1", "T", True, "t1") for d in "abcd"], REGISTRY)
+    for name, df in {"old": old, "new": new}.items():
+        df.write.parquet(str(tmp_path / name))
+    old, new = (spark.read.schema(POINTS).parquet(str(tmp_path / name)) for name in ("old", "new"))
+    brief = lambda found: [sorted(map(str, df.collect())) for df in found]
+    for purge in (False, True):
+        want = brief(lifecycle.ingest_documents(old, registry, new, rows, purge))
+        for few, wide in ((100, False), (0, True)):
+            monkeypatch.setattr(lifecycle, "FEW_KEYS", few)
+            found = lifecycle.ingest_documents(old, registry, new, rows, purge, settled=True)
+            assert brief(found) == want
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            try:
+                plan = lifecycle.ingest_documents(old, registry, new, rows, purge, settled=True)[0]._jdf.queryExecution().sparkPlan().toString()
+            finally:
+                spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            assert ("BroadcastHashJoin [chunk_id" not in plan) == wide
+
+
 class Fiftieth:
     """Takes the candidate that has the word, wherever it stands."""
 
