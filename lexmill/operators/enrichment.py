@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.text import embedding_text, strip, strip_code_fence, strip_emphasis
 from ..providers import CircuitOpen, ContentError, Embedder, Enricher, Expander, ProviderError, RateLimiter, Reranker, Resilient, parsed
 from ..schemas import LEAST_QUESTIONS, QUESTIONS
+from .lifecycle import Met, met_with
 
 ENRICHMENT = "struct<synthetic_title:string,hypothetical_questions:array<string>>"
 
@@ -97,11 +98,14 @@ def parse_enrichment(df: DataFrame, column: str = "answer") -> DataFrame:
     return out.withColumn("problem", problem).drop("__e")
 
 
-def whole_documents(df: DataFrame, failed: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of documents without any failure, and the failures: (document_id, failed chunk_index list, first error)."""
+def whole_documents(df: DataFrame, failed: str, few: Met = DataFrame.join) -> tuple[DataFrame, DataFrame]:
+    """Rows of documents without any failure, and the failures: (document_id, failed chunk_index list, first error).
+
+    ``few`` joins with what is mostly few rows: ``met_with`` where ``df`` is stored, so that it may be counted first.
+    """
     bad = df.where(F.col(failed).isNotNull())
     report = bad.groupBy("document_id").agg(F.sort_array(F.collect_list("chunk_index")).alias("failed_chunks"), F.min_by(failed, "chunk_index").alias("error"))
-    return df.join(bad.select("document_id").distinct(), "document_id", "left_anti").drop(failed), report
+    return few(df, bad.select("document_id").distinct(), "document_id", "left_anti").drop(failed), report
 
 
 def _as_is(df: DataFrame) -> DataFrame:
@@ -111,11 +115,11 @@ def _as_is(df: DataFrame) -> DataFrame:
 def enrich_chunks(chunks: DataFrame, provider: Enricher, partitions: int | None = 5, keep: Callable[[DataFrame], DataFrame] = _as_is, in_flight: int = 1) -> tuple[DataFrame, DataFrame]:
     """Chunks with synthetic_title and hypothetical_questions, and the failed documents.
 
-    ``keep`` stores the answers, so that both results come of one call a chunk.
+    ``keep`` stores what was read of the answers, so that both results come of one call a chunk.
     """
     answered = _provided(chunks, "answer", T.StringType(), provider, lambda row: provider.enrich(_text(row.text)), partitions, checked_enrichment, in_flight)
-    parsed = parse_enrichment(keep(answered)).withColumn("failure", F.coalesce("error", "problem")).drop("error", "problem", "answer")
-    return whole_documents(parsed, "failure")
+    parsed = keep(parse_enrichment(answered).withColumn("failure", F.coalesce("error", "problem")).drop("error", "problem", "answer"))
+    return whole_documents(parsed, "failure", DataFrame.join if keep is _as_is else met_with)
 
 
 def embed_chunks(chunks: DataFrame, provider: Embedder, partitions: int | None = 3, keep: Callable[[DataFrame], DataFrame] = _as_is, in_flight: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -132,7 +136,7 @@ def embed_chunks(chunks: DataFrame, provider: Embedder, partitions: int | None =
         return vectors
 
     done = keep(_provided(listed, "__vectors", kind, provider, ask, partitions, in_flight=in_flight).drop("__texts"))
-    good, report = whole_documents(done, "error")
+    good, report = whole_documents(done, "error", DataFrame.join if keep is _as_is else met_with)
     return good.withColumns({"chunk_vector": F.get("__vectors", F.lit(0)), "question_vectors": F.slice("__vectors", 2, QUESTIONS)}).drop("__vectors"), report
 
 

@@ -600,6 +600,30 @@ def test_service_from_documents_to_answers(spark, tmp_path, monkeypatch):
     assert {"a", "b", "h"} <= {r.document_id for r in later.read("points").collect()} and later.read("postings").where("token = 'omega'").count() == 1
 
 
+def test_an_ingest_asks_tokenizes_and_writes_points_once(spark, tmp_path, monkeypatch):
+    """Answers are read once, chunks tokenized once, and points written once besides the table that they are made in."""
+    tokenized, read, real = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), (index.indexed, enrichment.parse_enrichment)
+
+    def counted(rows, seen):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return rows.mapInArrow(run, rows.schema)
+
+    monkeypatch.setattr(index, "indexed", lambda rows: real[0](counted(rows, tokenized)))
+    monkeypatch.setattr(enrichment, "parse_enrichment", lambda rows: real[1](counted(rows, read)))
+    store = service.open_store(spark, str(tmp_path / "store"), 4)
+    rows, of = [document(f"d{i}", "v1", f"alpha beta {i}") for i in range(9)], (providers.QuoteEnricher(), providers.LetterEmbedder(26), F.lit("2026-01-02").cast("date"))
+    for n in (1, 2):
+        service.ingest(store, spark.createDataFrame(rows, DOCUMENTS), *of, calls=(None, None)).release()
+        assert (tokenized.value, read.value) == (9 * n, 9 * n)
+    now = store.begin()
+    kept = {(r.token, r.tf): r.n for r in now.read("frequencies").collect()}
+    assert kept == {(r.token, r.tf): r.n for r in index.frequencies(now.read("postings")).collect()} and kept[("alpha", 1.0)] == 9
+
+
 def test_settled_points_are_not_shuffled(spark, tmp_path, monkeypatch):
     """As without the promise, whichever keys are few; where none are, by a shuffle."""
     old = points(spark, *[(f"{d}{i}", d, "v1", i, "x") for d in "abcd" for i in range(2)], ("a9", "a", "v2", 9, "orphan"))
