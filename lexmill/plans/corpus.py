@@ -17,22 +17,26 @@ DIMS = 64
 STORED = {
     "points": TableSpec(schema(
         "doc_id bigint, chunk_id string, document_id string, parent_id string, category string, source_title string, audience string, topics array<string>, chunk_index int, version string,"
-        " effective_date date, is_actual boolean, section_number string, section_title string, text string, chunk_vector array<float>, question_vectors array<array<float>>, chunk_code binary, chunk_scale double"), "document_id"),
+        " effective_date date, is_actual boolean, section_number string, section_title string, text string, chunk_vector array<float>, question_vectors array<array<float>>, chunk_code binary, chunk_scale double"), None),
     "postings": TableSpec(index.POSTINGS, "document_id", index.POSTINGS_ORDER),
     "frequencies": TableSpec(index.FREQUENCIES, "token", index.FREQUENCIES_ORDER, sums="n"),
     "queries": TableSpec(schema("query_id bigint, query string, audience string, topic string, category string, top_k int, vector array<float>"), "query_id"),
 }
-_stored: dict[tuple[str, str, bool], Snapshot] = {}
+#: What of the term index is stored: all of it, or how many chunks hold each token how often.
+COUNTS = "counts"
+_stored: dict[tuple[str, str, bool | str], Snapshot] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, terms: bool = True) -> Snapshot:
-    """The corpus as stored tables, written when first asked for in an application: points and queries, and with ``terms`` the term index."""
+def stored(spark: SparkSession, sf_dir: str, terms: bool | str = True) -> Snapshot:
+    """The corpus as stored tables, written when first asked for in an application: points and queries, and with ``terms`` the term index, or its counts alone."""
     key = (spark.sparkContext.applicationId, sf_dir, terms)
     if key not in _stored:
-        if terms:
+        if terms == COUNTS:
             now = stored(spark, sf_dir, terms=False)
-            now = now.commit({"postings": (index.indexed(now.read("points")), None)})
-            _stored[key] = now.commit({"frequencies": (index.frequencies(now.read("postings")), None)})
+            _stored[key] = now.commit({"frequencies": (index.counted(now.read("points")), None)})
+        elif terms:
+            now = stored(spark, sf_dir, terms=COUNTS)
+            _stored[key] = now.commit({"postings": (index.indexed(now.read("points")), None)})
         else:
             store = SnapshotStore(spark, fresh_path(spark, "corpus"), STORED, 8)
             now = store.begin().commit({"points": (with_codes(points(spark, sf_dir)).select(*STORED["points"].schema.fieldNames()), None)})

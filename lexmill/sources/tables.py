@@ -34,13 +34,14 @@ class ConcurrentChange(RuntimeError):
 class TableSpec:
     """A table's columns, the column whose hash deals its rows out to buckets, and the order of rows within a file.
 
-    ``bloom``: columns whose values are looked up; files have Bloom filters of them. ``sums``: a
+    ``bucket_by`` None: the table is one bucket, written where its rows are made, without a shuffle, and only
+    replaced as a whole. ``bloom``: columns whose values are looked up; files have Bloom filters of them. ``sums``: a
     column of which rows with equal keys count as their sum, so that a change may be
     added to the table without rewriting any of it.
     """
 
     schema: T.StructType
-    bucket_by: str
+    bucket_by: str | None
     sort_by: tuple[str, ...] = ()
     bloom: tuple[str, ...] = ()
     sums: str | None = None
@@ -286,7 +287,7 @@ class SnapshotStore:
         written = self._dealt(table, rows, way)
         if named is not None and (stray := written.keys() - named):
             raise ValueError(f"rows of {table} belong to buckets that the change doesn't name: {sorted(stray)}")
-        large = {b: max(1, math.ceil(math.log2(p["bytes"] / self.bucket_bytes))) for b, p in written.items() if p["bytes"] > self.bucket_bytes}
+        large = {b: max(1, math.ceil(math.log2(p["bytes"] / self.bucket_bytes))) for b, p in written.items() if p["bytes"] > self.bucket_bytes and spec.bucket_by}
         large = {b: n for b, n in large.items() if int(b.split("-")[0]) + n < 48}
         if large:
             fresh = set().union(*(_children(b, n) for b, n in large.items()))
@@ -300,6 +301,9 @@ class SnapshotStore:
     def _dealt(self, table: str, rows: DataFrame, splits: set[str]) -> dict[str, dict]:
         spec = self.specs[table]
         folder = f"data/{table}-{uuid.uuid4().hex}"
+        if spec.bucket_by is None:
+            self._writer(spec, rows.select(*spec.schema.fieldNames())).parquet(f"{self.path}/{folder}")
+            return {_bucket(0, 0): {"path": folder, "bytes": self._size(folder)}}
         dealt = rows.select(*spec.schema.fieldNames()).withColumn("__bucket", self.bucket(table, splits)).hint("rebalance", "__bucket")
         if spec.sort_by:
             dealt = dealt.sortWithinPartitions("__bucket", *spec.sort_by)

@@ -406,3 +406,37 @@ def test_chunks_are_counted_as_their_postings_are(spark):
     made = index.counted(df)
     assert made.schema.simpleString() == index.FREQUENCIES.simpleString()
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, index.frequencies(index.indexed(df)).collect())) == [("a", 3.0, 2), ("b", 1.0, 1), ("b", 2.0, 1), ("еж", 2.0, 1)]
+
+
+def test_batches_of_searches_store_no_postings(spark, corpus_dir, monkeypatch):
+    from lexmill.plans import corpus, registry
+
+    monkeypatch.setattr(corpus, "_stored", {})
+    monkeypatch.setattr(index, "indexed", lambda *_: pytest.fail("postings were made"))
+    for name in ("search_trace", "search_outcomes", "search_lanes", "rerank", "fuse_variants", "sparse_search"):
+        assert registry.QUERIES[name](spark, corpus_dir).count() > 0
+    now = corpus.stored(spark, corpus_dir, terms=corpus.COUNTS)
+    assert not now.parts["postings"] and len(now.parts["points"]) == 1
+
+
+@pytest.mark.parametrize("cells,held,sent", [(1 << 22, 500_000, 32 << 20), (60, 40, 32 << 20), (1 << 22, 500_000, -1)])
+def test_texts_scored_where_they_are_read(spark, monkeypatch, cells, held, sent):
+    """Against postings: ties, filters, chunks without text, blocks of rows and queries; queries that can't be sent to all tasks meet postings."""
+    for name, value in (("TEXT_CELLS", cells), ("HELD_ROWS", held), ("BROADCAST_BYTES", sent)):
+        monkeypatch.setattr(search, name, value)
+    rng = random.Random(4)
+    points = [point(i, category=rng.choice(CATEGORIES[:3]), audience=rng.choice(["seeker", "employer", "both"]), topics=rng.choice([[], ["t"]]), actual=i % 9 > 0, text=zipf(rng, rng.choice([3, 12, 80]))) for i in range(150)]
+    points += [point("x1", text="t1 t1 rare"), point("x2", text="t1 t1 rare"), point("e", text=""), point("n", text=None)]
+    queries = [(q, zipf(rng, rng.choice([1, 4, 15])), rng.choice([None, None, "seeker"]), rng.choice([None, "t"]), rng.choice([None, None, CATEGORIES[1]]), None, 5) for q in range(20)] + [(50, "rare t1 nowhere", None, None, None, None, 5), (51, "—", None, None, None, None, 5)]
+    p, q = spark.createDataFrame(points, POINT).repartition(3), spark.createDataFrame(queries, QUERY)
+    terms = index.postings(p, "chunk_id", "category").cache()
+    counts = index.frequencies(terms)
+    given = []
+    for balanced in (None, 2):
+        lane = F.when(F.col("q_category").isNull() & F.lit(balanced is not None), F.col("category"))
+        limit = F.when(F.col("lane").isNotNull(), balanced or 0).otherwise(4)
+        ranked = lambda df: sorted((r.query_id, r.lane or "", r["rank"], r.chunk_id, round(r.score, 6)) for r in search.best(df.withColumn("lane", lane), limit, "query_id", "lane").collect())  # noqa: E731, B023
+        found = search.sparse_best(p, lambda: given.append(1) or terms, counts, q, len(points), 4, balanced)
+        assert found.columns == ["query_id", "chunk_id", "category", "q_category", "score"]
+        assert ranked(found) == ranked(search.sparse_best(p, terms, counts, q, len(points), 4, balanced)) and found.count() > 20
+    assert bool(given) == (sent < 0)
